@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from presswork.functions.suffixes import SuffixRules, everyday_rules
-from presswork.functions.text import WHITESPACE
+from presswork.functions.text import WHITESPACE, with_value
 
 # Optional scheme, optional user part, then the host up to port, path, query
 # or fragment. Works for scheme-less and otherwise broken URLs, which the URL
@@ -79,7 +79,10 @@ def registered_domain(url: Column, rules: SuffixRules | None = None) -> Column:
     '' for addresses, bare suffixes, and hosts under no known suffix. Rules are
     matched without regard to case; the result keeps the URL's own letters.
     """
-    name = host(url)
-    labels = suffix_labels(F.lower(name), rules or everyday_rules())
-    domain = F.coalesce(domain_at(name, labels), F.lit(""))
-    return F.when(url.isNotNull(), domain)
+    rules = rules or everyday_rules()
+
+    def domain(name: Column) -> Column:
+        labels = with_value(F.lower(name), lambda lowered: suffix_labels(lowered, rules))
+        return F.coalesce(with_value(labels, lambda count: domain_at(name, count)), F.lit(""))
+
+    return F.when(url.isNotNull(), with_value(host(url), domain))

@@ -7,42 +7,65 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from presswork.functions.urls import domain_at, host, last_labels, registered_domain
+from presswork.operators.binding import bind
+
+# Public suffixes are short; this many rules stay within a few megabytes.
+BROADCAST_RULES = 100_000
+
+
+def _by_rules(hosts: DataFrame, suffixes: DataFrame, deepest: int, small: bool) -> DataFrame:
+    """Adds ``domain`` to rows with a ``_host``.
+
+    One join for each number of labels a rule can have, so a row meets at most
+    one rule per join and is never multiplied.
+    """
+    rules = suffixes.groupBy("suffix").agg(
+        F.max(~F.col("is_wildcard") & ~F.col("is_exception")).alias("exact"),
+        F.max("is_wildcard").alias("wild"),
+        F.max("is_exception").alias("exempt"))
+    depth = F.size(F.split("suffix", r"\."))
+    name = F.lower("_host")
+    labels = F.size(F.split(name, r"\."))
+    out = hosts
+    lengths: list[Column] = [F.lit(0)]
+    exempt: list[Column] = []
+    for d in range(1, deepest + 1):
+        level = rules.where(depth == d).select(
+            F.col("suffix").alias(f"_suffix{d}"),
+            F.struct("exact", "wild", "exempt").alias(f"_rule{d}"))
+        key = F.when(labels >= d, last_labels(name, d))
+        out = out.join(F.broadcast(level) if small else level,
+                       key == F.col(f"_suffix{d}"), "left")
+        rule = F.col(f"_rule{d}")
+        lengths.append(F.when(rule["exact"], d))
+        lengths.append(F.when(rule["wild"] & (labels > d), d + 1))
+        exempt.insert(0, F.when(rule["exempt"], d - 1))
+    longest = F.nullif(reduce(lambda a, b: F.greatest(a, b), lengths), F.lit(0))
+    count = F.coalesce(*exempt, longest)
+    domain = F.coalesce(domain_at(F.col("_host"), count), F.lit(""))
+    return out.withColumn("domain", domain).select(*hosts.columns, "domain")
 
 
 def with_domain(df: DataFrame, suffixes: DataFrame | None = None,
                 url_column: str = "url") -> DataFrame:
     """Adds ``domain``, from the built-in rules or from a suffix table.
 
-    The table (suffix, is_wildcard, is_exception) is joined once for each number
-    of labels a suffix can have, so a row meets at most one rule per join and is
-    never multiplied. Rules are one row per suffix and far below the broadcast
-    threshold, which leaves the rows where they are; a larger table is shuffled
-    by the same plan.
+    A table (suffix, is_wildcard, is_exception) is counted first. Up to
+    ``BROADCAST_RULES`` it is broadcast and the rows stay where they are. Beyond
+    that the hosts, each once, are joined to it by shuffles and the rows then
+    to their host, so that nothing moves by a key as common as ``com``.
     """
     url = F.col(url_column)
     if suffixes is None:
         return df.withColumn("domain", registered_domain(url))
-    rules = suffixes.groupBy("suffix").agg(
-        F.max(~F.col("is_wildcard") & ~F.col("is_exception")).alias("_exact"),
-        F.max("is_wildcard").alias("_wild"),
-        F.max("is_exception").alias("_except"))
-    depth = F.size(F.split("suffix", r"\."))
-    deepest = suffixes.agg(F.max(depth)).first()[0] or 0
-    out = df.withColumn("_host", host(url)).withColumn("_name", F.lower("_host"))
-    labels = F.size(F.split("_name", r"\."))
-    lengths: list[Column] = []
-    exempt: list[Column] = []
-    for d in range(1, deepest + 1):
-        flags = [F.col(c).alias(f"{c}{d}") for c in ("_exact", "_wild", "_except")]
-        level = rules.where(depth == d).select(F.col("suffix").alias(f"_s{d}"), *flags)
-        key = F.when(labels >= d, last_labels(F.col("_name"), d))
-        out = out.join(level, key == F.col(f"_s{d}"), "left")
-        lengths.append(F.when(F.col(f"_exact{d}"), d))
-        lengths.append(F.when(F.col(f"_wild{d}") & (labels > d), d + 1))
-        exempt.append(F.when(F.col(f"_except{d}"), d - 1))
-    if deepest == 0:
+    n_rules, deepest = suffixes.agg(
+        F.count("*"), F.max(F.size(F.split("suffix", r"\.")))).first()
+    out = bind(df, "_host", host(url))
+    if n_rules == 0:
         return df.withColumn("domain", F.when(url.isNotNull(), F.lit("")))
-    longest = reduce(lambda a, b: F.greatest(a, b), lengths)
-    count = F.coalesce(*reversed(exempt), longest)
-    domain = F.coalesce(domain_at(F.col("_host"), count), F.lit(""))
-    return out.withColumn("domain", F.when(url.isNotNull(), domain)).select(*df.columns, "domain")
+    if n_rules <= BROADCAST_RULES:
+        found = _by_rules(out, suffixes, deepest, small=True)
+    else:
+        hosts = out.where(F.col("_host").isNotNull()).select("_host").distinct()
+        found = out.join(_by_rules(hosts, suffixes, deepest, small=False), "_host", "left")
+    return found.select(*df.columns, F.when(url.isNotNull(), F.col("domain")).alias("domain"))

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from presswork.functions.text import utf16_units
+from presswork.operators.binding import bind
 from presswork.operators.ids import assign_ids, highest_id
 from presswork.operators.tags import create_missing_tags, explode_tags, new_links, tag_ids
 from presswork.schema import CONTENT, TEXT_LIMITS, conform
@@ -36,10 +37,10 @@ def parse_items(items: DataFrame) -> DataFrame:
     explicit null stays NULL. The text is parsed twice, once for its keys and
     once for its values.
     """
-    read = items.select(
-        "seq", "raw",
-        F.json_object_keys("raw").alias("_keys"),
-        F.from_json("raw", _RECORD).alias("_rec"))
+    parts = F.struct(F.json_object_keys("raw").alias("keys"),
+                     F.from_json("raw", _RECORD).alias("rec"))
+    read = bind(items.select("seq", "raw"), "_json", parts).select(
+        "seq", "raw", F.col("_json.keys").alias("_keys"), F.col("_json.rec").alias("_rec"))
 
     def has(name: str) -> Column:
         return F.array_contains("_keys", name)
@@ -107,6 +108,30 @@ def seen_urls(incoming: DataFrame, content: DataFrame) -> DataFrame:
         _stored_urls(content), "url", "left_semi").select("seq", "url")
 
 
+def new_content(parsed: DataFrame, content: DataFrame) -> DataFrame:
+    """Rows a parsed batch adds to the content table, with their ``tags``.
+
+    Ids go by ``seq``, which must be unique in the batch and the same on every
+    read. Dedup and numbering move two narrow columns, read once; the wide rows
+    are shuffled once, when they meet their id, and kept in the checkpoint
+    folder for the steps that follow.
+    """
+    good = accepted(parsed)
+    keys = durable(good.select("seq", "url"))
+    fresh = unseen_urls(keys, content).select("seq")
+    numbered = assign_ids(fresh, ["seq"], after=highest_id(content))
+    return durable(numbered.join(good, "seq").select(*CONTENT.fieldNames(), "tags"))
+
+
+def new_tags_and_links(added: DataFrame, tags: DataFrame,
+                       content_tags: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that new content adds to the tag table and to the bridge."""
+    wanted = explode_tags(added.select(F.col("id").alias("content_id"), "tags"))
+    fresh = create_missing_tags(wanted, tags)
+    known = tags.select("id", "tag").unionAll(fresh)
+    return fresh, new_links(tag_ids(wanted, known), content_tags)
+
+
 @dataclass(frozen=True)
 class IngestRows:
     """Rows one batch adds to each table, and the records it turned away."""
@@ -119,20 +144,8 @@ class IngestRows:
 
 def ingest(items: DataFrame, content: DataFrame, tags: DataFrame,
            content_tags: DataFrame) -> IngestRows:
-    """Everything a batch of (seq, raw) records adds to the corpus.
-
-    Ids go by ``seq``, which must be unique in the batch and the same on every
-    read. Dedup and numbering move two narrow columns; the wide rows are
-    shuffled once, when they meet their id, and kept in the checkpoint folder
-    for the steps that follow.
-    """
+    """Everything a batch of (seq, raw) records adds to the corpus."""
     parsed = parse_items(items)
-    good = accepted(parsed)
-    numbered = assign_ids(
-        unseen_urls(good, content).select("seq"), ["seq"], after=highest_id(content))
-    stored = durable(numbered.join(good, "seq"))
-    wanted = explode_tags(stored.select(F.col("id").alias("content_id"), "tags"))
-    added = create_missing_tags(wanted, tags)
-    known = tags.select("id", "tag").unionAll(added)
-    links = new_links(tag_ids(wanted, known), content_tags)
-    return IngestRows(conform(stored, CONTENT), added, links, rejected(parsed))
+    added = new_content(parsed, content)
+    fresh, links = new_tags_and_links(added, tags, content_tags)
+    return IngestRows(conform(added, CONTENT), fresh, links, rejected(parsed))

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from presswork.functions.text import clean_html, occurrences
+from presswork.operators.binding import bind
 
 # What the list page's keyword form allows.
 MAX_PAIRS = 10
@@ -49,13 +50,11 @@ def match_keywords(df: DataFrame, pairs: Sequence[tuple[str, int]],
     """Rows whose cleaned text holds a keyword at least as often as its weight.
 
     Adds ``matched_keywords``; rows that match nothing, or have no content, go.
-    No shuffle. The text is cleaned once per row: it is bound with a generator,
-    which the optimizer does not copy into the expressions that use it, and a
-    second generator drops the unmatched rows without a filter that could be
-    pushed below and computed twice.
+    No shuffle. The text is cleaned once per row, and a generator over the match
+    drops the other rows, where a filter would be pushed down and match twice.
     """
     if not pairs:
         return df.withColumn("matched_keywords", F.array().cast("array<string>")).limit(0)
-    cleaned = df.withColumn("_text", F.explode(F.array(F.lower(clean_html(F.col(html_column))))))
+    cleaned = bind(df, "_text", F.lower(clean_html(F.col(html_column))))
     found = F.filter(F.array(_matched(F.col("_text"), pairs)), lambda m: F.size(m) > 0)
     return cleaned.withColumn("matched_keywords", F.explode(found)).drop("_text")

@@ -163,6 +163,15 @@ def html_text(column: str) -> str:
     return out
 
 
+_SHOWN = "html"
+for _pattern in (r"(?s)<!--.*?-->", r"(?is)<script\b[^>]*>.*?(</script\s*>|$)",
+                 r"(?is)<style\b[^>]*>.*?(</style\s*>|$)",
+                 r"(?is)<template\b[^>]*>.*?(</template\s*>|$)"):
+    _SHOWN = f"regexp_replace({_SHOWN}, '{_pattern}', '', 'g')"
+_BLOCK = "(?is)" + "|".join(
+    rf"<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>" for tag in ("p", "ul", "blockquote")) + r"|<img\s[^>]*>"
+
+
 def clean(column: str) -> str:
     return f"trim(regexp_replace({html_text(column)}, '[{_SPACES}]+', ' ', 'g'))"
 
@@ -313,6 +322,26 @@ SELECT id, array_to_string(keywords, ', ') AS keywords FROM {keyword_rows('id',
 SELECT id, array_to_string(keywords, ', ') AS keywords FROM {keyword_rows('id', [('', 1)])}"""),
     "keyword_match_many": using("content", f"""
 SELECT id, array_to_string(keywords, ', ') AS keywords FROM {keyword_rows('id', MANY_PAIRS)}"""),
+    "html_blocks": f"""
+WITH bodies AS (SELECT page_id, {_SHOWN} AS body FROM pages),
+lists AS (SELECT page_id, regexp_extract_all(body, '{_BLOCK}') AS blocks FROM bodies),
+rows AS (
+  SELECT page_id, unnest(range(len(blocks))) AS pos, unnest(blocks) AS block FROM lists),
+kinds AS (
+  SELECT page_id, pos, block, lower(regexp_extract(block, '^<([A-Za-z]+)', 1)) AS tag FROM rows),
+pieces AS (
+  SELECT page_id, pos, CASE WHEN tag = 'ul' THEN 'li' ELSE tag END AS kind,
+    CASE WHEN tag = 'ul' THEN regexp_extract_all(block, '(?is)<li(?:\\s[^>]*)?>(.*?)</li\\s*>', 1)
+      ELSE [block] END AS parts
+  FROM kinds),
+items AS (
+  SELECT page_id, pos, kind, unnest(range(len(parts))) AS item, unnest(parts) AS part FROM pieces)
+SELECT page_id, pos, item, kind,
+  CASE WHEN kind <> 'img' THEN {html_text('part')} END AS text,
+  CASE WHEN kind = 'img' THEN regexp_extract(part, '(?i)\\ssrc="([^"]*)"', 1) END AS src,
+  CASE WHEN kind = 'img' THEN regexp_extract(part, '(?i)\\salt="([^"]*)"', 1) END AS alt,
+  CASE WHEN kind = 'img' THEN regexp_matches(part, '(?i)\\ssrc="[^"]*\\.svg"') END AS is_svg
+FROM items""".replace("\\\\", "\\"),
     "registered_domain": f"SELECT page_id, url, {domain()} AS domain FROM pages",
     "registered_domain_table": f"SELECT page_id, url, {domain()} AS domain FROM pages",
     "url_host": f"SELECT page_id, {_HOST} AS host FROM pages",

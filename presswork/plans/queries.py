@@ -28,7 +28,7 @@ from presswork.operators.translations import apply_translations
 from presswork.plans.listing import (
     ListRequest, article_cards, article_details, article_list,
 )
-from presswork.schema import CONTENT, union_conformed
+from presswork.schema import CONTENT, conform, union_conformed
 from presswork.sources import standin
 from presswork.sources.images import images_by_item
 from presswork.sources.standin import AS_OF
@@ -237,29 +237,30 @@ def _tag_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of the corpus that is there before a batch comes in."""
-    return standin.content(spark, sf_dir).where(F.col("type") == "view")
+    return standin.content(spark, sf_dir, "id", "url", "type").where(F.col("type") == "view")
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.parse_items(standin.items(spark, sf_dir))
 
 
-def _ingest(spark: SparkSession, sf_dir: str) -> ingest.IngestRows:
-    tags = standin.tags(spark, sf_dir, "en", "de")
-    return ingest.ingest(standin.items(spark, sf_dir), _stored(spark, sf_dir), tags,
-                         standin.content_tags(spark, sf_dir, tags))
-
-
 def _ingest_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ingest(spark, sf_dir).content.withColumn("date", moment())
+    added = ingest.new_content(_parsed(spark, sf_dir), _stored(spark, sf_dir))
+    return conform(added, CONTENT).withColumn("date", moment())
 
 
 def _ingest_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ingest(spark, sf_dir).tags
+    tags = standin.tags(spark, sf_dir, "en", "de")
+    added = ingest.new_content(_parsed(spark, sf_dir), _stored(spark, sf_dir))
+    return tagging.create_missing_tags(tagging.explode_tags(
+        added.withColumnRenamed("id", "content_id")), tags)
 
 
 def _ingest_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ingest(spark, sf_dir).content_tags
+    tags = standin.tags(spark, sf_dir, "en", "de")
+    rows = ingest.ingest(standin.items(spark, sf_dir), _stored(spark, sf_dir), tags,
+                         standin.content_tags(spark, sf_dir, tags))
+    return rows.content_tags
 
 
 def _ingest_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -365,15 +366,18 @@ LIST_REQUEST = ListRequest(
     start="2024-01-02", end="2024-01-12", sort_by="final_score")
 
 
+_LISTED = [f for f in CONTENT.fieldNames() if f not in ("author", "content_persian")]
+
+
 def news_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The list page with every filter but type and domain in use."""
-    cards = article_list(standin.content(spark, sf_dir), LIST_REQUEST)
+    cards = article_list(standin.content(spark, sf_dir, *_LISTED), LIST_REQUEST)
     return cards.withColumn("date", moment())
 
 
 def _news_list_site(spark: SparkSession, sf_dir: str) -> DataFrame:
     request = ListRequest(domain="example.com", kind="click", sort_by="date", ascending=True)
-    cards = article_list(standin.content(spark, sf_dir), request)
+    cards = article_list(standin.content(spark, sf_dir, *_LISTED), request)
     return cards.withColumn("date", moment()).drop("keywords")
 
 

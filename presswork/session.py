@@ -12,6 +12,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.session.timeZone": "UTC",
+    # Otherwise every column expression looks up its Python call site.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -5,8 +5,9 @@ Nothing is copied: each view is a plan over the parquet files of one folder.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from presswork.operators.binding import bind
 from presswork.operators.ids import assign_ids
 from presswork.operators.tags import explode_tags, tag_ids
 from presswork.schema import CONTENT
@@ -16,6 +17,8 @@ AS_OF = "2024-01-15 00:00:00"
 
 _FROM_EVENTS = {"date", "views", "final_score", "type"}
 _FROM_PAGES = {"content", "url"}
+_ITEM_COLUMNS = ("id", "title", "title_persian", "date", "content_persian", "url", "author",
+                 "views", "source", "final_score", "type", "tags")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def content(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """The content table, or some columns of it.
+    """The content table, or some columns of it; ``tags`` can be asked for too.
 
     A table that only other columns come from is not joined; all joins are on
     unique keys and keep every document.
@@ -48,6 +51,7 @@ def content(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
         "summary_persian": F.when(F.col("lang") != "en", opening),
         "final_score": F.when(doc % 89 != 0, F.col("value")),
         "type": F.col("event_type"),
+        "tags": first_words(F.col("text"), doc),
     }
     rows = table(spark, sf_dir, "documents").drop("n_chars")
     if _FROM_EVENTS & set(names):
@@ -61,12 +65,16 @@ def content(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return rows.select(*[every[name].alias(name) for name in names])
 
 
+def first_words(text: Column, doc: Column) -> Column:
+    """The words that stand in for a document's tags, up to nine."""
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]{4,}"), 0)
+    return F.slice(words, 1, (doc % 10).cast("int"))
+
+
 def tag_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(content_id, tags): the first words of each document, up to nine."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), 0)
-    return table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("content_id"),
-        F.slice(words, 1, (F.col("doc_id") % 10).cast("int")).alias("tags"))
+    """(content_id, tags) of every document."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("content_id"), "text")
+    return bind(docs, "tags", first_words(F.col("text"), F.col("content_id"))).drop("text")
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,8 +83,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     Some keys are left out, some values are null, too long or unreadable, and
     the page records repeat URLs that document records carry.
     """
-    lists = tag_lists(spark, sf_dir).withColumnRenamed("content_id", "id")
-    rows = content(spark, sf_dir).join(lists, "id")
+    rows = content(spark, sf_dir, *_ITEM_COLUMNS)
     doc = F.col("id")
     fields = {
         "title": F.when(doc % 13 == 0, F.rpad(F.coalesce("title", F.lit("")), 256, "x"))
@@ -97,7 +104,8 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     # NULL fields are left out of these, so required ones can be missing too.
     sparse = F.to_json(F.struct(*[v.alias(k) for k, v in fields.items() if k != "views"]),
                        {"ignoreNullFields": "true"})
-    first = rows.select(doc.alias("seq"), F.when(doc % 2 == 0, full).otherwise(sparse).alias("raw"))
+    record = F.when(doc % 2 == 0, full).otherwise(sparse)
+    first = bind(rows, "raw", record).select(doc.alias("seq"), "raw")
     pages = table(spark, sf_dir, "pages")
     again = pages.select(
         (F.col("page_id") + 1_000_000_000_000).alias("seq"),
