@@ -52,10 +52,9 @@ def _fill(template: str, *values: Column) -> Column:
 
 def shown_date(date: Column) -> Column:
     """A moment as text, with six decimals only where it has any."""
-    whole = F.date_trunc("second", date) == date
+    text = date.cast("string")
     return F.when(date.isNull(), F.lit("NaT")).otherwise(
-        F.when(whole, F.date_format(date, "yyyy-MM-dd HH:mm:ss"))
-        .otherwise(F.date_format(date, "yyyy-MM-dd HH:mm:ss.SSSSSS")))
+        F.when(F.contains(text, F.lit(".")), F.rpad(text, 26, "0")).otherwise(text))
 
 
 def main_content() -> Column:

@@ -11,7 +11,7 @@ from presswork.operators.binding import bind
 from presswork.operators.ids import assign_ids, highest_id
 from presswork.operators.tags import create_missing_tags, explode_tags, new_links, tag_ids
 from presswork.schema import CONTENT, TEXT_LIMITS, conform
-from presswork.session import durable
+from presswork.session import durable, durable_table
 
 # Record keys that must be there, and what others default to.
 REQUIRED = ("date", "url", "author", "source")
@@ -85,11 +85,11 @@ def first_by_url(incoming: DataFrame) -> DataFrame:
     """(seq, url) of the first record of every URL; NULL URLs are all kept.
 
     Works on two columns and reduces to one number per URL before the shuffle,
-    so any number of copies of one URL is cheap.
+    so any number of copies of one URL is cheap. Records without a URL are
+    groups of their own and spread evenly.
     """
-    keys = incoming.select("seq", "url")
-    firsts = keys.where(F.col("url").isNotNull()).groupBy("url").agg(F.min("seq").alias("seq"))
-    return firsts.select("seq", "url").unionAll(keys.where(F.col("url").isNull()))
+    own = F.when(F.col("url").isNull(), F.col("seq")).alias("_own")
+    return incoming.groupBy("url", own).agg(F.min("seq").alias("seq")).select("seq", "url")
 
 
 def _stored_urls(content: DataFrame) -> DataFrame:
@@ -98,8 +98,12 @@ def _stored_urls(content: DataFrame) -> DataFrame:
 
 def unseen_urls(incoming: DataFrame, content: DataFrame) -> DataFrame:
     """(seq, url) of records to store: first of their URL and not stored yet."""
-    return first_by_url(incoming).join(_stored_urls(content), "url", "left_anti").select(
-        "seq", "url")
+    stored = _stored_urls(content).withColumnRenamed("url", "_stored")
+    # A record without a URL meets nothing; its number keeps such records from
+    # all going to the same task.
+    key = F.coalesce("url", F.col("seq").cast("string"))
+    same = (key == F.col("_stored")) & F.col("url").isNotNull()
+    return first_by_url(incoming).join(stored, same, "left_anti")
 
 
 def seen_urls(incoming: DataFrame, content: DataFrame) -> DataFrame:
@@ -113,14 +117,14 @@ def new_content(parsed: DataFrame, content: DataFrame) -> DataFrame:
 
     Ids go by ``seq``, which must be unique in the batch and the same on every
     read. Dedup and numbering move two narrow columns, read once; the wide rows
-    are shuffled once, when they meet their id, and kept in the checkpoint
-    folder for the steps that follow.
+    are shuffled once, when they meet their id, and kept as a table in the
+    checkpoint folder, from which later steps read the columns they need.
     """
     good = accepted(parsed)
     keys = durable(good.select("seq", "url"))
     fresh = unseen_urls(keys, content).select("seq")
     numbered = assign_ids(fresh, ["seq"], after=highest_id(content))
-    return durable(numbered.join(good, "seq").select(*CONTENT.fieldNames(), "tags"))
+    return durable_table(numbered.join(good, "seq").select(*CONTENT.fieldNames(), "tags"))
 
 
 def new_tags_and_links(added: DataFrame, tags: DataFrame,

@@ -35,7 +35,7 @@ def facet(df: DataFrame, column: str) -> DataFrame:
         .select(F.col(column).alias("value")).distinct()
         .select(F.lit(1).alias("rank"), "value")
     )
-    everything = df.sparkSession.range(1).select(
+    everything = df.sparkSession.range(0, 1, 1, 1).select(
         F.lit(0).alias("rank"), F.lit(ALL).alias("value"))
     return everything.unionAll(values).orderBy("rank", "value")
 

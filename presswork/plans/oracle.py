@@ -444,6 +444,10 @@ WHERE page_id % 11 <> 0 AND page_id % 7 <> 0 AND page_id % 5 <> 0 AND url <> ''"
     "string_urls": using("content", """
 SELECT id, len(urls) AS n_urls, array_to_string(urls, ' ') AS urls
 FROM (SELECT id, [x FOR x IN [url, source, url] IF x IS NOT NULL] AS urls FROM content)"""),
+    "image_insert": using("images", """
+SELECT 500 + row_number() OVER (ORDER BY content_id, image_url) AS id, content_id, image_url,
+  octet_length(encode(image)) AS n_bytes
+FROM images WHERE image <> ''"""),
     "images_by_item": using("content images", """
 SELECT id, image FROM content
 LEFT JOIN (SELECT * FROM images WHERE image <> '') ON content_id = id"""),

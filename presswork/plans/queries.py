@@ -30,7 +30,7 @@ from presswork.plans.listing import (
 )
 from presswork.schema import CONTENT, conform, union_conformed
 from presswork.sources import standin
-from presswork.sources.images import images_by_item
+from presswork.sources.images import images_by_item, link_images, new_images
 from presswork.sources.standin import AS_OF
 from presswork.sources.tables import content_scan
 
@@ -46,7 +46,10 @@ SITE = "example.org"
 
 
 def moment(column: str = "date") -> Column:
-    return F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(column)
+    """A moment with all six decimals, whatever the session's zone."""
+    text = F.col(column).cast("string")
+    return F.when(F.contains(text, F.lit(".")), F.rpad(text, 26, "0")).otherwise(
+        F.concat(text, F.lit(".000000"))).alias(column)
 
 
 def _ids(df: DataFrame) -> DataFrame:
@@ -321,6 +324,14 @@ def _string_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.size(urls).alias("n_urls"), join_list(urls, " ").alias("urls"))
 
 
+def _image_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = standin.image_rows(spark, sf_dir)
+    owners = rows.select("content_id", "image_url")
+    linked = link_images(rows.select("image_url", "image_data"), owners)
+    return new_images(linked, after=500).select(
+        "id", "content_id", "image_url", F.octet_length("image_data").alias("n_bytes"))
+
+
 def _images_by_item(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = standin.image_rows(spark, sf_dir).where(F.octet_length("image_data") > 0)
     rows = images_by_item(standin.content(spark, sf_dir, "id"), stored)
@@ -438,6 +449,7 @@ QUERIES: dict[str, Query] = {
     "image_prompts": _image_prompts,
     "image_urls": _image_urls,
     "string_urls": _string_urls,
+    "image_insert": _image_insert,
     "images_by_item": _images_by_item,
     "split_lists": _split_lists,
     "stripped_text": _stripped,

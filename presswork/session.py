@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,14 +35,11 @@ def build_session(app_name: str = "presswork", master: str | None = None,
     return builder.getOrCreate()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and return it read back from there.
+def _checkpoint_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, set from its configuration if need be.
 
-    Used where two passes must see the same rows in the same partitions, also
-    after an executor is lost. The folder is the one the session names in
-    ``spark.checkpoint.dir``; a temporary folder is only used in local mode.
+    A temporary folder is only used in local mode.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -50,4 +48,21 @@ def durable(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="presswork-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the checkpoint folder and return it read back from there.
+
+    Used where two passes must see the same rows in the same partitions and
+    order, also after an executor is lost.
+    """
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def durable_table(df: DataFrame) -> DataFrame:
+    """The same for wide rows that later steps read only some columns of."""
+    path = f"{_checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
