@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Public suffixes in the notation of the public suffix list, "*"
@@ -70,8 +71,11 @@ def suffix_frame(spark: SparkSession, rules: SuffixRules) -> DataFrame:
     rows = ([(s, False, False) for s in sorted(rules.exact)]
             + [(s, True, False) for s in sorted(rules.wildcard)]
             + [(s, False, True) for s in sorted(rules.exception)])
-    return spark.createDataFrame(
-        rows, "suffix string, is_wildcard boolean, is_exception boolean")
+    suffix, wildcard, exception = zip(*rows) if rows else ((), (), ())
+    return spark.createDataFrame(pa.table({
+        "suffix": pa.array(suffix, pa.string()),
+        "is_wildcard": pa.array(wildcard, pa.bool_()),
+        "is_exception": pa.array(exception, pa.bool_())}))
 
 
 def suffix_table(spark: SparkSession, path: str) -> DataFrame:

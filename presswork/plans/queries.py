@@ -29,6 +29,7 @@ from presswork.plans.listing import (
     ListRequest, article_cards, article_details, article_list,
 )
 from presswork.schema import CONTENT, conform, union_conformed
+from presswork.session import durable_table
 from presswork.sources import standin
 from presswork.sources.images import images_by_item, link_images, new_images
 from presswork.sources.standin import AS_OF
@@ -174,8 +175,21 @@ def _hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    tags = standin.tags(spark, sf_dir)
-    return standin.content_tags(spark, sf_dir, tags), tags
+    """The bridge and the tag table of all documents."""
+    wanted = standin.tag_rows(spark, sf_dir)
+    tags = standin.tags(wanted)
+    return standin.content_tags(wanted, tags), tags
+
+
+def _stored_tags(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Wanted tags, and the tag table and bridge that are there before.
+
+    The tags of documents in two languages are stored, and the links of every
+    document to them.
+    """
+    wanted = standin.tag_rows(spark, sf_dir)
+    tags = standin.tags(standin.in_languages(wanted, sf_dir, "en", "de"))
+    return wanted, tags, standin.content_tags(wanted, tags)
 
 
 def _tag_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,19 +201,17 @@ def _tag_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tag_get_or_create(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tags = standin.tags(spark, sf_dir, "en", "de")
-    wanted = tagging.explode_tags(standin.tag_lists(spark, sf_dir))
+    wanted, tags, _ = _stored_tags(spark, sf_dir)
     known = tags.unionAll(tagging.create_missing_tags(wanted, tags))
     return tagging.tag_ids(wanted, known).select("content_id", "pos", "tag", "tag_id")
 
 
 def _new_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of all documents beyond those of documents in two languages."""
-    tags = standin.tags(spark, sf_dir)
-    pairs = tagging.tag_ids(tagging.explode_tags(standin.tag_lists(spark, sf_dir)), tags)
-    docs = standin.table(spark, sf_dir, "documents").where(F.col("lang").isin("en", "de"))
-    stored = pairs.join(docs.select(F.col("doc_id").alias("content_id")), "content_id", "left_semi")
-    return tagging.new_links(pairs, stored.select("content_id", "tag_id").distinct())
+    wanted = standin.tag_rows(spark, sf_dir)
+    tags = standin.tags(wanted)
+    stored = standin.content_tags(standin.in_languages(wanted, sf_dir, "en", "de"), tags)
+    return tagging.new_links(tagging.tag_ids(wanted, tags), stored)
 
 
 def _surrogate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,22 +259,28 @@ def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.parse_items(standin.items(spark, sf_dir))
 
 
+def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records as a batch that lies in storage, as batches do."""
+    return durable_table(standin.items(spark, sf_dir))
+
+
 def _ingest_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    added = ingest.new_content(_parsed(spark, sf_dir), _stored(spark, sf_dir))
+    parsed = ingest.parse_items(_batch(spark, sf_dir))
+    added = ingest.new_content(parsed, _stored(spark, sf_dir))
     return conform(added, CONTENT).withColumn("date", moment())
 
 
 def _ingest_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tags = standin.tags(spark, sf_dir, "en", "de")
-    added = ingest.new_content(_parsed(spark, sf_dir), _stored(spark, sf_dir))
+    _, tags, _ = _stored_tags(spark, sf_dir)
+    parsed = ingest.parse_items(_batch(spark, sf_dir))
+    added = ingest.new_content(parsed, _stored(spark, sf_dir))
     return tagging.create_missing_tags(tagging.explode_tags(
         added.withColumnRenamed("id", "content_id")), tags)
 
 
 def _ingest_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tags = standin.tags(spark, sf_dir, "en", "de")
-    rows = ingest.ingest(standin.items(spark, sf_dir), _stored(spark, sf_dir), tags,
-                         standin.content_tags(spark, sf_dir, tags))
+    _, tags, links = _stored_tags(spark, sf_dir)
+    rows = ingest.ingest(_batch(spark, sf_dir), _stored(spark, sf_dir), tags, links)
     return rows.content_tags
 
 

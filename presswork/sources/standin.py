@@ -11,6 +11,7 @@ from presswork.operators.binding import bind
 from presswork.operators.ids import assign_ids
 from presswork.operators.tags import explode_tags, tag_ids
 from presswork.schema import CONTENT
+from presswork.session import durable_table
 
 # The fixed "now" of every time-bounded query.
 AS_OF = "2024-01-15 00:00:00"
@@ -163,18 +164,22 @@ def image_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         page.alias("content_id"), F.lit(0).alias("seq"), response.alias("response"))
 
 
-def tags(spark: SparkSession, sf_dir: str, *langs: str) -> DataFrame:
-    """(id, tag): the tags of documents in some languages, or all, by tag."""
-    lists = tag_lists(spark, sf_dir)
-    if langs:
-        ids = table(spark, sf_dir, "documents").where(F.col("lang").isin(*langs)).select(
-            F.col("doc_id").alias("content_id"))
-        lists = lists.join(ids, "content_id", "left_semi")
-    names = lists.select(F.explode("tags").alias("tag")).distinct()
-    return assign_ids(names, ["tag"]).select("id", "tag")
+def tag_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(content_id, pos, tag), kept as a table: finding words is slow."""
+    return durable_table(explode_tags(tag_lists(spark, sf_dir)))
 
 
-def content_tags(spark: SparkSession, sf_dir: str, tag_table: DataFrame) -> DataFrame:
-    """(content_id, tag_id) for the tags of each document that the table has."""
-    return tag_ids(explode_tags(tag_lists(spark, sf_dir)), tag_table).select(
-        "content_id", "tag_id").distinct()
+def tags(wanted: DataFrame) -> DataFrame:
+    """(id, tag): a tag table of just the tags in some rows, numbered by tag."""
+    return assign_ids(wanted.select("tag").distinct(), ["tag"]).select("id", "tag")
+
+
+def content_tags(wanted: DataFrame, tag_table: DataFrame) -> DataFrame:
+    """(content_id, tag_id) for the rows whose tag is in the table."""
+    return tag_ids(wanted, tag_table).select("content_id", "tag_id").distinct()
+
+
+def in_languages(wanted: DataFrame, sf_dir: str, *langs: str) -> DataFrame:
+    """The rows of documents in some languages."""
+    docs = table(wanted.sparkSession, sf_dir, "documents").where(F.col("lang").isin(*langs))
+    return wanted.join(docs.select(F.col("doc_id").alias("content_id")), "content_id", "left_semi")
