@@ -146,8 +146,11 @@ _STRIP = "concat({})".format(", ".join(f"chr({code})" for code in (
 
 
 def html_text(column: str) -> str:
-    """Markup taken out kind by kind, then the entities the pages use."""
-    out = column
+    """Markup taken out kind by kind, then the entities the pages use.
+
+    An entity that a tag cuts off before its semicolon counts as complete.
+    """
+    out = f"regexp_replace({column}, '&(quot|middot|copy|lt|gt|nbsp|amp)<', '&\\1;<', 'g')"
     for pattern in (
         r"(?s)<!--.*?-->",
         r"(?is)<script\b[^>]*>.*?(</script\s*>|$)",
