@@ -11,15 +11,14 @@ from presswork.schema import CONTENT_IMAGES, conform
 def image_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """(image_url, image_data) of every file under a folder.
 
-    ``image_url`` is the file's name, to be joined to the item it belongs to.
+    ``image_url`` is where the file lies, as Spark spells it.
     """
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
         .load(folder)
     )
-    name = F.regexp_extract("path", r"([^/]+)$", 1)
-    return files.select(name.alias("image_url"), F.col("content").alias("image_data"))
+    return files.select(F.col("path").alias("image_url"), F.col("content").alias("image_data"))
 
 
 def link_images(files: DataFrame, owners: DataFrame) -> DataFrame:
@@ -29,7 +28,7 @@ def link_images(files: DataFrame, owners: DataFrame) -> DataFrame:
     """
     return (
         files.where(F.octet_length("image_data") > 0)
-        .join(owners.select("content_id", "image_url"), "image_url")
+        .join(owners.select("content_id", "image_url").distinct(), "image_url")
         .select("content_id", "image_url", "image_data")
     )
 
@@ -52,7 +51,13 @@ def images_of(images: DataFrame, content_id: int) -> DataFrame:
 def images_by_item(content: DataFrame, images: DataFrame) -> DataFrame:
     """(id, image_data) rows for every item, NULL for items without an image.
 
-    One row per image rather than a list, which could outgrow a task.
+    One row per image rather than a list, which could outgrow a task. An item
+    may hold any share of all images, so images keep to the side of the join
+    that adaptive execution can split, and items without any come from their own
+    join with the image owners, each once.
     """
     linked = images.select(F.col("content_id").alias("id"), "image_data")
-    return content.select("id").join(linked, "id", "left")
+    items = content.select("id")
+    without = items.join(linked.select("id").distinct(), "id", "left_anti")
+    return linked.join(items, "id", "left_semi").unionByName(
+        without.withColumn("image_data", F.lit(None).cast("binary")))

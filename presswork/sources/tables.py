@@ -13,11 +13,12 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType,
                keep: tuple[str, ...] = ("day",)) -> DataFrame:
     """A table's files under its schema, empty when nothing is written yet.
 
-    Files of older layouts are merged. Partition columns named in ``keep`` stay,
-    so that filters on them skip whole folders.
+    The schema is given and not merged from the files' footers; columns that
+    older files lack read as NULL. Partition columns named in ``keep`` stay, so
+    that filters on them skip whole folders.
     """
     try:
-        files = spark.read.option("mergeSchema", "true").parquet(path)
+        files = spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
