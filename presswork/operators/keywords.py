@@ -30,18 +30,33 @@ def keyword_pairs(pairs: Sequence[tuple[str, int]] = DEFAULT_PAIRS) -> list[tupl
     return [(keyword, int(weight)) for keyword, weight in pairs]
 
 
+def _often_enough(text: Column, needle: str, weight: int) -> Column:
+    """Whether ``needle`` occurs at least ``weight`` times.
+
+    Finding it once is much cheaper than counting, settles weights of one and
+    spares the count where it does not occur at all.
+    """
+    if weight <= 0:
+        return text.isNotNull()
+    if needle == "":
+        return occurrences(text, needle) >= weight
+    once = F.contains(text, F.lit(needle))
+    return once if weight == 1 else once & (occurrences(text, needle) >= weight)
+
+
 def _matched(text: Column, pairs: Sequence[tuple[str, int]]) -> Column:
     """The keywords met in ``text``, in pair order, repeated pairs repeated."""
     if len(pairs) <= _UNROLL:
         return F.array_compact(F.array(*[
-            F.when(occurrences(text, keyword.lower()) >= weight, F.lit(keyword))
+            F.when(_often_enough(text, keyword.lower(), weight), F.lit(keyword))
             for keyword, weight in pairs
         ]))
     listed = json.dumps(
         [{"keyword": k, "needle": k.lower(), "weight": w} for k, w in pairs])
     entries = F.from_json(
         F.lit(listed), "array<struct<keyword:string,needle:string,weight:bigint>>")
-    met = F.filter(entries, lambda e: occurrences(text, e["needle"]) >= e["weight"])
+    met = F.filter(entries, lambda e: ((e["weight"] <= 0) & text.isNotNull()) | (
+        F.contains(text, e["needle"]) & (occurrences(text, e["needle"]) >= e["weight"])))
     return F.transform(met, lambda e: e["keyword"])
 
 

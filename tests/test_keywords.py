@@ -27,7 +27,7 @@ def brute_force(pairs):
 
 @pytest.mark.parametrize("pairs", [
     [("the", 3)], [("the", 4)], [("The", 2), ("dog", 1), ("The", 2)], [("aa", 2), ("a.b", 1)],
-    [("", 1)], [("ÜNDER", 2), ("der", 3)], [("é", 1)],
+    [("", 1)], [("", 20)], [("zzz", 0)], [("zzz", 0)] * 40, [("ÜNDER", 2), ("der", 3)], [("é", 1)],
     [(w, 1 + i % 3) for i, w in enumerate(["the", "a", "der", "", "aa", "x", "nd"] * 6)],
 ])
 def test_match(spark, pairs):
