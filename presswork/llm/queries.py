@@ -2,20 +2,39 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from presswork.llm import mixing, sharding
+from presswork.llm import bpe, mixing, sharding
 
 #: Target weights of the mixture; sources not named weigh 1.
 MIX_WEIGHTS = {"src0": 2.0, "src1": 3.0, "src2": 0.5}
 MIX_SEED = "mix-1"
 SHARDS = 24
+WORD_VOCABULARY = "word_bpe_49k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def token_digests(encoded: DataFrame) -> DataFrame:
+    """Columns that stand for the ids and the decoded text of each row, which stay in place."""
+    listed = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return encoded.withColumns({
+        "n_tokens": F.size("ids").cast("long"),
+        "ids_sha256": F.sha2(listed, 256),
+        "decoded_sha256": F.sha2("decoded", 256)})
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the token ids of every whole text and of the text decoded from them."""
+    vocabulary = bpe.share(spark, public_tokenizers.path(WORD_VOCABULARY))
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary,
+                         decoded="decoded", keep=["doc_id"])
+    return token_digests(encoded).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every copy of every document of the mixture, in training order."""
     docs = table(spark, sf_dir, "documents")
@@ -35,6 +54,7 @@ def op8_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_bpe": op1_bpe,
     "op4_mix_sources": op4_mix_sources,
     "op8_shard_by_bytes": op8_shard_by_bytes,
 }
