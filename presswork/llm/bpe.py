@@ -23,7 +23,7 @@ REMEMBERED = 250_000
 BATCH_TOKENS = 2_000_000
 #: What the vocabulary's patterns take as white space; Python's own split takes U+001C to U+001F too.
 _SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
-_LETTER = regex.compile(r"[\p{L}\p{N}]")
+_LETTERS = regex.compile(r"[\p{L}\p{N}]")
 # Blocks of the letters and digits that Unicode 16 added.
 _UNICODE_16 = [
     (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105FF), (0x10D40, 0x10D8F),
@@ -52,7 +52,12 @@ def load_vocabulary(path: str) -> dict:
     kinds = [n["type"] for n in spec["normalizer"]["normalizers"]]
     if model["type"] != "BPE" or not suffix or kinds != ["NFC", "Replace", "Lowercase"]:
         raise ValueError(f"{path} holds another kind of tokenizer")
+    # Letters that Python's own tables lack; the pattern knows those of Unicode 16 only.
+    letters = _LETTERS.findall("".join(map(chr, [*range(0xD800), *range(0xE000, sys.maxunicode + 1)])))
+    recent = [c for c in letters if unicodedata.category(c) == "Cn"]
+    newest = [c for c in recent if not any(a <= ord(c) <= b for a, b in _UNICODE_16)]
     return {
+        "recent": "".join(recent), "newest": "".join(newest),
         "vocab": model["vocab"], "suffix": suffix, "pattern": pattern,
         "merges": [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]],
         "added": {t["content"]: t["id"] for t in spec["added_tokens"]},
@@ -108,12 +113,8 @@ class Encoder:
         for piece, i in [*vocab.items(), *vocabulary["added"].items()]:
             self.pieces[i] = piece
         self.pretokens = regex.compile(vocabulary["pattern"])
-        # Letters that Python's own tables lack; the pattern knows those of Unicode 16 only.
-        recent = [c for c in map(chr, range(0x80, sys.maxunicode + 1))
-                  if unicodedata.category(c) == "Cn" and _LETTER.match(c)]
-        newest = [c for c in recent if not any(a <= ord(c) <= b for a, b in _UNICODE_16)]
-        self.recent = re.compile(f"[{''.join(recent)}\ufffd]")
-        self.newest = re.compile(f"[{''.join(newest)}\ufffd]")
+        self.recent = re.compile(f"[{vocabulary['recent']}\ufffd]")
+        self.newest = re.compile(f"[{vocabulary['newest']}\ufffd]")
         added = sorted(vocabulary["added"], key=len, reverse=True)
         self.added = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
         self.added_ids = {k: np.array([v], np.int32).tobytes() for k, v in vocabulary["added"].items()}
