@@ -113,8 +113,8 @@ class Encoder:
         for piece, i in [*vocab.items(), *vocabulary["added"].items()]:
             self.pieces[i] = piece
         self.pretokens = regex.compile(vocabulary["pattern"])
-        self.recent = re.compile(f"[{vocabulary['recent']}\ufffd]")
-        self.newest = re.compile(f"[{vocabulary['newest']}\ufffd]")
+        self.recent = frozenset(vocabulary["recent"])
+        self.newest = {ord(c): "\ufffd" for c in vocabulary["newest"]}
         added = sorted(vocabulary["added"], key=len, reverse=True)
         self.added = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
         self.added_ids = {k: np.array([v], np.int32).tobytes() for k, v in vocabulary["added"].items()}
@@ -174,9 +174,9 @@ class Encoder:
         else:
             # Letter by letter, so that a sigma at the end of a word is like any other.
             chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-            if self.recent.search(chunk):
+            if not self.recent.isdisjoint(chunk):
                 chunk = chunk.translate(_RECENT_LOWER)
-                masked = self.newest.sub("\ufffd", chunk)
+                masked = chunk.translate(self.newest)
                 return b"".join([self.words(chunk[slice(*m.span())])
                                  for m in self.pretokens.finditer(masked)])
         return b"".join([self.words(w) for w in self.pretokens.findall(chunk)])
