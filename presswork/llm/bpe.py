@@ -7,7 +7,7 @@ import re
 import sys
 import unicodedata
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -17,8 +17,9 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-#: Words remembered in each of two generations, in each Python worker.
-REMEMBERED = 250_000
+from presswork.llm.memory import Memory
+from presswork.llm.workers import map_batches
+
 #: Tokens after which a batch of results is handed on.
 BATCH_TOKENS = 2_000_000
 #: What the vocabulary's patterns take as white space; Python's own split takes U+001C to U+001F too.
@@ -71,33 +72,6 @@ def _byte_characters() -> list[str]:
     return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
 
 
-class Memory:
-    """A bounded map from words to results; what was used lately stays."""
-
-    def __init__(self, make: Callable, limit: int = REMEMBERED):
-        self.make, self.limit, self.young, self.old = make, limit, {}, {}
-
-    def __call__(self, word):
-        found = self.young.get(word)
-        if found is None:
-            found = self.old.get(word)
-            if found is None:
-                found = self.make(word)
-            if len(self.young) >= self.limit:
-                self.old, self.young = self.young, {}
-            self.young[word] = found
-        return found
-
-    def all(self, words: list[str]) -> list:
-        found = list(map(self.young.get, words))
-        if None in found:
-            at = -1
-            for _ in range(found.count(None)):
-                at = found.index(None, at + 1)
-                found[at] = self(words[at])
-        return found
-
-
 class Encoder:
     """Encodes and decodes single texts; one per Python worker."""
 
@@ -249,7 +223,7 @@ def encode(docs: DataFrame, vocabulary: Broadcast, text: str = "text", ids: str
 
     # By position, so that a text column kept twice or a clashing name does no harm.
     narrow = docs.select(*[docs[c] for c in columns], docs[text].cast("string").alias("_text_to_encode"))
-    return narrow.mapInArrow(run, StructType(fields))
+    return map_batches(narrow, run, StructType(fields))
 
 
 def _batch(own: Encoder, kept: list[pa.Array], rows: list[bytes], names: list[str],
@@ -286,4 +260,4 @@ def decode(tokens: DataFrame, vocabulary: Broadcast, ids: str = "ids",
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(texts, pa.string())], names=[f.name for f in fields])
 
-    return tokens.select(*[tokens[c] for c in columns]).mapInArrow(run, StructType(fields))
+    return map_batches(tokens.select(*[tokens[c] for c in columns]), run, StructType(fields))

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from presswork.llm import bpe, mixing, sharding
+from presswork.llm import bpe, mixing, quality, samples, sharding, toxicity
 
 #: Target weights of the mixture; sources not named weigh 1.
 MIX_WEIGHTS = {"src0": 2.0, "src1": 3.0, "src2": 0.5}
 MIX_SEED = "mix-1"
 SHARDS = 24
+TOXIC_FROM = 0.3
 WORD_VOCABULARY = "word_bpe_49k.json"
 
 
@@ -35,6 +36,18 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(encoded).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every whole text, and whether the base rule and the learned list keep it."""
+    docs = table(spark, sf_dir, "documents")
+    sample = samples.labelled_sample(docs, table(spark, sf_dir, "labels"), "quality")
+    rules = quality.learn_rules(quality.text_statistics(sample))
+    base_failed = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
+    return quality.text_statistics(docs, keep=["doc_id"]).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        base_failed.alias("base_failed"),
+        (~base_failed & quality.deciding_rule(rules).isNull()).alias("kept"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every copy of every document of the mixture, in training order."""
     docs = table(spark, sf_dir, "documents")
@@ -53,10 +66,33 @@ def op8_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def toxicity_machine(spark: SparkSession, sf_dir: str) -> toxicity.Machine:
+    """Fitted to the labelled documents that are not held out."""
+    sample = samples.labelled_sample(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic",
+        allowed=~held_out("doc_id"))
+    return toxicity.train(sample)
+
+
+def held_out(key: str) -> Column:
+    return F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every whole text."""
+    machine = toxicity_machine(spark, sf_dir)
+    scored = toxicity.score(table(spark, sf_dir, "documents"), machine, keep=["doc_id"])
+    return scored.select(
+        "doc_id", held_out("doc_id").alias("held_out"), "score",
+        (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_quality_rules": op2_quality_rules,
     "op4_mix_sources": op4_mix_sources,
     "op8_shard_by_bytes": op8_shard_by_bytes,
+    "op9_toxicity": op9_toxicity,
 }
 
 _WEIGHT = "CASE source " + " ".join(

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from presswork.llm.workers import map_batches
 from presswork.session import durable, durable_table
 
 
@@ -61,7 +62,7 @@ def shard_by_bytes(sizes: DataFrame, n_shards: int, order_by: list[str],
     ordered = durable(keyed.orderBy(*[F.col("record").getField(c) for c in order_by]))
     schema = f"record {ordered.schema['record'].dataType.simpleString()}, size long, " \
              "part int, bytes_before long, rows_before long"
-    placed = ordered.mapInArrow(_running, schema)
+    placed = map_batches(ordered, _running, schema)
     totals = ordered.groupBy(F.spark_partition_id().alias("part")).agg(
         F.sum("size").alias("part_bytes"), F.count("*").alias("part_rows"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
