@@ -12,6 +12,8 @@ MIX_WEIGHTS = {"src0": 2.0, "src1": 3.0, "src2": 0.5}
 MIX_SEED = "mix-1"
 SHARDS = 24
 TOXIC_FROM = 0.3
+#: Labelled rows that the toxicity machine is fitted on, at most.
+TOXIC_ROWS = 12_000
 WORD_VOCABULARY = "word_bpe_49k.json"
 
 
@@ -70,7 +72,7 @@ def toxicity_machine(spark: SparkSession, sf_dir: str) -> toxicity.Machine:
     """Fitted to the labelled documents that are not held out."""
     sample = samples.labelled_sample(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic",
-        allowed=~held_out("doc_id"))
+        max_rows=TOXIC_ROWS, allowed=~held_out("doc_id"))
     return toxicity.train(sample)
 
 

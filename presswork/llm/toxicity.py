@@ -10,12 +10,13 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import (
     ArrayType, DoubleType, IntegerType, LongType, StructField, StructType)
 
 from presswork.llm.memory import Memory
 from presswork.llm.workers import map_batches
+from presswork.session import durable_table
 
 #: Terms are hashed to so many buckets.
 BUCKETS = 1 << 24
@@ -59,8 +60,8 @@ class Machine:
         return float(1.0 / (1.0 + np.exp(-np.clip(total, -30, 30))))
 
 
-def _hashed(sample: DataFrame) -> pa.Table:
-    """The sample's labels, signatures and distinct buckets."""
+def _hashed(sample: DataFrame) -> DataFrame:
+    """The sample's ``label``, ``signature`` and distinct ``buckets``."""
     schema = StructType([StructField("label", IntegerType()), StructField("signature", LongType()),
                          StructField("buckets", ArrayType(IntegerType()))])
 
@@ -72,50 +73,64 @@ def _hashed(sample: DataFrame) -> pa.Table:
                 pa.array([sorted({b for w in terms_of(t) for b in buckets_of(w)}) for t in texts],
                          pa.list_(pa.int32()))], names=schema.names)
 
-    return map_batches(sample.select("label", "text"), run, schema).toArrow()
+    return map_batches(sample.select("label", "text"), run, schema)
+
+
+def _only(rows: DataFrame, buckets: np.ndarray) -> pa.Table:
+    """The rows with the places of their buckets among ``buckets``, on the driver."""
+    schema = StructType([StructField("label", IntegerType()), StructField("share", DoubleType()),
+                         StructField("places", ArrayType(IntegerType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = []
+            for item in batch.column(2):
+                own = item.values.to_numpy()
+                at = np.searchsorted(buckets, own).clip(max=max(len(buckets) - 1, 0))
+                places.append(at[buckets[at] == own] if len(buckets) else at[:0])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(places, pa.list_(pa.int32()))],
+                names=schema.names)
+
+    return map_batches(rows.select("label", "share", "buckets"), run, schema).toArrow()
 
 
 def train(sample: DataFrame, rank: int = 4, least_rows: int = 3, chi_square: float = 10.83,
-          max_features: int = 4096, decay: float = 5e-5, factor_decay: float = 3e-4, steps: int = 300, rate: float = 0.05,
-          seed: int = 7) -> Machine:
+          max_features: int = 4096, decay: float = 5e-5, factor_decay: float = 3e-4,
+          steps: int = 300, rate: float = 0.05, seed: int = 7) -> Machine:
     """Fits the machine to a bounded sample with ``label`` (0 or 1) and ``text``.
 
-    Only the hashed terms of the sample come to the driver. Copies and near copies
-    share one row's weight, so that a text stored often does not teach its own words.
-    Terms in at least ``least_rows`` rows whose presence depends on the label
-    (chi square, of a term alone) are features, at most ``max_features`` with the
-    strongest first; their weights and pairwise factors are fitted by gradient descent
-    with adaptive steps. Without rows of both labels the score is a constant.
+    Copies and near copies share one row's weight, so that a text stored often does not
+    teach its own words. Terms in at least ``least_rows`` rows whose presence depends on
+    the label (chi square, of a term alone) are features, at most ``max_features`` with
+    the strongest first; Spark counts them. Only they come to the driver, where their
+    weights and pairwise factors are fitted by gradient descent with adaptive steps.
+    Without rows of both labels the score is a constant.
     """
-    table = _hashed(sample)
-    labels = table.column("label").to_numpy().astype(float)
-    if not len(labels):
-        return Machine(np.zeros(0, int), np.zeros(0), np.zeros((0, rank)), -2.0)
-    lists = table.column("buckets").combine_chunks()
-    lengths = np.diff(lists.offsets.to_numpy())
-    flat, rows = lists.flatten().to_numpy(), np.repeat(np.arange(len(labels)), lengths)
-    _, group, counts = np.unique(table.column("signature").to_numpy(), return_inverse=True,
-                                 return_counts=True)
-    share = 1.0 / counts[group]
-    total, positive = share.sum(), (share * labels).sum()
+    hashed = durable_table(_hashed(sample))
+    copies = hashed.groupBy("signature").agg(F.count("*").alias("copies"))
+    rows = hashed.join(copies, "signature").select(
+        "label", (1 / F.col("copies")).alias("share"), "buckets")
+    total, positive = rows.agg(F.sum("share"), F.sum(F.col("share") * F.col("label"))).first()
+    total, positive = total or 0.0, positive or 0.0
     constant = float(np.log((positive + 0.5) / (total - positive + 0.5)))
-    used, at = np.unique(flat, return_inverse=True)
-    in_rows = np.bincount(at, share[rows], len(used))
-    in_positive = np.bincount(at, (share * labels)[rows], len(used))
-    expected = in_rows * positive / total
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi = (in_positive - expected) ** 2 * total ** 3 / (
-            in_rows * (total - in_rows) * positive * (total - positive))
-    chi[~np.isfinite(chi) | (in_rows < least_rows) | (chi < chi_square)] = 0
-    chosen = np.argsort(-chi, kind="stable")[:max_features]
-    chosen = np.sort(chosen[chi[chosen] > 0])
-    buckets = used[chosen]
-    place = np.full(len(used), -1)
-    place[chosen] = np.arange(len(chosen))
-    kept = place[at] >= 0
-    rows, features = rows[kept], place[at][kept]
-    weights, factors = _descend(rows, features, labels, share / total, len(chosen), rank,
-                                constant, decay, factor_decay, steps, rate, seed)
+    if not 0 < positive < total:
+        return Machine(np.zeros(0, np.int32), np.zeros(0), np.zeros((0, rank)), constant)
+    counts = rows.select("share", "label", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(
+        F.sum("share").alias("n"), F.sum(F.col("share") * F.col("label")).alias("p"))
+    spread = F.col("n") * (total - F.col("n")) * (positive * (total - positive))
+    chi = F.round((F.col("p") - F.col("n") * (positive / total)) ** 2 * total ** 3 / spread, 6)
+    chosen = (counts.filter((F.col("n") >= least_rows) & (F.col("n") < total))
+              .withColumn("chi", chi).filter(F.col("chi") >= chi_square)
+              .orderBy(F.desc("chi"), "bucket").limit(max_features).select("bucket").toArrow())
+    buckets = np.sort(chosen.column("bucket").to_numpy()).astype(np.int32)
+    table = _only(rows, buckets).sort_by([("label", "ascending"), ("share", "ascending")])
+    lists = table.column("places").combine_chunks()
+    owners = np.repeat(np.arange(table.num_rows), np.diff(lists.offsets.to_numpy()))
+    weights, factors = _descend(
+        owners, lists.flatten().to_numpy(), table.column("label").to_numpy().astype(float),
+        table.column("share").to_numpy() / total, len(buckets), rank, constant, decay,
+        factor_decay, steps, rate, seed)
     return Machine(buckets, weights[:-1], factors, float(weights[-1]))
 
 
