@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from presswork.llm import bpe, mixing, quality, samples, sharding, toxicity
+from presswork.llm import bpe, mixing, neardup, quality, samples, sharding, toxicity
 
 #: Target weights of the mixture; sources not named weigh 1.
 MIX_WEIGHTS = {"src0": 2.0, "src1": 3.0, "src2": 0.5}
@@ -89,12 +89,18 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of near duplicates of every document."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality_rules": op2_quality_rules,
     "op4_mix_sources": op4_mix_sources,
     "op8_shard_by_bytes": op8_shard_by_bytes,
     "op9_toxicity": op9_toxicity,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
 _WEIGHT = "CASE source " + " ".join(
@@ -147,4 +153,27 @@ cut AS (SELECT *, least({SHARDS - 1}, (2 * ends - size) * {SHARDS} // (2 * total
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
   row - min(row) OVER (PARTITION BY shard) AS slot, NULL::INT AS grown_shard
 FROM cut""",
+    "op10_near_duplicates": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+places AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM places),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+  FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * c >= 75 * (x.n + y.n - c)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION
+  SELECT r.a, w.b FROM reach r JOIN ways w ON r.b = w.a)
+SELECT d.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(b) AS component_id,
+  d.doc_id = min(b) AS kept
+FROM documents d JOIN reach ON a = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id GROUP BY d.doc_id""",
 }
