@@ -5,12 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from presswork.llm import bpe, mixing, neardup, quality, samples, sharding, toxicity
+from presswork.llm import bpe, mixing, neardup, pii, quality, samples, sharding, toxicity
 
 #: Target weights of the mixture; sources not named weigh 1.
 MIX_WEIGHTS = {"src0": 2.0, "src1": 3.0, "src2": 0.5}
 MIX_SEED = "mix-1"
 SHARDS = 24
+#: Stands for the secret that a user would pass.
+PII_KEY = "surrogates-1"
 TOXIC_FROM = 0.3
 #: Labelled rows that the toxicity machine is fitted on, at most.
 TOXIC_ROWS = 12_000
@@ -57,6 +59,11 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicate(docs, rates, MIX_SEED)
 
 
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with personal data replaced by surrogates."""
+    return pii.replace_entities(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op8_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of nearly equal byte size; equal texts stand together."""
     sizes = table(spark, sf_dir, "documents").select(
@@ -98,6 +105,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality_rules": op2_quality_rules,
     "op4_mix_sources": op4_mix_sources,
+    "op6_pii_surrogates": op6_pii_surrogates,
     "op8_shard_by_bytes": op8_shard_by_bytes,
     "op9_toxicity": op9_toxicity,
     "op10_near_duplicates": op10_near_duplicates,
