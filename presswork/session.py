@@ -51,6 +51,11 @@ def _checkpoint_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """The path of a new folder that all executors share, in the checkpoint folder."""
+    return f"{_checkpoint_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and return it read back from there.
 
@@ -63,6 +68,6 @@ def durable(df: DataFrame) -> DataFrame:
 
 def durable_table(df: DataFrame) -> DataFrame:
     """The same for wide rows that later steps read only some columns of."""
-    path = f"{_checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = shared_folder(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
