@@ -2,12 +2,32 @@
 
 from __future__ import annotations
 
-import uuid
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from presswork.llm import mixing, queries
-from presswork.session import _checkpoint_folder as checkpoint_folder
+from presswork.llm import bpe, mixing, neardup, pii, queries, samples, toxicity
+from presswork.session import shared_folder
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the machine, fitted to the labels that are not held out, does not call toxic."""
+    labels = queries.table(spark, sf_dir, "labels")
+    sample = samples.labelled_sample(docs, labels, "toxic", max_rows=queries.TOXIC_ROWS,
+                                     allowed=~queries.held_out("doc_id"))
+    scored = toxicity.score(docs, toxicity.train(sample), name="_toxicity")
+    return scored.filter(scored["_toxicity"] < queries.TOXIC_FROM).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each component of near duplicates."""
+    found = neardup.near_duplicates(docs)
+    dropped = found.filter(~found["kept"]).select(found["doc_id"].alias("_dropped"))
+    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["_dropped"]), "left_anti")
+
+
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with surrogates in place of personal data."""
+    return pii.replace_entities(docs, queries.PII_KEY, count=None)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,18 +36,29 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.replicate(docs, rates, queries.MIX_SEED).select(docs.columns)
 
 
+def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, with digests of them and of the text decoded from them."""
+    vocabulary = bpe.share(spark, public_tokenizers.path(queries.WORD_VOCABULARY))
+    encoded = bpe.encode(docs, vocabulary, decoded="decoded", keep=["doc_id", "lang", "source"])
+    return queries.token_digests(encoded).drop("decoded")
+
+
 STAGES = [
+    ("reject_toxic", reject_toxic),
+    ("drop_near_duplicates", drop_near_duplicates),
+    ("replace_personal_data", replace_personal_data),
     ("mix_sources", mix_sources),
+    ("encode_texts", encode_texts),
 ]
 
-#: No SQL: hashed surrogates, learned scores and merges are checked by brute force in the tests.
+#: No SQL: learned scores, hashed surrogates and merges are checked by brute force in the tests.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; each is written to the shared folder and read from there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "pipeline")
     for number, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{number}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)

@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from presswork.llm.memory import Memory
-from presswork.llm.workers import map_batches
+from presswork.llm.workers import map_batches, with_text
 
 #: Tokens after which a batch of results is handed on.
 BATCH_TOKENS = 2_000_000
 #: What the vocabulary's patterns take as white space; Python's own split takes U+001C to U+001F too.
-_SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
+SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
 _LETTERS = regex.compile(r"[\p{L}\p{N}]")
 # Blocks of the letters and digits that Unicode 16 added.
 _UNICODE_16 = [
@@ -157,7 +157,7 @@ class Encoder:
 
     def plain(self, text: str) -> bytes:
         if _ODD_SPACES.search(text):
-            chunks = [c for c in _SPACES.split(text) if c]
+            chunks = [c for c in SPACES.split(text) if c]
         else:
             chunks = text.split()
         return b"".join(self.chunks.all(chunks))
@@ -205,14 +205,14 @@ def encode(docs: DataFrame, vocabulary: Broadcast, text: str = "text", ids: str
     fields = [docs.schema[c] for c in columns] + [StructField(ids, ArrayType(IntegerType()))]
     if decoded:
         fields.append(StructField(decoded, StringType()))
-    positions = [*range(len(columns))]
+    narrow, at = with_text(docs, columns, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary)
         for batch in batches:
-            kept = [batch.column(i) for i in positions]
+            kept = batch.columns[:len(columns)]
             rows, start, waiting = [], 0, 0
-            texts = batch.column(len(columns))
+            texts = batch.column(at)
             for row in range(batch.num_rows):
                 rows.append(own.encode(texts[row].as_py()))
                 waiting += len(rows[-1]) // 4
@@ -221,8 +221,6 @@ def encode(docs: DataFrame, vocabulary: Broadcast, text: str = "text", ids: str
                                  [f.name for f in fields], bool(decoded))
                     rows, start, waiting = [], row + 1, 0
 
-    # By position, so that a text column kept twice or a clashing name does no harm.
-    narrow = docs.select(*[docs[c] for c in columns], docs[text].cast("string").alias("_text_to_encode"))
     return map_batches(narrow, run, StructType(fields))
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from presswork.llm.workers import map_batches
+from presswork.llm.workers import map_batches, with_text
 
 _SPACE = " \t\n\v\f\r"
 _SYMBOLS = "#*$%&|<>"
@@ -76,16 +76,17 @@ def text_statistics(docs: DataFrame, text: str = "text", keep: list[str] | None
     schema = StructType([docs.schema[c] for c in columns]
                         + [StructField(s, LongType()) for s in STATISTICS])
 
+    narrow, at = with_text(docs, columns, text)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(len(columns))
+            texts = batch.column(at)
             rows = np.array([statistics_of(t.as_py()) for t in texts], np.int64)
             rows = rows.reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:len(columns)], *[pa.array(rows[:, i]) for i in range(len(STATISTICS))]],
                 names=schema.names)
 
-    narrow = docs.select(*[docs[c] for c in columns], docs[text].cast("string").alias("_text"))
     return map_batches(narrow, run, schema)
 
 

@@ -5,12 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from presswork.llm import bpe, mixing, neardup, pii, quality, samples, sharding, toxicity
+from presswork.llm import (
+    balltree, bpe, edits, materialise, mixing, neardup, pii, quality, samples, sharding, toxicity)
+from presswork.session import shared_folder
 
 #: Target weights of the mixture; sources not named weigh 1.
 MIX_WEIGHTS = {"src0": 2.0, "src1": 3.0, "src2": 0.5}
 MIX_SEED = "mix-1"
 SHARDS = 24
+#: Tokens of a sequence, its end and padding token, and sequences of a shard file.
+SEQUENCE, END_ID, SHARD_SEQUENCES = 512, 49407, 8192
+ORDER_KEY = 20240607
 #: Stands for the secret that a user would pass.
 PII_KEY = "surrogates-1"
 TOXIC_FROM = 0.3
@@ -52,6 +57,13 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         (~base_failed & quality.deciding_rule(rules).isNull()).alias("kept"))
 
 
+def op3_top_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten largest inner products of every hundredth vector with all others."""
+    vectors = table(spark, sf_dir, "embeddings").select(
+        "vec_id", balltree.scaled(F.col("embedding")).alias("vector"))
+    return balltree.top_inner_products(vectors, F.col("vec_id") % 100 == 0)
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every copy of every document of the mixture, in training order."""
     docs = table(spark, sf_dir, "documents")
@@ -59,11 +71,39 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicate(docs, rates, MIX_SEED)
 
 
+def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every token sequence of all documents with its place in the shards just written."""
+    vocabulary = bpe.share(spark, public_tokenizers.path(WORD_VOCABULARY))
+    rows = materialise.sequences(table(spark, sf_dir, "documents"), vocabulary, SEQUENCE, END_ID)
+    slotted, size = materialise.assign_slots(rows, ORDER_KEY, rows.columns)
+    written = materialise.write_shards(
+        slotted, size, shared_folder(spark, "token-shards"), SEQUENCE, SHARD_SEQUENCES)
+    return written.drop("path")
+
+
 def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with personal data replaced by surrogates."""
     return pii.replace_entities(table(spark, sf_dir, "documents"), PII_KEY)
 
 
+def derived_edits() -> Column:
+    """Three edits of each text, placed by a hash of its id: a cut, a repeated passage, a new word."""
+    def place(n: int) -> str:
+        return f"cast(pmod(xxhash64(doc_id, {n}), greatest(length(text), 1)) AS int)"
+    return F.expr(f"""array(
+        named_struct('start', {place(1)}, 'stop', {place(1)} + 40, 'text', ''),
+        named_struct('start', {place(2)}, 'stop', {place(2)}, 'text', substring(text, {place(3)} + 1, 80)),
+        named_struct('start', {place(4)}, 'stop', {place(4)} + 5, 'text', ' edited '))""")
+
+
+def op7_edited_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents before and after three edits each."""
+    vocabulary = bpe.share(spark, public_tokenizers.path(WORD_VOCABULARY))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", derived_edits().alias("edits"))
+    return edits.count_edited(docs, vocabulary).select(
+        "doc_id", "n_before", "n_after", "n_leaves", "n_encoded", F.sha2("edited", 256).alias("edited_sha256"))
+
+
 def op8_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of nearly equal byte size; equal texts stand together."""
     sizes = table(spark, sf_dir, "documents").select(
@@ -104,8 +144,11 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality_rules": op2_quality_rules,
+    "op3_top_inner_products": op3_top_inner_products,
     "op4_mix_sources": op4_mix_sources,
+    "op5_training_order": op5_training_order,
     "op6_pii_surrogates": op6_pii_surrogates,
+    "op7_edited_counts": op7_edited_counts,
     "op8_shard_by_bytes": op8_shard_by_bytes,
     "op9_toxicity": op9_toxicity,
     "op10_near_duplicates": op10_near_duplicates,
@@ -115,6 +158,18 @@ _WEIGHT = "CASE source " + " ".join(
     f"WHEN '{name}' THEN {weight:e}" for name, weight in MIX_WEIGHTS.items()) + " ELSE 1e0 END"
 
 ORACLE = {
+    "op3_top_inner_products": """
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0),
+ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+  FROM scores)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10""",
     "op4_mix_sources": f"""
 WITH sizes AS (
   SELECT source, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS bytes FROM documents GROUP BY source),

@@ -15,7 +15,7 @@ from pyspark.sql.types import (
     ArrayType, DoubleType, IntegerType, LongType, StructField, StructType)
 
 from presswork.llm.memory import Memory
-from presswork.llm.workers import map_batches
+from presswork.llm.workers import map_batches, with_text
 from presswork.session import durable_table
 
 #: Terms are hashed to so many buckets.
@@ -170,6 +170,7 @@ def score(docs: DataFrame, machine: Machine, text: str = "text", name: str = "sc
     """
     columns = [c for c in (docs.columns if keep is None else keep) if c != name]
     schema = StructType([docs.schema[c] for c in columns] + [StructField(name, DoubleType())])
+    narrow, at = with_text(docs, columns, text)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,11 +179,10 @@ def score(docs: DataFrame, machine: Machine, text: str = "text", name: str = "sc
         find = Memory(lambda term: tuple(places[b] for b in buckets_of(term) if b in places))
         for batch in batches:
             scores = []
-            for item in batch.column(len(columns)):
+            for item in batch.column(at):
                 known = set(chain.from_iterable(find.all(list(terms_of(item.as_py())))))
                 scores.append(own.score(sorted(known)))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:len(columns)], pa.array(scores, pa.float64())], names=schema.names)
 
-    narrow = docs.select(*[docs[c] for c in columns], docs[text].cast("string").alias("_text"))
     return map_batches(narrow, run, schema)

@@ -8,7 +8,7 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 _ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -28,3 +28,11 @@ def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], It
                 schema: StructType | str) -> DataFrame:
     find_package(df)
     return df.mapInArrow(function, schema)
+
+
+def with_text(docs: DataFrame, columns: list[str], text: str) -> tuple[DataFrame, int]:
+    """The columns and the text, which is sent once, and the text's place."""
+    kept = [docs[c] for c in columns]
+    if text in columns and docs.schema[text].dataType == StringType():
+        return docs.select(*kept), columns.index(text)
+    return docs.select(*kept, docs[text].cast("string").alias("_text")), len(columns)
