@@ -23,7 +23,7 @@ from presswork.llm.workers import map_batches, with_text
 #: Tokens after which a batch of results is handed on.
 BATCH_TOKENS = 2_000_000
 #: What the vocabulary's patterns take as white space; Python's own split takes U+001C to U+001F too.
-SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
+SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _LETTERS = regex.compile(r"[\p{L}\p{N}]")
 # Blocks of the letters and digits that Unicode 16 added.
 _UNICODE_16 = [
