@@ -1,28 +1,18 @@
-"""Public-suffix rules, from the short list here or from a rules file."""
+"""Public-suffix rules: the complete public list, or those of a file or table."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import lru_cache
+from importlib.resources import files
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-# Public suffixes in the notation of the public suffix list, "*"
-# for any label and "!" for an exception to such a rule. A short everyday list;
-# give ``rules_from_text`` or ``suffix_table`` the full one for other domains.
-EVERYDAY_SUFFIXES = """
-com net org edu gov mil int info biz name pro mobi app dev io ai co me tv cc xyz
-online site news blog shop store tech cloud media press today live agency world
-ac ae af al am ar at au az ba bd be bg bh br by ca ch cl cn cr cu cy cz de dk dz
-ec ee eg es et eu fi fr ge gh gr hk hr hu id ie il in iq ir is it jo jp ke kg kh
-kr kw kz lb lk lt lu lv ly ma md mn mo mt mx my ng nl no np nz om pa pe ph pk pl
-ps pt py qa ro rs ru sa sd se sg si sk sn su sy th tj tm tn tr tw tz ua ug uk us
-uy uz ve vn ye za zm zw
-co.uk org.uk ac.uk gov.uk com.au net.au org.au co.nz org.nz co.jp or.jp ac.jp
-com.br com.cn com.tr com.mx co.in co.kr co.za co.il com.sg com.hk
-ac.ir co.ir gov.ir id.ir net.ir org.ir sch.ir
-*.ck !www.ck *.kawasaki.jp !city.kawasaki.jp
-"""
+from pyspark.sql import DataFrame, SparkSession
+
+#: The public list has about ten thousand rules; more than this is no suffix list.
+MAX_RULES = 100_000
+
+_PRIVATE = "===BEGIN PRIVATE DOMAINS===", "===END PRIVATE DOMAINS==="
 
 
 @dataclass(frozen=True)
@@ -33,6 +23,10 @@ class SuffixRules:
     wildcard: frozenset[str] = field(default_factory=frozenset)
     exception: frozenset[str] = field(default_factory=frozenset)
 
+    def __post_init__(self) -> None:
+        if len(self.exact) + len(self.wildcard) + len(self.exception) > MAX_RULES:
+            raise ValueError(f"more than {MAX_RULES} suffix rules")
+
 
 def _spellings(rule: str) -> set[str]:
     """A rule in lower case, and as the ASCII form that hosts often carry."""
@@ -43,27 +37,39 @@ def _spellings(rule: str) -> set[str]:
         return {rule}
 
 
-def rules_from_text(text: str) -> SuffixRules:
+def _rules(marked: list[str]) -> SuffixRules:
+    kinds: dict[str, set[str]] = {"exact": set(), "wildcard": set(), "exception": set()}
+    for rule in marked:
+        if rule.startswith("!"):
+            kinds["exception"] |= _spellings(rule[1:])
+        elif rule.startswith("*."):
+            kinds["wildcard"] |= _spellings(rule[2:])
+        else:
+            kinds["exact"] |= _spellings(rule)
+    return SuffixRules(**{kind: frozenset(rules) for kind, rules in kinds.items()})
+
+
+def rules_from_text(text: str, private: bool = False) -> SuffixRules:
     """Rules from text in the public suffix list's format.
 
-    ``//`` starts a comment line and other lines hold blank-separated rules.
+    ``//`` starts a comment line and other lines hold blank-separated rules. Rules
+    of the private section, such as those of hosting companies, count if asked for.
     """
-    kinds: dict[str, set[str]] = {"exact": set(), "wildcard": set(), "exception": set()}
+    marked: list[str] = []
+    inside = False
     for line in text.splitlines():
         if line.lstrip().startswith("//"):
-            continue
-        for rule in line.split():
-            if rule.startswith("!"):
-                kinds["exception"] |= _spellings(rule[1:])
-            elif rule.startswith("*."):
-                kinds["wildcard"] |= _spellings(rule[2:])
-            else:
-                kinds["exact"] |= _spellings(rule)
-    return SuffixRules(**{kind: frozenset(rules) for kind, rules in kinds.items()})
+            inside = _PRIVATE[0] in line or (inside and _PRIVATE[1] not in line)
+        elif private or not inside:
+            marked += line.split()
+    return _rules(marked)
 
 
-def everyday_rules() -> SuffixRules:
-    return rules_from_text(EVERYDAY_SUFFIXES)
+@lru_cache
+def public_rules(private: bool = False) -> SuffixRules:
+    """The rules of the public suffix list that comes with the package."""
+    text = files("presswork.data").joinpath("public_suffix_list.dat").read_text(encoding="utf-8")
+    return rules_from_text(text, private)
 
 
 def suffix_frame(spark: SparkSession, rules: SuffixRules) -> DataFrame:
@@ -78,15 +84,16 @@ def suffix_frame(spark: SparkSession, rules: SuffixRules) -> DataFrame:
         "is_exception": pa.array(exception, pa.bool_())}))
 
 
-def suffix_table(spark: SparkSession, path: str) -> DataFrame:
-    """The same table read from a rules file, one rule per line."""
-    rule = F.lower(F.trim(F.col("value")))
-    return (
-        spark.read.text(path)
-        .where((rule != "") & ~F.startswith(rule, F.lit("//")))
-        .select(
-            F.regexp_replace(rule, r"^(?:!|\*\.)", "").alias("suffix"),
-            F.startswith(rule, F.lit("*.")).alias("is_wildcard"),
-            F.startswith(rule, F.lit("!")).alias("is_exception"),
-        )
-    )
+def suffix_table(spark: SparkSession, path: str, private: bool = False) -> DataFrame:
+    """The same table, read from a rules file by Spark."""
+    return suffix_frame(
+        spark, rules_from_text(spark.read.text(path, wholetext=True).first()[0], private))
+
+
+def rules_of_table(table: DataFrame) -> SuffixRules:
+    """The rules of such a table, at most MAX_RULES."""
+    rows = table.limit(MAX_RULES + 1).collect()
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} suffix rules")
+    return _rules([("!" if r["is_exception"] else "*." if r["is_wildcard"] else "") + r["suffix"]
+                   for r in rows])

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from presswork.functions.suffixes import SuffixRules, everyday_rules
+from presswork.functions.suffixes import SuffixRules
 from presswork.functions.text import WHITESPACE, with_value
 
 # Optional scheme, optional user part, then the host up to port, path, query
@@ -73,13 +73,14 @@ def suffix_labels(name: Column, rules: SuffixRules) -> Column:
     return chain
 
 
-def registered_domain(url: Column, rules: SuffixRules | None = None) -> Column:
+def registered_domain(url: Column, rules: SuffixRules) -> Column:
     """The domain a site owner registered, e.g. ``b.co.uk`` for ``a.b.co.uk``.
 
     '' for addresses, bare suffixes, and hosts under no known suffix. Rules are
-    matched without regard to case; the result keeps the URL's own letters.
+    matched without regard to case; the result keeps the URL's own letters. They
+    become constants of the plan, so this form suits a few dozen rules;
+    ``with_domain`` takes the public list.
     """
-    rules = rules or everyday_rules()
 
     def domain(name: Column) -> Column:
         labels = with_value(F.lower(name), lambda lowered: suffix_labels(lowered, rules))

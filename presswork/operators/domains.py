@@ -1,71 +1,65 @@
-"""Registered domains found by joining a suffix table."""
+"""Registered domains found by joining suffix rules."""
 
 from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from presswork.functions.urls import domain_at, host, last_labels, registered_domain
+from presswork.functions.suffixes import SuffixRules, public_rules, rules_of_table
+from presswork.functions.urls import domain_at, host, last_labels
 from presswork.operators.binding import bind
 
-# Public suffixes are short; this many rules stay within a few megabytes.
-BROADCAST_RULES = 100_000
 
+def _levels(rules: SuffixRules) -> dict[int, dict[str, tuple[bool, bool, bool]]]:
+    """Rules by their number of labels: suffix to (exact, wildcard, exception)."""
+    levels: dict[int, dict[str, tuple[bool, bool, bool]]] = {}
+    for suffix in rules.exact | rules.wildcard | rules.exception:
+        kinds = (suffix in rules.exact, suffix in rules.wildcard, suffix in rules.exception)
+        levels.setdefault(suffix.count(".") + 1, {})[suffix] = kinds
+    return dict(sorted(levels.items()))
 
-def _by_rules(hosts: DataFrame, suffixes: DataFrame, deepest: int, small: bool) -> DataFrame:
+
+def _by_rules(hosts: DataFrame, rules: SuffixRules) -> DataFrame:
     """Adds ``domain`` to rows with a ``_host``.
 
     One join for each number of labels a rule can have, so a row meets at most
-    one rule per join and is never multiplied.
+    one rule per join and is never multiplied. The rules are broadcast: their
+    number is bounded, and the rows stay where they are.
     """
-    rules = suffixes.groupBy("suffix").agg(
-        F.max(~F.col("is_wildcard") & ~F.col("is_exception")).alias("exact"),
-        F.max("is_wildcard").alias("wild"),
-        F.max("is_exception").alias("exempt"))
-    depth = F.size(F.split("suffix", r"\."))
     name = F.lower("_host")
     labels = F.size(F.split(name, r"\."))
     out = hosts
-    lengths: list[Column] = [F.lit(0)]
+    lengths: list[Column] = [F.lit(0), F.lit(0)]
     exempt: list[Column] = []
-    for d in range(1, deepest + 1):
-        level = rules.where(depth == d).select(
-            F.col("suffix").alias(f"_suffix{d}"),
-            F.struct("exact", "wild", "exempt").alias(f"_rule{d}"))
+    for d, found in _levels(rules).items():
+        suffixes = sorted(found)
+        exact, wild, exception = zip(*(found[s] for s in suffixes))
+        level = hosts.sparkSession.createDataFrame(pa.table({
+            f"_suffix{d}": suffixes, f"_exact{d}": exact, f"_wild{d}": wild, f"_exempt{d}": exception}))
         key = F.when(labels >= d, last_labels(name, d))
-        out = out.join(F.broadcast(level) if small else level,
-                       key == F.col(f"_suffix{d}"), "left")
-        rule = F.col(f"_rule{d}")
-        lengths.append(F.when(rule["exact"], d))
-        lengths.append(F.when(rule["wild"] & (labels > d), d + 1))
-        exempt.insert(0, F.when(rule["exempt"], d - 1))
+        out = out.join(F.broadcast(level), key == F.col(f"_suffix{d}"), "left")
+        lengths.append(F.when(F.col(f"_exact{d}"), d))
+        lengths.append(F.when(F.col(f"_wild{d}") & (labels > d), d + 1))
+        exempt.insert(0, F.when(F.col(f"_exempt{d}"), d - 1))
     longest = F.nullif(reduce(lambda a, b: F.greatest(a, b), lengths), F.lit(0))
     count = F.coalesce(*exempt, longest)
     domain = F.coalesce(domain_at(F.col("_host"), count), F.lit(""))
-    return out.withColumn("domain", domain).select(*hosts.columns, "domain")
+    return out.select(*hosts.columns, domain.alias("domain"))
 
 
-def with_domain(df: DataFrame, suffixes: DataFrame | None = None,
+def with_domain(df: DataFrame, rules: SuffixRules | DataFrame | None = None,
                 url_column: str = "url") -> DataFrame:
-    """Adds ``domain``, from the built-in rules or from a suffix table.
+    """Adds ``domain``, the registered domain of a URL.
 
-    A table (suffix, is_wildcard, is_exception) is counted first. Up to
-    ``BROADCAST_RULES`` it is broadcast and the rows stay where they are. Beyond
-    that the hosts, each once, are joined to it by shuffles and the rows then
-    to their host, so that nothing moves by a key as common as ``com``.
+    ``rules`` are those of the public list unless others, or a table (suffix,
+    is_wildcard, is_exception), are given. '' for addresses, bare suffixes, and
+    hosts under no known suffix; NULL for a NULL URL. The host is worked out once.
     """
+    if isinstance(rules, DataFrame):
+        rules = rules_of_table(rules)
     url = F.col(url_column)
-    if suffixes is None:
-        return df.withColumn("domain", registered_domain(url))
-    n_rules, deepest = suffixes.agg(
-        F.count("*"), F.max(F.size(F.split("suffix", r"\.")))).first()
-    out = bind(df, "_host", host(url))
-    if n_rules == 0:
-        return df.withColumn("domain", F.when(url.isNotNull(), F.lit("")))
-    if n_rules <= BROADCAST_RULES:
-        found = _by_rules(out, suffixes, deepest, small=True)
-    else:
-        hosts = out.where(F.col("_host").isNotNull()).select("_host").distinct()
-        found = out.join(_by_rules(hosts, suffixes, deepest, small=False), "_host", "left")
-    return found.select(*df.columns, F.when(url.isNotNull(), F.col("domain")).alias("domain"))
+    found = _by_rules(bind(df, "_host", host(url)), public_rules() if rules is None else rules)
+    found = bind(found, "_domain", F.when(url.isNotNull(), F.col("domain")))
+    return found.select(*df.columns, F.col("_domain").alias("domain"))

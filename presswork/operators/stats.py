@@ -6,6 +6,9 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, functions as F
 
+from presswork.functions.suffixes import SuffixRules
+from presswork.functions.urls import host
+from presswork.operators.domains import with_domain
 from presswork.operators.filters import ALL, since_days
 
 
@@ -40,6 +43,12 @@ def facet(df: DataFrame, column: str) -> DataFrame:
     return everything.unionAll(values).orderBy("rank", "value")
 
 
+def domain_facet(df: DataFrame, rules: SuffixRules | None = None) -> DataFrame:
+    """The same for registered domains; each host is looked up once."""
+    hosts = df.where(F.col("url").isNotNull()).select(host(F.col("url")).alias("url")).distinct()
+    return facet(with_domain(hosts, rules), "domain")
+
+
 def url_count(df: DataFrame, url: str) -> DataFrame:
     """How many rows carry this URL, as one row."""
     return df.where(F.col("url") == url).agg(F.count("*").alias("n"))

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from presswork.functions.text import first_filled, join_list, preview
-from presswork.functions.urls import registered_domain
+from presswork.functions.suffixes import SuffixRules
 from presswork.operators import filters
 from presswork.operators.domains import with_domain
 from presswork.operators.enrich import main_content, main_summary
@@ -32,6 +32,8 @@ class ListRequest:
     ascending: bool = False
     title_mode: str = "bag"
     end_inclusive_day: bool = False
+    #: Public-suffix rules for the domain; those of the public list if not given.
+    rules: SuffixRules | None = None
 
 
 def _by_language(second: str, first: str, second_language: bool) -> Column:
@@ -66,7 +68,7 @@ def article_list(content: DataFrame, request: ListRequest) -> DataFrame:
     df = filters.by_type(df, request.kind)
     df = filters.by_date_range(df, request.start, request.end, request.end_inclusive_day)
     df = filters.title_search(df, request.title, mode="any")
-    df = filters.by_domain(with_domain(df), request.domain)
+    df = filters.by_domain(with_domain(df, request.rules), request.domain)
     df = match_keywords(df, request.pairs)
     if request.title_mode == "bag":
         df = filters.title_search(df, request.title, mode="bag")
@@ -76,19 +78,20 @@ def article_list(content: DataFrame, request: ListRequest) -> DataFrame:
 
 
 def article_details(content: DataFrame, content_id: int | None = None,
-                    second_language: bool = True) -> DataFrame:
+                    second_language: bool = True,
+                    rules: SuffixRules | None = None) -> DataFrame:
     """The detail page's fields for one item, or for all of them.
 
     ``title_api`` is the second-language title whether or not there is another.
     """
     df = content if content_id is None else filters.by_id(content, content_id)
     body = main_content() if second_language else F.col("content")
-    return df.select(
+    return with_domain(df, rules).select(
         "id",
         _by_language("title_persian", "title", second_language).alias("title"),
         _by_language("summary_persian", "summary", second_language).alias("summary"),
         body.alias("content"),
         F.col("title_persian").alias("title_api"),
         main_summary().alias("summary_api"),
-        "date", "source", registered_domain(F.col("url")).alias("domain"),
+        "date", "source", "domain",
         "author", "views", "final_score", "type")

@@ -13,7 +13,7 @@ from presswork.operators.enrich import (
 from presswork.operators.filters import ALL
 from presswork.operators.ordering import SORT_COLUMNS
 from presswork.plans.queries import (
-    LIST_REQUEST, MANY_PAIRS, ONE_URL, PAIRS, SITE, TITLE_PATTERN,
+    HOST_KINDS, LIST_REQUEST, MANY_PAIRS, ONE_URL, PAIRS, SITE, TITLE_PATTERN,
 )
 
 AS_OF = "TIMESTAMP '2024-01-15 00:00:00'"
@@ -347,6 +347,11 @@ SELECT page_id, pos, item, kind,
 FROM items""".replace("\\\\", "\\"),
     "registered_domain": f"SELECT page_id, url, {domain()} AS domain FROM pages",
     "registered_domain_table": f"SELECT page_id, url, {domain()} AS domain FROM pages",
+    "registered_domain_kinds": "WITH kinds AS (SELECT * FROM (VALUES "
+        + ", ".join(f"({i}, '{name}', '{found}')" for i, (name, found) in enumerate(HOST_KINDS))
+        + f""") k(k, name, domain))
+SELECT page_id, 'https://' || name || '/' || page_id AS url, domain
+FROM pages JOIN kinds ON page_id % {len(HOST_KINDS)} = k""",
     "url_host": f"SELECT page_id, {_HOST} AS host FROM pages",
     "content_tag_rows": using("links", "SELECT content_id, tag FROM links"),
     "tag_lines": using("links", """

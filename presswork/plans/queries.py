@@ -11,7 +11,7 @@ from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from presswork.functions.suffixes import everyday_rules, suffix_frame
+from presswork.functions.suffixes import public_rules, suffix_frame
 from presswork.functions.text import (
     clean_html, first_filled, join_list, occurrences, preview, split_list, strip,
 )
@@ -85,7 +85,7 @@ def _daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _facet(column: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     if column == "domain":
-        return stats.facet(with_domain(standin.content(spark, sf_dir, "url")), column)
+        return stats.domain_facet(standin.content(spark, sf_dir, "url"))
     return stats.facet(standin.content(spark, sf_dir, column), column)
 
 
@@ -165,8 +165,24 @@ def _html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks(standin.table(spark, sf_dir, "pages"), "page_id", "html")
 
 
+#: Endings for the hosts of pages, one of each kind of rule, and the domain under each.
+HOST_KINDS = [
+    ("a.b.co.uk", "b.co.uk"), ("a.b.com.ar", "b.com.ar"), ("a.b.gov.au", "b.gov.au"),
+    ("a.b.x.ck", "b.x.ck"), ("a.www.ck", "www.ck"), ("a.b.github.io", "github.io"),
+    ("a.foo.museum", "foo.museum"), ("a.b.xn--mgba3a4f16a", "b.xn--mgba3a4f16a"), ("co.ke", "")]
+
+
+def _domain_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages under hosts of each kind of rule, by their ids."""
+    hosts = F.array(*[F.lit(name) for name, _ in HOST_KINDS])
+    kind = (F.col("page_id") % len(HOST_KINDS) + 1).cast("int")
+    url = F.concat(F.lit("https://"), F.element_at(hosts, kind), F.lit("/"), F.col("page_id"))
+    pages = standin.table(spark, sf_dir, "pages")
+    return with_domain(pages.select("page_id", url.alias("url")))
+
+
 def _domains(from_table: bool, spark: SparkSession, sf_dir: str) -> DataFrame:
-    suffixes = suffix_frame(spark, everyday_rules()) if from_table else None
+    suffixes = suffix_frame(spark, public_rules()) if from_table else None
     return with_domain(standin.table(spark, sf_dir, "pages").select("page_id", "url"), suffixes)
 
 
@@ -441,6 +457,7 @@ QUERIES: dict[str, Query] = {
     "html_blocks": _html_blocks,
     "registered_domain": partial(_domains, False),
     "registered_domain_table": partial(_domains, True),
+    "registered_domain_kinds": _domain_kinds,
     "url_host": _hosts,
     "content_tag_rows": _tag_rows,
     "tag_lines": _tag_lines,

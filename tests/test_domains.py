@@ -1,7 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from presswork.functions.suffixes import everyday_rules, rules_from_text, suffix_frame, suffix_table
+from presswork.functions import suffixes
+from presswork.functions.suffixes import (
+    public_rules, rules_from_text, suffix_frame, suffix_table)
 from presswork.functions.urls import host, registered_domain
 from presswork.operators import domains
 
@@ -27,6 +29,11 @@ CASES = [
     ("http://a.www.ck/", "a.www.ck", "www.ck"),
     ("http://x.city.kawasaki.jp/", "x.city.kawasaki.jp", "city.kawasaki.jp"),
     ("http://x.y.other.kawasaki.jp/", "x.y.other.kawasaki.jp", "y.other.kawasaki.jp"),
+    ("https://news.site.com.ar/", "news.site.com.ar", "site.com.ar"),
+    ("https://x.dept.gov.au/", "x.dept.gov.au", "dept.gov.au"),
+    ("https://foo.museum/", "foo.museum", "foo.museum"),
+    ("https://u.github.io/", "u.github.io", "github.io"),
+    ("https://a.b.xn--mgba3a4f16a/", "a.b.xn--mgba3a4f16a", "b.xn--mgba3a4f16a"),
     ("", "", ""),
     ("://x", "", ""),
     (None, None, None),
@@ -50,20 +57,32 @@ def test_built_in_rules(urls):
     assert result(domains.with_domain(urls), "domain") == [c[2] for c in CASES]
 
 
-@pytest.mark.parametrize("broadcast_rules", [100_000, 3])
-def test_suffix_table(spark, urls, monkeypatch, broadcast_rules):
-    monkeypatch.setattr(domains, "BROADCAST_RULES", broadcast_rules)
-    df = domains.with_domain(urls, suffix_frame(spark, everyday_rules()))
+def test_suffix_table(spark, urls):
+    df = domains.with_domain(urls, suffix_frame(spark, public_rules()))
     assert result(df, "domain") == [c[2] for c in CASES]
     assert df.columns == ["i", "url", "domain"]
 
 
+def test_too_many_rules_are_refused(spark, urls, monkeypatch):
+    monkeypatch.setattr(suffixes, "MAX_RULES", 2)
+    with pytest.raises(ValueError, match="more than 2"):
+        rules_from_text("a b c")
+    with pytest.raises(ValueError, match="more than 2"):
+        domains.with_domain(urls, spark.createDataFrame(
+            [(s, False, False) for s in "abc"], "suffix string, is_wildcard boolean, is_exception boolean"))
+
+
+def test_private_rules_only_if_asked_for(spark, urls):
+    private = domains.with_domain(urls, public_rules(private=True))
+    assert "u.github.io" in result(private, "domain")
+
+
 def test_rules_file(spark, tmp_path):
     path = tmp_path / "rules.dat"
     path.write_text("// a comment\ncom\n\n*.zz\n!ok.zz\nایران\n")
     table = {tuple(r) for r in suffix_table(spark, str(path)).collect()}
     assert table == {("com", False, False), ("zz", True, False), ("ok.zz", False, True),
-                     ("ایران", False, False)}
+                     ("ایران", False, False), ("xn--mgba3a4f16a", False, False)}
     rules = rules_from_text(path.read_text())
     assert rules.wildcard == {"zz"} and rules.exception == {"ok.zz"}
     assert {"ایران", "xn--mgba3a4f16a"} <= rules.exact

@@ -4,9 +4,9 @@ import datetime as dt
 
 import pytest
 
-from __spark_entry__ import queries
 from presswork.operators import filters
 from presswork.plans.listing import ListRequest, article_details, article_list
+from presswork.plans.queries import QUERIES
 from presswork.schema import CONTENT
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -16,16 +16,16 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", queries())
+@pytest.mark.parametrize("name", QUERIES)
 def test_no_python_and_no_cross_products(name, spark):
-    text = plan(queries()[name](spark, SF_DIR))
+    text = plan(QUERIES[name](spark, SF_DIR))
     for word in ("PythonUDF", "ArrowEval", "BatchEval", "MapInPandas", "CartesianProduct",
                  "BroadcastNestedLoopJoin"):
         assert word not in text
 
 
 def test_list_page_cleans_text_once(spark):
-    assert plan(queries()["news_list"](spark, SF_DIR)).count("CDATA") == 1
+    assert plan(QUERIES["news_list"](spark, SF_DIR)).count("CDATA") == 1
 
 
 @pytest.mark.parametrize("name, exchanges", [
@@ -33,12 +33,12 @@ def test_list_page_cleans_text_once(spark):
     ("title_search_bag", 0), ("source_counts_last_week", 2), ("daily_counts", 2),
 ])
 def test_shuffles(name, exchanges, spark):
-    text = plan(queries()[name](spark, SF_DIR))
+    text = plan(QUERIES[name](spark, SF_DIR))
     assert text.count("- Exchange ") == exchanges
 
 
 def test_counts_read_two_columns(spark):
-    text = plan(queries()["source_counts_last_week"](spark, SF_DIR))
+    text = plan(QUERIES["source_counts_last_week"](spark, SF_DIR))
     assert "ReadSchema: struct<doc_id:bigint,source:string>" in text
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz>" in text
 
