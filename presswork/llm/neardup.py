@@ -6,7 +6,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -15,7 +14,7 @@ from pyspark.sql.types import (
 
 from presswork.llm.components import connected_components
 from presswork.llm.memory import Memory
-from presswork.llm.workers import find_package, map_batches
+from presswork.llm.workers import map_batches
 from presswork.session import durable_table
 
 #: Words in a shingle.
@@ -206,29 +205,29 @@ def _block_pairs(budget: int):
     """Finds, in two blocks of a bucket, promising pairs of different components.
 
     A spanning forest of the components by best estimates comes first, then the next
-    best pairs up to ``budget`` times the members; ``left`` counts those not handed on.
+    best pairs up to ``budget`` times the members; ``left`` tells whether others remain.
     """
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        i, j = rows["i"].iat[0], rows["j"].iat[0]
-        sides = [rows[rows["block"] == k].reset_index(drop=True) for k in ((i,) if i == j else (i, j))]
-        x, y = sides[0], sides[-1]
-        regs = [np.frombuffer(b"".join(s["registers"]), np.uint16).reshape(-1, REGISTERS) for s in (x, y)]
-        labels = pd.factorize(pd.concat([x["label"], y["label"]]))[0]
-        lx, ly = labels[:len(x)], labels[len(x):]
+    def pairs(block: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Places of the pairs' rows in the block, and whether some were left."""
+        x = np.flatnonzero(block["block"] == block["i"][0])
+        y = np.flatnonzero(block["block"] == block["j"][0])
+        same = block["i"][0] == block["j"][0]
+        registers = np.frombuffer(b"".join(block["registers"]), np.uint16).reshape(-1, REGISTERS)
+        labels = np.unique(block["label"], return_inverse=True)[1]
+        n, filled = block["n_shingles"], block["filled"]
         found = []
         for start in range(0, len(x), 32):
-            part = slice(start, start + 32)
-            agreeing = (regs[0][part, None, :] == regs[1][None]).sum(axis=2)
-            n_a, n_b = x["n_shingles"].to_numpy()[part, None], y["n_shingles"].to_numpy()[None]
-            f_a, f_b = x["filled"].to_numpy()[part, None], y["filled"].to_numpy()[None]
-            good = _promising(agreeing, n_a, n_b, f_a, f_b) & (lx[part, None] != ly[None])
-            if i == j:
-                good &= np.arange(start, start + len(good))[:, None] < np.arange(len(y))[None]
+            part = x[start:start + 32, None]
+            agreeing = (registers[part] == registers[y][None]).sum(axis=2)
+            good = _promising(agreeing, n[part], n[y][None], filled[part], filled[y][None])
+            good &= labels[part] != labels[y][None]
+            if same:
+                good &= part < y[None]
             a, b = np.nonzero(good)
-            found.append(np.stack([a + start, b, agreeing[a, b]]))
-        a, b, score = np.concatenate(found, axis=1) if found else np.zeros((3, 0), int)
-        order = np.argsort(-score, kind="stable")
-        root = list(range(labels.max() + 1 if len(labels) else 0))
+            found.append(np.stack([x[a + start], y[b], agreeing[a, b]]))
+        a, b, agreeing = np.concatenate(found, axis=1) if found else np.zeros((3, 0), int)
+        order = np.argsort(-agreeing, kind="stable")
+        root = list(range(len(labels)))
 
         def find(k: int) -> int:
             while root[k] != k:
@@ -237,36 +236,70 @@ def _block_pairs(budget: int):
             return k
         chosen = np.zeros(len(order), bool)
         for rank, at in enumerate(order):
-            ra, rb = find(lx[a[at]]), find(ly[b[at]])
-            if ra != rb:
-                root[ra] = rb
+            one, other = find(labels[a[at]]), find(labels[b[at]])
+            if one != other:
+                root[one] = other
                 chosen[rank] = True
-        rest = np.flatnonzero(~chosen)[:budget * (len(x) + len(y))]
-        chosen[rest] = True
+        rest = np.flatnonzero(~chosen)
+        chosen[rest[:budget * len(labels)]] = True
         picked = order[chosen]
-        return pd.DataFrame({"a": x["set_id"].to_numpy()[a[picked]], "b": y["set_id"].to_numpy()[b[picked]],
-                             "left": np.full(len(picked), len(order) - len(picked), np.int64)})
+        return a[picked], b[picked], len(picked) < len(order)
+
+    def finished(rows: pa.Table) -> pa.RecordBatch | None:
+        names = ["block", "i", "j", "n_shingles", "filled"]
+        block = {c: rows.column(c).to_numpy() for c in names}
+        block |= {c: np.array(rows.column(c).to_pylist(), object) for c in ("label", "registers")}
+        a, b, left = pairs(block)
+        if not len(a):
+            return None
+        ids, bands = rows.column("set_id").combine_chunks(), rows.column("band").combine_chunks()
+        return pa.RecordBatch.from_arrays(
+            [ids.take(pa.array(a)), ids.take(pa.array(b)), bands.take(pa.array(a)),
+             pa.array(np.full(len(a), left))], names=["a", "b", "band", "left"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows come sorted by bucket and pair of blocks; one pair of blocks is held at a time.
+        held: list[pa.RecordBatch] = []
+        key = None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("band", "i", "j")], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
+            for start, end in zip(cuts[:-1], cuts[1:]):
+                if start == end:
+                    continue
+                if key is not None and key != tuple(keys[start]):
+                    if (out := finished(pa.Table.from_batches(held))) is not None:
+                        yield out
+                    held = []
+                key = tuple(keys[start])
+                held.append(batch.slice(start, end - start))
+        if held and (out := finished(pa.Table.from_batches(held))) is not None:
+            yield out
     return run
 
 
 def _open_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, budget: int) -> DataFrame:
-    """Promising pairs of different components in all buckets, with ``left``."""
+    """Promising pairs of different components in all buckets, with their ``band`` and ``left``.
+
+    Of buckets with the same members, one is looked into.
+    """
     known = members.join(labels.withColumnRenamed("id", "set_id"), "set_id", "left").select(
         "band", "set_id", F.coalesce("label", "set_id").alias("label"))
     split = known.groupBy("band").agg(
-        F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("rows"))
-    split = split.filter("low <> high").select("band", "rows")
+        F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("rows"),
+        F.sum(F.xxhash64("set_id").cast("decimal(20,0)")).alias("who"),
+        F.sum(F.xxhash64(F.lit(1), "set_id").cast("decimal(20,0)")).alias("and_who"))
+    split = split.filter("low <> high").groupBy("rows", "who", "and_who").agg(F.min("band").alias("band"))
     blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
-    placed = (known.join(split, "band")
+    keys = ["band", "i", "j"]
+    placed = (known.join(split.select("band", "rows"), "band")
               .join(classes.select("set_id", "registers", "n_shingles", "filled"), "set_id")
               .withColumn("block", F.pmod(F.xxhash64("set_id"), blocks).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-              .select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
-    find_package(placed)
-    found = placed.groupBy("band", "i", "j").applyInPandas(
-        _block_pairs(budget), "a binary, b binary, left long")
-    return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(
-        F.max("left").alias("left"))
+              .select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+                      "block", "set_id", "label", "registers", "n_shingles", "filled"))
+    return map_batches(placed.repartition(*keys).sortWithinPartitions(*keys), _block_pairs(budget),
+                       "a binary, b binary, band long, left boolean")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id",
@@ -278,7 +311,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id",
     the collision-corrected estimate promises are checked on their full sets, and the
     links make components. In buckets that still hold several components, promising
     pairs across them are looked for in blocks of BLOCK members and checked, the best
-    first and a growing number each round, until none is left unchecked. So no link
+    first and a growing number each round, until none is left unchecked in any. So no link
     between classes that meet in a bucket is lost, pairs inside a component that is
     already whole are never formed, and no bucket has to fit into one task.
 
@@ -307,15 +340,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id",
         F.col("pivot").alias("a"), F.col("set_id").alias("b")).distinct()
     tested = durable_table(_estimated(stars, classes))
     links = durable_table(_verified(tested, sets))
+    labels = connected_components(links)
     for turn in range(max_rounds):
-        labels = connected_components(links)
-        fresh = durable_table(_open_pairs(members, labels, classes, 4 ** turn)
-                              .join(tested, ["a", "b"], "left_anti"))
-        n, left = fresh.agg(F.count("*"), F.max("left")).first()
-        if not n:
+        found = durable_table(_open_pairs(members, labels, classes, 4 ** (turn + 1)))
+        pairs = found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("_n")).select("a", "b")
+        fresh = durable_table(_verified(pairs.join(tested, ["a", "b"], "left_anti"), sets))
+        if not fresh.isEmpty():
+            links = durable_table(links.union(fresh))
+            labels = connected_components(links)
+        unfinished = found.filter("left").select("band").distinct()
+        if unfinished.isEmpty():
             break
-        pairs = fresh.select("a", "b")
-        links = durable_table(links.union(_verified(pairs, sets)))
+        members = members.join(unfinished, "band", "left_semi")
         tested = durable_table(tested.union(pairs))
     else:
         raise RuntimeError(f"pairs are left unchecked after {max_rounds} rounds")
