@@ -130,9 +130,9 @@ def _search_shard(k: int):
         found = []
         if len(candidates) and len(queries):
             vectors = np.stack(candidates["vector"].to_numpy())
-            asked = np.stack(queries["vector"].to_numpy())
+            asked = np.stack(queries["asked_vector"].to_numpy())
             tree = BallTree(candidates["vec_id"].to_numpy(), vectors)
-            for own, query, score, vec in zip(queries["vec_id"], asked, queries["kth_score"], queries["kth_id"]):
+            for own, query, score, vec in zip(queries["asked_id"], asked, queries["kth_score"], queries["kth_id"]):
                 floor = None if pd.isna(score) else (int(score), int(vec))
                 found += [(own, vec_id, int(value)) for value, vec_id in tree.search(query, own, k, floor)]
         return pd.DataFrame(found, columns=schema).astype("int64")
@@ -167,13 +167,16 @@ def top_inner_products(vectors: DataFrame, query: Column, k: int = 10, shard_row
     rows = usable.select(
         "vec_id", "vector", "length", F.pmod(spread, F.lit(shards)).cast("int").alias("shard"),
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    # Names of their own, since both sides come from one table.
     asked = usable.filter("asks").select(
-        "vec_id", "vector", "length", F.pmod(F.xxhash64(F.lit("block"), "vec_id"), F.lit(blocks)).cast("int").alias("block"))
+        F.col("vec_id").alias("asked_id"), F.col("vector").alias("asked_vector"),
+        F.col("length").alias("asked_length"),
+        F.pmod(F.xxhash64(F.lit("block"), "vec_id"), F.lit(blocks)).cast("int").alias("asked_block"))
     find_package(vectors)
 
     def search(queries: DataFrame, candidates: DataFrame) -> DataFrame:
-        keys = ["length", "block", "shard"]
-        return (candidates.groupBy(*keys).cogroup(queries.groupBy(*keys))
+        return (candidates.groupBy("length", "block", "shard")
+                .cogroup(queries.groupBy("asked_length", "asked_block", "asked_shard"))
                 .applyInPandas(_search_shard(k), "query_id long, vec_id long, score long"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
@@ -181,16 +184,19 @@ def top_inner_products(vectors: DataFrame, query: Column, k: int = 10, shard_row
         return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     unknown = {"kth_score": F.lit(None).cast("long"), "kth_id": F.lit(None).cast("long")}
     # The first shard of a query's block, so that a shard's tree serves whole blocks.
-    first = F.pmod(F.col("block"), F.lit(shards)).cast("int")
+    def first(block: str) -> Column:
+        return F.pmod(F.col(block), F.lit(shards)).cast("int")
     seeds = durable_table(best(search(
-        asked.withColumn("shard", first).withColumns(unknown), rows.filter(F.col("shard") == first))))
+        asked.withColumn("asked_shard", first("asked_block")).withColumns(unknown),
+        rows.filter(F.col("shard") == first("block")))))
     kth = seeds.filter(F.col("rank") == k).select(
-        F.col("query_id").alias("vec_id"), F.col("score").alias("kth_score"),
+        F.col("query_id").alias("asked_id"), F.col("score").alias("kth_score"),
         F.col("vec_id").alias("kth_id"))
     if shards == 1:
         return seeds.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-    bounded = asked.join(kth, "vec_id", "left").withColumn(
-        "shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).filter(F.col("shard") != first)
-    rest = search(bounded, rows.filter(F.col("shard") != first))
+    bounded = asked.join(kth, "asked_id", "left").withColumn(
+        "asked_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).filter(
+            F.col("asked_shard") != first("asked_block"))
+    rest = search(bounded, rows.filter(F.col("shard") != first("block")))
     merged = best(seeds.select("query_id", "vec_id", "score").union(rest))
     return merged.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
