@@ -50,34 +50,59 @@ def permute(index: np.ndarray, size: int, key: int) -> np.ndarray:
     return values.astype(np.int64)
 
 
+#: Texts from which the compressor learns what token sequences look like, and the bytes it keeps of it.
+SAMPLE_TEXTS, DICTIONARY_BYTES = 500, 112_640
+
+
+def _cut(raw: bytes, length: int, end_id: int) -> np.ndarray:
+    """A text's ids and an end token in rows of ``length``, the last filled up with end tokens."""
+    n = len(raw) // 4 + 1
+    padded = np.full(-(-n // length) * length, end_id, "<u2")
+    padded[:n - 1] = np.frombuffer(raw, np.int32)
+    return padded.reshape(-1, length)
+
+
+def learn_dictionary(docs: DataFrame, vocabulary: Broadcast, length: int, end_id: int,
+                     text: str = "text") -> bytes:
+    """A compression dictionary from the sequences of at most SAMPLE_TEXTS texts; b"" if they are too few.
+
+    It only makes stored rows smaller: any dictionary gives the same rows back.
+    """
+    own = bpe.Encoder(vocabulary.value)
+    texts = docs.select(docs[text].cast("string").alias("text")).limit(SAMPLE_TEXTS)
+    rows = [row.tobytes() for t in texts.toLocalIterator()
+            if (raw := own.encode(t["text"])) for row in _cut(raw, length, end_id)]
+    if sum(map(len, rows)) < 4 * DICTIONARY_BYTES:
+        return b""
+    return zstandard.train_dictionary(DICTIONARY_BYTES, rows).as_bytes()
+
+
 def sequences(docs: DataFrame, vocabulary: Broadcast, length: int, end_id: int,
-              text: str = "text", key: str = "doc_id") -> DataFrame:
+              text: str = "text", key: str = "doc_id", dictionary: bytes = b"") -> DataFrame:
     """Rows of ``length`` token ids: ``doc_id``, ``seq_no`` (from 0), ``n_tokens``, ``payload``.
 
     A text's ids and an end token are cut into pieces; the last is filled up with end
-    tokens. ``payload`` is their 16-bit little-endian form, compressed. NULL texts and
-    those without tokens have no sequence.
+    tokens. ``payload`` is their 16-bit little-endian form, compressed with the help of
+    ``dictionary``, which ``write_shards`` then needs too. NULL texts and those without
+    tokens have no sequence.
     """
     schema = StructType([
         StructField("doc_id", docs.schema[key].dataType), StructField("seq_no", IntegerType()),
         StructField("n_tokens", IntegerType()), StructField("payload", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, packer = bpe.encoder(vocabulary), zstandard.ZstdCompressor(3)
+        own, packer = bpe.encoder(vocabulary), zstandard.ZstdCompressor(6, dict_data=_known(dictionary))
         for batch in batches:
             owners, numbers, counts, payloads = [], [], [], []
             for row, item in enumerate(batch.column(1)):
                 raw = own.encode(item.as_py())
                 if not raw:
                     continue
-                n = len(raw) // 4 + 1
-                pieces = -(-n // length)
-                padded = np.full(pieces * length, end_id, "<u2")
-                padded[:n - 1] = np.frombuffer(raw, np.int32)
-                owners += [row] * pieces
-                numbers += range(pieces)
-                counts += [min(length, n - i * length) for i in range(pieces)]
-                payloads += [packer.compress(p.tobytes()) for p in padded.reshape(pieces, length)]
+                n, pieces = len(raw) // 4 + 1, _cut(raw, length, end_id)
+                owners += [row] * len(pieces)
+                numbers += range(len(pieces))
+                counts += [min(length, n - i * length) for i in range(len(pieces))]
+                payloads += [packer.compress(p.tobytes()) for p in pieces]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0).take(pa.array(owners, pa.int64())), pa.array(numbers, pa.int32()),
                 pa.array(counts, pa.int32()), pa.array(payloads, pa.binary())], names=schema.names)
@@ -86,6 +111,10 @@ def sequences(docs: DataFrame, vocabulary: Broadcast, length: int, end_id: int,
                        run, schema)
 
 
+def _known(dictionary: bytes) -> zstandard.ZstdCompressionDict | None:
+    return zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+
+
 def assign_slots(rows: DataFrame, key: int, columns: list[str]) -> tuple[DataFrame, int]:
     """``columns`` of ``rows`` with a global ``slot`` each, and the number of slots.
 
@@ -116,7 +145,8 @@ def assign_slots(rows: DataFrame, key: int, columns: list[str]) -> tuple[DataFra
     return map_batches(numbered, run, schema), size
 
 
-def write_shards(slotted: DataFrame, size: int, folder: str, length: int, per_shard: int) -> DataFrame:
+def write_shards(slotted: DataFrame, size: int, folder: str, length: int, per_shard: int,
+                 dictionary: bytes = b"") -> DataFrame:
     """Writes all sequences by slot and gives a row for each: where it lies and what it is.
 
     Slot s is the ``length * 2`` bytes from ``s % per_shard * length * 2`` on in the
@@ -140,7 +170,7 @@ def write_shards(slotted: DataFrame, size: int, folder: str, length: int, per_sh
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = fs.FileSystem.from_uri(folder)
         files.create_dir(root, recursive=True)
-        unpack = zstandard.ZstdDecompressor()
+        unpack = zstandard.ZstdDecompressor(dict_data=_known(dictionary))
         name = stream = None
 
         def close() -> None:

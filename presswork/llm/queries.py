@@ -74,10 +74,13 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every token sequence of all documents with its place in the shards just written."""
     vocabulary = bpe.share(spark, public_tokenizers.path(WORD_VOCABULARY))
-    rows = materialise.sequences(table(spark, sf_dir, "documents"), vocabulary, SEQUENCE, END_ID)
+    docs = table(spark, sf_dir, "documents")
+    dictionary = materialise.learn_dictionary(docs, vocabulary, SEQUENCE, END_ID)
+    rows = materialise.sequences(docs, vocabulary, SEQUENCE, END_ID, dictionary=dictionary)
     slotted, size = materialise.assign_slots(rows, ORDER_KEY, rows.columns)
     written = materialise.write_shards(
-        slotted, size, shared_folder(spark, "token-shards"), SEQUENCE, SHARD_SEQUENCES)
+        slotted, size, shared_folder(spark, "token-shards"), SEQUENCE, SHARD_SEQUENCES,
+        dictionary)
     return written.drop("path")
 
 
