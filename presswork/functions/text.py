@@ -30,17 +30,20 @@ _CUT = "\ufdd0"
 # One left-to-right pass, in the order a tokenizer meets things: comments,
 # CDATA (its text stays, as group 1), elements whose text is never shown,
 # declarations and processing instructions, end tags, start tags with quoted
-# attribute values. The shared "<" in front lets the matcher skip plain text
+# attribute values. What never closes runs to the end of the text, so that no text is
+# searched twice for the same end. The shared "<" in front lets the matcher skip plain text
 # fast; the possessive loop keeps Java from recursing on long tags.
 _MARKUP = (
-    r"(?is)<(?:!--.*?-->"
-    r"|!\[CDATA\[(.*?)\]\]>"
-    r"|(script|style|template)(?=[\s/>])[^>]*>.*?(?:</\2\s*>|$)"
-    r"|(rt|rp)(?=[\s/>])[^>]*>.*?(?=</(?:\3|ruby)\s*>|$)"
+    r"(?is)<(?:!\[CDATA\[(.*?)(?:\]\]>|\z)"
+    r"|(script|style|template)(?=[\s/>])[^>]*>.*?(?:</\2\s*>|\z)"
+    r"|(rt|rp)(?=[\s/>])[^>]*>.*?(?=</(?:\3|ruby)\s*>|\z)"
     r"|(?:!(?!--)|\?)[^>]*>"
     r"|/[^>]*>"
     r"""|[a-z](?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>)"""
 )
+# The same with comments in front. A comment that never closes matches with all that
+# follows (group 4), so that the text is searched for its end once only.
+_COMMENT_OR_MARKUP = _MARKUP.replace("<", r"<(?:!--.*?-->|", 1) + r")|(<!--.*)\z"
 
 # A reference needs one more character after it; a closing semicolon is eaten.
 _REFERENCE = (
@@ -52,14 +55,16 @@ _COMMON_NAMES = ("amp", "quot", "nbsp", "lt", "gt", "apos", "copy", "middot")
 
 
 def _entity_names() -> str:
-    """All named references as a JSON object, the frequent ones first.
+    """All named references as JSON objects by their first and second letter.
 
-    A map lookup in Spark walks the entries in order.
+    A map lookup in Spark walks the entries in order, so the maps are kept short and
+    the frequent names come first.
     """
-    names = {name: html5[name + ";"] for name in _COMMON_NAMES}
-    for name, text in html5.items():
-        names.setdefault(name.rstrip(";"), text)
-    return json.dumps(names)
+    letters: dict[str, dict[str, dict[str, str]]] = {}
+    for name in (*_COMMON_NAMES, *(n.rstrip(";") for n in html5)):
+        text = html5.get(name + ";", html5.get(name))
+        letters.setdefault(name[0], {}).setdefault(name[1], {}).setdefault(name, text)
+    return json.dumps(letters)
 
 
 _ENTITY_JSON = _entity_names()
@@ -94,7 +99,8 @@ def _decode_reference(ref: Column) -> Column:
     ).otherwise(
         F.when(F.length(dec_digits) <= 7, F.concat(F.lit("0"), dec_digits).cast("long")))
     windows = F.from_json(F.lit(_WINDOWS_1252_JSON), "map<string,string>")
-    named = F.from_json(F.lit(_ENTITY_JSON), "map<string,string>")
+    letters = F.from_json(F.lit(_ENTITY_JSON), "map<string,map<string,map<string,string>>>")
+    named = F.try_element_at(F.try_element_at(letters, F.substring(body, 1, 1)), F.substring(body, 2, 1))
     return F.when(
         F.startswith(body, F.lit("#")),
         F.coalesce(F.try_element_at(windows, code.cast("string")), _code_point(code)),
@@ -133,11 +139,17 @@ def html_text(html: Column) -> Column:
 
     Left out: tags, comments, declarations, processing instructions, and the
     text of script, style, template and ruby annotation elements. Known gaps
-    against a tree-building parser: a comment that never closes stays as text
-    with its inner tags removed, a tag whose attribute quote never closes is
-    read up to the next ``>``, and templates inside templates end early.
+    against a tree-building parser: a tag whose attribute quote never closes is
+    read up to the next ``>``, and templates inside templates end early. A comment
+    that never closes stays as text, with the tags after it removed; a CDATA part
+    that never closes stays with all that follows.
     """
-    bare = F.regexp_replace(html, _MARKUP, _CUT + "$1")
+    def rest_of(text: Column) -> Column:
+        at = F.instr(text, "<!--")
+        rest = F.regexp_replace(F.substring(text, at, 1 << 30), _MARKUP, _CUT + "$1")
+        return F.when(at > 0, F.concat(F.left(text, at - 1), rest)).otherwise(text)
+
+    bare = with_value(F.regexp_replace(html, _COMMENT_OR_MARKUP, _CUT + "$1$4"), rest_of)
     return F.replace(decode_entities(bare), F.lit(_CUT), F.lit(""))
 
 

@@ -5,11 +5,78 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from presswork.functions.text import html_text
+from presswork.operators.binding import bind
 
-# Text that only looks like markup, taken out first.
-_UNSHOWN = r"(?is)<!--.*?-->|<(script|style|template)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|$)"
-_BLOCK = (r"(?is)<(?:(p|ul|blockquote)(?=[\s/>])[^>]*>.*?</\1\s*>|img(?=[\s/>])[^>]*>)")
-_ITEM = r"(?is)<li(?=[\s/>])[^>]*>(.*?)(?=<li[\s/>]|</li\s*>|</ul\s*>|$)"
+# Text that only looks like markup, taken out first. What never closes runs to the end.
+_UNSHOWN = (r"(?is)<!--.*?(?:-->|\z)"
+            r"|<(script|style|template)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\z)")
+_TAG = r"(?is)<(/?[a-z][a-z0-9]*)(?=[\s/>])[^>]*+>"
+
+# Elements that never have content.
+_VOID = "area|base|br|col|embed|hr|img|input|link|meta|param|source|track|wbr"
+
+# Tags by name, closing ones with a slash; a void one, or one that closes itself, is ">"
+# and its name.
+_NAME = f"""transform(arrays_zip(names, tags), t -> CASE
+  WHEN lower(t.names) RLIKE '^({_VOID})$' OR t.tags LIKE '%/>' THEN concat('>', lower(t.names))
+  ELSE lower(t.names) END)"""
+
+# One pass over the names with the open elements as a stack, "/div/p/" for a paragraph in
+# a div. A closing tag also closes what was opened after its element, and counts for
+# nothing without one. ``found`` gets a block when the stack is down to where it began
+# (``depth``), or the text ends (``last`` is then past the tags).
+_OUTERMOST = """aggregate(sequence(0, size(elements)),
+  named_struct('stack', '/', 'depth', 0, 'first', 0, 'found', cast(array() AS array<struct<first:int,last:int>>)),
+  (s, i) -> CASE
+    WHEN i = size(elements) THEN CASE WHEN s.depth = 0 THEN s ELSE named_struct('stack', '/', 'depth', 0,
+      'first', 0, 'found', array_append(s.found, named_struct('first', s.first, 'last', i))) END
+    WHEN startswith(elements[i], '>') THEN CASE
+      WHEN s.depth = 0 AND elements[i] IN ('>img', '>p', '>ul', '>blockquote') THEN named_struct(
+        'stack', s.stack, 'depth', 0, 'first', 0,
+        'found', array_append(s.found, named_struct('first', i, 'last', i)))
+      ELSE s END
+    WHEN NOT startswith(elements[i], '/') THEN named_struct('stack', concat(s.stack, elements[i], '/'),
+      'depth', if(s.depth = 0 AND elements[i] IN ('p', 'ul', 'blockquote'), length(s.stack), s.depth),
+      'first', if(s.depth = 0, i, s.first), 'found', s.found)
+    WHEN instr(s.stack, concat(elements[i], '/')) = 0 THEN s
+    ELSE transform(array(left(s.stack, length(s.stack) - length(substring_index(
+      s.stack, concat(elements[i], '/'), -1)) - length(elements[i]))), stack ->
+        named_struct('stack', stack, 'depth', if(length(stack) <= s.depth, 0, s.depth), 'first', s.first,
+          'found', if(s.depth > 0 AND length(stack) <= s.depth,
+            array_append(s.found, named_struct('first', s.first, 'last', i)), s.found)))[0] END,
+  s -> s.found)"""
+
+# The same inside a list: each open list is a "u", followed by an "l" while it has an open
+# item. An item ends at its closing tag, at the next item of its list, or with its list.
+_ITEMS = """aggregate(sequence(0, size(elements)),
+  named_struct('stack', '', 'open', cast(array() AS array<int>),
+    'found', cast(array() AS array<struct<first:int,last:int>>)),
+  (s, i) -> CASE
+    WHEN i = size(elements) THEN named_struct('stack', '', 'open', s.open, 'found', concat(s.found,
+      transform(s.open, x -> named_struct('first', x, 'last', i))))
+    WHEN elements[i] = 'ul' THEN named_struct('stack', concat(s.stack, 'u'), 'open', s.open, 'found', s.found)
+    WHEN elements[i] = 'li' AND s.stack NOT LIKE '%l' THEN named_struct(
+      'stack', concat(s.stack, 'l'), 'open', array_append(s.open, i), 'found', s.found)
+    WHEN elements[i] IN ('li', '/li', '/ul') AND s.stack LIKE '%l' THEN named_struct(
+      'stack', CASE elements[i] WHEN 'li' THEN s.stack WHEN '/li' THEN left(s.stack, length(s.stack) - 1)
+        ELSE left(s.stack, length(s.stack) - 2) END,
+      'open', CASE elements[i] WHEN 'li' THEN array_append(slice(s.open, 1, size(s.open) - 1), i)
+        ELSE slice(s.open, 1, size(s.open) - 1) END,
+      'found', array_append(s.found, named_struct('first', element_at(s.open, -1), 'last', i)))
+    WHEN elements[i] = '/ul' THEN named_struct(
+      'stack', left(s.stack, greatest(length(s.stack) - 1, 0)), 'open', s.open, 'found', s.found)
+    ELSE s END,
+  s -> array_sort(s.found))"""
+
+
+def _tokens(df: DataFrame, text: Column) -> DataFrame:
+    """Adds ``tags``, the ``gaps`` around them and their ``elements``, each worked out once."""
+    read = F.struct(
+        F.regexp_extract_all(text, F.lit(_TAG), 0).alias("tags"),
+        F.split(text, _TAG, -1).alias("gaps"),
+        F.regexp_extract_all(text, F.lit(_TAG), 1).alias("names"))
+    out = bind(df, "_read", read).select(*df.columns, "_read.*")
+    return bind(out, "elements", F.expr(_NAME))
 
 
 def _attribute(tag: Column, name: str) -> Column:
@@ -20,30 +87,34 @@ def _attribute(tag: Column, name: str) -> Column:
 
 
 def html_blocks(df: DataFrame, key: str, html_column: str) -> DataFrame:
-    """(key, pos, kind, text, src, alt, is_svg), one row per block in order.
+    """(key, pos, item, kind, text, src, alt, is_svg), one row per block in order.
 
     Kinds are p, img, li and blockquote; a ul gives one row per item. Blocks are
     the outermost ones at any depth: a paragraph in a quotation belongs to the
-    quotation. A pattern cannot see unclosed paragraphs or nested lists as a
-    tree would: the former run to the next closing tag, the latter end early.
+    quotation. A block without a closing tag runs to the end of the document, and
+    an item's text takes in the lists inside it, whose items have rows too.
     """
     body = F.regexp_replace(F.col(html_column), _UNSHOWN, "")
-    blocks = df.select(
-        F.col(key),
-        F.posexplode(F.regexp_extract_all(body, F.lit(_BLOCK), 0)).alias("_block_pos", "_block"))
-    kind = F.lower(F.regexp_extract("_block", r"^<([A-Za-z]+)", 1))
-    pieces = F.when(kind == "ul", F.regexp_extract_all(F.col("_block"), F.lit(_ITEM), 1)).otherwise(
-        F.array("_block"))
-    items = blocks.select(
-        key, F.when(kind == "ul", F.lit("li")).otherwise(kind).alias("kind"), "_block_pos",
-        F.posexplode(pieces).alias("_item_pos", "_piece"))
+    read = _tokens(df.select(F.col(key).alias("_key"), body.alias("_body")), F.col("_body"))
+    # The tags and gaps from the first tag to the last one, or to the end of the text.
+    whole = """transform(found, f -> concat(array_join(transform(slice(tags, f.first + 1, f.last - f.first),
+      (tag, k) -> concat(tag, gaps[f.first + k + 1])), ''), coalesce(get(tags, f.last), '')))"""
+    read = bind(read.select("_key", "tags", "gaps", F.expr(_OUTERMOST).alias("found")), "_whole", F.expr(whole))
+    blocks = read.select("_key", F.posexplode("_whole").alias("pos", "_block"))
+    blocks = blocks.withColumn("_kind", F.lower(F.regexp_extract("_block", r"^<([A-Za-z]+)", 1)))
+    is_list = F.col("_kind") == "ul"
+    inner = _tokens(blocks, F.when(is_list, F.col("_block")).otherwise(""))
+    item = """transform(found, f -> concat(gaps[f.first + 1], array_join(transform(
+      slice(tags, f.first + 2, f.last - f.first - 1), (tag, k) -> concat(tag, gaps[f.first + k + 2])), '')))"""
+    inner = bind(inner, "found", F.expr(_ITEMS))
+    pieces = F.when(is_list, F.expr(item)).otherwise(F.array("_block"))
+    items = inner.select(
+        "_key", "pos", F.when(is_list, "li").otherwise(F.col("_kind")).alias("kind"),
+        F.posexplode(pieces).alias("item", "_piece"))
     is_image = F.col("kind") == "img"
     src = F.when(is_image, _attribute(F.col("_piece"), "src"))
     return items.select(
-        key,
-        F.col("_block_pos").alias("pos"),
-        F.col("_item_pos").alias("item"),
-        "kind",
+        F.col("_key").alias(key), "pos", "item", "kind",
         F.when(~is_image, html_text(F.col("_piece"))).alias("text"),
         src.alias("src"),
         F.when(is_image, _attribute(F.col("_piece"), "alt")).alias("alt"),

@@ -171,8 +171,7 @@ for _pattern in (r"(?s)<!--.*?-->", r"(?is)<script\b[^>]*>.*?(</script\s*>|$)",
                  r"(?is)<style\b[^>]*>.*?(</style\s*>|$)",
                  r"(?is)<template\b[^>]*>.*?(</template\s*>|$)"):
     _SHOWN = f"regexp_replace({_SHOWN}, '{_pattern}', '', 'g')"
-_BLOCK = "(?is)" + "|".join(
-    rf"<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>" for tag in ("p", "ul", "blockquote")) + r"|<img\s[^>]*>"
+
 
 
 def clean(column: str) -> str:
@@ -193,6 +192,66 @@ def matched(haystack: str, pairs) -> str:
     return f"[x FOR x IN [{cases}] IF x IS NOT NULL]"
 
 
+_TAG = r"(?is)<(/?[a-z][a-z0-9]*)(?:[\s/][^>]*)?>"
+_VOID = "area|base|br|col|embed|hr|img|input|link|meta|param|source|track|wbr"
+
+
+def blocks(body: str) -> str:
+    """Rows of the outermost blocks, by a walk over the tags with the open elements as a stack."""
+    return f"""
+WITH RECURSIVE bodies AS (SELECT page_id, {body} AS body FROM pages),
+tokens AS (
+  SELECT page_id, regexp_extract_all(body, '{_TAG}') AS tags, regexp_extract_all(body, '{_TAG}', 1) AS names,
+    regexp_split_to_array(body, '{_TAG}') AS gaps FROM bodies),
+numbered AS (SELECT *, unnest(range(1, len(tags) + 1)) AS i FROM tokens),
+elements AS (
+  SELECT page_id, i, lower(names[i]) AS name, tags[i] AS tag, gaps[i + 1] AS gap,
+    regexp_full_match(lower(names[i]), '{_VOID}') OR tags[i] LIKE '%/>' AS void FROM numbered),
+walk AS (
+  SELECT page_id, 0 AS i, '/' AS stack, 0 AS depth, 0 AS first, 0 AS begun, 0 AS ended FROM bodies
+  UNION ALL
+  SELECT page_id, i, stack, if(stays, depth, 0), first,
+    CASE WHEN lone THEN i WHEN depth > 0 AND NOT stays THEN first ELSE 0 END,
+    if(lone OR (depth > 0 AND NOT stays), i, 0)
+  FROM (
+    SELECT *, void AND depth = 0 AND name IN ('img', 'p', 'ul', 'blockquote') AS lone,
+      length(stack) > depth AS stays
+    FROM (
+      SELECT w.page_id, e.i, e.name, e.void,
+        CASE WHEN void THEN stack WHEN name NOT LIKE '/%' THEN stack || name || '/'
+          WHEN position(name || '/' IN stack) = 0 THEN stack
+          ELSE left(stack, length(stack) - position(reverse(name || '/') IN reverse(stack)) - length(name) + 1)
+          END AS stack,
+        CASE WHEN depth = 0 AND NOT void AND name IN ('p', 'ul', 'blockquote') THEN length(stack)
+          ELSE depth END AS depth,
+        if(depth = 0, e.i, first) AS first
+      FROM walk w JOIN elements e ON e.page_id = w.page_id AND e.i = w.i + 1))),
+ends AS (
+  SELECT page_id, begun, ended FROM walk WHERE begun > 0
+  UNION ALL
+  SELECT page_id, first, i + 1
+  FROM (SELECT *, max(i) OVER (PARTITION BY page_id) AS n FROM walk) WHERE i = n AND depth > 0),
+kinds AS (
+  SELECT page_id, begun, ended, row_number() OVER (PARTITION BY page_id ORDER BY begun) - 1 AS pos FROM ends),
+whole AS (
+  SELECT k.page_id, pos, any_value(name) FILTER (i = begun) AS tag,
+    string_agg(if(i < ended, e.tag || gap, e.tag), '' ORDER BY i) AS block
+  FROM kinds k JOIN elements e ON e.page_id = k.page_id AND e.i BETWEEN begun AND ended GROUP BY ALL),
+pieces AS (
+  SELECT page_id, pos, CASE WHEN tag = 'ul' THEN 'li' ELSE tag END AS kind,
+    CASE WHEN tag = 'ul' THEN regexp_extract_all(block, '(?is)<li(?:\\s[^>]*)?>(.*?)</li\\s*>', 1)
+      ELSE [block] END AS parts
+  FROM whole),
+items AS (
+  SELECT page_id, pos, kind, unnest(range(len(parts))) AS item, unnest(parts) AS part FROM pieces)
+SELECT page_id, pos, item, kind,
+  CASE WHEN kind <> 'img' THEN {html_text('part')} END AS text,
+  CASE WHEN kind = 'img' THEN regexp_extract(part, '(?i)\\ssrc="([^"]*)"', 1) END AS src,
+  CASE WHEN kind = 'img' THEN regexp_extract(part, '(?i)\\salt="([^"]*)"', 1) END AS alt,
+  CASE WHEN kind = 'img' THEN regexp_matches(part, '(?i)\\ssrc="[^"]*\\.svg"') END AS is_svg
+FROM items""".replace("\\\\", "\\")
+
+
 def keyword_rows(columns: str, pairs) -> str:
     """Rows of the content view that meet a keyword, with the list of those met."""
     return f"""(
@@ -325,26 +384,8 @@ SELECT id, array_to_string(keywords, ', ') AS keywords FROM {keyword_rows('id',
 SELECT id, array_to_string(keywords, ', ') AS keywords FROM {keyword_rows('id', [('', 1)])}"""),
     "keyword_match_many": using("content", f"""
 SELECT id, array_to_string(keywords, ', ') AS keywords FROM {keyword_rows('id', MANY_PAIRS)}"""),
-    "html_blocks": f"""
-WITH bodies AS (SELECT page_id, {_SHOWN} AS body FROM pages),
-lists AS (SELECT page_id, regexp_extract_all(body, '{_BLOCK}') AS blocks FROM bodies),
-rows AS (
-  SELECT page_id, unnest(range(len(blocks))) AS pos, unnest(blocks) AS block FROM lists),
-kinds AS (
-  SELECT page_id, pos, block, lower(regexp_extract(block, '^<([A-Za-z]+)', 1)) AS tag FROM rows),
-pieces AS (
-  SELECT page_id, pos, CASE WHEN tag = 'ul' THEN 'li' ELSE tag END AS kind,
-    CASE WHEN tag = 'ul' THEN regexp_extract_all(block, '(?is)<li(?:\\s[^>]*)?>(.*?)</li\\s*>', 1)
-      ELSE [block] END AS parts
-  FROM kinds),
-items AS (
-  SELECT page_id, pos, kind, unnest(range(len(parts))) AS item, unnest(parts) AS part FROM pieces)
-SELECT page_id, pos, item, kind,
-  CASE WHEN kind <> 'img' THEN {html_text('part')} END AS text,
-  CASE WHEN kind = 'img' THEN regexp_extract(part, '(?i)\\ssrc="([^"]*)"', 1) END AS src,
-  CASE WHEN kind = 'img' THEN regexp_extract(part, '(?i)\\salt="([^"]*)"', 1) END AS alt,
-  CASE WHEN kind = 'img' THEN regexp_matches(part, '(?i)\\ssrc="[^"]*\\.svg"') END AS is_svg
-FROM items""".replace("\\\\", "\\"),
+    "html_blocks": blocks(_SHOWN),
+    "html_blocks_unclosed": blocks(f"regexp_replace({_SHOWN}, '(?i)</(p|ul|blockquote)\\s*>', '', 'g')"),
     "registered_domain": f"SELECT page_id, url, {domain()} AS domain FROM pages",
     "registered_domain_table": f"SELECT page_id, url, {domain()} AS domain FROM pages",
     "registered_domain_kinds": "WITH kinds AS (SELECT * FROM (VALUES "

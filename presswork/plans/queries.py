@@ -165,6 +165,13 @@ def _html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks(standin.table(spark, sf_dir, "pages"), "page_id", "html")
 
 
+def _html_blocks_unclosed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks of pages that leave their paragraphs, lists and quotations open."""
+    html = F.regexp_replace("html", r"(?i)</(p|ul|blockquote)\s*>", "")
+    pages = standin.table(spark, sf_dir, "pages").select("page_id", html.alias("html"))
+    return html_blocks(pages, "page_id", "html")
+
+
 #: Endings for the hosts of pages, one of each kind of rule, and the domain under each.
 HOST_KINDS = [
     ("a.b.co.uk", "b.co.uk"), ("a.b.com.ar", "b.com.ar"), ("a.b.gov.au", "b.gov.au"),
@@ -455,6 +462,7 @@ QUERIES: dict[str, Query] = {
     "keyword_match_default": partial(_keyword_match, DEFAULT_PAIRS),
     "keyword_match_many": partial(_keyword_match, MANY_PAIRS),
     "html_blocks": _html_blocks,
+    "html_blocks_unclosed": _html_blocks_unclosed,
     "registered_domain": partial(_domains, False),
     "registered_domain_table": partial(_domains, True),
     "registered_domain_kinds": _domain_kinds,

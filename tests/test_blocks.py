@@ -1,3 +1,6 @@
+import random
+from html.parser import HTMLParser
+
 from presswork.operators.blocks import html_blocks
 
 HTML = (
@@ -22,3 +25,53 @@ def test_blocks_in_order(spark):
         (1, 5, 0, "blockquote", "quoted", None, None, None),
         (1, 6, 0, "img", None, None, None, False),
     ]
+
+
+class Blocks(HTMLParser):
+    """Outermost p, ul and blockquote elements, by a stack of open elements."""
+
+    def __init__(self):
+        super().__init__()
+        self.stack, self.rows, self.depth = [], [], None
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("p", "ul", "blockquote") and self.depth is None:
+            self.rows.append([tag, ""])
+            self.depth = len(self.stack)
+        self.stack.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag in self.stack:
+            while self.stack.pop() != tag:
+                pass
+            if self.depth is not None and len(self.stack) <= self.depth:
+                self.depth = None
+
+    def handle_data(self, data):
+        if self.depth is not None:
+            self.rows[-1][1] += data
+
+
+def test_unclosed_and_nested_blocks_as_a_stack_parser(spark):
+    dice = random.Random(8)
+    parts = ["<p>", "</p>", "<ul>", "</ul>", "<blockquote>", "</blockquote>", "<b>", "</b>", "x", " y ", "z"]
+    pages = [(i, "".join(dice.choices(parts, k=dice.choice([3, 8, 30])))) for i in range(300)]
+    # A list has rows for its items only, so these lists have none.
+    shown = {}
+    for r in html_blocks(spark.createDataFrame(pages, "id int, html string"), "id", "html").collect():
+        shown.setdefault(r.id, []).append((r.pos, r.kind, r.text))
+    for i, page in pages:
+        parser = Blocks()
+        parser.feed(page)
+        parser.close()
+        expected = [(pos, kind, text) for pos, (kind, text) in enumerate(parser.rows) if kind != "ul"]
+        assert sorted(shown.get(i, [])) == expected, page
+
+
+def test_items_of_open_and_nested_lists(spark):
+    pages = ["<ul><li>x", "<ul><li>a<ul><li>b</li></ul>c</li></ul>", "<ul><li>x<li>y</ul>z<ul><li>w</ul>",
+             "<p>one<p>two", "<ul></li><li>a</li>b</ul>", "<!-- <p>a"]
+    found = html_blocks(spark.createDataFrame(list(enumerate(pages)), "id int, html string"), "id", "html")
+    rows = [(r.id, r.pos, r.item, r.text) for r in found.orderBy("id", "pos", "item").collect()]
+    assert rows == [(0, 0, 0, "x"), (1, 0, 0, "abc"), (1, 0, 1, "b"), (2, 0, 0, "x"), (2, 0, 1, "y"),
+                    (2, 1, 0, "w"), (3, 0, 0, "onetwo"), (4, 0, 0, "a")]
