@@ -145,6 +145,8 @@ class Encoder:
             chunk = chunk.lower()
             if chunk.isalpha():
                 return self.words(chunk)
+            if chunk[-1] in ",." and chunk[:-1].isalpha():
+                return self.words(chunk[:-1]) + self.words(chunk[-1])
         else:
             # Letter by letter, so that a sigma at the end of a word is like any other.
             chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()

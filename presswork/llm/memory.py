@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 #: Words remembered in each of two generations, in each Python worker.
-REMEMBERED = 250_000
+REMEMBERED = 350_000
 
 
 class Memory:
