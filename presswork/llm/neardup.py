@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import (
-    ArrayType, BinaryType, IntegerType, LongType, StructField, StructType)
+    ArrayType, BinaryType, LongType, StructField, StructType)
 
 from presswork.llm.components import connected_components
 from presswork.llm.memory import Memory
@@ -60,8 +60,8 @@ def shingles_of(text: str | None, hashes: Memory) -> np.ndarray:
     return np.unique(_mix(total))
 
 
-def sketch_of(shingles: np.ndarray) -> tuple[bytes, int]:
-    """REGISTERS 16-bit registers, and in how many buckets a shingle fell.
+def sketch_of(shingles: np.ndarray) -> tuple[bytes, bytes]:
+    """REGISTERS 16-bit registers, and one bit each that tells whether a shingle fell in the bucket.
 
     A bucket keeps its least hash, compressed to the count of leading zeros and the
     bits after the first one. An empty bucket borrows from another one, in an order
@@ -77,7 +77,7 @@ def sketch_of(shingles: np.ndarray) -> tuple[bytes, int]:
         empty = np.flatnonzero(~filled)
         lender = _PROBES[empty, np.argmax(filled[_PROBES[empty]], axis=1)]
         registers[empty] = registers[lender]
-    return registers.astype(np.uint16).tobytes(), int(filled.sum())
+    return registers.astype(np.uint16).tobytes(), np.packbits(filled).tobytes()
 
 
 def band_keys(registers: bytes) -> np.ndarray:
@@ -94,7 +94,7 @@ def sketches(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     schema = StructType([
         StructField("doc_id", docs.schema[key].dataType), StructField("n_shingles", LongType()),
         StructField("set_id", BinaryType()), StructField("registers", BinaryType()),
-        StructField("filled", IntegerType())])
+        StructField("filled", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Memory(xxhash.xxh3_64_intdigest)
@@ -103,11 +103,11 @@ def sketches(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
             for item in batch.column(1):
                 found = shingles_of(item.as_py(), hashes)
                 rows.append((len(found), _digest(found), *sketch_of(found)) if len(found)
-                            else (0, None, None, 0))
+                            else (0, None, None, None))
             n, digests, registers, filled = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()),
-                pa.array(registers, pa.binary()), pa.array(filled, pa.int32())], names=schema.names)
+                pa.array(registers, pa.binary()), pa.array(filled, pa.binary())], names=schema.names)
 
     return map_batches(docs.select(docs[key].alias("doc_id"), docs[text].cast("string").alias("text")),
                        run, schema)
@@ -151,23 +151,30 @@ def _explode_bands(classes: DataFrame) -> DataFrame:
     return map_batches(classes.select("set_id", "registers"), run, schema)
 
 
-def estimate(agreeing: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """Jaccard similarity from the number of agreeing registers.
+def estimate(agreeing: np.ndarray, either: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Jaccard similarity from the filled buckets: agreeing ones among those that ``either`` set fills.
 
     Registers of unlike sets also agree by chance, since they are short; the expected
-    number of such agreements (the published approximation for HyperMinHash) is taken off.
+    share of such agreements (the published approximation for HyperMinHash) is taken off.
     """
     ratio = np.maximum(n_a, n_b) / np.maximum(np.minimum(n_a, n_b), 1)
-    chance = 0.169919487159739 * REGISTERS * 2.0 ** -MANTISSA_BITS * 4 * ratio / (1 + ratio) ** 2
-    return (agreeing - chance) / REGISTERS
+    chance = 0.169919487159739 * 2.0 ** -MANTISSA_BITS * 4 * ratio / (1 + ratio) ** 2
+    return agreeing / np.maximum(either, 1) - chance
 
 
-def _promising(agreeing, n_a, n_b, filled_a, filled_b) -> np.ndarray:
-    """Whether a pair may be a link: its estimate is not six deviations below the threshold."""
-    sharp = np.minimum(filled_a, filled_b).clip(1)
-    least = PERCENT / 100 - 6 * np.sqrt(0.1875 / sharp)
+def _promising(agreeing, either, n_a, n_b) -> np.ndarray:
+    """Whether a pair may be a link: its estimate is not five deviations below the threshold.
+
+    The deviation is at most that of REGISTERS independent draws: sets with fewer shingles
+    than buckets mostly have a bucket for each. Of sets with very few all pairs pass.
+    """
+    least = PERCENT / 100 - 5 * np.sqrt(0.1875 / REGISTERS)
     alike = 100 * np.minimum(n_a, n_b) >= PERCENT * np.maximum(n_a, n_b)
-    return alike & (estimate(agreeing, n_a, n_b) >= least)
+    return alike & ((estimate(agreeing, either, n_a, n_b) >= least) | (np.maximum(n_a, n_b) < 16))
+
+
+def _bits(filled: list[bytes]) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b"".join(filled), np.uint8)).reshape(-1, REGISTERS).astype(bool)
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -185,8 +192,9 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             if batch.num_rows:
                 ra, rb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16)
                           .reshape(-1, REGISTERS) for i in (2, 3))
-                numbers = [batch.column(i).to_numpy() for i in range(4, 8)]
-                good = _promising((ra == rb).sum(axis=1), *numbers)
+                fa, fb = (_bits(batch.column(i).to_pylist()) for i in (6, 7))
+                good = _promising(((ra == rb) & fa & fb).sum(axis=1), (fa | fb).sum(axis=1),
+                                  batch.column(4).to_numpy(), batch.column(5).to_numpy())
                 yield batch.select(["a", "b"]).filter(pa.array(good))
 
     return map_batches(both, run, schema)
@@ -214,19 +222,23 @@ def _block_pairs(budget: int):
         same = block["i"][0] == block["j"][0]
         registers = np.frombuffer(b"".join(block["registers"]), np.uint16).reshape(-1, REGISTERS)
         labels = np.unique(block["label"], return_inverse=True)[1]
-        n, filled = block["n_shingles"], block["filled"]
+        n, filled = block["n_shingles"], _bits(block["filled"])
+        counts, numbers = filled.sum(axis=1), filled[y].T.astype(np.float32)
         found = []
         for start in range(0, len(x), 32):
             part = x[start:start + 32, None]
-            agreeing = (registers[part] == registers[y][None]).sum(axis=2)
-            good = _promising(agreeing, n[part], n[y][None], filled[part], filled[y][None])
+            both = filled[part] & filled[y][None]
+            agreeing = ((registers[part] == registers[y][None]) & both).sum(axis=2)
+            either = counts[part] + counts[y][None] - (filled[x[start:start + 32]] @ numbers).astype(int)
+            good = _promising(agreeing, either, n[part], n[y][None])
             good &= labels[part] != labels[y][None]
             if same:
                 good &= part < y[None]
             a, b = np.nonzero(good)
-            found.append(np.stack([x[a + start], y[b], agreeing[a, b]]))
-        a, b, agreeing = np.concatenate(found, axis=1) if found else np.zeros((3, 0), int)
-        order = np.argsort(-agreeing, kind="stable")
+            score = agreeing[a, b] * 1_000_000 // np.maximum(either[a, b], 1)
+            found.append(np.stack([x[a + start], y[b], score]))
+        a, b, score = np.concatenate(found, axis=1) if found else np.zeros((3, 0), int)
+        order = np.argsort(-score, kind="stable")
         root = list(range(len(labels)))
 
         def find(k: int) -> int:
@@ -246,9 +258,9 @@ def _block_pairs(budget: int):
         return a[picked], b[picked], len(picked) < len(order)
 
     def finished(rows: pa.Table) -> pa.RecordBatch | None:
-        names = ["block", "i", "j", "n_shingles", "filled"]
+        names = ["block", "i", "j", "n_shingles"]
         block = {c: rows.column(c).to_numpy() for c in names}
-        block |= {c: np.array(rows.column(c).to_pylist(), object) for c in ("label", "registers")}
+        block |= {c: np.array(rows.column(c).to_pylist(), object) for c in ("label", "registers", "filled")}
         a, b, left = pairs(block)
         if not len(a):
             return None
@@ -342,7 +354,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id",
     links = durable_table(_verified(tested, sets))
     labels = connected_components(links)
     for turn in range(max_rounds):
-        found = durable_table(_open_pairs(members, labels, classes, 4 ** (turn + 1)))
+        found = durable_table(_open_pairs(members, labels, classes, 4 ** turn))
         pairs = found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("_n")).select("a", "b")
         fresh = durable_table(_verified(pairs.join(tested, ["a", "b"], "left_anti"), sets))
         if not fresh.isEmpty():
