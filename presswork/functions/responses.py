@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from presswork.functions.text import strip
+from presswork.functions.text import strip, with_value
 
 
 def message_text(response: Column, default: str) -> Column:
@@ -15,10 +15,11 @@ def message_text(response: Column, default: str) -> Column:
 
 def image_url(response: Column) -> Column:
     """The URL of the first image; NULL when missing, empty or not a string."""
-    reply = F.try_parse_json(response)
-    url = F.try_variant_get(reply, "$.data[0].url", "string")
-    kind = F.schema_of_variant(F.try_variant_get(reply, "$.data[0].url", "variant"))
-    return F.when((kind == "STRING") & (url != ""), url)
+    def text_of(value: Column) -> Column:
+        url = F.try_variant_get(value, "$", "string")
+        return F.when((F.schema_of_variant(value) == "STRING") & (url != ""), url)
+
+    return with_value(F.try_variant_get(F.try_parse_json(response), "$.data[0].url", "variant"), text_of)
 
 
 def string_urls(urls: Column) -> Column:

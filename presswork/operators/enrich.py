@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from presswork.functions.responses import image_url, message_text
 from presswork.functions.text import filled, first_filled, join_list, split_list
+from presswork.operators.binding import bind
 from presswork.operators.filters import needs_translation
 from presswork.operators.tags import TAG_TARGET, short_tag_lists, tag_quota
 
@@ -114,9 +115,8 @@ def translation_prompts(content: DataFrame, source_language: str = "en",
 
 def translation_updates(replies: DataFrame) -> DataFrame:
     """(content_id, seq, translation) of the replies that hold any text."""
-    text = message_text(F.col("response"), "")
-    return replies.select("content_id", "seq", text.alias("translation")).where(
-        filled(F.col("translation")))
+    read = bind(replies, "translation", message_text(F.col("response"), ""))
+    return read.select("content_id", "seq", "translation").where(filled(F.col("translation")))
 
 
 def article_prompts(content: DataFrame, site: str) -> DataFrame:
@@ -134,8 +134,8 @@ def article_prompts(content: DataFrame, site: str) -> DataFrame:
 
 def generated_articles(replies: DataFrame) -> DataFrame:
     """(content_id, seq, article) of the replies that hold an article."""
-    text = message_text(F.col("response"), NO_ARTICLE)
-    return replies.select("content_id", "seq", text.alias("article")).where(
+    read = bind(replies, "article", message_text(F.col("response"), NO_ARTICLE))
+    return read.select("content_id", "seq", "article").where(
         filled(F.col("article")) & (F.col("article") != NO_ARTICLE))
 
 
@@ -153,5 +153,5 @@ def image_prompts(content: DataFrame, images: int = 1) -> DataFrame:
 
 def generated_image_urls(replies: DataFrame) -> DataFrame:
     """(content_id, seq, url) of the replies that name an image."""
-    return replies.select("content_id", "seq", image_url(F.col("response")).alias("url")).where(
-        F.col("url").isNotNull())
+    read = bind(replies, "url", image_url(F.col("response")))
+    return read.select("content_id", "seq", "url").where(F.col("url").isNotNull())

@@ -104,8 +104,13 @@ def by_id(df: DataFrame, content_id: int) -> DataFrame:
 
 
 def by_url(df: DataFrame, url: str) -> DataFrame:
-    """At most one row with this URL; whether there is any is the answer."""
-    return df.where(F.col("url") == url).limit(1)
+    """The row with this URL, of several the one with the least id; no row when there is none."""
+    return df.where(F.col("url") == url).orderBy("id").limit(1)
+
+
+def url_stored(df: DataFrame, url: str) -> DataFrame:
+    """Whether any row has this URL, as one row."""
+    return df.where(F.col("url") == url).agg((F.count("*") > 0).alias("stored"))
 
 
 def since_days(df: DataFrame, as_of: dt.datetime | str, days: int = 7) -> DataFrame:

@@ -13,7 +13,7 @@ from presswork.functions.suffixes import SuffixRules
 from presswork.operators import filters
 from presswork.operators.domains import with_domain
 from presswork.operators.enrich import main_content, main_summary
-from presswork.operators.keywords import DEFAULT_PAIRS, match_keywords
+from presswork.operators.keywords import DEFAULT_PAIRS, keyword_pairs, match_keywords
 from presswork.operators.ordering import SORT_COLUMNS, sort_articles
 
 
@@ -69,7 +69,7 @@ def article_list(content: DataFrame, request: ListRequest) -> DataFrame:
     df = filters.by_date_range(df, request.start, request.end, request.end_inclusive_day)
     df = filters.title_search(df, request.title, mode="any")
     df = filters.by_domain(with_domain(df, request.rules), request.domain)
-    df = match_keywords(df, request.pairs)
+    df = match_keywords(df, keyword_pairs(request.pairs))
     if request.title_mode == "bag":
         df = filters.title_search(df, request.title, mode="bag")
     cards = article_cards(df).repartition("id")

@@ -18,7 +18,7 @@ from presswork.plans.queries import (
 
 AS_OF = "TIMESTAMP '2024-01-15 00:00:00'"
 
-_LINE = "substr(split_part(d.text, chr(10), 1), 1, 80)"
+_LINE = "split_part(d.text, chr(10), 1)"
 _SECOND = "(d.lang <> 'en' OR d.doc_id % 3 = 0)"
 
 CTES = {
@@ -33,8 +33,8 @@ CTES = {
     c.c_name AS author,
     CAST(floor(e.value) AS INTEGER) AS views,
     CASE WHEN d.doc_id % 101 <> 0 THEN d.source END AS source,
-    CASE WHEN d.lang = 'en' THEN substr(d.text, 1, 300) END AS summary,
-    CASE WHEN d.lang <> 'en' THEN substr(d.text, 1, 300) END AS summary_persian,
+    CASE WHEN d.lang = 'en' THEN d.text END AS summary,
+    CASE WHEN d.lang <> 'en' THEN d.text END AS summary_persian,
     CASE WHEN d.doc_id % 89 <> 0 THEN e.value END AS final_score,
     e.event_type AS type
   FROM documents d
@@ -42,8 +42,7 @@ CTES = {
   LEFT JOIN pages p ON p.page_id = d.doc_id
   LEFT JOIN customer c ON c.c_custkey = d.doc_id)""",
     "tag_lists": """tag_lists AS (
-  SELECT doc_id AS content_id, lang,
-    list_slice(regexp_extract_all(lower(text), '[a-z]{4,}'), 1, doc_id % 10) AS tags
+  SELECT doc_id AS content_id, lang, regexp_extract_all(lower(text), '[a-z]{12,}') AS tags
   FROM documents)""",
     "wanted": """wanted AS (
   SELECT content_id, lang, unnest(range(len(tags))) AS pos, unnest(tags) AS tag
@@ -65,18 +64,18 @@ CTES = {
     "images": """images AS (
   SELECT page_id AS content_id, 'img' || page_id || '.png' AS image_url,
     CASE WHEN page_id % 4 = 0 THEN ''
-      ELSE regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) END AS image
+      ELSE html END AS image
   FROM pages)""",
     "items": """items AS (
   SELECT id AS seq, id % 2 = 0 AS is_full,
     CASE WHEN id % 13 = 0 THEN rpad(coalesce(title, ''), 256, 'x') ELSE title END AS title,
-    title_persian, date, id % 19 = 0 AS bad_date, content_persian AS content, url, author,
+    title_persian, date, id % 19 = 0 AS bad_date, content, url, author,
     CASE WHEN id % 2 = 0 THEN views ELSE 0 END AS views,
-    source, final_score, type, t.tags
+    source, summary, summary_persian, final_score, type, t.tags
   FROM content JOIN tag_lists t ON t.content_id = content.id
   UNION ALL
   SELECT page_id + 1000000000000, false, NULL, NULL, TIMESTAMP '2024-01-20 08:00:00', false,
-    NULL, url, 'desk', 0, 'wire', NULL, NULL, NULL
+    NULL, url, 'desk', 0, 'wire', NULL, NULL, NULL, NULL, NULL
   FROM pages)""",
     # Of the even records every key is there; of the odd ones those with a value.
     "judged": """judged AS (
@@ -87,6 +86,7 @@ CTES = {
     WHEN NOT is_full AND source IS NULL THEN 'missing_source'
     WHEN bad_date THEN 'bad_date'
     WHEN length(title) > 255 THEN 'title_too_long'
+    WHEN length(title_persian) > 255 THEN 'title_persian_too_long'
   END AS reject_reason FROM items)""",
     "fresh": """fresh AS (
   SELECT * EXCLUDE (copy) FROM (
@@ -343,7 +343,9 @@ FROM content WHERE date IS NOT NULL GROUP BY 1"""),
         "content", facet("domain", f"(SELECT {_DOMAIN} AS domain FROM content)")),
     "url_count": using("content", f"SELECT count(*) AS n FROM content WHERE url = {text(ONE_URL)}"),
     "article_by_url": using(
-        "content", f"SELECT id, url FROM content WHERE url = {text(ONE_URL)} LIMIT 1"),
+        "content", f"SELECT id, url FROM content WHERE url = {text(ONE_URL)} ORDER BY id LIMIT 1"),
+    "url_stored": using(
+        "content", f"SELECT count(*) > 0 AS stored FROM content WHERE url = {text(ONE_URL)}"),
     "title_search_bag": using("content", "\nUNION ALL\n".join(
         f"SELECT id, title, title_persian FROM content WHERE {found(c, TITLE_PATTERN)}"
         for c in ("title_persian", "title"))),
@@ -377,7 +379,7 @@ SELECT id, {count('t', 'the')} AS n_the, {count('t', 'èr')} AS n_accented,
   CASE WHEN t = '' THEN 1 ELSE
     (length(t) - length(replace(t, substr(t, 1, 2), ''))) // greatest(length(substr(t, 1, 2)), 1)
   END AS n_own_start
-FROM (SELECT id, lower(content_persian) AS t FROM content)"""),
+FROM (SELECT id, lower({clean('content')}) AS t FROM content)"""),
     "keyword_match": using("content", f"""
 SELECT id, array_to_string(keywords, ', ') AS keywords FROM {keyword_rows('id', PAIRS)}"""),
     "keyword_match_default": using("content", f"""
@@ -434,7 +436,9 @@ SELECT id,
   CASE WHEN is_full THEN title_persian ELSE coalesce(title_persian, '') END AS title_persian,
   {moment()},
   CASE WHEN is_full THEN content ELSE coalesce(content, '') END AS content,
-  '' AS content_persian, url, author, views, source, '' AS summary, '' AS summary_persian,
+  '' AS content_persian, url, author, views, source,
+  CASE WHEN is_full THEN summary ELSE coalesce(summary, '') END AS summary,
+  CASE WHEN is_full THEN summary_persian ELSE coalesce(summary_persian, '') END AS summary_persian,
   CASE WHEN is_full THEN final_score ELSE coalesce(final_score, 0) END AS final_score,
   coalesce(type, 'News') AS type
 FROM added"""),

@@ -18,6 +18,7 @@ from presswork.functions.text import (
 from presswork.functions.responses import string_urls
 from presswork.functions.urls import host
 from presswork.operators import enrich, filters, ingest, stats, tags as tagging
+from presswork.operators.binding import bind
 from presswork.operators.blocks import html_blocks
 from presswork.operators.domains import with_domain
 from presswork.operators.ids import assign_ids
@@ -97,6 +98,10 @@ def _by_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.by_url(standin.content(spark, sf_dir, "id", "url"), ONE_URL)
 
 
+def _url_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.url_stored(standin.content(spark, sf_dir, "url"), ONE_URL)
+
+
 def _title_search(mode: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     titles = standin.content(spark, sf_dir, "id", "title", "title_persian")
     return filters.title_search(titles, TITLE_PATTERN, mode)
@@ -145,8 +150,8 @@ def _clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _keyword_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = standin.content(spark, sf_dir, "id", "content_persian")
-    rows = rows.withColumn("text", F.lower("content_persian"))
+    rows = standin.content(spark, sf_dir, "id", "content")
+    rows = bind(rows, "text", F.lower(clean_html(F.col("content"))))
     text = F.col("text")
     return rows.select(
         "id",
@@ -444,6 +449,7 @@ QUERIES: dict[str, Query] = {
     "facet_domain": partial(_facet, "domain"),
     "url_count": _url_count,
     "article_by_url": _by_url,
+    "url_stored": _url_stored,
     "title_search_bag": partial(_title_search, "bag"),
     "title_search_any": partial(_title_search, "any"),
     "content_search_bag": _content_search,

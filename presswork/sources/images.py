@@ -9,14 +9,16 @@ from presswork.schema import CONTENT_IMAGES, conform
 
 
 def image_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """(image_url, image_data) of every file under a folder.
+    """(image_url, image_data) of every file under a folder that is not empty.
 
-    ``image_url`` is where the file lies, as Spark spells it.
+    ``image_url`` is where the file lies, as Spark spells it. Empty files are left out by
+    their length, before any bytes are read.
     """
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
         .load(folder)
+        .where("length > 0")
     )
     return files.select(F.col("path").alias("image_url"), F.col("content").alias("image_data"))
 
@@ -36,11 +38,14 @@ def link_images(files: DataFrame, owners: DataFrame) -> DataFrame:
 def new_images(linked: DataFrame, after: int = 0) -> DataFrame:
     """Rows to append to the image table.
 
-    Keys are numbered without the image bytes, which join their id afterwards.
+    Each gets an id of its own, also several under one URL and item; the same bytes
+    there are one image. Keys are numbered without the bytes, which join their id by a
+    digest afterwards.
     """
-    keys = linked.select("content_id", "image_url").distinct()
-    numbered = assign_ids(keys, ["content_id", "image_url"], after=after)
-    return conform(numbered.join(linked, ["content_id", "image_url"]), CONTENT_IMAGES)
+    keys = ["content_id", "image_url", "_digest"]
+    digested = linked.withColumn("_digest", F.sha2("image_data", 256))
+    numbered = assign_ids(digested.select(*keys).distinct(), keys, after=after)
+    return conform(numbered.join(digested.dropDuplicates(keys), keys).drop("_digest"), CONTENT_IMAGES)
 
 
 def images_of(images: DataFrame, content_id: int) -> DataFrame:

@@ -18,8 +18,8 @@ AS_OF = "2024-01-15 00:00:00"
 
 _FROM_EVENTS = {"date", "views", "final_score", "type"}
 _FROM_PAGES = {"content", "url"}
-_ITEM_COLUMNS = ("id", "title", "title_persian", "date", "content_persian", "url", "author",
-                 "views", "source", "final_score", "type", "tags")
+_ITEM_COLUMNS = ("id", "title", "title_persian", "date", "content", "url", "author", "views",
+                 "source", "summary", "summary_persian", "final_score", "type", "tags")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,8 +35,7 @@ def content(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     names = columns or tuple(CONTENT.fieldNames())
     doc = F.col("doc_id")
     second = (F.col("lang") != "en") | (doc % 3 == 0)
-    first_line = F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 80)
-    opening = F.substring("text", 1, 300)
+    first_line = F.split_part("text", F.lit("\n"), F.lit(1))
     every = {
         "id": doc,
         "title": F.when(F.col("lang") == "en", first_line),
@@ -48,11 +47,11 @@ def content(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
         "author": F.col("c_name"),
         "views": F.floor("value").cast("int"),
         "source": F.when(doc % 101 != 0, F.col("source")),
-        "summary": F.when(F.col("lang") == "en", opening),
-        "summary_persian": F.when(F.col("lang") != "en", opening),
+        "summary": F.when(F.col("lang") == "en", F.col("text")),
+        "summary_persian": F.when(F.col("lang") != "en", F.col("text")),
         "final_score": F.when(doc % 89 != 0, F.col("value")),
         "type": F.col("event_type"),
-        "tags": first_words(F.col("text"), doc),
+        "tags": long_words(F.col("text")),
     }
     rows = table(spark, sf_dir, "documents").drop("n_chars")
     if _FROM_EVENTS & set(names):
@@ -66,16 +65,15 @@ def content(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return rows.select(*[every[name].alias(name) for name in names])
 
 
-def first_words(text: Column, doc: Column) -> Column:
-    """The words that stand in for a document's tags, up to nine."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]{4,}"), 0)
-    return F.slice(words, 1, (doc % 10).cast("int"))
+def long_words(text: Column) -> Column:
+    """The words that stand in for a document's tags: all of twelve letters or more."""
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z]{12,}"), 0)
 
 
 def tag_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(content_id, tags) of every document."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("content_id"), "text")
-    return bind(docs, "tags", first_words(F.col("text"), F.col("content_id"))).drop("text")
+    return bind(docs, "tags", long_words(F.col("text"))).drop("text")
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +89,9 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
                   .otherwise(F.col("title")),
         "title_persian": F.col("title_persian"),
         "date": F.when(doc % 19 == 0, F.lit("some day")).otherwise(F.col("date").cast("string")),
-        "content": F.col("content_persian"),
+        "content": F.col("content"),
+        "summary": F.col("summary"),
+        "summary_persian": F.col("summary_persian"),
         "url": F.col("url"),
         "author": F.col("author"),
         "views": F.col("views"),
@@ -139,13 +139,12 @@ def translations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def image_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(content_id, image_url, image_data): a page's heading as image bytes."""
-    heading = F.regexp_extract("html", r"(?s)<h1>(.*?)</h1>", 1)
-    heading = F.when(F.col("page_id") % 4 == 0, "").otherwise(heading)
+    """(content_id, image_url, image_data): a whole page as image bytes."""
+    page = F.when(F.col("page_id") % 4 == 0, "").otherwise(F.col("html"))
     return table(spark, sf_dir, "pages").select(
         F.col("page_id").alias("content_id"),
         F.concat(F.lit("img"), "page_id", F.lit(".png")).alias("image_url"),
-        F.encode(heading, "UTF-8").alias("image_data"))
+        F.encode(page, "UTF-8").alias("image_data"))
 
 
 def image_replies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,3 +77,12 @@ def test_image_files(spark, tmp_path):
     assert sorted((r.id, r.image_data is None) for r in by_item.collect()) == [
         (1, False), (1, False), (3, True)]
     assert by_item.where(F.col("id") == 3).count() == 1
+
+
+def test_two_images_of_one_url_get_ids_of_their_own(spark):
+    from presswork.sources.images import new_images
+    rows = [(1, "a.png", b"x"), (1, "a.png", b"y"), (2, "a.png", b"x"), (1, "a.png", b"x")]
+    linked = spark.createDataFrame(rows, "content_id long, image_url string, image_data binary")
+    found = new_images(linked, after=10).collect()
+    assert sorted(r.id for r in found) == [11, 12, 13]
+    assert {(r.content_id, bytes(r.image_data)) for r in found} == {(1, b"x"), (1, b"y"), (2, b"x")}
