@@ -138,7 +138,8 @@ def _shingle_sets(docs: DataFrame) -> DataFrame:
 
 
 def _explode_bands(classes: DataFrame) -> DataFrame:
-    schema = StructType([StructField("band", LongType()), StructField("set_id", BinaryType())])
+    schema = StructType([StructField("band", LongType()), StructField("no", LongType()),
+                         StructField("set_id", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,7 +147,8 @@ def _explode_bands(classes: DataFrame) -> DataFrame:
                 keys = np.concatenate([band_keys(r.as_py()) for r in batch.column(1)])
                 owner = np.repeat(np.arange(batch.num_rows), BANDS)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys), batch.column(0).take(pa.array(owner))], names=schema.names)
+                    [pa.array(keys), pa.array(np.tile(np.arange(BANDS), batch.num_rows)),
+                     batch.column(0).take(pa.array(owner))], names=schema.names)
 
     return map_batches(classes.select("set_id", "registers"), run, schema)
 
@@ -222,7 +224,8 @@ def _block_pairs(budget: int):
         same = block["i"][0] == block["j"][0]
         registers = np.frombuffer(b"".join(block["registers"]), np.uint16).reshape(-1, REGISTERS)
         labels = np.unique(block["label"], return_inverse=True)[1]
-        n, filled = block["n_shingles"], _bits(block["filled"])
+        n, filled, no = block["n_shingles"], _bits(block["filled"]), block["no"][0]
+        earlier = np.ascontiguousarray(registers).view(np.uint64)[:, :no]
         counts, numbers = filled.sum(axis=1), filled[y].T.astype(np.float32)
         found = []
         for start in range(0, len(x), 32):
@@ -235,6 +238,9 @@ def _block_pairs(budget: int):
             if same:
                 good &= part < y[None]
             a, b = np.nonzero(good)
+            # A pair that meets in several bands is looked at in the first one only.
+            once = ~(earlier[x[a + start]] == earlier[y[b]]).any(axis=1)
+            a, b = a[once], b[once]
             score = agreeing[a, b] * 1_000_000 // np.maximum(either[a, b], 1)
             found.append(np.stack([x[a + start], y[b], score]))
         a, b, score = np.concatenate(found, axis=1) if found else np.zeros((3, 0), int)
@@ -258,7 +264,7 @@ def _block_pairs(budget: int):
         return a[picked], b[picked], len(picked) < len(order)
 
     def finished(rows: pa.Table) -> pa.RecordBatch | None:
-        names = ["block", "i", "j", "n_shingles"]
+        names = ["block", "i", "j", "n_shingles", "no"]
         block = {c: rows.column(c).to_numpy() for c in names}
         block |= {c: np.array(rows.column(c).to_pylist(), object) for c in ("label", "registers", "filled")}
         a, b, left = pairs(block)
@@ -293,15 +299,16 @@ def _block_pairs(budget: int):
 def _open_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, budget: int) -> DataFrame:
     """Promising pairs of different components in all buckets, with their ``band`` and ``left``.
 
-    Of buckets with the same members, one is looked into.
+    Of buckets with the same members, the one of the first band is looked into.
     """
     known = members.join(labels.withColumnRenamed("id", "set_id"), "set_id", "left").select(
-        "band", "set_id", F.coalesce("label", "set_id").alias("label"))
-    split = known.groupBy("band").agg(
+        "band", "no", "set_id", F.coalesce("label", "set_id").alias("label"))
+    split = known.groupBy("band", "no").agg(
         F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("rows"),
         F.sum(F.xxhash64("set_id").cast("decimal(20,0)")).alias("who"),
         F.sum(F.xxhash64(F.lit(1), "set_id").cast("decimal(20,0)")).alias("and_who"))
-    split = split.filter("low <> high").groupBy("rows", "who", "and_who").agg(F.min("band").alias("band"))
+    split = split.filter("low <> high").groupBy("rows", "who", "and_who").agg(
+        F.min(F.struct("no", "band")).alias("first")).select("rows", "first.band")
     blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
     keys = ["band", "i", "j"]
     placed = (known.join(split.select("band", "rows"), "band")
@@ -309,7 +316,7 @@ def _open_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, budge
               .withColumn("block", F.pmod(F.xxhash64("set_id"), blocks).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
               .select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                      "block", "set_id", "label", "registers", "n_shingles", "filled"))
+                      "block", "no", "set_id", "label", "registers", "n_shingles", "filled"))
     return map_batches(placed.repartition(*keys).sortWithinPartitions(*keys), _block_pairs(budget),
                        "a binary, b binary, band long, left boolean")
 
@@ -319,7 +326,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id",
     """Per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``.
 
     Texts with the same shingles are one class. Classes whose registers agree in a band
-    meet in a bucket. In each bucket all are first paired with the least; pairs that
+    meet in a bucket. In each bucket all are first paired with the one that meets most
+    classes in all its buckets; pairs that
     the collision-corrected estimate promises are checked on their full sets, and the
     links make components. In buckets that still hold several components, promising
     pairs across them are looked for in blocks of BLOCK members and checked, the best
@@ -338,8 +346,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id",
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"),
         F.first("registers").alias("registers"), F.first("filled").alias("filled")))
     banded = _explode_bands(classes)
-    met = banded.groupBy("band").agg(F.min("set_id").alias("pivot"), F.count("*").alias("rows"))
-    members = durable_table(banded.join(met.filter("rows > 1").select("band", "pivot"), "band"))
+    met = banded.groupBy("band").agg(F.count("*").alias("rows")).filter("rows > 1")
+    members = durable_table(banded.join(met, "band"))
+    # The class that meets most others, such as the text that copies were made from.
+    meets = members.groupBy("set_id").agg(F.sum("rows").alias("meets"))
+    pivots = members.join(meets, "set_id").groupBy("band").agg(
+        F.max(F.struct("meets", "set_id")).alias("most")).select("band", F.col("most.set_id").alias("pivot"))
+    members = members.drop("rows")
     texts = docs.select(docs[key].alias("doc_id"), docs[text].cast("string").alias("text"))
     meeting = members.select("set_id").distinct().join(classes.select("set_id", "doc_id"), "set_id")
     wanted = meeting.select("doc_id").distinct()
@@ -348,13 +361,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id",
     sets = durable_table(
         _shingle_sets(again).join(meeting.select("set_id"), "set_id", "left_semi")
         .groupBy("set_id").agg(F.first("shingles").alias("shingles")))
-    stars = members.filter("set_id <> pivot").select(
+    stars = members.join(pivots, "band").filter("set_id <> pivot").select(
         F.col("pivot").alias("a"), F.col("set_id").alias("b")).distinct()
     tested = durable_table(_estimated(stars, classes))
     links = durable_table(_verified(tested, sets))
     labels = connected_components(links)
     for turn in range(max_rounds):
-        found = durable_table(_open_pairs(members, labels, classes, 4 ** turn))
+        found = durable_table(_open_pairs(members, labels, classes, 4 ** turn - 1))
         pairs = found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("_n")).select("a", "b")
         fresh = durable_table(_verified(pairs.join(tested, ["a", "b"], "left_anti"), sets))
         if not fresh.isEmpty():
