@@ -19,10 +19,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each component of near duplicates."""
-    found = neardup.near_duplicates(docs)
-    dropped = found.filter(~found["kept"]).select(found["doc_id"].alias("_dropped"))
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["_dropped"]), "left_anti")
+    """The document with the least id of each component of near duplicates, one row of each."""
+    return neardup.one_of_each(docs)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

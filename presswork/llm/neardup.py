@@ -86,15 +86,17 @@ def band_keys(registers: bytes) -> np.ndarray:
     return _mix(packed + _mix(np.arange(1, BANDS + 1, dtype=np.uint64))).view(np.int64)
 
 
-def sketches(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per row: the key, ``n_shingles``, ``set_id``, ``registers``, ``filled``.
+def sketches(docs: DataFrame, text: str = "text", key: str = "doc_id",
+             row: str | None = None) -> DataFrame:
+    """Per row: the key, ``n_shingles``, ``set_id``, ``registers``, ``filled``, and the long ``row``.
 
     ``set_id`` is a 128-bit digest of the shingle set; NULL for a text without words.
     """
+    carried = [row] if row else []
     schema = StructType([
         StructField("doc_id", docs.schema[key].dataType), StructField("n_shingles", LongType()),
         StructField("set_id", BinaryType()), StructField("registers", BinaryType()),
-        StructField("filled", BinaryType())])
+        StructField("filled", BinaryType()), *[StructField(c, LongType()) for c in carried]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Memory(xxhash.xxh3_64_intdigest)
@@ -107,10 +109,11 @@ def sketches(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
             n, digests, registers, filled = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()),
-                pa.array(registers, pa.binary()), pa.array(filled, pa.binary())], names=schema.names)
+                pa.array(registers, pa.binary()), pa.array(filled, pa.binary()),
+                *batch.columns[2:]], names=schema.names)
 
-    return map_batches(docs.select(docs[key].alias("doc_id"), docs[text].cast("string").alias("text")),
-                       run, schema)
+    return map_batches(docs.select(docs[key].alias("doc_id"), docs[text].cast("string").alias("text"),
+                                   *[docs[c] for c in carried]), run, schema)
 
 
 def _digest(shingles: np.ndarray) -> bytes:
@@ -339,9 +342,46 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id",
     nothing and kept. Texts of fewer than five words are alike only if equal. Rows with
     a repeated key are rows of their own in one component if their texts are alike;
     ``component_id`` is the least key, ``kept`` tells whether it is the row's own. A
-    NULL key never is the least unless all are NULL.
+    NULL key never is the least unless all are NULL. ``one_of_each`` keeps one row.
     """
     rows = durable_table(sketches(docs, text, key))
+    named = _labelled(rows, docs, text, key, max_rounds)
+    least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    of_class = named.join(least, "label").select("set_id", "component_id")
+    return (rows.select("doc_id", "n_shingles", "set_id").join(of_class, "set_id", "left")
+            .withColumn("component_id", F.when(F.col("set_id").isNull(), F.col("doc_id"))
+                        .otherwise(F.col("component_id")))
+            .select("doc_id", "n_shingles", "component_id",
+                    F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
+
+
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id",
+                max_rounds: int = 30) -> DataFrame:
+    """``docs`` with one row of each component of near duplicates, and all rows without words.
+
+    The row with the least key stays, NULL keys last; of several such rows the one that
+    stands first in the table in which the rows are written and numbered. Rows are told
+    apart by that number alone, so keys may be NULL, repeated, or stand on unlike texts.
+    """
+    row = "_row"
+    while row in docs.columns:
+        row = f"_{row}"
+    stored = durable_table(docs.withColumn(row, F.monotonically_increasing_id()))
+    rows = durable_table(sketches(stored, text, key, row))
+    named = _labelled(rows, stored, text, key, max_rounds)
+    worded = rows.filter("set_id IS NOT NULL").select("set_id", "doc_id", F.col(row).alias("_at"))
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "_at")
+    # First within a class, then within a component: both reduce before they shuffle.
+    of_class = worded.groupBy("set_id").agg(F.min(rank).alias("_first"))
+    elected = (of_class.join(named.select("set_id", "label"), "set_id")
+               .groupBy("label").agg(F.min("_first").alias("_first")).select("_first._at"))
+    dropped = worded.select("_at").join(elected, "_at", "left_anti")
+    return stored.join(dropped, stored[row] == dropped["_at"], "left_anti").select(
+        *[stored[f"`{c}`"] for c in docs.columns])
+
+
+def _labelled(rows: DataFrame, docs: DataFrame, text: str, key: str, max_rounds: int) -> DataFrame:
+    """Each class of ``rows`` (sketches of ``docs``): ``set_id``, least ``doc_id``, component ``label``."""
     classes = durable_table(rows.filter("set_id IS NOT NULL").groupBy("set_id").agg(
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"),
         F.first("registers").alias("registers"), F.first("filled").alias("filled")))
@@ -380,13 +420,6 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id",
         tested = durable_table(tested.union(pairs))
     else:
         raise RuntimeError(f"pairs are left unchecked after {max_rounds} rounds")
-    named = (rows.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-             .join(labels.withColumnRenamed("id", "set_id"), "set_id", "left")
-             .select("set_id", "doc_id", F.coalesce("label", "set_id").alias("label")))
-    least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of_class = named.join(least, "label").select("set_id", "component_id")
-    return (rows.select("doc_id", "n_shingles", "set_id").join(of_class, "set_id", "left")
-            .withColumn("component_id", F.when(F.col("set_id").isNull(), F.col("doc_id"))
-                        .otherwise(F.col("component_id")))
-            .select("doc_id", "n_shingles", "component_id",
-                    F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
+    return (rows.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
+            .join(labels.withColumnRenamed("id", "set_id"), "set_id", "left")
+            .select("set_id", "doc_id", F.coalesce("label", "set_id").alias("label")))

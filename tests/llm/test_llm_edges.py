@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from presswork.llm import (
     balltree, bpe, components, edits, materialise, mixing, neardup, pii, quality, samples, sharding,
     toxicity)
@@ -239,6 +240,21 @@ def test_near_duplicate_edges(docs, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_stage_keeps_one_row_of_each_component(spark):
+    """Ids that are NULL, repeated, or stand on a unique text and on a copy of a smaller id's."""
+    base = WORDS[:100]
+    text, near, alone = " ".join(base), " ".join(["new", *base[1:]]), [" ".join(WORDS[n:n + 60]) for n in (110, 180, 240)]
+    rows = [(None, near, "a"), (None, alone[0], "b"), (None, None, "c"), (None, "", "d"), (1, text, "e"), (1, text, "f"),
+            (1, text, "f"), (2, near, "g"), (2, alone[1], "h"), (None, alone[2], "i"), (None, alone[2], "j"), (1, "", "k")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _row string").repartition(3)
+    kept = corpus_pipeline.drop_near_duplicates(spark, frame, "")
+    assert kept.columns == frame.columns
+    got = sorted(tuple(r)[2] for r in kept.collect())
+    assert [x for x in got if x not in "efij"] == ["b", "c", "d", "h", "k"]
+    assert len([x for x in got if x in "ef"]) == 1 == len([x for x in got if x in "ij"])
+    assert corpus_pipeline.drop_near_duplicates(spark, frame.limit(0), "").count() == 0
+
+
 def test_near_duplicates_of_a_large_group(spark):
     """Copies of one text that mostly reach each other only through others, in blocks."""
     dice = random.Random(4)
