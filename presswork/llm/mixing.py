@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from presswork.session import durable
+from presswork.session import durable, durable_table
 
 #: Largest mean drawn with one uniform number; larger means are sums of several draws.
 CHUNK = 32
@@ -12,6 +12,8 @@ CHUNK = 32
 STEPS = 128
 #: Uniform numbers have so many bits.
 BITS = 52
+#: Equal rows that are counted off in one place; more are dealt out in runs of so many.
+TWINS = 1024
 
 
 def keyed_bits(*parts: Column | str) -> Column:
@@ -57,21 +59,49 @@ def _distribution(mean: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS - 1)), start, step, lambda s: s["cdf"])
 
 
+def _told_apart(keyed: DataFrame) -> DataFrame:
+    """``_record``, ``_from`` and a ``_key`` (text) that no two rows share.
+
+    A key that stands on one row is left alone, so its hashes are a function of the key.
+    Rows that share a key, NULL and the empty text being one, add a digest of the whole
+    row and, for equal rows, a number from 0. Equal rows are counted before they are
+    shuffled, and dealt out in runs, so they may be most rows.
+    """
+    keyed = keyed.withColumn("_key", F.coalesce("_key", F.lit("")))
+    shared = durable_table(keyed.groupBy("_key").agg(F.count("*").alias("_n")).filter("_n > 1")
+                           .select(F.col("_key").alias("_shared")))
+    if shared.isEmpty():
+        return keyed
+    sharing = F.col("_key") == F.col("_shared")
+    equal = durable_table(keyed.join(shared, sharing, "left_semi")
+                          .groupBy("_record", "_from", "_key").agg(F.count("*").alias("_n")))
+    marked = equal.withColumn("_key", F.concat_ws("|", "_key", F.md5(F.to_json("_record", {"ignoreNullFields": "false"}))))
+    few = marked.filter(F.col("_n") <= TWINS).withColumn("_twin", F.explode(F.expr("sequence(0L, _n - 1)")))
+    runs = (marked.filter(F.col("_n") > TWINS)
+            .withColumn("_start", F.explode(F.expr(f"sequence(0L, _n - 1, {TWINS}L)")))
+            .repartition("_key", "_start")
+            .withColumn("_twin", F.explode(F.expr(f"sequence(_start, least(_start + {TWINS}, _n) - 1)"))))
+    columns = ["_record", "_from", F.concat_ws("|", "_key", "_twin").alias("_key")]
+    return (keyed.join(shared, sharing, "left_anti")
+            .union(few.select(*columns)).union(runs.select(*columns)))
+
+
 def replicate(docs: DataFrame, rates: DataFrame, seed: str = "mix", key: str = "doc_id",
               source: str = "source", copy: str = "copy_no", order: str = "mix_key",
               partitions: int | None = None) -> DataFrame:
     """Each document as often as its Poisson draw says, in a global random order.
 
     The draw inverts the distribution whose mean is the source's rate at a number
-    hashed from ``seed`` and the key, so it is the same on every run and machine. A
-    mean above CHUNK is split into equal parts with a draw each. Adds ``copy`` (int,
+    hashed from ``seed`` and the key, so it is the same on every run and machine. Rows
+    with one key, NULL keys and repeated rows too, each have a draw and a place of their
+    own: they hash their content and a number among equal rows as well, since one draw
+    for all would lose or repeat them together and put them in one place. A mean above CHUNK is split into equal parts with a draw each. Adds ``copy`` (int,
     from 0) and ``order`` (long), which replace columns of those names. Rows are
     dealt to partitions by ranges of ``order``, which needs no sampling since hashes
     are spread evenly, and sorted inside: files in the order of their names, rows in
     theirs, are the global order.
 
-    Rows with one key, repeated rows and NULL keys draw the same count. A NULL source
-    draws at its own rate; a source without a row in ``rates``, or with rate 0, gives
+    A NULL source draws at its own rate; a source without a row in ``rates``, or with rate 0, gives
     no copies. Texts are carried whole, NULL and empty ones too. An empty table gives
     an empty table.
     """
@@ -83,8 +113,8 @@ def replicate(docs: DataFrame, rates: DataFrame, seed: str = "mix", key: str = "
         F.col("source").alias("_source"), parts.alias("_parts"),
         _distribution(F.col("rate") / parts).alias("_cdf"))
     record = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_record")
-    keyed = docs.select(record, F.col(f"`{source}`").alias("_from"),
-                        F.col(f"`{key}`").cast("string").alias("_key"))
+    keyed = _told_apart(docs.select(record, F.col(f"`{source}`").alias("_from"),
+                                    F.col(f"`{key}`").cast("string").alias("_key")))
     joined = keyed.join(drawn, F.col("_from").eqNullSafe(F.col("_source")))
 
     def draw(j: Column) -> Column:

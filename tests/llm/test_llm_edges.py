@@ -138,6 +138,32 @@ def test_mixing(docs, none, spark):
     assert order == sorted(order)
 
 
+def test_mixing_draws_for_each_row_of_an_id(spark):
+    """NULL ids, one id on many texts, and equal rows: no group vanishes, repeats or sorts as one."""
+    wanted = spark.createDataFrame([("a", 1, 0.5)], "source string, bytes long, rate double")
+    parts = {
+        "null": spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("n"), "id").alias("text")),
+        "one": spark.range(4000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("o"), "id").alias("text")),
+        "equal": spark.range(4000).select(F.lit(8).cast("long").alias("doc_id"), F.lit("e").alias("text")),
+        "own": spark.range(4000).select((F.col("id") + 100).alias("doc_id"), F.concat(F.lit("u"), "id").alias("text"))}
+    rows = None
+    for kind, part in parts.items():
+        part = part.select("*", F.lit("a").alias("source"), F.lit(kind).alias("kind"))
+        rows = part if rows is None else rows.union(part)
+    mixed = mixing.replicate(rows, wanted, partitions=5)
+    got = mixed.collect()
+    for kind in parts:
+        own = [r for r in got if r.kind == kind]
+        assert len(own) == pytest.approx(2000, rel=0.1)
+        assert len({r.mix_key for r in own}) == len(own)
+    again = mixing.replicate(rows.repartition(7), wanted, partitions=5).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+    alone = mixing.replicate(rows.filter("kind = 'own'"), wanted, partitions=5).collect()
+    assert sorted(map(str, alone)) == sorted(str(r) for r in got if r.kind == "own")
+    for null in (r for r in got if r.kind == "null"):
+        assert null.doc_id is None and null.text.startswith("n")
+
+
 def test_sharding(docs, none, spark):
     sizes = docs.select("doc_id", sharding.document_size("text").alias("size"), "shard")
     rows = sharding.shard_by_bytes(sizes, 3, ["doc_id"]).collect()
