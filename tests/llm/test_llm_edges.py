@@ -100,6 +100,22 @@ def test_sample_is_bounded(docs, spark):
     assert samples.labelled_sample(docs, labels, "toxic").count() == 9
 
 
+def test_sample_is_bounded_with_a_repeated_id(spark):
+    texts = spark.range(3000).select(
+        F.when(F.col("id") < 1000, 5).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    labels = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("toxic"))
+    for bound in (1, 50, 1500, 2000, 2002, 9000):
+        rows = samples.labelled_sample(texts, labels, "toxic", max_rows=bound).collect()
+        assert len(rows) <= bound and len({r.text for r in rows}) == len(rows)
+        assert sum(int(r.text[1:]) < 1000 for r in rows) <= samples.PER_KEY
+        if bound == 9000:
+            assert len(rows) == 2000 + samples.PER_KEY
+            again = samples.labelled_sample(texts.repartition(5), labels, "toxic", max_rows=bound).collect()
+            assert sorted(map(tuple, again)) == sorted(map(tuple, rows))
+    ranked = samples.labelled_sample(texts, labels, "toxic")
+    assert "WindowGroupLimit" in ranked._jdf.queryExecution().executedPlan().toString()
+
+
 def test_factorization_learns_a_pair(spark):
     dice = random.Random(5)
     rows = []
