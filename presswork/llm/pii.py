@@ -10,10 +10,14 @@ MALE = "Mr|Herr|Señor|Sr|Monsieur|Sir"
 FEMALE = "Mrs|Ms|Miss|Frau|Señora|Sra|Madame|Mme"
 OPEN = "Dr|Prof"
 _TITLE = rf"(?:{FEMALE}|{MALE}|{OPEN})"
-_NAME = r"\p{Lu}[\p{L}'’-]{1,40}"
 _GAP = r"[ .#*$%&|!()-]{0,6}"
 _NO_WORD = r"(?![\p{L}\p{N}])"
 _AFTER_NO_WORD = r"(?<![\p{L}\p{N}])"
+#: Titles in a row, such as "Herr Dr. ".
+_TITLES = rf"(?:{_TITLE}\.? )+"
+_WORD = r"(?=\p{Lu}[\p{L}\p{M}'’-])\p{Lu}[\p{L}\p{M}]*+(?:['’-]++[\p{L}\p{M}]++)*+"
+#: "Smith", "J.", "J.-P.", "J.Smith", or the "J" of "J Smith".
+_NAME = rf"(?:(?:\p{{Lu}}\.-?)++(?:{_WORD})?+|{_WORD}|\p{{Lu}}(?= \p{{Lu}}[\p{{L}}\p{{M}}'’.-])){_NO_WORD}"
 
 #: What is looked for, in the order of preference at one place of a text.
 PATTERNS = {
@@ -24,10 +28,12 @@ PATTERNS = {
     "card": r"(?<![\p{L}\p{N}])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7})" + _NO_WORD,
     "phone": rf"\+\d{{1,3}}{_GAP}\d{{2,4}}{_GAP}\d{{2,4}}(?:{_GAP}\d{{2,4}}){{0,3}}{_NO_WORD}"
              rf"|(?<![\p{{L}}\p{{N}}])\(?\d{{3}}\)?[ .-]\d{{3}}[ .-]\d{{4}}{_NO_WORD}",
-    "secret": _AFTER_NO_WORD + r"(?=[A-Fa-f]*\d)[0-9A-Fa-f]{32,128}" + _NO_WORD,
-    "name": _AFTER_NO_WORD + rf"{_TITLE}\.? {_NAME}(?: {_NAME})?{_NO_WORD}",
+    "secret": _AFTER_NO_WORD + r"(?=[A-Fa-f]*+\d)[0-9A-Fa-f]{32,}+" + _NO_WORD,
+    "name": _AFTER_NO_WORD + rf"{_TITLES}{_NAME}(?: {_NAME})*+",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: The titles that a name starts with, up to its first word.
+_HEAD = rf"^({_TITLES})(?=\p{{Lu}})"
 #: Every match holds one of these, which are found faster.
 _HINT = rf"[0-9@]|{_TITLE}\.? \p{{Lu}}"
 
@@ -50,8 +56,10 @@ def _has(text: Column) -> Column:
 
 
 def _kind(surface: Column) -> Column:
-    kind = F.lit(None).cast("string")
-    for name in reversed(PATTERNS):
+    # A name may end at what follows it in the text, so it is what nothing else is.
+    *others, last = PATTERNS
+    kind = F.lit(last)
+    for name in reversed(others):
         kind = F.when(surface.rlike(rf"^(?:{PATTERNS[name]})$"), F.lit(name)).otherwise(kind)
     return kind
 
@@ -61,18 +69,28 @@ def _script(word: Column) -> Column:
             .otherwise("latin"))
 
 
-def _parts(kind: Column, surface: Column) -> Column:
-    """What a surface refers to: (kind, canon) of it, or of each word of a name.
+def _words(surface: Column) -> Column:
+    """The words of a name after its titles, in small letters and without dots."""
+    rest = F.lower(F.regexp_replace(surface, _HEAD, ""))
+    # The initials of "J.Smith" and "J.-P. Smith" are words as in "J. Smith" and "J. P. Smith".
+    return F.split(F.regexp_replace(F.regexp_replace(rest, r"\.-?(?=\p{L})", " "), r"\.", ""), " ")
+
+
+def _gender(surface: Column) -> Column:
+    titles = F.regexp_extract(surface, _HEAD, 1)
+    return (F.when(titles.rlike(rf"\b(?:{FEMALE})\b"), "f").when(titles.rlike(rf"\b(?:{MALE})\b"), "m")
+            .otherwise("u"))
+
+
+def _parts(kind: Column, surface: Column, words: Column, gender: Column) -> Column:
+    """What a surface refers to: (kind, canon) of it, or of each of the ``words`` of a name.
 
     Forms of one thing have one canon: case, spaces and punctuation do not matter.
-    A name's only word after the title is a family name, the first of two a given name.
+    A name's last word after the titles is a family name, all before it are given names.
+    Initials are given names of their own.
     """
-    title = F.regexp_extract(surface, rf"^({_TITLE})", 1)
-    gender = (F.when(title.rlike(rf"^(?:{FEMALE})$"), "f").when(title.rlike(rf"^(?:{MALE})$"), "m")
-              .otherwise("u"))
-    words = F.split(F.lower(F.regexp_replace(surface, rf"^{_TITLE}\.? ", "")), " ")
     given = F.transform(words, lambda word, i: F.struct(
-        F.concat_ws(".", F.when((i == 0) & (F.size(words) > 1), F.concat(F.lit("given."), gender))
+        F.concat_ws(".", F.when(i < F.size(words) - 1, F.concat(F.lit("given."), gender))
                     .otherwise("family"), _script(word)).alias("kind"), word.alias("canon")))
     plain = F.lower(F.regexp_replace(surface, r"[^\p{L}\p{N}+]", ""))
     canon = F.when(kind.isin("email", "ip"), F.lower(surface)).otherwise(plain)
@@ -80,8 +98,11 @@ def _parts(kind: Column, surface: Column) -> Column:
         F.array(F.struct(kind.alias("kind"), canon.alias("canon"))))
 
 
-def _surrogate(kind: str, canon: str, attempt: str, key: str) -> str:
-    """SQL for the surrogate of a canon: a function of the key, the canon and the attempt alone."""
+def _surrogate(kind: str, canon: str, attempt: str, key: str, seed: str) -> str:
+    """SQL for the surrogate of a canon: a function of the key, the canon and the attempt alone.
+
+    ``seed`` is the canon, or a digest of a long one, since it is hashed again and again.
+    """
     def number(seed: str, i: str) -> str:
         # Four hexadecimal digits for each place, 32 places from each hash.
         block = f"sha2(concat_ws('|', {_lit(key)}, {seed}, cast(({i}) DIV 32 AS string)), 512)"
@@ -98,7 +119,7 @@ def _surrogate(kind: str, canon: str, attempt: str, key: str) -> str:
                 f"WHEN c RLIKE '\\\\p{{IsGreek}}' THEN {pick(_GREEK, n)} "
                 f"WHEN c RLIKE '\\\\p{{L}}' THEN {pick(_LATIN, n)} ELSE c END), '')")
 
-    seed = f"{kind}, {canon}, cast({attempt} AS string)"
+    seed = f"{kind}, {seed}, cast({attempt} AS string)"
     local, domain = f"substring_index({canon}, '@', 1)", f"substring_index({canon}, '@', -1)"
     below = f"regexp_replace({domain}, '\\\\.[^.]*$', '')"
     email = f"concat({mapped(local, seed)}, '@', {mapped(below, _lit('domain') + ', ' + domain)}, '.example')"
@@ -145,13 +166,14 @@ def assign_surrogates(entities: DataFrame, key: str, max_rounds: int = 50) -> Da
     entities keep distinct surrogates, and none is an entity of the corpus. Rounds go on
     until all have one; it is an error if that does not end.
     """
-    originals = durable_table(entities.select("kind", "canon").distinct())
+    seed = F.when(F.length("canon") > 128, F.sha2("canon", 256)).otherwise(F.col("canon")).alias("seed")
+    originals = durable_table(entities.select("kind", "canon").distinct().select("kind", "canon", seed))
     pending = originals.withColumn("attempt", F.lit(0))
     taken = None
     known = originals.select("kind", F.col("canon").alias("surrogate"))
     for _ in range(max_rounds):
         wanted = durable_table(pending.withColumn(
-            "surrogate", F.expr(_surrogate("kind", "canon", "attempt", key))))
+            "surrogate", F.expr(_surrogate("kind", "canon", "attempt", key, "seed"))))
         first = wanted.groupBy("kind", "surrogate").agg(F.min("canon").alias("canon"))
         free = first.join(known, ["kind", "surrogate"], "left_anti")
         if taken is not None:
@@ -159,7 +181,7 @@ def assign_surrogates(entities: DataFrame, key: str, max_rounds: int = 50) -> Da
         free = durable_table(free.select("kind", "canon", "surrogate"))
         taken = free if taken is None else taken.union(free)
         pending = wanted.join(free, ["kind", "canon"], "left_anti").select(
-            "kind", "canon", (F.col("attempt") + 1).alias("attempt"))
+            "kind", "canon", "seed", (F.col("attempt") + 1).alias("attempt"))
         pending = durable_table(pending)
         if pending.isEmpty():
             return taken
@@ -175,7 +197,7 @@ def _render(kind: str, surface: str, found: str) -> str:
               f"(s, c) -> CASE WHEN c RLIKE '[\\\\p{{L}}\\\\p{{N}}+]' THEN named_struct('out', concat(s.out, "
               f"CASE WHEN c = lower(c) THEN substr({one}, s.at, 1) ELSE upper(substr({one}, s.at, 1)) END), "
               "'at', s.at + 1) ELSE named_struct('out', concat(s.out, c), 'at', s.at) END, s -> s.out)")
-    name = (f"concat(regexp_extract({surface}, {_lit(f'^({_TITLE}[.]? )')}, 1), "
+    name = (f"concat(regexp_extract({surface}, {_lit(_HEAD)}, 1), "
             f"array_join(transform({found}, w -> initcap(w)), ' '))")
     return (f"CASE WHEN {kind} = 'name' THEN {name} WHEN {kind} IN ('email', 'ip', 'secret') THEN {cased} "
             f"ELSE {filled} END")
@@ -186,11 +208,11 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text",
     """``docs`` with every detected entity of its texts replaced by a surrogate.
 
     An entity gets the same surrogate wherever it stands (also in another format or
-    case, and a family name with or without a given name), distinct ones get distinct
+    case, and a family name with or without given names), distinct ones get distinct
     surrogates, and no surrogate is an entity of ``docs``. Surrogates keep the type, the
     script, a title's gender, and the format: punctuation, length of numbers, case, a
     valid check digit of cards; mail domains end in ``.example``. Who has ``key`` can
-    make them again. ``count`` (long) replaces a column of that name.
+    make them again. Initials get whole given names, as letters would not stay distinct. ``count`` (long) replaces a column of that name.
 
     Only texts with an entity take part in joins, by a digest, equal texts once. NULL
     and empty texts, and texts without an entity, stay as they are. Everything is
@@ -205,15 +227,21 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text",
              .dropDuplicates(["text_id"]))
     mentions = durable_table(found.select("text_id", F.explode("surfaces").alias("surface")))
     surfaces = mentions.select("surface").distinct().withColumn("kind", _kind(F.col("surface")))
+    # Written first, or the words would be split again for each of them.
+    surfaces = durable_table(surfaces.withColumns({
+        "surface_id": F.md5("surface"),
+        "words": F.when(F.col("kind") == "name", _words(F.col("surface"))),
+        "gender": _gender(F.col("surface"))}))
     parts = durable_table(surfaces.select(
-        "surface", F.col("kind").alias("type"),
-        F.posexplode(_parts(F.col("kind"), F.col("surface"))).alias("at", "part"))
-        .select("surface", "type", "at", "part.*"))
+        "surface_id",
+        F.posexplode(_parts(*map(F.col, ("kind", "surface", "words", "gender")))).alias("at", "part"))
+        .select("surface_id", "at", "part.*"))
     assigned = assign_surrogates(parts, key)
     replacements = (
-        parts.join(assigned, ["kind", "canon"]).groupBy("surface", "type")
+        parts.join(assigned, ["kind", "canon"]).groupBy("surface_id")
         .agg(F.sort_array(F.collect_list(F.struct("at", "surrogate"))).alias("found"))
-        .select("surface", F.expr(_render("type", "surface", "found.surrogate")).alias("replacement")))
+        .join(surfaces.select("surface_id", "surface", "kind"), "surface_id")
+        .select("surface", F.expr(_render("kind", "surface", "found.surrogate")).alias("replacement")))
     # A map holds the entities of one text only.
     maps = (mentions.join(replacements, "surface").groupBy("text_id")
             .agg(F.map_from_entries(F.collect_list(F.struct("surface", "replacement"))).alias("_map")))

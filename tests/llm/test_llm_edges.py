@@ -354,6 +354,35 @@ def test_pii(docs, none, spark):
     assert pii.replace_entities(rows, "other key").first().text != one
 
 
+def test_pii_of_any_length(spark):
+    """Many given names, initials, titles in a row, and names and secrets of any length."""
+    import re
+    long, hexes = "Q" + "uexo" * 30, "0123456789abcdef" * 40
+    texts = [
+        "Mrs. Smith, then Mrs. Anna Maria Smith. End", "Señora María García López, Señora López!", "Mr. J. Smith went",
+        "Mr. J Smith2 and Mr. J.Smith, Mr. J.-P. O’Neil-Smith; Mr. K. Smith", "Herr Dr. Hans Peter Schmidt-Weiß. Danke",
+        f"Mr. {long}, key {hexes}.", "Mr. " + " ".join(["Abc"] * 20_000) + ", end", "Mr. John Smith2", "Mr. A B", "Frau José́"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    out = [r.text for r in pii.replace_entities(rows, "k").orderBy("doc_id").collect()]
+    family = re.fullmatch(r"Mrs\. (\w+), then Mrs\. (\w+) (\w+) (\w+)\. End", out[0])
+    assert family[1] == family[4] and len(set(family.groups())) == 3
+    assert all(w.lower().endswith(("ra", "lia", "nna")) for w in family.groups()[1:3])
+    lopez = re.fullmatch(r"Señora (\w+) (\w+) (\w+), Señora (\w+)!", out[1])
+    assert lopez[3] == lopez[4] and len(set(lopez.groups())) == 3
+    initial = re.fullmatch(r"Mr\. (\w+) (\w+) went", out[2])
+    assert initial[2] == family[1]
+    parts = re.fullmatch(r"Mr\. \w+ Smith2 and Mr\. (\w+) (\w+), Mr\. (\w+) (\w+) (\w+); Mr\. (\w+) (\w+)", out[3])
+    assert parts and parts[1] == parts[3] == initial[1] != parts[6] and parts[2] == parts[7] == family[1] != parts[5]
+    assert re.fullmatch(r"Herr Dr\. (\w+) (\w+) (\w+)\. Danke", out[4])
+    assert re.fullmatch(r"Mr\. \w+, key [0-9a-f]{640}\.", out[5]) and hexes not in out[5] and long not in out[5]
+    many = re.fullmatch(r"Mr\. ((?:\w+ )+)(\w+), end", out[6])
+    assert many[1].count(" ") == 19_999 and "Abc" not in out[6]
+    assert re.fullmatch(r"Mr\. \w+ Smith2", out[7]) and "John" not in out[7]
+    assert out[9] != texts[9] and "Jos" not in out[9] and "\u0301" not in out[9]
+    for text in out:
+        assert not re.search("Anna|Maria|Mar[ií]a|García|López|Neil|Hans|Peter|Schmidt|Weiß", text)
+
+
 def test_surrogates_stay_distinct(spark):
     """Ten thousand family names share a space in which many first choices collide."""
     names = spark.range(10_000).select(F.lit("family.latin").alias("kind"), F.concat(F.lit("n"), "id").alias("canon"))
