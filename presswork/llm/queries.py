@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from presswork.llm import (
-    balltree, bpe, decontamination, edits, materialise, mixing, neardup, pii, quality, samples, sharding, toxicity)
+    balltree, bpe, decontamination, edits, materialise, mixing, neardup, pii, quality, samples, sharding, toxicity,
+    whitening)
 from presswork.session import shared_folder
 
 #: Target weights of the mixture; sources not named weigh 1.
@@ -154,6 +155,13 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the leading components of all distinct ones, whitened."""
+    vectors = whitening.usual_length(table(spark, sf_dir, "embeddings").select(
+        "vec_id", whitening.scaled_entries(F.col("embedding")).alias("x")))
+    return whitening.whiten(vectors, whitening.fit_whitening(vectors))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality_rules": op2_quality_rules,
@@ -166,6 +174,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_near_duplicates": op10_near_duplicates,
     "op11_decontamination": op11_decontamination,
+    "op12_whitening": op12_whitening,
 }
 
 _WEIGHT = "CASE source " + " ".join(

@@ -21,7 +21,7 @@ FAN_IN = 16
 #: Most dimensions of a vector: a basis of so many squared doubles goes to every task.
 MAX_DIMENSIONS = 2048
 #: Rounds of refinement, and the residual (over the largest eigenvalue) at which they end.
-ROUNDS, RESIDUAL = 12, 1e-12
+ROUNDS, RESIDUAL = 12, 1e-13
 #: Components whose eigenvalue is not above this share of the largest one have no direction.
 NO_VARIANCE = 1e-13
 #: Entries are cut to this size, so that sums over a table stay exact.
@@ -76,7 +76,8 @@ def secular_roots(poles: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndar
         f = 1 + term.sum(axis=1)
         size = 1 + np.abs(term).sum(axis=1)
         low, high = np.where(f < 0, t, low), np.where(f < 0, high, t)
-        if np.all((np.abs(f) <= 32 * _EPS * size) | (high - low <= 2 * _EPS * np.maximum(np.abs(low), np.abs(high)))):
+        done = (np.abs(f) <= 32 * _EPS * size) | (high - low <= 2 * _EPS * np.maximum(np.abs(low), np.abs(high)))
+        if done.all():
             break
         a = np.where(left, slope, 0).sum(axis=1) * (own - t) ** 2
         with np.errstate(all="ignore"):
@@ -92,7 +93,7 @@ def secular_roots(poles: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndar
             s = np.where((s > low) & (s < high), s, other)
             s = np.where(np.isfinite(following), s, own + a / c)
         inside = (s > low) & (s < high)
-        t = np.where(inside, s, (low + high) / 2)
+        t = np.where(done, t, np.where(inside, s, (low + high) / 2))
     return origin, t
 
 
