@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from presswork.llm import (
-    balltree, bpe, decontamination, edits, materialise, mixing, neardup, pii, quality, samples, sharding, toxicity,
-    whitening)
+    balltree, bpe, decontamination, edits, materialise, mixing, neardup, pii, quality, samples, sharding, spelling,
+    toxicity, whitening)
 from presswork.session import shared_folder
 
 #: Target weights of the mixture; sources not named weigh 1.
@@ -162,6 +162,11 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(vectors, whitening.fit_whitening(vectors))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of the whole texts that occur three times, with their near words and forms."""
+    return spelling.spelling_variants(spelling.count_words(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality_rules": op2_quality_rules,
@@ -175,6 +180,7 @@ QUERIES = {
     "op10_near_duplicates": op10_near_duplicates,
     "op11_decontamination": op11_decontamination,
     "op12_whitening": op12_whitening,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 _WEIGHT = "CASE source " + " ".join(
@@ -292,4 +298,47 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
   coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(listed, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN hits USING (r) LEFT JOIN named USING (r)""",
+    "op13_spelling_variants": r"""
+WITH RECURSIVE bits(i, k, c) AS (
+  SELECT i, 0, i FROM range(256) r(i)
+  UNION ALL
+  SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM bits WHERE k < 8),
+steps AS (SELECT list(c::BIGINT ORDER BY i) AS t FROM bits WHERE k = 8),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[a-z\x{C0}-\x{FF}]+')) AS run
+  FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL),
+hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+      regexp_extract_all(hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)), '..'), lambda p: ('0x' || p)::BIGINT)),
+    lambda c, y: xor(c // 256, t[xor(c % 256, y) + 1])), 4294967295::BIGINT) AS h
+  FROM counted, steps),
+words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run) + 2)::BIGINT)
+      ELSE run END AS word, n FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+skips AS (
+  SELECT word, n, left(word, i - 1) || substr(word, i + 1) AS short, left(word, i - 1) || '.' || substr(word, i + 1) AS skip
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM skips a JOIN skips b ON a.skip = b.skip AND a.word <> b.word
+  UNION
+  SELECT s.word, w.word, w.n FROM skips s JOIN words w ON s.short = w.word
+  UNION
+  SELECT w.word, s.word, s.n FROM skips s JOIN words w ON s.short = w.word),
+best AS (
+  SELECT word, count(*) AS n_near, max(m) AS most, arg_min(other, (-m, encode(other))) AS form FROM near GROUP BY word),
+formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near,
+    CASE WHEN most >= 2 * w.n THEN form END AS form, CASE WHEN most >= 2 * w.n THEN most END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word),
+ways AS (
+  SELECT word, word AS root, 0 AS steps FROM words
+  UNION ALL
+  SELECT y.word, f.form, y.steps + 1 FROM ways y JOIN formed f ON f.word = y.root WHERE f.form IS NOT NULL),
+lasts AS (SELECT word, arg_max(root, steps) AS root FROM ways GROUP BY word)
+SELECT f.word, form, root, n, n_near, form_n::BIGINT AS form_n FROM formed f JOIN lasts l ON l.word = f.word""",
 }

@@ -237,7 +237,7 @@ def combined(spectra: DataFrame) -> Spectrum | None:
     """All spectra in one. At most FAN_IN meet in a task; only the last one comes to the driver."""
     find_package(spectra)
 
-    def merge(key, rows: pa.Table) -> pa.Table:
+    def merge(key, rows):
         total = None
         for other in _from_rows(rows.sort_by("part")):
             total = total or Spectrum.of_dimension(len(other.mean))
