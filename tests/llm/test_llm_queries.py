@@ -43,7 +43,7 @@ def sha(text):
 def test_all_are_registered():
     assert set(queries.QUERIES) | {"pipeline"} <= set(all_queries())
     assert set(queries.ORACLE) <= set(oracle_sql())
-    assert {re.match(r"op(\d+)_", name)[1] for name in queries.QUERIES} == {str(i) for i in range(1, 11)}
+    assert {re.match(r"op(\d+)_", name)[1] for name in queries.QUERIES} == {str(i) for i in range(1, 14)}
 
 
 @pytest.mark.parametrize("name", queries.ORACLE)
