@@ -26,8 +26,9 @@ REGISTERS = 256
 MANTISSA_BITS = 10
 #: Bands of four registers. Sets alike by 0.75 miss each other in all bands once in 80 million.
 BANDS, ROWS = 48, 4
-#: Members of a bucket that are compared at once; larger buckets are compared block by block.
-BLOCK = 2048
+#: Members of a bucket, and shingles of them, that are compared with as many others at once;
+#: larger buckets are compared block by block.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 
 _SHIFT = np.uint64(56)
 _LOW = np.uint64((1 << 56) - 1)
@@ -49,10 +50,10 @@ def shingles_of(text: str | None, hashes: Memory) -> np.ndarray:
     words = (text or "").encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(words) < WORDS:
-        whole = xxhash.xxh3_64_intdigest(b"\x00".join(words), seed=len(words))
-        return np.array([whole], np.uint64)
     word = np.array(hashes.all(words), np.uint64)
+    if len(words) < WORDS:
+        # Word by word, since any character may stand in a word.
+        return np.array([xxhash.xxh3_64_intdigest(word.tobytes(), seed=len(words))], np.uint64)
     n = len(word) - WORDS + 1
     total = np.zeros(n, np.uint64)
     for i in range(WORDS):
@@ -163,6 +164,7 @@ def estimate(agreeing: np.ndarray, either: np.ndarray, n_a: np.ndarray, n_b: np.
     share of such agreements (the published approximation for HyperMinHash) is taken off.
     """
     ratio = np.maximum(n_a, n_b) / np.maximum(np.minimum(n_a, n_b), 1)
+    # Fixed value: the constant of the published approximation.
     chance = 0.169919487159739 * 2.0 ** -MANTISSA_BITS * 4 * ratio / (1 + ratio) ** 2
     return agreeing / np.maximum(either, 1) - chance
 
@@ -214,129 +216,183 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .filter(f"100 * i >= {PERCENT} * (n - i)").select("a", "b"))
 
 
-def _block_pairs(budget: int):
-    """Finds, in two blocks of a bucket, promising pairs of different components.
-
-    A spanning forest of the components by best estimates comes first, then the next
-    best pairs up to ``budget`` times the members; ``left`` tells whether others remain.
-    """
-    def pairs(block: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, bool]:
-        """Places of the pairs' rows in the block, and whether some were left."""
-        x = np.flatnonzero(block["block"] == block["i"][0])
-        y = np.flatnonzero(block["block"] == block["j"][0])
-        same = block["i"][0] == block["j"][0]
-        registers = np.frombuffer(b"".join(block["registers"]), np.uint16).reshape(-1, REGISTERS)
-        labels = np.unique(block["label"], return_inverse=True)[1]
-        n, filled, no = block["n_shingles"], _bits(block["filled"]), block["no"][0]
-        earlier = np.ascontiguousarray(registers).view(np.uint64)[:, :no]
-        counts, numbers = filled.sum(axis=1), filled[y].T.astype(np.float32)
-        found = []
-        for start in range(0, len(x), 32):
-            part = x[start:start + 32, None]
-            both = filled[part] & filled[y][None]
-            agreeing = ((registers[part] == registers[y][None]) & both).sum(axis=2)
-            either = counts[part] + counts[y][None] - (filled[x[start:start + 32]] @ numbers).astype(int)
-            good = _promising(agreeing, either, n[part], n[y][None])
-            good &= labels[part] != labels[y][None]
-            if same:
-                good &= part < y[None]
+class _Block:
+    """Two blocks of a bucket: ``left`` rows, none of them in its main component, and ``right`` ones."""
+
+    def __init__(self, rows: pa.Table):
+        self.rows = rows
+        left = rows.column("is_left").to_numpy()
+        self.left, self.right = np.flatnonzero(left), np.flatnonzero(~left)
+        self.ids = np.array(rows.column("set_id").to_pylist(), object)
+        self.rank = np.unique(self.ids, return_inverse=True)[1]
+        self.labels = np.unique(np.array(rows.column("label").to_pylist(), object), return_inverse=True)[1]
+        self.stray = rows.column("stray").to_numpy()
+        self.n = rows.column("n_shingles").to_numpy()
+        self.no = rows.column("no")[0].as_py()
+        self.registers = np.frombuffer(b"".join(rows.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        self.filled = _bits(rows.column("filled").to_pylist())
+
+    def promising(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the pairs of different components that their sketches promise to be links.
+
+        A pair of two strays is looked at from one side only, and a pair that meets in
+        several bands in the first one only.
+        """
+        earlier = np.ascontiguousarray(self.registers).view(np.uint64)[:, :self.no]
+        y, counts = self.right, self.filled.sum(axis=1)
+        numbers = self.filled[y].T.astype(np.float32)
+        found = [np.zeros((2, 0), int)]
+        for start in range(0, len(self.left), 32):
+            x = self.left[start:start + 32]
+            part = x[:, None]
+            both = self.filled[part] & self.filled[y][None]
+            agreeing = ((self.registers[part] == self.registers[y][None]) & both).sum(axis=2)
+            either = counts[part] + counts[y][None] - (self.filled[x] @ numbers).astype(int)
+            good = _promising(agreeing, either, self.n[part], self.n[y][None])
+            good &= self.labels[part] != self.labels[y][None]
+            good &= ~self.stray[y][None] | (self.rank[part] < self.rank[y][None])
             a, b = np.nonzero(good)
-            # A pair that meets in several bands is looked at in the first one only.
-            once = ~(earlier[x[a + start]] == earlier[y[b]]).any(axis=1)
-            a, b = a[once], b[once]
-            score = agreeing[a, b] * 1_000_000 // np.maximum(either[a, b], 1)
-            found.append(np.stack([x[a + start], y[b], score]))
-        a, b, score = np.concatenate(found, axis=1) if found else np.zeros((3, 0), int)
-        order = np.argsort(-score, kind="stable")
-        root = list(range(len(labels)))
+            once = ~(earlier[x[a]] == earlier[y[b]]).any(axis=1)
+            found.append(np.stack([x[a[once]], y[b[once]]]))
+        return tuple(np.concatenate(found, axis=1))
+
+    def candidates(self) -> pa.Table:
+        """The rows that are part of a promising pair."""
+        return self.rows.take(pa.array(np.unique(np.concatenate(self.promising()))))
+
+    def links(self) -> pa.RecordBatch:
+        """Links that join components, at most one less than there are rows, by full sets.
+
+        A promising pair is checked unless a chain of links found before joins it already.
+        """
+        column = self.rows.column("shingles").combine_chunks()
+        sizes = column.value_lengths().to_numpy()
+        starts = np.cumsum(sizes) - sizes
+        kinds, numbers = np.unique(column.flatten().to_numpy(), return_inverse=True)
+        marked = np.zeros(len(kinds), bool)
+        root = list(range(len(self.ids)))
 
         def find(k: int) -> int:
             while root[k] != k:
                 root[k] = root[root[k]]
                 k = root[k]
             return k
-        chosen = np.zeros(len(order), bool)
-        for rank, at in enumerate(order):
-            one, other = find(labels[a[at]]), find(labels[b[at]])
-            if one != other:
-                root[one] = other
-                chosen[rank] = True
-        rest = np.flatnonzero(~chosen)
-        chosen[rest[:budget * len(labels)]] = True
-        picked = order[chosen]
-        return a[picked], b[picked], len(picked) < len(order)
-
-    def finished(rows: pa.Table) -> pa.RecordBatch | None:
-        names = ["block", "i", "j", "n_shingles", "no"]
-        block = {c: rows.column(c).to_numpy() for c in names}
-        block |= {c: np.array(rows.column(c).to_pylist(), object) for c in ("label", "registers", "filled")}
-        a, b, left = pairs(block)
-        if not len(a):
-            return None
-        ids, bands = rows.column("set_id").combine_chunks(), rows.column("band").combine_chunks()
+        ends = []
+        a, b = self.promising()
+        firsts = np.flatnonzero(np.diff(a, prepend=-1))
+        for x, some in zip(a[firsts], np.split(b, firsts[1:])):
+            own = numbers[starts[x]:starts[x] + sizes[x]]
+            partners = [y for y in some if find(self.labels[y]) != find(self.labels[x])]
+            if not partners:
+                continue
+            marked[own] = True
+            length = sizes[partners]
+            before = np.cumsum(length) - length
+            at = np.arange(length.sum()) - np.repeat(before, length) + np.repeat(starts[partners], length)
+            inside = np.add.reduceat(marked[numbers[at]].astype(np.int64), before)
+            marked[own] = False
+            for y in np.array(partners)[100 * inside >= PERCENT * (sizes[x] + length - inside)]:
+                one, other = find(self.labels[x]), find(self.labels[y])
+                if one != other:
+                    root[one] = other
+                    ends.append((self.ids[x], self.ids[y]))
         return pa.RecordBatch.from_arrays(
-            [ids.take(pa.array(a)), ids.take(pa.array(b)), bands.take(pa.array(a)),
-             pa.array(np.full(len(a), left))], names=["a", "b", "band", "left"])
+            [pa.array([e[i] for e in ends], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
 
+def _by_block(function):
+    """Hands each pair of blocks of rows that come sorted by ``_KEYS`` to the function, one at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Rows come sorted by bucket and pair of blocks; one pair of blocks is held at a time.
         held: list[pa.RecordBatch] = []
         key = None
+
+        def finished() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held)
+            # Without rows on both sides there is nothing to compare.
+            if 0 < np.count_nonzero(rows.column("is_left").to_numpy()) < rows.num_rows:
+                out = function(_Block(rows))
+                yield from out.to_batches() if isinstance(out, pa.Table) else [out]
         for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy() for c in ("band", "i", "j")], axis=1)
+            keys = np.stack([batch.column(c).to_numpy() for c in _KEYS], axis=1)
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
             for start, end in zip(cuts[:-1], cuts[1:]):
                 if start == end:
                     continue
                 if key is not None and key != tuple(keys[start]):
-                    if (out := finished(pa.Table.from_batches(held))) is not None:
-                        yield out
+                    yield from finished()
                     held = []
                 key = tuple(keys[start])
                 held.append(batch.slice(start, end - start))
-        if held and (out := finished(pa.Table.from_batches(held))) is not None:
-            yield out
+        if held:
+            yield from finished()
     return run
 
 
-def _open_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, budget: int) -> DataFrame:
-    """Promising pairs of different components in all buckets, with their ``band`` and ``left``.
+_KEYS = ["band", "i", "j"]
+_PLACED = "band long, no long, i int, j int, set_id binary, label binary, is_left boolean, stray boolean, " \
+          "registers binary, n_shingles long, filled binary"
+
+
+def _block_links(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that join the components of ``labels`` which meet in buckets, all of them.
 
-    Of buckets with the same members, the one of the first band is looked into.
+    Of buckets with the same members, the one of the first band is looked into. Those of
+    its members that are not in its largest component are compared, block by block, with
+    all members. First by sketches, which leaves the rows of promising pairs; then these
+    come together with their full sets, and the pairs are checked where they meet.
     """
-    known = members.join(labels.withColumnRenamed("id", "set_id"), "set_id", "left").select(
-        "band", "no", "set_id", F.coalesce("label", "set_id").alias("label"))
-    split = known.groupBy("band", "no").agg(
-        F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("rows"),
-        F.sum(F.xxhash64("set_id").cast("decimal(20,0)")).alias("who"),
-        F.sum(F.xxhash64(F.lit(1), "set_id").cast("decimal(20,0)")).alias("and_who"))
-    split = split.filter("low <> high").groupBy("rows", "who", "and_who").agg(
-        F.min(F.struct("no", "band")).alias("first")).select("rows", "first.band")
-    blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
-    keys = ["band", "i", "j"]
-    placed = (known.join(split.select("band", "rows"), "band")
-              .join(classes.select("set_id", "registers", "n_shingles", "filled"), "set_id")
-              .withColumn("block", F.pmod(F.xxhash64("set_id"), blocks).cast("int"))
-              .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-              .select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                      "block", "no", "set_id", "label", "registers", "n_shingles", "filled"))
-    return map_batches(placed.repartition(*keys).sortWithinPartitions(*keys), _block_pairs(budget),
-                       "a binary, b binary, band long, left boolean")
-
-
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id",
-                    max_rounds: int = 30) -> DataFrame:
+    known = members.join(labels.withColumnRenamed("id", "set_id"), "set_id", "left").join(
+        classes.select("set_id", "n_shingles"), "set_id").select(
+        "band", "no", "set_id", "n_shingles", F.coalesce("label", "set_id").alias("label"))
+    known = durable_table(known)
+    wide = "decimal(38,0)"
+    by_label = known.groupBy("band", "no", "label").agg(
+        F.count("*").alias("rows"), F.sum("n_shingles").alias("shingles"),
+        F.sum(F.xxhash64("set_id").cast(wide)).alias("who"),
+        F.sum(F.xxhash64(F.lit(1), "set_id").cast(wide)).alias("and_who"))
+    split = by_label.groupBy("band", "no").agg(
+        F.count("*").alias("labels"), F.max(F.struct("rows", "label", "shingles")).alias("main"),
+        *[F.sum(c).alias(c) for c in ("rows", "shingles", "who", "and_who")]).filter("labels > 1")
+    split = split.groupBy("rows", "who", "and_who").agg(
+        F.min(F.struct("no", "band", "main", "shingles")).alias("first")).select("rows", "first.*")
+
+    def blocks(rows, shingles):
+        return F.greatest(F.ceil(rows / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+    split = split.select(
+        "band", F.col("main.label").alias("main"), blocks(F.col("rows"), F.col("shingles")).alias("all"),
+        blocks(F.col("rows") - F.col("main.rows"), F.col("shingles") - F.col("main.shingles")).alias("strays"))
+    spot = F.xxhash64(F.lit(2), "set_id")
+    stray = F.col("label") != F.col("main")
+
+    def places(own: str, other: str, is_left: bool):
+        block, others = F.pmod(spot, own).cast("int"), F.sequence(F.lit(0), F.col(other) - 1)
+        return F.transform(others, lambda k: F.struct(
+            (block if is_left else k).alias("i"), (k if is_left else block).alias("j"), F.lit(is_left).alias("is_left")))
+    both = F.when(stray, F.concat(places("all", "strays", False), places("strays", "all", True))).otherwise(
+        places("all", "strays", False))
+    placed = (known.join(split, "band").withColumn("stray", stray).withColumn("_at", F.explode(both))
+              .join(classes.select("set_id", "registers", "filled"), "set_id")
+              .select("band", "no", "_at.i", "_at.j", "set_id", "label", "_at.is_left", "stray",
+                      "registers", "n_shingles", "filled"))
+    close = durable_table(map_batches(
+        placed.repartition(*_KEYS).sortWithinPartitions(*_KEYS), _by_block(_Block.candidates), _PLACED))
+    full = close.join(sets, "set_id")
+    return map_batches(full.repartition(*_KEYS).sortWithinPartitions(*_KEYS), _by_block(_Block.links),
+                       "a binary, b binary")
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``.
 
     Texts with the same shingles are one class. Classes whose registers agree in a band
-    meet in a bucket. In each bucket all are first paired with the one that meets most
-    classes in all its buckets; pairs that
-    the collision-corrected estimate promises are checked on their full sets, and the
-    links make components. In buckets that still hold several components, promising
-    pairs across them are looked for in blocks of BLOCK members and checked, the best
-    first and a growing number each round, until none is left unchecked in any. So no link
-    between classes that meet in a bucket is lost, pairs inside a component that is
-    already whole are never formed, and no bucket has to fit into one task.
+    meet in a bucket. Each is first paired with the one that meets most classes in its
+    buckets; pairs that the collision-corrected estimate promises are checked on their
+    full sets, and the links make components. In buckets that still hold several, all
+    members outside the largest one are then compared with all members, in blocks of
+    BLOCK; the full sets of promising pairs are brought to the blocks, checked there, and
+    only links that join components are handed on. So no link between classes that meet
+    in a bucket is lost, what leaves a block grows with its members, and no bucket has to
+    fit into one task.
 
     NULL and empty texts, and texts without words, have no shingles, are linked with
     nothing and kept. Texts of fewer than five words are alike only if equal. Rows with
@@ -345,7 +401,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id",
     NULL key never is the least unless all are NULL. ``one_of_each`` keeps one row.
     """
     rows = durable_table(sketches(docs, text, key))
-    named = _labelled(rows, docs, text, key, max_rounds)
+    named = _labelled(rows, docs, text, key)
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of_class = named.join(least, "label").select("set_id", "component_id")
     return (rows.select("doc_id", "n_shingles", "set_id").join(of_class, "set_id", "left")
@@ -355,8 +411,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id",
                     F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
 
 
-def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id",
-                max_rounds: int = 30) -> DataFrame:
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with one row of each component of near duplicates, and all rows without words.
 
     The row with the least key stays, NULL keys last; of several such rows the one that
@@ -368,7 +423,7 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id",
         row = f"_{row}"
     stored = durable_table(docs.withColumn(row, F.monotonically_increasing_id()))
     rows = durable_table(sketches(stored, text, key, row))
-    named = _labelled(rows, stored, text, key, max_rounds)
+    named = _labelled(rows, stored, text, key)
     worded = rows.filter("set_id IS NOT NULL").select("set_id", "doc_id", F.col(row).alias("_at"))
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "_at")
     # First within a class, then within a component: both reduce before they shuffle.
@@ -380,7 +435,7 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id",
         *[stored[f"`{c}`"] for c in docs.columns])
 
 
-def _labelled(rows: DataFrame, docs: DataFrame, text: str, key: str, max_rounds: int) -> DataFrame:
+def _labelled(rows: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
     """Each class of ``rows`` (sketches of ``docs``): ``set_id``, least ``doc_id``, component ``label``."""
     classes = durable_table(rows.filter("set_id IS NOT NULL").groupBy("set_id").agg(
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"),
@@ -388,11 +443,6 @@ def _labelled(rows: DataFrame, docs: DataFrame, text: str, key: str, max_rounds:
     banded = _explode_bands(classes)
     met = banded.groupBy("band").agg(F.count("*").alias("rows")).filter("rows > 1")
     members = durable_table(banded.join(met, "band"))
-    # The class that meets most others, such as the text that copies were made from.
-    meets = members.groupBy("set_id").agg(F.sum("rows").alias("meets"))
-    pivots = members.join(meets, "set_id").groupBy("band").agg(
-        F.max(F.struct("meets", "set_id")).alias("most")).select("band", F.col("most.set_id").alias("pivot"))
-    members = members.drop("rows")
     texts = docs.select(docs[key].alias("doc_id"), docs[text].cast("string").alias("text"))
     meeting = members.select("set_id").distinct().join(classes.select("set_id", "doc_id"), "set_id")
     wanted = meeting.select("doc_id").distinct()
@@ -401,25 +451,16 @@ def _labelled(rows: DataFrame, docs: DataFrame, text: str, key: str, max_rounds:
     sets = durable_table(
         _shingle_sets(again).join(meeting.select("set_id"), "set_id", "left_semi")
         .groupBy("set_id").agg(F.first("shingles").alias("shingles")))
-    stars = members.join(pivots, "band").filter("set_id <> pivot").select(
-        F.col("pivot").alias("a"), F.col("set_id").alias("b")).distinct()
-    tested = durable_table(_estimated(stars, classes))
-    links = durable_table(_verified(tested, sets))
-    labels = connected_components(links)
-    for turn in range(max_rounds):
-        found = durable_table(_open_pairs(members, labels, classes, 4 ** turn - 1))
-        pairs = found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("_n")).select("a", "b")
-        fresh = durable_table(_verified(pairs.join(tested, ["a", "b"], "left_anti"), sets))
-        if not fresh.isEmpty():
-            links = durable_table(links.union(fresh))
-            labels = connected_components(links)
-        unfinished = found.filter("left").select("band").distinct()
-        if unfinished.isEmpty():
-            break
-        members = members.join(unfinished, "band", "left_semi")
-        tested = durable_table(tested.union(pairs))
-    else:
-        raise RuntimeError(f"pairs are left unchecked after {max_rounds} rounds")
+    # Each class with the one that meets most others among the first ones of its buckets,
+    # such as the text that copies were made from.
+    meets = members.groupBy("set_id").agg(F.sum("rows").alias("meets"))
+    counted = members.join(meets, "set_id")
+    firsts = counted.groupBy("band").agg(F.max(F.struct("meets", "set_id")).alias("most"))
+    stars = counted.select("band", "set_id").join(firsts, "band").groupBy("set_id").agg(
+        F.max("most").alias("most")).select(F.col("most.set_id").alias("a"), F.col("set_id").alias("b")).filter("a <> b")
+    links = durable_table(_verified(durable_table(_estimated(stars, classes)), sets))
+    more = durable_table(_block_links(members.drop("rows"), connected_components(links), classes, sets))
+    labels = connected_components(links.union(more))
     return (rows.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
             .join(labels.withColumnRenamed("id", "set_id"), "set_id", "left")
             .select("set_id", "doc_id", F.coalesce("label", "set_id").alias("label")))
