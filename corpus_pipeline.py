@@ -3,19 +3,34 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from presswork.llm import bpe, mixing, neardup, pii, queries, samples, toxicity
 from presswork.session import shared_folder
 
 
+def unused(name: str, docs: DataFrame) -> str:
+    """The name, or one like it, that no column of ``docs`` has."""
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
+
+
+def keep_columns(result: DataFrame, docs: DataFrame) -> DataFrame:
+    return result.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the machine, fitted to the labels that are not held out, does not call toxic."""
+    """Documents that the machine, fitted to the labels that are not held out, does not call toxic.
+
+    Without labels of both kinds it calls none toxic, and all stay.
+    """
     labels = queries.table(spark, sf_dir, "labels")
     sample = samples.labelled_sample(docs, labels, "toxic", max_rows=queries.TOXIC_ROWS,
                                      allowed=~queries.held_out("doc_id"))
-    scored = toxicity.score(docs, toxicity.train(sample), name="_toxicity")
-    return scored.filter(scored["_toxicity"] < queries.TOXIC_FROM).select(docs.columns)
+    name = unused("_toxicity", docs)
+    scored = toxicity.score(docs, toxicity.train(sample), name=name)
+    return keep_columns(scored.filter(F.col(name) < queries.TOXIC_FROM), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +46,8 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every source repeated to its target weight, in a global random order."""
     rates = mixing.repetition_rates(docs, queries.MIX_WEIGHTS)
-    return mixing.replicate(docs, rates, queries.MIX_SEED).select(docs.columns)
+    mixed = mixing.replicate(docs, rates, queries.MIX_SEED, copy=unused("copy_no", docs), order=unused("mix_key", docs))
+    return keep_columns(mixed, docs)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -188,6 +188,10 @@ def encoder(vocabulary: Broadcast) -> Encoder:
     return _ENCODERS[0][1]
 
 
+def highest_id(vocabulary: Broadcast) -> int:
+    return max(*vocabulary.value["vocab"].values(), *vocabulary.value["added"].values(), 0)
+
+
 def share(spark: SparkSession, path: str) -> Broadcast:
     """The vocabulary for all workers. Its size is that of the file, whatever the data."""
     return spark.sparkContext.broadcast(load_vocabulary(path))

@@ -84,8 +84,10 @@ def sequences(docs: DataFrame, vocabulary: Broadcast, length: int, end_id: int,
     A text's ids and an end token are cut into pieces; the last is filled up with end
     tokens. ``payload`` is their 16-bit little-endian form, compressed with the help of
     ``dictionary``, which ``write_shards`` then needs too. NULL texts and those without
-    tokens have no sequence.
+    tokens have no sequence. A vocabulary with ids above 65,535 is refused.
     """
+    if max(end_id, bpe.highest_id(vocabulary)) > 0xFFFF:
+        raise ValueError("sequences hold ids of 16 bits")
     schema = StructType([
         StructField("doc_id", docs.schema[key].dataType), StructField("seq_no", IntegerType()),
         StructField("n_tokens", IntegerType()), StructField("payload", BinaryType())])

@@ -12,6 +12,8 @@ CHUNK = 32
 STEPS = 128
 #: Uniform numbers have so many bits.
 BITS = 52
+#: Sources whose distributions, of a kilobyte each, are sent to all executors; more are joined.
+BROADCAST_SOURCES = 10_000
 #: Equal rows that are counted off in one place; more are dealt out in runs of so many.
 TWINS = 1024
 
@@ -102,7 +104,8 @@ def replicate(docs: DataFrame, rates: DataFrame, seed: str = "mix", key: str = "
     theirs, are the global order.
 
     A NULL source draws at its own rate; a source without a row in ``rates``, or with rate 0, gives
-    no copies. Texts are carried whole, NULL and empty ones too. An empty table gives
+    no copies. Up to BROADCAST_SOURCES sources are broadcast, so that the only shuffle of
+    documents is the one into their order. Texts are carried whole, NULL and empty ones too. An empty table gives
     an empty table.
     """
     spark = docs.sparkSession
@@ -115,6 +118,9 @@ def replicate(docs: DataFrame, rates: DataFrame, seed: str = "mix", key: str = "
     record = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_record")
     keyed = _told_apart(docs.select(record, F.col(f"`{source}`").alias("_from"),
                                     F.col(f"`{key}`").cast("string").alias("_key")))
+    # Counted first: only as a broadcast do documents stay where they are, and a source may be most of them.
+    if rates.filter("rate > 0").limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+        drawn = F.broadcast(drawn)
     joined = keyed.join(drawn, F.col("_from").eqNullSafe(F.col("_source")))
 
     def draw(j: Column) -> Column:

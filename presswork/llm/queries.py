@@ -128,7 +128,8 @@ def toxicity_machine(spark: SparkSession, sf_dir: str) -> toxicity.Machine:
 
 
 def held_out(key: str) -> Column:
-    return F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2
+    """Whether a row's key puts it aside; a NULL key counts as an empty one, which does not."""
+    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

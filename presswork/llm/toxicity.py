@@ -105,7 +105,8 @@ def train(sample: DataFrame, rank: int = 4, least_rows: int = 3, chi_square: flo
     the label (chi square, of a term alone) are features, at most ``max_features`` with
     the strongest first; Spark counts them. Only they come to the driver, where their
     weights and pairwise factors are fitted by gradient descent with adaptive steps.
-    Without rows of both labels the score is a constant.
+    Without rows of both labels there is nothing to learn from, and no text is called
+    toxic: all scores are 0 to twelve places.
     """
     hashed = durable_table(_hashed(sample))
     copies = hashed.groupBy("signature").agg(F.count("*").alias("copies"))
@@ -113,9 +114,9 @@ def train(sample: DataFrame, rank: int = 4, least_rows: int = 3, chi_square: flo
         "label", (1 / F.col("copies")).alias("share"), "buckets")
     total, positive = rows.agg(F.sum("share"), F.sum(F.col("share") * F.col("label"))).first()
     total, positive = total or 0.0, positive or 0.0
-    constant = float(np.log((positive + 0.5) / (total - positive + 0.5)))
     if not 0 < positive < total:
-        return Machine(np.zeros(0, np.int32), np.zeros(0), np.zeros((0, rank)), constant)
+        return Machine(np.zeros(0, np.int32), np.zeros(0), np.zeros((0, rank)), -np.inf)
+    constant = float(np.log((positive + 0.5) / (total - positive + 0.5)))
     counts = rows.select("share", "label", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(
         F.sum("share").alias("n"), F.sum(F.col("share") * F.col("label")).alias("p"))
     spread = F.col("n") * (total - F.col("n")) * (positive * (total - positive))

@@ -389,6 +389,76 @@ def test_surrogates_stay_distinct(spark):
     assigned = pii.assign_surrogates(names, "k")
     assert assigned.count() == 10_000 == assigned.select("surrogate").distinct().count()
     few = spark.range(200).select(F.lit("ssn").alias("kind"), F.lpad(F.col("id").cast("string"), 3, "0").alias("canon"))
-    crowded = pii.assign_surrogates(few, "k", max_rounds=200)
+    crowded = pii.assign_surrogates(few, "k")
     assert crowded.select("surrogate").distinct().count() == 200
     assert crowded.join(few.select(F.col("canon").alias("surrogate")), "surrogate").count() == 0
+
+
+def test_surrogates_never_run_out(spark):
+    """More entities than there are short mailboxes, names, social numbers or network addresses to choose from."""
+    texts = [f"{c}@{d}.org" for c in "abcdefghijklmnopqrstuvwxyz" for d in [*"klmnopqrstuvwxyzabcd", "e"]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = [r.text for r in pii.replace_entities(rows, "k").collect()]
+    assert len(out) == 546 == len(set(out)) and not set(out) & set(texts)
+    # The space of a first attempt holds 823,875 names.
+    names = spark.range(1_000_000).select(F.lit("family.latin").alias("kind"), F.concat(F.lit("n"), "id").alias("canon"))
+    assigned = pii.assign_surrogates(names, "k")
+    assert assigned.count() == 1_000_000 == assigned.select("surrogate").distinct().count()
+    # Every two-digit number is taken, so each needs one of three digits.
+    full = spark.range(100).select(F.lit("ssn").alias("kind"), F.lpad(F.col("id").cast("string"), 2, "0").alias("canon"))
+    wider = [r.surrogate for r in pii.assign_surrogates(full, "k").collect()]
+    assert len(set(wider)) == 100 and all(w.isdigit() and len(w) > 2 for w in wider)
+
+
+def test_a_name_is_one_entity_under_all_titles(spark):
+    import re
+    texts = ["Dr. Anna Smith met Mrs. Anna Smith", "Mr. Kim Lee, Mrs. Kim Lee and Prof. Kim Lee", "Herr Otto Smith", "Dr. Otto Smith"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = [r.text for r in pii.replace_entities(rows, "k").orderBy("doc_id").collect()]
+    anna = re.fullmatch(r"Dr\. (\w+) (\w+) met Mrs\. (\w+) (\w+)", out[0])
+    assert anna[1] == anna[3] and anna[2] == anna[4] and anna[1].endswith(("ra", "lia", "nna"))
+    kim = re.fullmatch(r"Mr\. (\w+) (\w+), Mrs\. (\w+) (\w+) and Prof\. (\w+) (\w+)", out[1])
+    assert kim[1] == kim[3] == kim[5] and kim[1].endswith(("ler", "son", "ley"))
+    assert out[2].split()[1:] == out[3].split()[1:] and out[2].split()[1].endswith(("ro", "ten", "us"))
+
+
+def test_formats_of_numbers(spark):
+    found = ["3782 822463 10005", "4111.1111.1111.1111", "+49 (0)30 123-456-78", "0049 30 123456", "123 45 6789"]
+    left = ["5551234567", "030 1234567", "12 000 000", "see 1.2.3", "2024-01-15"]
+    rows = spark.createDataFrame([(i, f"x {t}, y") for i, t in enumerate(found + left)], "doc_id long, text string")
+    out = [r.text for r in pii.replace_entities(rows, "k").orderBy("doc_id").collect()]
+    for before, after in zip(found, out):
+        assert after != f"x {before}, y" and [c.isdigit() for c in after] == [c.isdigit() for c in f"x {before}, y"]
+    assert out[len(found):] == [f"x {t}, y" for t in left]
+
+
+def _like(pattern, text):
+    """The surface's shape: what a surrogate must keep of it."""
+    import re
+    return re.sub(r"[0-9]", "0", re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", text)))
+
+
+def test_pii_by_brute_force(spark):
+    """Detection by Python's patterns, one replacement for each entity and none twice, all else untouched."""
+    import regex
+    from presswork.llm import queries
+    docs = queries.table(spark, "/root/testdata/sf0.001", "documents")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    after = {r.doc_id: (r.text or "", r.n_entities) for r in pii.replace_entities(docs, "k").collect()}
+    pattern = regex.compile(pii.PATTERN.replace("\\p{Is", "\\p{"))
+    forward, backward = {}, {}
+    for key, text in texts.items():
+        new, count = after[key]
+        hits = list(pattern.finditer(text))
+        assert count == len(hits)
+        gaps = [text[a:b] for a, b in zip([0, *(h.end() for h in hits)], [*(h.start() for h in hits), len(text)])]
+        made = regex.fullmatch("(.+?)".join(map(regex.escape, gaps)), new, regex.DOTALL)
+        assert made, key
+        for hit, other in zip(hits, made.groups()):
+            if "@" not in hit[0] and not regex.match(pii._TITLES, hit[0]):
+                assert _like(pattern, other) == _like(pattern, hit[0]) or regex.fullmatch(r"[0-9a-fA-F]{32,}|[\d.]+", hit[0])
+            canon = regex.sub(r"[^\w@+]", "", hit[0]).lower()
+            surrogate = regex.sub(r"[^\w@+]", "", other).lower()
+            assert forward.setdefault(canon, surrogate) == surrogate
+            assert backward.setdefault(surrogate, canon) == canon and surrogate != canon
+    assert len(forward) >= 10
