@@ -32,7 +32,7 @@ def brute(counts):
         root = word
         while rows[root][0] is not None:
             root = rows[root][0]
-        out.add((word, form, root, n, n_near, counts[form] if form else None))
+        out.add((word, form, root, n, n_near, None if form is None else counts[form]))
     return out
 
 
