@@ -9,6 +9,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from presswork.operators.collation import collated
 from presswork.functions.text import filled, matches
 
 # Fixed value: the facet entry that stands for "no filter".
@@ -103,9 +104,12 @@ def by_id(df: DataFrame, content_id: int) -> DataFrame:
     return df.where(F.col("id") == content_id).limit(1)
 
 
-def by_url(df: DataFrame, url: str) -> DataFrame:
-    """The row with this URL, of several the one with the least id; no row when there is none."""
-    return df.where(F.col("url") == url).orderBy("id").limit(1)
+def by_url(df: DataFrame, url: str, collation: str | None = None) -> DataFrame:
+    """The row with this URL, of several the one with the least id; no row when there is none.
+
+    URLs compare by their bytes, or under one of Spark's collations.
+    """
+    return df.where(collated(F.col("url"), collation) == collated(F.lit(url), collation)).orderBy("id").limit(1)
 
 
 def url_stored(df: DataFrame, url: str) -> DataFrame:

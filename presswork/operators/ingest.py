@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from presswork.functions.text import utf16_units
 from presswork.operators.binding import bind
+from presswork.operators.collation import collated
 from presswork.operators.ids import assign_ids, highest_id
-from presswork.operators.tags import create_missing_tags, explode_tags, new_links, tag_ids
+from presswork.operators.tags import (
+    create_missing_tags, explode_tags, new_links, rejected_tags, tag_ids)
+from presswork.operators.url_keys import among
 from presswork.schema import CONTENT, TEXT_LIMITS, conform
-from presswork.session import durable, durable_table
+from presswork.session import discard, durable, shared_folder
 
 # Record keys that must be there, and what others default to.
 REQUIRED = ("date", "url", "author", "source")
@@ -72,6 +75,12 @@ def parse_items(items: DataFrame) -> DataFrame:
     )
 
 
+#: Every reason for which a record is turned away.
+REASONS = ("not_an_object", *(f"missing_{name}" for name in REQUIRED),
+           *(f"bad_{name}" for name in ("date", "views", "final_score")),
+           *(f"{name}_too_long" for name in TEXT_LIMITS))
+
+
 def accepted(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("reject_reason").isNull()).drop("reject_reason", "raw")
 
@@ -81,75 +90,118 @@ def rejected(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("reject_reason").isNotNull()).select("seq", "reject_reason", "raw")
 
 
-def first_by_url(incoming: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Staged:
+    """A parsed batch as files, in a folder for each outcome, from which everything is read."""
+
+    path: str
+    accepted: DataFrame
+    rejected: DataFrame
+
+    def discard(self) -> None:
+        discard(self.accepted.sparkSession, self.path)
+
+
+def stage_items(items: DataFrame) -> Staged:
+    """Parse (seq, raw) records, once, and write them to the checkpoint folder by outcome.
+
+    What is read later is one folder of it and the columns in use. ``discard`` removes it.
+    """
+    spark = items.sparkSession
+    parsed = parse_items(items)
+    outcome = F.when(F.col("reject_reason").isNull(), "accepted").otherwise("rejected")
+    raw = F.when(F.col("reject_reason").isNotNull(), F.col("raw"))
+    path = shared_folder(spark, "staged")
+    parsed.withColumn("raw", raw).withColumn("outcome", outcome).write.partitionBy("outcome").parquet(path)
+    rows = spark.read.schema(parsed.schema.add("outcome", "string")).parquet(path)
+    return Staged(path, rows.where("outcome = 'accepted'").drop("outcome", "reject_reason", "raw"),
+                  rows.where("outcome = 'rejected'").select("seq", "reject_reason", "raw"))
+
+
+def first_by_url(incoming: DataFrame, collation: str | None = None) -> DataFrame:
     """(seq, url) of the first record of every URL; NULL URLs are all kept.
 
     Works on two columns and reduces to one number per URL before the shuffle,
     so any number of copies of one URL is cheap. Records without a URL are
-    groups of their own and spread evenly.
+    groups of their own and spread evenly. Under a ``collation`` URLs that it calls
+    equal are one; the first keeps its spelling.
     """
     own = F.when(F.col("url").isNull(), F.col("seq")).alias("_own")
-    return incoming.groupBy("url", own).agg(F.min("seq").alias("seq")).select("seq", "url")
+    first = incoming.groupBy(collated(F.col("url"), collation).alias("url"), own).agg(F.min("seq").alias("seq"))
+    if collation is None:
+        return first.select("seq", "url")
+    return incoming.select("seq", "url").join(first.select("seq"), "seq", "left_semi")
+
 
+def _stored_among(stored: DataFrame, wanted: DataFrame, collation: str | None) -> DataFrame:
+    """The stored URLs to compare with, as ``_stored``; cut down to likely ones if they compare by bytes."""
+    urls = among(stored, wanted) if collation is None else stored.where("url IS NOT NULL").select("url")
+    return urls.select(collated(F.col("url"), collation).alias("_stored"))
 
-def _stored_urls(content: DataFrame) -> DataFrame:
-    return content.where(F.col("url").isNotNull()).select("url").distinct()
 
+def unseen_urls(incoming: DataFrame, stored: DataFrame, collation: str | None = None) -> DataFrame:
+    """(seq, url) of records to store: first of their URL and not stored yet.
 
-def unseen_urls(incoming: DataFrame, content: DataFrame) -> DataFrame:
-    """(seq, url) of records to store: first of their URL and not stored yet."""
-    stored = _stored_urls(content).withColumnRenamed("url", "_stored")
+    ``stored`` is the table of URL keys, or any with ``url``. Repeats in it do not matter
+    and are not removed. Without a ``collation`` URLs compare by their bytes.
+    """
+    firsts = durable(first_by_url(incoming, collation))
+    known = _stored_among(stored, firsts, collation)
     # A record without a URL meets nothing; its number keeps such records from
     # all going to the same task.
-    key = F.coalesce("url", F.col("seq").cast("string"))
+    key = collated(F.coalesce("url", F.col("seq").cast("string")), collation)
     same = (key == F.col("_stored")) & F.col("url").isNotNull()
-    return first_by_url(incoming).join(stored, same, "left_anti")
+    return firsts.join(known, same, "left_anti")
 
 
-def seen_urls(incoming: DataFrame, content: DataFrame) -> DataFrame:
+def seen_urls(incoming: DataFrame, stored: DataFrame, collation: str | None = None) -> DataFrame:
     """(seq, url) of records whose URL is stored already."""
-    return incoming.select("seq", "url").join(
-        _stored_urls(content), "url", "left_semi").select("seq", "url")
+    wanted = durable(incoming.where("url IS NOT NULL").select("seq", "url"))
+    known = _stored_among(stored, wanted, collation)
+    return wanted.join(known, collated(F.col("url"), collation) == F.col("_stored"), "left_semi")
 
 
-def new_content(parsed: DataFrame, content: DataFrame) -> DataFrame:
-    """Rows a parsed batch adds to the content table, with their ``tags``.
+def new_content(good: DataFrame, stored: DataFrame, after: int, collation: str | None = None) -> DataFrame:
+    """Rows that accepted records add to the content table, with their ``tags``.
 
-    Ids go by ``seq``, which must be unique in the batch and the same on every
-    read. Dedup and numbering move two narrow columns, read once; the wide rows
-    are shuffled once, when they meet their id, and kept as a table in the
-    checkpoint folder, from which later steps read the columns they need.
+    ``good`` should be staged, since it is read for its keys and again for its rows;
+    ``stored`` are the URL keys and ``after`` the highest id in use. Ids go by ``seq``,
+    which must be unique in the batch. Dedup and numbering move two narrow columns; the
+    wide rows are shuffled once, when they meet their id.
     """
-    good = accepted(parsed)
-    keys = durable(good.select("seq", "url"))
-    fresh = unseen_urls(keys, content).select("seq")
-    numbered = assign_ids(fresh, ["seq"], after=highest_id(content))
-    return durable_table(numbered.join(good, "seq").select(*CONTENT.fieldNames(), "tags"))
+    fresh = unseen_urls(good.select("seq", "url"), stored, collation).select("seq")
+    numbered = assign_ids(fresh, ["seq"], after=after)
+    return numbered.join(good, "seq").select(*CONTENT.fieldNames(), "tags")
 
 
-def new_tags_and_links(added: DataFrame, tags: DataFrame,
-                       content_tags: DataFrame) -> tuple[DataFrame, DataFrame]:
+def new_tags_and_links(added: DataFrame, tags: DataFrame, content_tags: DataFrame,
+                       after: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows that new content adds to the tag table and to the bridge."""
-    wanted = explode_tags(added.select(F.col("id").alias("content_id"), "tags"))
-    fresh = create_missing_tags(wanted, tags)
+    wanted = durable(explode_tags(added.select(F.col("id").alias("content_id"), "tags")))
+    fresh = durable(create_missing_tags(wanted, tags, after))
     known = tags.select("id", "tag").unionAll(fresh)
     return fresh, new_links(tag_ids(wanted, known), content_tags)
 
 
 @dataclass(frozen=True)
 class IngestRows:
-    """Rows one batch adds to each table, and the records it turned away."""
+    """Rows one batch adds to each table, and the records and tags it turned away."""
 
     content: DataFrame
     tags: DataFrame
     content_tags: DataFrame
     rejected: DataFrame
+    rejected_tags: DataFrame
 
 
-def ingest(items: DataFrame, content: DataFrame, tags: DataFrame,
-           content_tags: DataFrame) -> IngestRows:
-    """Everything a batch of (seq, raw) records adds to the corpus."""
-    parsed = parse_items(items)
-    added = new_content(parsed, content)
-    fresh, links = new_tags_and_links(added, tags, content_tags)
-    return IngestRows(conform(added, CONTENT), fresh, links, rejected(parsed))
+def ingest(staged: Staged, stored: DataFrame, tags: DataFrame, content_tags: DataFrame,
+           after: int | None = None, after_tag: int | None = None) -> IngestRows:
+    """Everything a staged batch of records adds to the corpus.
+
+    ``stored`` are URL keys, or content with ``url`` and ``id``. Without ``after`` and
+    ``after_tag`` the highest ids in use are looked up in ``stored`` and ``tags``.
+    """
+    added = new_content(staged.accepted, stored, highest_id(stored) if after is None else after)
+    fresh, links = new_tags_and_links(added, tags, content_tags, after_tag)
+    turned_away = rejected_tags(added.select(F.col("id").alias("content_id"), "tags"))
+    return IngestRows(conform(added, CONTENT), fresh, links, staged.rejected, turned_away)

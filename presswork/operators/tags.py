@@ -7,9 +7,10 @@ adaptive skew handling for tags that many items share.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from presswork.functions.text import utf16_units
+from presswork.operators.collation import collated
 from presswork.operators.ids import assign_ids, highest_id
 from presswork.schema import TAG_LIMIT
 
@@ -18,30 +19,51 @@ TAG_TARGET = 7
 TAG_LINE_SEPARATOR = " ,"
 
 
+#: Every reason for which a tag is turned away.
+TAG_REASONS = ("tag_missing", "tag_too_long")
+
+
+def _judged(items: DataFrame, tags_column: str) -> DataFrame:
+    """(content_id, pos, tag, reject_reason); no reason for a tag that can be stored."""
+    missing, too_long = TAG_REASONS
+    reason = F.when(F.col("tag").isNull(), missing).when(utf16_units(F.col("tag")) > TAG_LIMIT, too_long)
+    return items.select("content_id", F.posexplode(tags_column).alias("pos", "tag")).withColumn("reject_reason", reason)
+
+
 def explode_tags(items: DataFrame, tags_column: str = "tags") -> DataFrame:
     """(content_id, pos, tag) rows from a list column, unusable tags left out."""
-    return (
-        items.select("content_id", F.posexplode(tags_column).alias("pos", "tag"))
-        .where(F.col("tag").isNotNull() & (utf16_units(F.col("tag")) <= TAG_LIMIT))
-    )
+    return _judged(items, tags_column).where(F.col("reject_reason").isNull()).drop("reject_reason")
+
+
+def rejected_tags(items: DataFrame, tags_column: str = "tags") -> DataFrame:
+    """(content_id, pos, tag, reject_reason) of the tags that ``explode_tags`` leaves out."""
+    return _judged(items, tags_column).where(F.col("reject_reason").isNotNull())
 
 
-def create_missing_tags(wanted: DataFrame, tags: DataFrame) -> DataFrame:
+def create_missing_tags(wanted: DataFrame, tags: DataFrame, after: int | None = None,
+                        collation: str | None = None) -> DataFrame:
     """(id, tag) rows for wanted tags the table does not have yet.
 
-    Existing ids never change; new ones follow the highest in use, by tag.
+    Existing ids never change; new ones follow the highest in use (``after``, or looked
+    up), by tag. Under a ``collation`` tags that it calls equal are one, spelled like the
+    first of them in byte order.
     """
-    fresh = (
-        wanted.where(F.col("tag").isNotNull()).select("tag").distinct()
-        .join(tags.select("tag"), "tag", "left_anti")
-    )
-    return assign_ids(fresh, ["tag"], after=highest_id(tags)).select("id", "tag")
+    fresh = wanted.where(F.col("tag").isNotNull()).select("tag").distinct()
+    if collation is not None:
+        # Distinct spellings only, so few rows share a group.
+        alike = Window.partitionBy(collated(F.col("tag"), collation)).orderBy("tag")
+        fresh = fresh.withColumn("_nth", F.row_number().over(alike)).where("_nth = 1").drop("_nth")
+    known = tags.select(collated(F.col("tag"), collation).alias("_known"))
+    fresh = fresh.join(known, collated(F.col("tag"), collation) == F.col("_known"), "left_anti")
+    return assign_ids(fresh, ["tag"], after=highest_id(tags) if after is None else after).select("id", "tag")
 
 
-def tag_ids(wanted: DataFrame, tags: DataFrame) -> DataFrame:
+def tag_ids(wanted: DataFrame, tags: DataFrame, collation: str | None = None) -> DataFrame:
     """Wanted rows with the ``tag_id`` of their tag; order them by ``pos``."""
-    known = tags.select(F.col("id").alias("tag_id"), "tag")
-    return wanted.join(known, "tag")
+    if collation is None:
+        return wanted.join(tags.select(F.col("id").alias("tag_id"), "tag"), "tag")
+    known = tags.select(F.col("id").alias("tag_id"), collated(F.col("tag"), collation).alias("_known"))
+    return wanted.join(known, collated(F.col("tag"), collation) == F.col("_known")).drop("_known")
 
 
 def new_links(pairs: DataFrame, content_tags: DataFrame) -> DataFrame:

@@ -451,7 +451,44 @@ SELECT a.id AS content_id, k.id AS tag_id FROM added_wanted a JOIN known k ON k.
 EXCEPT SELECT content_id, tag_id FROM old_links"""),
     "ingest_rejects": using(
         "judged", "SELECT seq, reject_reason FROM judged WHERE reject_reason IS NOT NULL"),
+    "ingest_tag_rejects": using("added", """
+SELECT id AS content_id, len(tags) AS pos,
+  CASE WHEN seq % 17 = 0 THEN 'tag_missing' ELSE 'tag_too_long' END AS reject_reason,
+  CASE WHEN seq % 17 <> 0 THEN 256 END AS n_chars
+FROM added WHERE tags IS NOT NULL AND (seq % 17 = 0 OR seq % 23 = 0)"""),
+    "ingest_counts": using("added_tags", """
+, old_links AS (
+  SELECT DISTINCT w.content_id, t.id AS tag_id FROM wanted w JOIN old_tags t ON t.tag = w.tag),
+known AS (SELECT * FROM old_tags UNION ALL SELECT * FROM added_tags),
+new_links AS (
+  SELECT a.id AS content_id, k.id AS tag_id FROM added_wanted a JOIN known k ON k.tag = a.tag
+  EXCEPT SELECT content_id, tag_id FROM old_links)
+SELECT 'content' AS name, NULL AS reason, count(*) AS rows, max(id) AS highest FROM added
+UNION ALL SELECT 'tags', NULL, count(*), max(id) FROM added_tags
+UNION ALL SELECT 'content_tags', NULL, count(*), NULL FROM new_links
+UNION ALL SELECT 'rejected', reject_reason, count(*), NULL FROM judged
+  WHERE reject_reason IS NOT NULL GROUP BY reject_reason
+UNION ALL SELECT 'content', 'url_repeated', n, NULL FROM (
+  SELECT (SELECT count(*) FROM judged WHERE reject_reason IS NULL) - (SELECT count(*) FROM added) AS n) WHERE n > 0
+UNION ALL SELECT 'rejected_tags', CASE WHEN seq % 17 = 0 THEN 'tag_missing' ELSE 'tag_too_long' END, count(*), NULL
+  FROM added WHERE tags IS NOT NULL AND (seq % 17 = 0 OR seq % 23 = 0) GROUP BY ALL"""),
     "url_new": using("fresh", "SELECT seq, url FROM fresh"),
+    "url_new_any_case": using("judged", """
+, mixed AS (
+  SELECT seq, CASE WHEN seq % 3 = 0 THEN upper(url) ELSE url END AS url FROM judged WHERE reject_reason IS NULL),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY lower(url) ORDER BY seq) AS copy FROM mixed)
+SELECT seq, url FROM firsts WHERE url IS NULL OR (copy = 1 AND lower(url) NOT IN (
+  SELECT lower(url) FROM content WHERE type = 'view' AND url IS NOT NULL))"""),
+    "tag_get_or_create_any_case": using("old_tags", """
+, mixed AS (
+  SELECT content_id, pos, CASE WHEN content_id % 3 = 0 THEN upper(tag) ELSE tag END AS tag FROM wanted),
+spelled AS (
+  SELECT lower(tag) AS low, min(encode(tag)) AS spelling FROM mixed
+  WHERE lower(tag) NOT IN (SELECT tag FROM old_tags) GROUP BY lower(tag)),
+known AS (
+  SELECT id, tag FROM old_tags UNION ALL
+  SELECT (SELECT max(id) FROM old_tags) + row_number() OVER (ORDER BY spelling), low FROM spelled)
+SELECT content_id, pos, m.tag, k.id AS tag_id FROM mixed m JOIN known k ON k.tag = lower(m.tag)"""),
     "url_seen": using("judged", """
 SELECT seq, url FROM judged WHERE reject_reason IS NULL
   AND url IN (SELECT url FROM content WHERE type = 'view' AND url IS NOT NULL)"""),

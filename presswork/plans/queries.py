@@ -21,16 +21,19 @@ from presswork.operators import enrich, filters, ingest, stats, tags as tagging
 from presswork.operators.binding import bind
 from presswork.operators.blocks import html_blocks
 from presswork.operators.domains import with_domain
-from presswork.operators.ids import assign_ids
+from presswork.operators.collation import IGNORE_CASE
+from presswork.operators.ids import assign_ids, highest_id
 from presswork.operators.integrity import cascade_delete, orphans
 from presswork.operators.keywords import DEFAULT_PAIRS, keyword_pairs, match_keywords
 from presswork.operators.ordering import SORT_COLUMNS, sort_articles
 from presswork.operators.translations import apply_translations
+from presswork.operators.url_keys import read_url_keys, write_url_keys
+from presswork.plans.ingest_job import ingest_batch, ledger, store_corpus
 from presswork.plans.listing import (
     ListRequest, article_cards, article_details, article_list,
 )
 from presswork.schema import CONTENT, conform, union_conformed
-from presswork.session import durable_table
+from presswork.session import durable_table, shared_folder
 from presswork.sources import standin
 from presswork.sources.images import images_by_item, link_images, new_images
 from presswork.sources.standin import AS_OF
@@ -278,50 +281,107 @@ def _tag_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
         "content_id", tagging.tag_quota(F.col("tags")).alias("quota"))
 
 
-def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _stored(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The part of the corpus that is there before a batch comes in."""
-    return standin.content(spark, sf_dir, "id", "url", "type").where(F.col("type") == "view")
+    names = columns or ("id", "url")
+    rows = standin.content(spark, sf_dir, *dict.fromkeys((*names, "type")))
+    return rows.where(F.col("type") == "view").select(*names)
+
+
+def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Its URL keys, as a corpus folder holds them."""
+    path = shared_folder(spark, "keys")
+    write_url_keys(_stored(spark, sf_dir), path)
+    return read_url_keys(spark, path)
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.parse_items(standin.items(spark, sf_dir))
 
 
-def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The records as a batch that lies in storage, as batches do."""
-    return durable_table(standin.items(spark, sf_dir))
+def _staged(spark: SparkSession, sf_dir: str) -> ingest.Staged:
+    return ingest.stage_items(standin.items(spark, sf_dir))
+
+
+def _added(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = highest_id(_stored(spark, sf_dir))
+    return ingest.new_content(_staged(spark, sf_dir).accepted, _keys(spark, sf_dir), last)
 
 
 def _ingest_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = ingest.parse_items(_batch(spark, sf_dir))
-    added = ingest.new_content(parsed, _stored(spark, sf_dir))
-    return conform(added, CONTENT).withColumn("date", moment())
+    return conform(_added(spark, sf_dir), CONTENT).withColumn("date", moment())
 
 
 def _ingest_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, tags, _ = _stored_tags(spark, sf_dir)
-    parsed = ingest.parse_items(_batch(spark, sf_dir))
-    added = ingest.new_content(parsed, _stored(spark, sf_dir))
     return tagging.create_missing_tags(tagging.explode_tags(
-        added.withColumnRenamed("id", "content_id")), tags)
+        _added(spark, sf_dir).withColumnRenamed("id", "content_id")), tags)
 
 
 def _ingest_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, tags, links = _stored_tags(spark, sf_dir)
-    rows = ingest.ingest(_batch(spark, sf_dir), _stored(spark, sf_dir), tags, links)
-    return rows.content_tags
+    last = highest_id(_stored(spark, sf_dir))
+    return ingest.ingest(_staged(spark, sf_dir), _keys(spark, sf_dir), tags, links, after=last).content_tags
 
 
 def _ingest_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.rejected(_parsed(spark, sf_dir)).select("seq", "reject_reason")
+    return _staged(spark, sf_dir).rejected.select("seq", "reject_reason")
+
+
+def _ingest_tag_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags that are NULL or too long, with their item, place and reason."""
+    added = _added(spark, sf_dir).select(F.col("id").alias("content_id"), "tags")
+    return tagging.rejected_tags(added).select(
+        "content_id", "pos", "reject_reason", F.length("tag").alias("n_chars"))
+
+
+def _corpus(spark: SparkSession, sf_dir: str) -> str:
+    """A corpus folder with the stored part of all tables as its first batch."""
+    _, tags, links = _stored_tags(spark, sf_dir)
+    root = shared_folder(spark, "corpus")
+    store_corpus(_stored(spark, sf_dir, *CONTENT.fieldNames()), tags, links, root)
+    return root
+
+
+def _ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a batch stored and turned away, after the whole job has run on a corpus folder."""
+    root = _corpus(spark, sf_dir)
+    ingest_batch(_batch(spark, sf_dir), root, 1)
+    return ledger(spark, root).where("batch = 1").select("name", "reason", "rows", "highest")
+
+
+def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records as a batch that lies in storage, as batches do."""
+    return durable_table(standin.items(spark, sf_dir))
 
 
 def _url_new(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.unseen_urls(ingest.accepted(_parsed(spark, sf_dir)), _stored(spark, sf_dir))
+    return ingest.unseen_urls(_staged(spark, sf_dir).accepted, _keys(spark, sf_dir))
 
 
 def _url_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.seen_urls(ingest.accepted(_parsed(spark, sf_dir)), _stored(spark, sf_dir))
+    return ingest.seen_urls(_staged(spark, sf_dir).accepted, _keys(spark, sf_dir))
+
+
+def _mixed_case(text: str, number: str) -> Column:
+    """Every third text in capitals."""
+    return F.when(F.col(number) % 3 == 0, F.upper(text)).otherwise(F.col(text))
+
+
+def _url_new_any_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New records where URLs that differ in case only are the same."""
+    good = durable_table(ingest.accepted(_parsed(spark, sf_dir)).select("seq", "url")).withColumn(
+        "url", _mixed_case("url", "seq"))
+    return ingest.unseen_urls(good, _stored(spark, sf_dir), collation=IGNORE_CASE)
+
+
+def _tags_any_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wanted tags in mixed case with the ids of tags that differ in case only."""
+    wanted, tags, _ = _stored_tags(spark, sf_dir)
+    wanted = wanted.withColumn("tag", _mixed_case("tag", "content_id"))
+    fresh = tagging.create_missing_tags(wanted, tags, collation=IGNORE_CASE)
+    return tagging.tag_ids(wanted, tags.unionAll(fresh), collation=IGNORE_CASE).select(
+        "content_id", "pos", "tag", "tag_id")
 
 
 def _tag_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -487,8 +547,12 @@ QUERIES: dict[str, Query] = {
     "ingest_tags": _ingest_tags,
     "ingest_links": _ingest_links,
     "ingest_rejects": _ingest_rejects,
+    "ingest_tag_rejects": _ingest_tag_rejects,
+    "ingest_counts": _ingest_counts,
     "url_new": _url_new,
     "url_seen": _url_seen,
+    "url_new_any_case": _url_new_any_case,
+    "tag_get_or_create_any_case": _tags_any_case,
     "tag_prompts": _tag_prompts,
     "tag_results": _tag_results,
     "translation_prompts": _translation_prompts,

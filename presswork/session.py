@@ -71,3 +71,11 @@ def durable_table(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a folder that ``shared_folder`` named, when nothing reads it any more."""
+    if not path.startswith(f"{_checkpoint_folder(spark)}/"):
+        raise ValueError("only folders in the checkpoint folder are removed")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

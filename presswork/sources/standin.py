@@ -79,7 +79,7 @@ def tag_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq, raw) records for ingest, one per document and one per page again.
 
-    Some keys are left out, some values are null, too long or unreadable, and
+    Some keys are left out, some values and tags are null, too long or unreadable, and
     the page records repeat URLs that document records carry.
     """
     rows = content(spark, sf_dir, *_ITEM_COLUMNS)
@@ -98,7 +98,8 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
         "source": F.col("source"),
         "final_score": F.col("final_score"),
         "type": F.col("type"),
-        "tags": F.col("tags"),
+        "tags": F.when(doc % 17 == 0, F.array_append("tags", F.lit(None).cast("string")))
+                 .when(doc % 23 == 0, F.array_append("tags", F.lit("t" * 256))).otherwise(F.col("tags")),
     }
     full = F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]),
                      {"ignoreNullFields": "false"})

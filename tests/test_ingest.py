@@ -1,11 +1,17 @@
 import datetime as dt
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from presswork.operators import ingest as I
-from presswork.plans.ingest_job import corpus_table, ingest_batch
+from presswork.operators.collation import IGNORE_CASE
+from presswork.operators.filters import by_url
+from presswork.operators.sieve import sieve
+from presswork.operators.url_keys import among, url_folder
+from presswork.plans.ingest_job import (
+    corpus_table, highest_stored, ingest_batch, ledger, stored_urls)
 from presswork.schema import CONTENT, CONTENT_TAGS, TAGS
 
 BASE = {"date": "2024-01-05 10:00:00", "url": "http://x/1", "author": "ann", "source": "s"}
@@ -110,6 +116,82 @@ def test_batches_into_a_folder(spark, tmp_path):
 
 def test_ingest_from_nothing(spark):
     empty = [spark.createDataFrame([], s) for s in (CONTENT, TAGS, CONTENT_TAGS)]
-    rows = I.ingest(frame(spark, record()), *empty)
+    staged = I.stage_items(frame(spark, record()))
+    rows = I.ingest(staged, *empty)
     assert rows.content.columns == CONTENT.fieldNames()
     assert (rows.content.count(), rows.tags.count(), rows.content_tags.count()) == (1, 0, 0)
+    staged.discard()
+    assert not os.path.exists(staged.path.removeprefix("file:"))
+
+
+def test_empty_batch(spark, tmp_path):
+    root = str(tmp_path / "corpus")
+    ingest_batch(frame(spark, record()).limit(0), root, 0)
+    assert corpus_table(spark, root, "content").count() == 0
+    ingest_batch(frame(spark, record(tags=["a"])), root, 1)
+    assert [tuple(r) for r in corpus_table(spark, root, "tags").collect()] == [(1, "a")]
+    entries = {(r.batch, r.name, r.reason): r.rows for r in ledger(spark, root).collect()}
+    assert entries[0, "content", None] == 0 and entries[1, "content", None] == 1
+
+
+def test_ledger(spark, tmp_path):
+    root = str(tmp_path / "corpus")
+    ingest_batch(frame(
+        spark, record(tags=["b", None, "x" * 256, "x" * 255]), record(url="http://x/2", tags=[None]), record(),
+        record(url=...), record(url=...), record(title="x" * 256), "no"), root, 3)
+    rows = {(r.name, r.reason): (r.rows, r.highest) for r in ledger(spark, root).where("batch = 3").collect()}
+    assert rows == {
+        ("content", None): (2, 2), ("content", "url_repeated"): (1, None), ("tags", None): (2, 2),
+        ("content_tags", None): (2, None), ("rejected", "missing_url"): (2, None),
+        ("rejected", "title_too_long"): (1, None), ("rejected", "not_an_object"): (1, None),
+        ("rejected_tags", "tag_missing"): (2, None), ("rejected_tags", "tag_too_long"): (1, None)}
+    away = spark.read.parquet(f"{root}/rejected_tags").orderBy("content_id", "pos").collect()
+    assert [(r.content_id, r.pos, r.reject_reason) for r in away] == [
+        (1, 1, "tag_missing"), (1, 2, "tag_too_long"), (2, 0, "tag_missing")]
+    assert highest_stored(spark, root, "content", before_batch=3) == 0
+    assert highest_stored(spark, root, "content") == 2
+
+
+def test_stored_content_is_not_read(spark, tmp_path, monkeypatch):
+    """The second batch compares with URL keys of its own folders, sieved before any shuffle."""
+    root = str(tmp_path / "corpus")
+    ingest_batch(frame(spark, *[record(url=f"http://x/{i}") for i in range(300)]), root, 0)
+    keys = stored_urls(spark, root, before_batch=1)
+    incoming = I.stage_items(frame(spark, record(url="http://x/7"), record(url="http://y/1"))).accepted
+    fresh = I.unseen_urls(incoming, keys)
+    assert [r.url for r in fresh.collect()] == ["http://y/1"]
+    plan = fresh._jdf.queryExecution().executedPlan().toString()
+    assert "/content" not in plan and "SortAggregate" not in plan
+    folders = {url_folder_of(spark, u) for u in ("http://x/7", "http://y/1")}
+    scan = plan[plan.index("PartitionFilters: [isnotnull(batch" if "isnotnull(batch" in plan else "PartitionFilters"):]
+    assert all(str(f) in scan for f in folders) and "folder" in scan
+    passed = among(keys, incoming)
+    assert passed.count() < 30
+    ingest_batch(frame(spark, record(url="http://x/7"), record(url="http://y/1")), root, 1)
+    assert corpus_table(spark, root, "content").count() == 301
+
+
+def url_folder_of(spark, url):
+    return spark.range(1).select(url_folder(F.lit(url))).first()[0]
+
+
+def test_sieve(spark):
+    rows = spark.range(100_000).select(F.col("id").cast("string").alias("k"), "id")
+    wanted = rows.where("id % 1000 = 0").select("k")
+    got = sieve(rows, "k", wanted)
+    assert got.columns == rows.columns and got.where("id % 1000 = 0").count() == 100
+    assert got.count() < 100 + 2500
+    assert sieve(rows, "k", wanted.limit(0)).count() == 0
+    nulls = spark.createDataFrame([(None,), ("5",)], "k string")
+    assert [r.k for r in sieve(nulls, "k", nulls).collect()] == ["5"]
+
+
+def test_urls_that_differ_in_case(spark):
+    incoming = spark.createDataFrame([(1, "http://X/a"), (2, "http://x/A"), (3, "http://x/b"), (4, None), (5, None)], "seq long, url string")
+    stored = spark.createDataFrame([("HTTP://X/B",), (None,)], "url string")
+    fresh = sorted(map(tuple, I.unseen_urls(incoming, stored, IGNORE_CASE).collect()))
+    assert fresh == [(1, "http://X/a"), (4, None), (5, None)]
+    assert [tuple(r) for r in I.seen_urls(incoming, stored, IGNORE_CASE).collect()] == [(3, "http://x/b")]
+    assert I.unseen_urls(incoming, stored).count() == 5
+    one = spark.createDataFrame([(3, "http://X/a"), (2, "HTTP://x/A")], "id long, url string")
+    assert by_url(one, "http://x/a", IGNORE_CASE).first().id == 2 and by_url(one, "http://x/a").count() == 0
