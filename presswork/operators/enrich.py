@@ -11,6 +11,7 @@ from presswork.functions.responses import image_url, message_text
 from presswork.functions.text import filled, first_filled, join_list, split_list
 from presswork.operators.binding import bind
 from presswork.operators.filters import needs_translation
+from presswork.operators.latest import latest
 from presswork.operators.tags import TAG_TARGET, short_tag_lists, tag_quota
 
 # The prompt texts. %s marks what is filled in, in order.
@@ -84,10 +85,8 @@ def tag_prompts(content: DataFrame, content_tags: DataFrame, tags: DataFrame) ->
 
 
 def latest_replies(replies: DataFrame) -> DataFrame:
-    """The last reply per item by ``seq``, reduced before the shuffle."""
-    last = F.max(F.struct("seq", "response"))
-    return replies.groupBy("content_id").agg(last.alias("_last")).select(
-        "content_id", "_last.seq", "_last.response")
+    """(content_id, seq, response): the last reply per item by ``seq``."""
+    return latest(replies, "content_id", "seq", "response").select("content_id", "seq", "response")
 
 
 def tag_results(items: DataFrame, replies: DataFrame) -> DataFrame:

@@ -424,6 +424,22 @@ WHERE content_id NOT IN (SELECT id FROM content WHERE type = 'error')"""),
 SELECT id, title, CASE WHEN conv_id IS NOT NULL THEN text ELSE content_persian END
   AS content_persian, views
 FROM content LEFT JOIN latest ON conv_id = id"""),
+    "translations_stored": using("content", """
+, latest AS (
+  SELECT conv_id, arg_max(text, turn) AS text FROM conversations WHERE role = 'assistant' GROUP BY conv_id)
+SELECT id, title, CASE WHEN id IN (SELECT conv_id FROM latest) THEN (SELECT text FROM latest WHERE conv_id = id)
+  ELSE content_persian END AS content_persian, views FROM content"""),
+    "generated_tags_stored": using("content old_tags replies", f"""
+, {_LAST_REPLY},
+old_links AS (SELECT DISTINCT w.content_id, w.tag FROM wanted w WHERE w.tag IN (SELECT tag FROM old_tags)),
+items AS (
+  SELECT c.id, (SELECT count(*) FROM old_links o WHERE o.content_id = c.id) AS n, r.text
+  FROM content c JOIN last_reply r ON r.content_id = c.id WHERE c.type = 'view'),
+generated AS (
+  SELECT id AS content_id, unnest(list_slice([trim(x, {_STRIP}) FOR x IN string_split(coalesce(text, ''), ',')
+    IF trim(x, {_STRIP}) <> ''], 1, 7 - n)) AS tag FROM items WHERE n < 7)
+SELECT DISTINCT content_id, tag FROM generated WHERE length(tag) <= 255
+EXCEPT SELECT content_id, tag FROM old_links"""),
     "under_tagged": using("content links", """
 SELECT id, n AS n_tags, 7 - n AS to_generate FROM (
   SELECT c.id, count(l.tag_id) AS n FROM content c LEFT JOIN links l ON l.content_id = c.id
@@ -538,6 +554,10 @@ FROM (SELECT id, [x FOR x IN [url, source, url] IF x IS NOT NULL] AS urls FROM c
 SELECT 500 + row_number() OVER (ORDER BY content_id, image_url) AS id, content_id, image_url,
   octet_length(encode(image)) AS n_bytes
 FROM images WHERE image <> ''"""),
+    "image_files": """
+SELECT page_id AS content_id, sha256(html || chr(10)) AS digest, octet_length(encode(html)) + 1 AS n_bytes
+FROM pages WHERE html IS NOT NULL""",
+    "images_of_item": using("images", "SELECT image FROM images WHERE content_id = 7 AND image <> ''"),
     "images_by_item": using("content images", """
 SELECT id, image FROM content
 LEFT JOIN (SELECT * FROM images WHERE image <> '') ON content_id = id"""),

@@ -28,14 +28,17 @@ from presswork.operators.keywords import DEFAULT_PAIRS, keyword_pairs, match_key
 from presswork.operators.ordering import SORT_COLUMNS, sort_articles
 from presswork.operators.translations import apply_translations
 from presswork.operators.url_keys import read_url_keys, write_url_keys
-from presswork.plans.ingest_job import ingest_batch, ledger, store_corpus
+from presswork.plans.enrich_job import (
+    store_generated_tags, store_images, store_translations, stored_images)
+from presswork.plans.ingest_job import corpus_table, ingest_batch, ledger, store_corpus
 from presswork.plans.listing import (
     ListRequest, article_cards, article_details, article_list,
 )
 from presswork.schema import CONTENT, conform, union_conformed
 from presswork.session import durable_table, shared_folder
 from presswork.sources import standin
-from presswork.sources.images import images_by_item, link_images, new_images
+from presswork.sources.images import (
+    image_files, images_by_item, images_of, new_images, read_images, write_images)
 from presswork.sources.standin import AS_OF
 from presswork.sources.tables import content_scan
 
@@ -432,10 +435,49 @@ def _string_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _image_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = standin.image_rows(spark, sf_dir)
-    owners = rows.select("content_id", "image_url")
-    linked = link_images(rows.select("image_url", "image_data"), owners)
-    return new_images(linked, after=500).select(
-        "id", "content_id", "image_url", F.octet_length("image_data").alias("n_bytes"))
+    path = shared_folder(spark, "images")
+    write_images(rows.select("image_url", "image_data"), path)
+    found = new_images(read_images(spark, path), rows.select("content_id", "image_url"), after=500)
+    return found.select("id", "content_id", "image_url", "n_bytes")
+
+
+def _image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images that lie as files in a folder, stored and linked by the whole job."""
+    folder, root = shared_folder(spark, "files"), shared_folder(spark, "corpus")
+    standin.write_files(spark, sf_dir, folder)
+    files = image_files(spark, folder)
+    item = F.regexp_extract("image_url", r"page=([0-9]+)", 1).cast("long")
+    store_images(files, files.select(item.alias("content_id"), "image_url"), root, 0)
+    rows, _ = stored_images(spark, root)
+    return rows.select("content_id", "digest", "n_bytes")
+
+
+def _images_of_item(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = standin.image_rows(spark, sf_dir)
+    root = shared_folder(spark, "corpus")
+    store_images(rows.select("image_url", "image_data"), rows.select("content_id", "image_url"), root, 0)
+    found = images_of(*stored_images(spark, root), content_id=7)
+    return found.select(F.decode("image_data", "UTF-8").alias("image"))
+
+
+def _translations_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The content of a corpus folder after its translations are stored there."""
+    none = standin.tags(standin.tag_rows(spark, sf_dir)).limit(0)
+    root = shared_folder(spark, "corpus")
+    store_corpus(standin.content(spark, sf_dir), none, none.select(
+        F.col("id").alias("content_id"), F.col("id").alias("tag_id")), root)
+    store_translations(standin.translations(spark, sf_dir), root)
+    return corpus_table(spark, root, "content").select("id", "title", "content_persian", "views")
+
+
+def _generated_tags_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links that replies to tag prompts add to a corpus folder."""
+    root = _corpus(spark, sf_dir)
+    store_generated_tags(standin.replies(spark, sf_dir), root, 1)
+    tags = corpus_table(spark, root, "tags")
+    added = corpus_table(spark, root, "content_tags").join(
+        corpus_table(spark, root, "content_tags", before_batch=1), ["content_id", "tag_id"], "left_anti")
+    return tagging.tags_of(added, tags)
 
 
 def _images_by_item(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -541,6 +583,8 @@ QUERIES: dict[str, Query] = {
     "orphan_images": _orphans,
     "cascade_delete": _cascade,
     "translations_applied": _apply_translations,
+    "translations_stored": _translations_stored,
+    "generated_tags_stored": _generated_tags_stored,
     "under_tagged": _under_tagged,
     "tag_quota": _tag_quota,
     "ingest_content": _ingest_content,
@@ -563,6 +607,8 @@ QUERIES: dict[str, Query] = {
     "image_urls": _image_urls,
     "string_urls": _string_urls,
     "image_insert": _image_insert,
+    "image_files": _image_files,
+    "images_of_item": _images_of_item,
     "images_by_item": _images_by_item,
     "split_lists": _split_lists,
     "stripped_text": _stripped,

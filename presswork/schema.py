@@ -28,6 +28,23 @@ CONTENT_IMAGES = T.StructType([
     T.StructField("image_data", T.BinaryType()),
 ])
 
+# How images are kept: their bytes once, and rows that name the place of these.
+IMAGE_FILES = T.StructType([
+    T.StructField("place", T.LongType()),
+    T.StructField("image_url", T.StringType()),
+    T.StructField("digest", T.StringType()),
+    T.StructField("n_bytes", T.IntegerType()),
+    T.StructField("image_data", T.BinaryType()),
+])
+IMAGE_ROWS = T.StructType([
+    T.StructField("id", T.LongType(), False),
+    T.StructField("content_id", T.LongType()),
+    T.StructField("image_url", T.StringType()),
+    T.StructField("digest", T.StringType()),
+    T.StructField("n_bytes", T.IntegerType()),
+    T.StructField("place", T.LongType()),
+])
+
 TAGS = T.StructType([
     T.StructField("id", T.LongType(), False),
     T.StructField("tag", T.StringType()),

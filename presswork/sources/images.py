@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from presswork.operators.ids import assign_ids
-from presswork.schema import CONTENT_IMAGES, conform
+from presswork.schema import CONTENT_IMAGES, IMAGE_FILES, conform
+from presswork.sources.tables import read_table
 
 
 def image_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
@@ -23,34 +24,49 @@ def image_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFra
     return files.select(F.col("path").alias("image_url"), F.col("content").alias("image_data"))
 
 
-def link_images(files: DataFrame, owners: DataFrame) -> DataFrame:
-    """(content_id, image_url, image_data) from files and (content_id, image_url).
+def numbered_images(files: DataFrame) -> DataFrame:
+    """(image_url, image_data) as rows to store: with a place of their own, a digest and a length.
 
-    Files without any bytes are left out.
+    Empty ones are left out. The place must be written before it is used; it rises with
+    the files, so that a few places are read from few of them.
     """
-    return (
-        files.where(F.octet_length("image_data") > 0)
-        .join(owners.select("content_id", "image_url").distinct(), "image_url")
-        .select("content_id", "image_url", "image_data")
-    )
+    return files.where(F.octet_length("image_data") > 0).select(
+        F.monotonically_increasing_id().alias("place"), "image_url", F.sha2("image_data", 256).alias("digest"),
+        F.octet_length("image_data").alias("n_bytes"), "image_data")
+
+
+def write_images(files: DataFrame, path: str) -> None:
+    """Write the bytes once, where they are read; nothing is shuffled."""
+    numbered_images(files).write.mode("overwrite").parquet(path)
+
 
+def read_images(spark: SparkSession, path: str) -> DataFrame:
+    return read_table(spark, path, IMAGE_FILES, keep=("batch",))
 
-def new_images(linked: DataFrame, after: int = 0) -> DataFrame:
-    """Rows to append to the image table.
 
-    Each gets an id of its own, also several under one URL and item; the same bytes
-    there are one image. Keys are numbered without the bytes, which join their id by a
-    digest afterwards.
+def new_images(stored: DataFrame, owners: DataFrame, after: int = 0) -> DataFrame:
+    """Rows to append to the image table, without their bytes but with the place of these.
+
+    ``stored`` are written images, of which only narrow columns are read; ``owners`` is
+    (content_id, image_url). Each image of a URL and item gets an id of its own; the same
+    bytes there are one image, by their digest.
     """
-    keys = ["content_id", "image_url", "_digest"]
-    digested = linked.withColumn("_digest", F.sha2("image_data", 256))
-    numbered = assign_ids(digested.select(*keys).distinct(), keys, after=after)
-    return conform(numbered.join(digested.dropDuplicates(keys), keys).drop("_digest"), CONTENT_IMAGES)
+    keys = ["content_id", "image_url", "digest"]
+    linked = stored.select("image_url", "digest", "n_bytes", "place").join(
+        owners.select("content_id", "image_url").distinct(), "image_url")
+    each = linked.groupBy(*keys).agg(F.min("place").alias("place"), F.max("n_bytes").alias("n_bytes"))
+    return assign_ids(each, keys, after=after).select("id", *keys, "n_bytes", "place")
+
+
+def with_bytes(images: DataFrame, stored: DataFrame) -> DataFrame:
+    """Rows of the image table with their bytes, fetched by place (and batch, if there is one)."""
+    at = [c for c in ("batch", "place") if c in images.columns and c in stored.columns]
+    return conform(stored.select(*at, "image_data").join(images, at), CONTENT_IMAGES)
 
 
-def images_of(images: DataFrame, content_id: int) -> DataFrame:
+def images_of(images: DataFrame, stored: DataFrame, content_id: int) -> DataFrame:
     """The image bytes of one item; no row when it has none."""
-    return images.where(F.col("content_id") == content_id).select("image_data")
+    return with_bytes(images.where(F.col("content_id") == content_id), stored).select("image_data")
 
 
 def images_by_item(content: DataFrame, images: DataFrame) -> DataFrame:

@@ -148,6 +148,12 @@ def image_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.encode(page, "UTF-8").alias("image_data"))
 
 
+def write_files(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """A file for each page, in a folder that names it; its bytes are the page and a line end."""
+    pages = table(spark, sf_dir, "pages").where("html IS NOT NULL")
+    pages.select(F.col("page_id").alias("page"), "html").write.partitionBy("page").text(folder)
+
+
 def image_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(content_id, seq, response): page URLs in the shape of an image reply.
 

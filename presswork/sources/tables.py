@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from presswork.operators.ordering import newest_first
@@ -17,12 +16,10 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType,
     older files lack read as NULL. Partition columns named in ``keep`` stay, so
     that filters on them skip whole folders.
     """
-    try:
-        files = spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
         return spark.createDataFrame([], schema)
+    files = spark.read.schema(schema).parquet(path)
     kept = [c for c in keep if c in files.columns]
     extra = T.StructType(schema.fields + [files.schema[c] for c in kept])
     return conform(files, extra)

@@ -67,22 +67,37 @@ def test_image_files(spark, tmp_path):
         [(1, found["a.png"]), (1, found["a.png"]), (1, found["c.png"]), (2, found["a.png"]),
          (2, "b.png"), (3, "none.png")],
         "content_id long, image_url string")
-    linked = images.link_images(files, owners)
-    rows = images.new_images(linked, after=10)
+    images.write_images(files, str(tmp_path / "stored"))
+    stored = images.read_images(spark, str(tmp_path / "stored"))
+    found = images.new_images(stored, owners, after=10)
+    rows = images.with_bytes(found, stored)
     got = sorted((r.id, r.content_id, r.image_url[-5:], bytes(r.image_data))
                  for r in rows.collect())
     assert got == [(11, 1, "a.png", b"\x89a"), (12, 1, "c.png", b"c"), (13, 2, "a.png", b"\x89a")]
-    assert images.images_of(rows, 1).count() == 2 and images.images_of(rows, 3).count() == 0
+    assert images.images_of(found, stored, 1).count() == 2 and images.images_of(found, stored, 3).count() == 0
     by_item = images.images_by_item(spark.createDataFrame([(1,), (3,)], "id long"), rows)
     assert sorted((r.id, r.image_data is None) for r in by_item.collect()) == [
         (1, False), (1, False), (3, True)]
     assert by_item.where(F.col("id") == 3).count() == 1
 
 
-def test_two_images_of_one_url_get_ids_of_their_own(spark):
-    from presswork.sources.images import new_images
-    rows = [(1, "a.png", b"x"), (1, "a.png", b"y"), (2, "a.png", b"x"), (1, "a.png", b"x")]
-    linked = spark.createDataFrame(rows, "content_id long, image_url string, image_data binary")
-    found = new_images(linked, after=10).collect()
-    assert sorted(r.id for r in found) == [11, 12, 13]
-    assert {(r.content_id, bytes(r.image_data)) for r in found} == {(1, b"x"), (1, b"y"), (2, b"x")}
+def test_two_images_of_one_url_get_ids_of_their_own(spark, tmp_path):
+    rows = [("a.png", b"x"), ("a.png", b"y"), ("a.png", b"x"), ("b.png", None)]
+    images.write_images(spark.createDataFrame(rows, "image_url string, image_data binary"), str(tmp_path / "stored"))
+    stored = images.read_images(spark, str(tmp_path / "stored"))
+    owners = spark.createDataFrame([(1, "a.png"), (2, "a.png"), (1, "b.png")], "content_id long, image_url string")
+    found = images.new_images(stored, owners, after=10)
+    assert sorted(r.id for r in found.collect()) == [11, 12, 13, 14]
+    assert {(r.content_id, bytes(r.image_data)) for r in images.with_bytes(found, stored).collect()} == {
+        (1, b"x"), (1, b"y"), (2, b"x"), (2, b"y")}
+
+
+def test_bytes_of_images_stay_where_they_are(spark, tmp_path):
+    files = spark.createDataFrame([("a.png", b"x")], "image_url string, image_data binary")
+    written = images.numbered_images(files)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in written
+    images.write_images(files, str(tmp_path / "stored"))
+    owners = files.selectExpr("1L as content_id", "image_url")
+    rows = images.new_images(images.read_images(spark, str(tmp_path / "stored")), owners)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "image_data" not in plan and "SortAggregate" not in plan
