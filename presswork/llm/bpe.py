@@ -142,22 +142,29 @@ class Encoder:
     def chunk(self, chunk: str) -> bytes:
         """The ids of a run without white space. No merge or normal form reaches over its ends."""
         if chunk.isascii():
-            chunk = chunk.lower()
-            if chunk.isalpha():
-                return self.words(chunk)
-            if chunk[-1] in ",." and chunk[:-1].isalpha():
-                return self.words(chunk[:-1]) + self.words(chunk[-1])
+            low = chunk.lower()
+            if low.isalpha():
+                return self.merge(low) if low == chunk else self.chunks(low)
+            if low[-1] in ",." and low[:-1].isalpha():
+                return self.chunks(low[:-1]) + self.words(low[-1])
+            chunk = low
         else:
             # Letter by letter, so that a sigma at the end of a word is like any other.
             chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
             if not self.recent.isdisjoint(chunk):
                 chunk = chunk.translate(_RECENT_LOWER)
                 masked = chunk.translate(self.newest)
-                return b"".join([self.words(chunk[slice(*m.span())])
+                return b"".join([self.word(chunk[slice(*m.span())])
                                  for m in self.pretokens.finditer(masked)])
-        return b"".join([self.words(w) for w in self.pretokens.findall(chunk)])
+        return b"".join([self.word(w) for w in self.pretokens.findall(chunk)])
+
+    def word(self, word: str) -> bytes:
+        """A pre-token's ids. One of plain letters is a run as well, and is remembered as that."""
+        return self.chunks(word) if word.isascii() and word.isalpha() else self.words(word)
 
     def plain(self, text: str) -> bytes:
+        if text.isascii():
+            text = text.lower()
         if _ODD_SPACES.search(text):
             chunks = [c for c in SPACES.split(text) if c]
         else:

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from sys import getsizeof
 
-#: Words remembered in each of two generations, in each Python worker.
-REMEMBERED = 350_000
+#: Bytes that each of two generations of a map may take, about, in each Python worker.
+REMEMBERED = 24 << 20
+#: Bytes of a map's own for each word.
+_SLOT = 104
 
 
 class Memory:
-    """A bounded map from words to results; what was used lately stays."""
+    """A map from words to results, bounded in bytes; what was used lately stays."""
 
     def __init__(self, make: Callable, limit: int = REMEMBERED):
-        self.make, self.limit, self.young, self.old = make, limit, {}, {}
+        self.make, self.limit, self.young, self.old, self.size = make, limit, {}, {}, 0
 
     def __call__(self, word):
         found = self.young.get(word)
@@ -20,9 +23,10 @@ class Memory:
             found = self.old.get(word)
             if found is None:
                 found = self.make(word)
-            if len(self.young) >= self.limit:
-                self.old, self.young = self.young, {}
+            if self.size >= self.limit:
+                self.old, self.young, self.size = self.young, {}, 0
             self.young[word] = found
+            self.size += getsizeof(word) + getsizeof(found) + _SLOT
         return found
 
     def all(self, words: list[str]) -> list:

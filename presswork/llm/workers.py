@@ -26,8 +26,15 @@ def find_package(df: DataFrame) -> None:
 
 def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
                 schema: StructType | str) -> DataFrame:
+    """``function`` over the rows of each partition; what Arrow holds goes back when it ends."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
     find_package(df)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(run, schema)
 
 
 def with_text(docs: DataFrame, columns: list[str], text: str) -> tuple[DataFrame, int]:
