@@ -21,12 +21,36 @@ _NAME = f"""transform(arrays_zip(names, tags), t -> CASE
   WHEN lower(t.names) RLIKE '^({_VOID})$' OR t.tags LIKE '%/>' THEN concat('>', lower(t.names))
   ELSE lower(t.names) END)"""
 
+#: Tags of a run. What is found in a run is gathered there and then put, as one entry, behind
+#: that of the runs before: a list that grew by one block at a time would be copied as often.
+RUN = 128
+
+
+def _in_runs(state: dict[str, str], step: str, finish: str) -> str:
+    """SQL that folds ``step``, a lambda of (s, i), over the places 0 to the number of tags.
+
+    ``state`` are the fields of ``s`` and their first values. The step's ``s.found`` holds
+    what its run has found; ``finish`` makes the result of all that was found, as ``found``.
+    """
+    fields = list(state)
+    first = ", ".join(f"'{name}', {value}" for name, value in state.items())
+    entered = ", ".join(f"'{name}', o.{name}" for name in fields)
+    left = ", ".join(f"'{name}', r.{name}" for name in fields)
+    run = (f"aggregate(sequence(c * {RUN}, least(c * {RUN} + {RUN - 1}, size(elements))), "
+           f"named_struct({entered}, 'found', {_NONE}), {step})")
+    return (f"aggregate(sequence(0, cast(size(elements) DIV {RUN} AS int)), "
+            f"named_struct({first}, 'runs', cast(array() AS array<array<struct<first:int,last:int>>>)), "
+            f"(o, c) -> transform(array({run}), r -> named_struct({left}, 'runs', array_append(o.runs, r.found)))[0], "
+            f"o -> transform(array(flatten(o.runs)), found -> {finish})[0])")
+
+
+_NONE = "cast(array() AS array<struct<first:int,last:int>>)"
+
 # One pass over the names with the open elements as a stack, "/div/p/" for a paragraph in
 # a div. A closing tag also closes what was opened after its element, and counts for
 # nothing without one. ``found`` gets a block when the stack is down to where it began
 # (``depth``), or the text ends (``last`` is then past the tags).
-_OUTERMOST = """aggregate(sequence(0, size(elements)),
-  named_struct('stack', '/', 'depth', 0, 'first', 0, 'found', cast(array() AS array<struct<first:int,last:int>>)),
+_OUTERMOST = _in_runs({"stack": "'/'", "depth": "0", "first": "0"}, """
   (s, i) -> CASE
     WHEN i = size(elements) THEN CASE WHEN s.depth = 0 THEN s ELSE named_struct('stack', '/', 'depth', 0,
       'first', 0, 'found', array_append(s.found, named_struct('first', s.first, 'last', i))) END
@@ -43,14 +67,11 @@ _OUTERMOST = """aggregate(sequence(0, size(elements)),
       s.stack, concat(elements[i], '/'), -1)) - length(elements[i]))), stack ->
         named_struct('stack', stack, 'depth', if(length(stack) <= s.depth, 0, s.depth), 'first', s.first,
           'found', if(s.depth > 0 AND length(stack) <= s.depth,
-            array_append(s.found, named_struct('first', s.first, 'last', i)), s.found)))[0] END,
-  s -> s.found)"""
+            array_append(s.found, named_struct('first', s.first, 'last', i)), s.found)))[0] END""", "found")
 
 # The same inside a list: each open list is a "u", followed by an "l" while it has an open
 # item. An item ends at its closing tag, at the next item of its list, or with its list.
-_ITEMS = """aggregate(sequence(0, size(elements)),
-  named_struct('stack', '', 'open', cast(array() AS array<int>),
-    'found', cast(array() AS array<struct<first:int,last:int>>)),
+_ITEMS = _in_runs({"stack": "''", "open": "cast(array() AS array<int>)"}, """
   (s, i) -> CASE
     WHEN i = size(elements) THEN named_struct('stack', '', 'open', s.open, 'found', concat(s.found,
       transform(s.open, x -> named_struct('first', x, 'last', i))))
@@ -65,8 +86,7 @@ _ITEMS = """aggregate(sequence(0, size(elements)),
       'found', array_append(s.found, named_struct('first', element_at(s.open, -1), 'last', i)))
     WHEN elements[i] = '/ul' THEN named_struct(
       'stack', left(s.stack, greatest(length(s.stack) - 1, 0)), 'open', s.open, 'found', s.found)
-    ELSE s END,
-  s -> array_sort(s.found))"""
+    ELSE s END""", "array_sort(found)")
 
 
 def _tokens(df: DataFrame, text: Column) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import time
 from html.parser import HTMLParser
 
 from presswork.operators.blocks import html_blocks
@@ -75,3 +76,28 @@ def test_items_of_open_and_nested_lists(spark):
     rows = [(r.id, r.pos, r.item, r.text) for r in found.orderBy("id", "pos", "item").collect()]
     assert rows == [(0, 0, 0, "x"), (1, 0, 0, "abc"), (1, 0, 1, "b"), (2, 0, 0, "x"), (2, 0, 1, "y"),
                     (2, 1, 0, "w"), (3, 0, 0, "onetwo"), (4, 0, 0, "a")]
+
+
+def test_blocks_across_runs_of_tags(spark):
+    """Pages of many hundred tags, as a stack parser."""
+    dice = random.Random(9)
+    parts = ["<p>", "</p>", "</p>", "<ul>", "</ul>", "<blockquote>", "</blockquote>", "<b>", "</b>", "x", "z"]
+    pages = [(i, "".join(dice.choices(parts, k=900))) for i in range(12)]
+    shown = {}
+    for r in html_blocks(spark.createDataFrame(pages, "id int, html string"), "id", "html").collect():
+        shown.setdefault(r.id, []).append((r.pos, r.kind, r.text))
+    for i, page in pages:
+        parser = Blocks()
+        parser.feed(page)
+        parser.close()
+        expected = [(pos, kind, text) for pos, (kind, text) in enumerate(parser.rows) if kind != "ul"]
+        assert sorted(shown.get(i, [])) == expected
+
+
+def test_long_pages_and_lists(spark):
+    """Many blocks and items take time in proportion; a list copied at every block took minutes."""
+    pages = [(1, "<p>x</p>" * 32_000), (2, "<ul>" + "<li>y" * 32_000), (3, "<ul>" + "<li>z</li>" * 32_000 + "</ul>")]
+    start = time.perf_counter()
+    rows = html_blocks(spark.createDataFrame(pages, "id int, html string"), "id", "html").groupBy("id").count()
+    assert {tuple(r) for r in rows.collect()} == {(1, 32_000), (2, 32_000), (3, 32_000)}
+    assert time.perf_counter() - start < 60

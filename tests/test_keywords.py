@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,3 +58,27 @@ def test_other_filters_pass_the_text(spark, tmp_path):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(id,3)" in plan
     assert plan.count("!--.*?-->") == 1
+
+
+@pytest.mark.parametrize("seed, letters, pairs", [(1, "ab", 30), (2, "abc.*[]^-&\\ ", 80), (3, "éß😀x", 20), (4, "abcdefgh", 500)])
+def test_many_keywords_that_begin_or_overlap_each_other(spark, seed, letters, pairs):
+    dice = random.Random(seed)
+    texts = [(i, "".join(dice.choices(letters + "  ", k=dice.choice([0, 10, 200])))) for i in range(60)]
+    wanted = [("".join(dice.choices(letters, k=dice.randint(1, 5))), dice.randint(1, 6)) for _ in range(pairs)]
+    wanted += [("aa", 2), ("aba", 3), ("a\nb", 1), ("\\E", 1), (" ", 4)]
+    rows = match_keywords(spark.createDataFrame(texts, "id int, content string"), wanted).collect()
+    expected = {}
+    for key, text in texts:
+        text = " ".join(text.split()).lower()
+        met = [k for k, w in wanted if text.count(k.lower()) >= w]
+        if met:
+            expected[key] = met
+    assert {r.id: r.matched_keywords for r in rows} == expected
+
+
+def test_the_text_is_searched_once(spark):
+    df = spark.createDataFrame(PAGES, "id int, content string")
+    few, many = ([(f"w{i}", 1) for i in range(n)] for n in (2, 60))
+    for pairs in (few, many):
+        plan = match_keywords(df, pairs)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("(?=[w])") == 1
