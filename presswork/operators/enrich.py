@@ -12,7 +12,9 @@ from presswork.functions.text import filled, first_filled, join_list, split_list
 from presswork.operators.binding import bind
 from presswork.operators.filters import needs_translation
 from presswork.operators.latest import latest
-from presswork.operators.tags import TAG_TARGET, short_tag_lists, tag_quota
+from presswork.operators.sieve import sieve
+from presswork.operators.tags import short_tag_lists, tag_quota, under_tagged
+from presswork.session import durable
 
 # The prompt texts. %s marks what is filled in, in order.
 TAG_PROMPT = (
@@ -69,15 +71,16 @@ def main_summary() -> Column:
 
 
 def tag_prompts(content: DataFrame, content_tags: DataFrame, tags: DataFrame) -> DataFrame:
-    """(content_id, quota, prompt) for items with text and too few tags."""
-    full = (
-        content_tags.groupBy(F.col("content_id").alias("id")).agg(F.count("*").alias("_n"))
-        .where(F.col("_n") >= TAG_TARGET).select("id")
-    )
+    """(content_id, quota, prompt) for items with text and too few tags.
+
+    Which items those are is found first, from ids and links alone, and written. Texts of
+    others leave where they are read, by a sieve, and do not move; those of the items do once.
+    """
     lists = short_tag_lists(content_tags, tags).withColumnRenamed("content_id", "id")
+    backlog = durable(under_tagged(content, content_tags).select("id").join(lists, "id", "left"))
     texts = content.select("id", main_content().alias("_text")).where(filled(F.col("_text")))
     quota = tag_quota(F.col("existing_tags"))
-    return texts.join(full, "id", "left_anti").join(lists, "id", "left").select(
+    return sieve(texts, "id", backlog).join(backlog, "id").select(
         F.col("id").alias("content_id"),
         quota.alias("quota"),
         _fill(TAG_PROMPT, quota, F.col("_text"), join_list(F.col("existing_tags"))).alias("prompt"),

@@ -120,3 +120,25 @@ def test_image_prompts(content):
     texts = {1: "sum", 2: "sp", 4: "p4"}
     assert got == {(i, n): E.IMAGE_PROMPT % t for i, t in texts.items() for n in (1, 2)}
     assert E.image_prompts(content, images=0).count() == 0
+
+
+def test_texts_of_full_items_do_not_move(spark, tmp_path):
+    path = str(tmp_path / "content")
+    spark.range(3000).select(
+        "id", F.concat(F.lit("text "), "id").alias("content"), F.lit(None).cast("string").alias("content_persian")
+    ).write.parquet(path)
+    links = spark.range(3000).where("id % 100 <> 0").select(
+        F.col("id").alias("content_id"), F.explode(F.expr("sequence(1L, 7L)")).alias("tag_id"))
+    tags = spark.createDataFrame([(i, f"t{i}") for i in range(1, 8)], "id long, tag string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = E.tag_prompts(spark.read.parquet(path), links, tags)
+        assert {r.content_id for r in rows.collect()} == set(range(0, 3000, 100))
+        plan = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # The texts meet the sieve where they are read, and cross one exchange after it.
+    above = plan[:plan.index("ReadSchema: struct<id:bigint,content:string")]
+    assert "BroadcastHashJoin [pmod(xxhash64(id" in above and "SortAggregate" not in plan
+    wide = [line for line in above.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(wide) <= 1
