@@ -3,18 +3,26 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from presswork.llm.workers import find_package
+from presswork.llm.workers import find_package, map_batches
 from presswork.session import durable_table
 
 #: Vectors of a shard, on average, and queries searched for together.
 SHARD_ROWS = 4096
 QUERY_ROWS = 4096
+#: Shards at most, so that the table of their balls stays small; beyond, shards hold more rows.
+MAX_SHARDS = 4096
+#: Vectors that the planes between shards are fitted to, at most.
+SAMPLE = 20_000
+#: After so many shards, how many a query visits in its next round; else all that are left.
+FIRST_VISITS = {0: 1, 1: 3, 4: 16}
 #: Vectors of a leaf.
 LEAF = 64
 #: Relative slack of bounds, for rounding of floating-point numbers.
@@ -43,10 +51,22 @@ class _Node:
     children: tuple["_Node", ...] = ()
 
 
+def upper_bounds(queries: np.ndarray, centres: np.ndarray, radii: np.ndarray) -> np.ndarray:
+    """For each query (row) and ball (column), what no product with a vector in the ball exceeds.
+
+    The product with the centre plus the query's norm times the radius, and some slack for rounding.
+    """
+    norms = np.sqrt((queries ** 2).sum(axis=1))[:, None]
+    reach = norms * radii[None]
+    top = queries @ centres.T + reach
+    return top + _SLACK * (np.abs(top) + norms * np.sqrt((centres ** 2).sum(axis=1))[None] + reach)
+
+
 class BallTree:
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, rows: np.ndarray | None = None):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
+        self.rows = self.ids if rows is None else rows[order]
         # Components so large that products leave 53 bits are multiplied as Python's integers.
         self.large = not ((vectors ** 2).sum(axis=1).max() < _EXACT / 2)
         self.root = self._node(0, len(ids))
@@ -63,7 +83,9 @@ class BallTree:
             side = part @ (other - one)
             middle = (end - start) // 2
             order = np.argsort(side, kind="stable")
-            self.vectors[start:end], self.ids[start:end] = part[order], self.ids[start:end][order]
+            self.vectors[start:end] = part[order]
+            for kept in {id(a): a for a in (self.ids, self.rows)}.values():
+                kept[start:end] = kept[start:end][order]
             node.children = (self._node(start, start + middle), self._node(start + middle, end))
         return node
 
@@ -77,18 +99,18 @@ class BallTree:
 
     def search(self, query: np.ndarray, own: int, k: int, floor: tuple[float, int] | None
                ) -> list[tuple[float, int]]:
-        """Up to ``k`` (score, id), best first; those below ``floor``, the kth known elsewhere, may lack.
+        """Up to ``k`` (score, id), best first, but for the row ``own``; those below ``floor`` may lack.
+
+        ``floor`` is the kth score known elsewhere, with its id.
 
         Nodes are visited by their upper bound, the product with the centre plus the
         query's norm times the radius; once the bound does not reach the kth score, the rest
         is cut off. At an equal score the smaller id wins.
         """
-        norm = float(np.sqrt(query @ query))
         best: list[tuple[int, int]] = []  # a heap of (score, -id), the worst on top
 
         def bound(node: _Node) -> float:
-            top = float(query @ node.centre) + norm * node.radius
-            return top + _SLACK * (abs(top) + norm * float(np.sqrt(node.centre @ node.centre)) + norm * node.radius)
+            return float(upper_bounds(query[None], node.centre[None], np.array([node.radius]))[0, 0])
 
         def beaten(top: float, least_id: int) -> bool:
             if floor is not None and (top, -least_id) < (floor[0], -floor[1]):
@@ -111,7 +133,7 @@ class BallTree:
                 continue
             scores = self._products(node, query)
             ids = self.ids[node.start:node.end]
-            usable = ids != own
+            usable = self.rows[node.start:node.end] != own
             if len(best) == k:
                 usable &= scores >= best[0][0]
             for at in np.flatnonzero(usable):
@@ -123,22 +145,163 @@ class BallTree:
         return [(score, -negative) for score, negative in sorted(best, reverse=True)]
 
 
-def _search_shard(k: int):
-    schema = ["query_id", "vec_id", "score"]
+class Regions:
+    """Space cut into leaves of about equally many vectors of a sample, by planes between far points."""
+
+    def __init__(self, sample: np.ndarray, leaves: int):
+        self.planes: list[tuple[np.ndarray, float, int, int]] = []
+        self.leaves = 0
+        self.root = self._cut(sample, leaves)
+
+    def _cut(self, part: np.ndarray, leaves: int) -> int:
+        """The number of a plane, or of a leaf as one below 0."""
+        normal = None
+        if leaves > 1 and len(part) > 1:
+            one = part[((part - part.mean(axis=0)) ** 2).sum(axis=1).argmax()]
+            normal = part[((part - one) ** 2).sum(axis=1).argmax()] - one
+        if normal is None or not normal.any():
+            self.leaves += 1
+            return -self.leaves
+        side = part @ normal
+        first = leaves // 2
+        value = float(np.partition(side, min(len(side) * first // leaves, len(side) - 1))[
+            min(len(side) * first // leaves, len(side) - 1)])
+        at = len(self.planes)
+        self.planes.append((normal, value, 0, 0))
+        low = side < value
+        children = self._cut(part[low], first), self._cut(part[~low], leaves - first)
+        self.planes[at] = (normal, value, *children)
+        return at
+
+    def of(self, vectors: np.ndarray) -> np.ndarray:
+        """The leaf of each vector, from 0."""
+        at = np.full(len(vectors), self.root)
+        while (inside := np.flatnonzero(at >= 0)).size:
+            for plane in np.unique(at[inside]):
+                normal, value, low, high = self.planes[plane]
+                own = inside[at[inside] == plane]
+                at[own] = np.where(vectors[own] @ normal < value, low, high)
+        return -1 - at
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    rows = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+
+
+def _in_shards(usable: DataFrame, length: int, total: int, shard_rows: int) -> DataFrame:
+    """The vectors of one length with their ``shard`` and its ``piece``, written, near ones together.
+
+    Planes are fitted to at most SAMPLE vectors, drawn by a hash; every vector then gets its
+    region. A region with more rows than a shard should have, such as many equal vectors,
+    is dealt to pieces by a hash.
+    """
+    leaves = min(MAX_SHARDS, max(1, -(-total // shard_rows)))
+    rows = usable.filter(F.col("length") == length)
+    drawn = rows.orderBy(F.xxhash64("row"), "row").limit(SAMPLE).select("vector").toArrow()
+    regions = Regions(_matrix(drawn.column(0)), leaves) if drawn.num_rows else Regions(np.zeros((1, max(length, 1))), 1)
+    schema = "row long, vec_id long, vector array<double>, asks boolean, shard int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                own = regions.of(_matrix(batch.column(2))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(own)], names=["row", "vec_id", "vector", "asks", "shard"])
+
+    placed = durable_table(map_batches(rows.select("row", "vec_id", "vector", "asks"), run, schema))
+    pieces = placed.groupBy("shard").agg(F.ceil(F.count("*") / (2 * shard_rows)).cast("int").alias("_pieces"))
+    # One row for each shard.
+    return placed.join(F.broadcast(pieces), "shard").withColumn(
+        "piece", F.pmod(F.xxhash64(F.lit("piece"), "row"), "_pieces").cast("int")).drop("_pieces")
+
+
+def _balls(shards: DataFrame) -> pa.Table:
+    """One row for each shard and piece: its centre, radius and least id."""
+    schema = "shard int, piece int, centre array<double>, radius double, least_id long"
+
+    def run(key, rows):
+        vectors = _matrix(rows.column("vector"))
+        centre = vectors.mean(axis=0)
+        radius = float(np.sqrt(((vectors - centre) ** 2).sum(axis=1).max()))
+        return pa.table({
+            "shard": pa.array([key[0].as_py()], pa.int32()), "piece": pa.array([key[1].as_py()], pa.int32()),
+            "centre": pa.array([centre.tolist()], pa.list_(pa.float64())), "radius": pa.array([radius]),
+            "least_id": pa.array([int(rows.column("vec_id").to_numpy().min())], pa.int64())})
+
+    find_package(shards)
+    return shards.select("shard", "piece", "vector", "vec_id").groupBy("shard", "piece").applyInArrow(
+        run, schema).toArrow()
+
+
+_VISIT = "query_row long, query_vector array<double>, kth_score long, kth_id long, shard int, piece int"
+
+
+def _visits(state: DataFrame, balls: pa.Table, skip: int, most: int | None) -> DataFrame:
+    """Which shards each query searches now: of those by falling bound, ``most`` beyond the first ``skip``.
+
+    Only those whose bound reaches the kth score that is known.
+    """
+    centres, radii = _matrix(balls.column("centre")), balls.column("radius").to_numpy()
+    least = balls.column("least_id").to_numpy()
+    shards, pieces = balls.column("shard").to_numpy(), balls.column("piece").to_numpy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                bounds = upper_bounds(_matrix(part.column(1)), centres, radii)
+                order = np.argsort(-bounds, axis=1, kind="stable")
+                order = order[:, skip:None if most is None else skip + most]
+                tops = np.take_along_axis(bounds, order, 1)
+                score = part.column(2).to_numpy(zero_copy_only=False).astype(float)[:, None]
+                vec = part.column(3).fill_null(0).to_numpy()[:, None]
+                reaches = np.isnan(score) | (tops > score) | ((tops == score) & (least[order] < vec))
+                owner, place = np.nonzero(reaches)
+                ball = order[owner, place]
+                yield pa.RecordBatch.from_arrays(
+                    [*[c.take(pa.array(owner)) for c in part.columns],
+                     pa.array(shards[ball]), pa.array(pieces[ball])], names=_NAMES)
+
+    return map_batches(state.select("query_row", "query_vector", "kth_score", "kth_id"), run, _VISIT)
+
+
+_NAMES = [field.split()[0] for field in _VISIT.split(", ")]
+
+
+def _search_piece(k: int):
+    schema = ["query_row", "vec_id", "score"]
 
     def run(candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(candidates) and len(queries):
-            vectors = np.stack(candidates["vector"].to_numpy())
-            asked = np.stack(queries["asked_vector"].to_numpy())
-            tree = BallTree(candidates["vec_id"].to_numpy(), vectors)
-            for own, query, score, vec in zip(queries["asked_id"], asked, queries["kth_score"], queries["kth_id"]):
+            tree = BallTree(candidates["vec_id"].to_numpy(), np.stack(candidates["vector"].to_numpy()),
+                            candidates["row"].to_numpy())
+            asked = np.stack(queries["query_vector"].to_numpy())
+            for own, query, score, vec in zip(queries["query_row"], asked, queries["kth_score"], queries["kth_id"]):
                 floor = None if pd.isna(score) else (int(score), int(vec))
                 found += [(own, vec_id, int(value)) for value, vec_id in tree.search(query, own, k, floor)]
         return pd.DataFrame(found, columns=schema).astype("int64")
     return run
 
 
+def _found(visits: DataFrame, shards: DataFrame, k: int, query_rows: int) -> DataFrame:
+    """The best rows of each visit. Queries of a piece meet it in blocks, each with a copy of the piece."""
+    visits = durable_table(visits)
+    blocks = visits.groupBy("shard", "piece").agg(F.ceil(F.count("*") / query_rows).cast("int").alias("blocks"))
+    # One row for each piece.
+    blocks = F.broadcast(durable_table(blocks))
+    asked = visits.join(blocks, ["shard", "piece"]).withColumn(
+        "block", F.pmod(F.xxhash64(F.lit("block"), "query_row"), "blocks").cast("int")).toDF(
+        "q_shard", "q_piece", *_NAMES[:4], "blocks", "q_block")
+    rows = shards.join(blocks, ["shard", "piece"]).withColumn(
+        "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "shard", "piece", "block", "row", "vec_id", "vector")
+    return (rows.groupBy("shard", "piece", "block")
+            .cogroup(asked.drop("blocks").groupBy("q_shard", "q_piece", "q_block"))
+            .applyInPandas(_search_piece(k), "query_row long, vec_id long, score long"))
+
+
 def top_inner_products(vectors: DataFrame, query: Column, k: int = 10, shard_rows: int = SHARD_ROWS,
                        query_rows: int = QUERY_ROWS) -> DataFrame:
     """For each query the ``k`` other rows with the largest inner product, exactly.
@@ -148,55 +311,56 @@ def top_inner_products(vectors: DataFrame, query: Column, k: int = 10, shard_row
     Returns ``query_id``, ``rank`` (from 1), ``vec_id``, ``score`` (long); fewer than
     ``k`` rows if there are fewer candidates; at equal scores the smaller id comes first.
 
-    Rows are dealt to shards of about ``shard_rows`` by a hash, each with its ball tree.
-    All queries first search one shard each block; the kth score found there is shared
-    with the search of all other shards, as the bound to beat. Blocks of queries meet
-    shards by keys, so neither has to fit into one task, and each shard returns at most
-    ``k`` rows a query. Many equal vectors make no deep tree: a ball of radius 0 is a leaf.
+    Space is cut into regions by planes, and each region's rows are a shard with a ball
+    around them and a ball tree inside. The balls are a small table, by which a query knows
+    its bound for every shard. It searches the shard with the highest bound, then in
+    rounds the next ones, several at a time, and only those whose bound still reaches the kth score
+    that it has; in each tree that score is the bound to beat from the start. Queries meet
+    a shard in blocks, so neither has to fit into one task, and a visit returns at most
+    ``k`` rows. Many equal vectors make no deep tree: a ball of radius 0 is a leaf.
 
-    Vectors of different lengths never meet. A row with a repeated id is a candidate of
-    its own, never for a query of the same id. Products beyond 64 bits count as the
+    Vectors of different lengths never meet. Rows with a repeated id are rows of their own:
+    each is a candidate, also for a query of that id, and each query row has its own ranks.
+    Products beyond 64 bits count as the
     largest or smallest long; components beyond them as the largest or smallest one.
     """
-    usable = vectors.filter("vec_id IS NOT NULL AND vector IS NOT NULL").select(
-        "vec_id", "vector", F.size("vector").alias("length"), query.alias("asks"))
-    usable = durable_table(usable)
-    total, asking = usable.agg(F.count("*"), F.count_if("asks")).first()
-    shards, blocks = max(1, -(-total // shard_rows)), max(1, -(-asking // query_rows))
-    spread = F.xxhash64("vec_id")
-    rows = usable.select(
-        "vec_id", "vector", "length", F.pmod(spread, F.lit(shards)).cast("int").alias("shard"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    # Names of their own, since both sides come from one table.
-    asked = usable.filter("asks").select(
-        F.col("vec_id").alias("asked_id"), F.col("vector").alias("asked_vector"),
-        F.col("length").alias("asked_length"),
-        F.pmod(F.xxhash64(F.lit("block"), "vec_id"), F.lit(blocks)).cast("int").alias("asked_block"))
-    find_package(vectors)
-
-    def search(queries: DataFrame, candidates: DataFrame) -> DataFrame:
-        return (candidates.groupBy("length", "block", "shard")
-                .cogroup(queries.groupBy("asked_length", "asked_block", "asked_shard"))
-                .applyInPandas(_search_shard(k), "query_id long, vec_id long, score long"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-
-    def best(found: DataFrame) -> DataFrame:
-        return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    unknown = {"kth_score": F.lit(None).cast("long"), "kth_id": F.lit(None).cast("long")}
-    # The first shard of a query's block, so that a shard's tree serves whole blocks.
-    def first(block: str) -> Column:
-        return F.pmod(F.col(block), F.lit(shards)).cast("int")
-    seeds = durable_table(best(search(
-        asked.withColumn("asked_shard", first("asked_block")).withColumns(unknown),
-        rows.filter(F.col("shard") == first("block")))))
-    kth = seeds.filter(F.col("rank") == k).select(
-        F.col("query_id").alias("asked_id"), F.col("score").alias("kth_score"),
-        F.col("vec_id").alias("kth_id"))
-    if shards == 1:
-        return seeds.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-    bounded = asked.join(kth, "asked_id", "left").withColumn(
-        "asked_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).filter(
-            F.col("asked_shard") != first("asked_block"))
-    rest = search(bounded, rows.filter(F.col("shard") != first("block")))
-    merged = best(seeds.select("query_id", "vec_id", "score").union(rest))
-    return merged.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    usable = durable_table(vectors.filter("vec_id IS NOT NULL AND vector IS NOT NULL").select(
+        F.monotonically_increasing_id().alias("row"), "vec_id", "vector", F.size("vector").alias("length"),
+        query.alias("asks")))
+    # As many rows as there are lengths of vectors with queries among them.
+    lengths = usable.groupBy("length").agg(F.count("*").alias("rows"), F.count_if("asks").alias("asking")).filter(
+        "asking > 0 AND length > 0").collect()
+    result = None
+    for length, rows, _ in lengths:
+        found = _top_of_length(usable, length, rows, k, shard_rows, query_rows)
+        result = found if result is None else result.union(found)
+    if result is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    ids = usable.filter("asks").select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"))
+    return result.join(ids, "query_row").select("query_id", "rank", "vec_id", "score")
+
+
+def _top_of_length(usable: DataFrame, length: int, total: int, k: int, shard_rows: int,
+                   query_rows: int) -> DataFrame:
+    """(query_row, rank, vec_id, score) among the vectors of one length."""
+    shards = durable_table(_in_shards(usable, length, total, shard_rows))
+    balls = _balls(shards)
+    asked = shards.filter("asks").select(F.col("row").alias("query_row"), F.col("vector").alias("query_vector"))
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
+    best, seen = None, 0
+    while seen < balls.num_rows:
+        if best is None:
+            state = asked.withColumns({c: F.lit(None).cast("long") for c in ("kth_score", "kth_id")})
+        else:
+            kth = best.filter(F.col("rank") == k).select(
+                "query_row", F.col("score").alias("kth_score"), F.col("vec_id").alias("kth_id"))
+            state = asked.join(kth, "query_row", "left")
+        # One shard, then a few more, then all that are left.
+        most = FIRST_VISITS[seen] if seen in FIRST_VISITS else None
+        found = _found(_visits(state, balls, seen, most), shards, k, query_rows)
+        if best is not None:
+            found = found.union(best.drop("rank"))
+        best = durable_table(found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+                             .withColumn("rank", F.col("rank").cast("int")))
+        seen = balls.num_rows if most is None else seen + most
+    return best.select("query_row", "rank", "vec_id", "score")

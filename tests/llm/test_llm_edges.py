@@ -462,3 +462,36 @@ def test_pii_by_brute_force(spark):
             assert forward.setdefault(canon, surrogate) == surrogate
             assert backward.setdefault(surrogate, canon) == canon and surrogate != canon
     assert len(forward) >= 10
+
+
+def test_balltree_visits_few_shards(spark, monkeypatch):
+    """Vectors in far groups: a query's best rows are in a few shards, and only those are searched."""
+    dice = np.random.default_rng(2)
+    centres = dice.normal(0, 4000, (24, 8))
+    rows = [(i, np.floor(centres[i % 24] + dice.normal(0, 20, 8)).tolist()) for i in range(2400)]
+    frame = spark.createDataFrame(rows, "vec_id long, vector array<double>").repartition(3)
+    visits, balls, usual = [], [], balltree._visits
+
+    def counted(state, table, skip, most):
+        out = usual(state, table, skip, most)
+        visits.append(out.count())
+        balls.append(table.num_rows)
+        return out
+    monkeypatch.setattr(balltree, "_visits", counted)
+    got = balltree.top_inner_products(frame, F.col("vec_id") % 20 == 0, shard_rows=100, query_rows=50)
+    exact = [(i, [int(x) for x in v]) for i, v in rows]
+    assert sorted(tuple(r) for r in got.collect()) == brute(exact, {i for i, _ in rows if i % 20 == 0}, 10)
+    assert balls[0] >= 20 and sum(visits) < 0.5 * 120 * balls[0] and visits[-1] == 0
+
+
+def test_balltree_repeated_ids(spark):
+    """Two rows of one id are two queries, and each is a candidate for the other."""
+    rows = [(10, [9.0, 0.0]), (10, [0.0, 9.0]), *[(i, [float(i), float(12 - i)]) for i in range(1, 9)], (3, [3.0, 9.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, vector array<double>")
+    got = sorted(tuple(r) for r in balltree.top_inner_products(frame, F.col("vec_id") % 10 == 0, k=4, shard_rows=3).collect())
+    wanted = []
+    for at, (own, query) in enumerate(rows):
+        if own % 10 == 0:
+            scored = sorted((-int(np.dot(query, v)), i) for n, (i, v) in enumerate(rows) if n != at)[:4]
+            wanted += [(own, rank, i, -score) for rank, (score, i) in enumerate(scored, 1)]
+    assert got == sorted(wanted)
