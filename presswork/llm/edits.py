@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from presswork.llm import bpe
 from presswork.llm.workers import map_batches
@@ -25,17 +25,31 @@ class TokenTree:
 
     def __init__(self, text: str, own: bpe.Encoder):
         self.own, self.encoded = own, 0
-        self.leaves = self._cut(text)
-        self.base = 1
-        while self.base < len(self.leaves):
+        leaves = self._cut(text)
+        self._plant(leaves, [self._count(leaf) for leaf in leaves])
+
+    @classmethod
+    def kept(cls, leaves: list[str], counts: list[int], own: bpe.Encoder) -> "TokenTree":
+        """The tree of leaves whose counts are known; nothing is encoded."""
+        tree = cls.__new__(cls)
+        tree.own, tree.encoded = own, 0
+        tree._plant(leaves or [""], counts or [0])
+        return tree
+
+    def _plant(self, leaves: list[str], counts: list[int]) -> None:
+        self.leaves, self.base = leaves, 1
+        while self.base < len(leaves):
             self.base *= 2
         self.characters, self.tokens = [0] * (2 * self.base), [0] * (2 * self.base)
-        for i, leaf in enumerate(self.leaves):
-            self.characters[self.base + i] = len(leaf)
-            self.tokens[self.base + i] = self._count(leaf)
+        self.characters[self.base:self.base + len(leaves)] = map(len, leaves)
+        self.tokens[self.base:self.base + len(leaves)] = counts
         for i in range(self.base - 1, 0, -1):
             self._sum(i)
 
+    def counts(self) -> list[int]:
+        """The leaves' own counts."""
+        return self.tokens[self.base:self.base + len(self.leaves)]
+
     @staticmethod
     def _cut(text: str) -> list[str]:
         leaves, start = [], 0
@@ -77,7 +91,7 @@ class TokenTree:
         """Puts ``text`` in place of the characters from ``start`` to ``stop``.
 
         Only the leaves touched are encoded again, and next to them those that no
-        longer stand apart by white space.
+        longer stand apart by white space. What has grown long is cut into leaves again.
         """
         length = self.characters[1]
         start = min(max(start, 0), length)
@@ -91,9 +105,15 @@ class TokenTree:
         while merged and not bpe.SPACES.match(merged) and (before := self._beside(low, -1)) is not None \
                 and not self._apart(self.leaves[before]):
             low, merged = before, self.leaves[before] + merged
-        for leaf in range(low + 1, high + 1):
-            self._set(leaf, "")
-        self._set(low, merged)
+        pieces = self._cut(merged) if len(merged) > 4 * LEAF_CHARACTERS else [merged]
+        if len(pieces) > high - low + 1:
+            # More leaves than there is room for: the sums are made anew, other leaves' counts stay.
+            counts = self.counts()
+            self._plant(self.leaves[:low] + pieces + self.leaves[high + 1:],
+                        counts[:low] + [self._count(p) for p in pieces] + counts[high + 1:])
+            return
+        for leaf in range(low, high + 1):
+            self._set(leaf, pieces[leaf - low] if leaf - low < len(pieces) else "")
 
     @staticmethod
     def _apart(leaf: str) -> bool:
@@ -116,6 +136,73 @@ class TokenTree:
         return self.tokens[1]
 
 
+def _apply(tree: TokenTree, changes: list[dict] | None) -> None:
+    """The edits in order; ``tree.encoded`` is then the characters encoded for them."""
+    tree.encoded = 0
+    for change in changes or []:
+        if change is not None:
+            start = change["start"] or 0
+            tree.edit(start, start if change["stop"] is None else change["stop"], change["text"] or "")
+
+
+_TREE = ArrayType(StructType([StructField("text", StringType()), StructField("n_tokens", IntegerType())]))
+_ARROW_TREE = pa.list_(pa.struct([("text", pa.string()), ("n_tokens", pa.int32())]))
+
+
+def _as_leaves(tree: TokenTree) -> list[dict]:
+    return [{"text": t, "n_tokens": n} for t, n in zip(tree.leaves, tree.counts()) if t]
+
+
+def token_trees(docs: DataFrame, vocabulary: Broadcast, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(``doc_id``, ``tree``): every whole text as its leaves, each with its count, to be stored.
+
+    The sums above the leaves follow from them. NULL and empty texts have no leaves.
+    """
+    schema = StructType([StructField("doc_id", docs.schema[key].dataType), StructField("tree", _TREE)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = bpe.encoder(vocabulary)
+        for whole in batches:
+            for first in range(0, whole.num_rows, 500):
+                batch = whole.slice(first, 500)
+                trees = [_as_leaves(TokenTree(body.as_py() or "", own)) for body in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(trees, _ARROW_TREE)], names=schema.names)
+
+    return map_batches(docs.select(docs[key].alias("doc_id"), docs[text].cast("string").alias("text")), run, schema)
+
+
+def edit_trees(trees: DataFrame, vocabulary: Broadcast, edits: str = "edits", tree: str = "tree",
+               key: str = "doc_id") -> DataFrame:
+    """Applies ``edits`` (see ``count_edited``) to kept trees, and gives them back for the next edits.
+
+    Gives ``doc_id``, ``n_before``, ``n_after``, ``n_encoded`` and ``tree``. Only what the
+    edits touch is encoded, whatever the text's length and however often it was edited.
+    A NULL tree is that of an empty text.
+    """
+    schema = StructType([
+        StructField("doc_id", trees.schema[key].dataType), StructField("n_before", LongType()),
+        StructField("n_after", LongType()), StructField("n_encoded", LongType()), StructField("tree", _TREE)])
+    types = [pa.int64(), pa.int64(), pa.int64(), _ARROW_TREE]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = bpe.encoder(vocabulary)
+        for whole in batches:
+            for first in range(0, whole.num_rows, 500):
+                batch = whole.slice(first, 500)
+                rows = []
+                for leaves, changes in zip(batch.column(1), batch.column(2)):
+                    kept = leaves.as_py() or []
+                    held = TokenTree.kept([k["text"] for k in kept], [k["n_tokens"] for k in kept], own)
+                    before = held.total
+                    _apply(held, changes.as_py())
+                    rows.append((before, held.total, held.encoded, _as_leaves(held)))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), *[pa.array(c, t) for c, t in zip(zip(*rows), types)]], names=schema.names)
+
+    return map_batches(trees.select(
+        trees[key].alias("doc_id"), trees[tree].alias("tree"), trees[edits].alias("edits")), run, schema)
+
+
 def count_edited(docs: DataFrame, vocabulary: Broadcast, edits: str = "edits", text: str = "text",
                  key: str = "doc_id") -> DataFrame:
     """Token counts of every whole text before and after its edits.
@@ -139,12 +226,8 @@ def count_edited(docs: DataFrame, vocabulary: Broadcast, edits: str = "edits", t
                 rows = []
                 for body, changes in zip(batch.column(1), batch.column(2)):
                     tree = TokenTree(body.as_py() or "", own)
-                    before, leaves, tree.encoded = tree.total, len(tree.leaves), 0
-                    for change in changes.as_py() or []:
-                        if change is not None:
-                            start = change["start"] or 0
-                            tree.edit(start, start if change["stop"] is None else change["stop"],
-                                      change["text"] or "")
+                    before, leaves = tree.total, len(tree.leaves)
+                    _apply(tree, changes.as_py())
                     rows.append((before, tree.total, leaves, tree.encoded, tree.text))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), *[pa.array(column, field.type) for column, field in

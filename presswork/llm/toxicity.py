@@ -20,6 +20,8 @@ from presswork.session import durable_table
 
 #: Terms are hashed to so many buckets.
 BUCKETS = 1 << 24
+#: Common terms, and strong ones, that are screened in pairs: a matrix of the sample's rows and these.
+SCREENED = 512
 _TERM = re.compile(r"\w+")
 
 
@@ -95,16 +97,52 @@ def _only(rows: DataFrame, buckets: np.ndarray) -> pa.Table:
     return map_batches(rows.select("label", "share", "buckets"), run, schema).toArrow()
 
 
+def _in_pairs(table: pa.Table, buckets: np.ndarray, least: float, most: int) -> np.ndarray:
+    """The buckets of the pairs whose joint presence tells more of the label than both alone.
+
+    For each pair the share of label 1 is taken in the four cells of presence and absence;
+    what the cells differ by beyond the sum of both effects, squared over its variance, is
+    at least ``least`` for the ``most`` strongest pairs that are chosen. Cells hold five rows or more.
+    """
+    m = len(buckets)
+    if not table.num_rows or m < 2:
+        return buckets[:0]
+    lists = table.column("places").combine_chunks()
+    x = np.zeros((table.num_rows, m), np.float32)
+    x[np.repeat(np.arange(table.num_rows), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()] = 1
+    share = table.column("share").to_numpy().astype(np.float32)
+    label = share * table.column("label").to_numpy().astype(np.float32)
+
+    def cells(weight: np.ndarray) -> list[np.ndarray]:
+        """The weight with both, the first alone, the second alone, and neither."""
+        both = ((x * weight[:, None]).T @ x).astype(float)
+        own = np.diagonal(both)
+        one, other = own[:, None] - both, own[None] - both
+        return [both, one, other, float(weight.sum()) - both - one - other]
+    rows, positive = cells(share), cells(label)
+    mean = float(label.sum() / share.sum())
+    with np.errstate(all="ignore"):
+        effects = [p / r for p, r in zip(positive, rows)]
+        contrast = effects[0] - effects[1] - effects[2] + effects[3]
+        square = contrast ** 2 / (mean * (1 - mean) * sum(1 / r for r in rows))
+    usable = np.logical_and.reduce([r >= 5 for r in rows]) & (square >= least)
+    a, b = np.nonzero(np.triu(usable, 1))
+    order = np.lexsort((b, a, -square[a, b]))[:most]
+    return buckets[np.unique(np.concatenate([a[order], b[order]]))]
+
+
 def train(sample: DataFrame, rank: int = 4, least_rows: int = 3, chi_square: float = 10.83,
-          max_features: int = 4096, decay: float = 5e-5, factor_decay: float = 3e-4,
+          max_features: int = 4096, pair_square: float = 40.0, max_pairs: int = 256, decay: float = 5e-5, factor_decay: float = 3e-4,
           steps: int = 300, rate: float = 0.05, seed: int = 7) -> Machine:
     """Fits the machine to a bounded sample with ``label`` (0 or 1) and ``text``.
 
     Copies and near copies share one row's weight, so that a text stored often does not
     teach its own words. Terms in at least ``least_rows`` rows whose presence depends on
     the label (chi square, of a term alone) are features, at most ``max_features`` with
-    the strongest first; Spark counts them. Only they come to the driver, where their
-    weights and pairwise factors are fitted by gradient descent with adaptive steps.
+    the strongest first; Spark counts them. Terms that are neutral alone join them by
+    pairs: of the SCREENED most common and the SCREENED strongest terms all pairs are
+    tested for an interaction (``pair_square``), and the terms of the ``max_pairs`` strongest
+    are features too. Only features come to the driver, where their weights and pairwise factors are fitted by gradient descent with adaptive steps.
     Without rows of both labels there is nothing to learn from, and no text is called
     toxic: all scores are 0 to twelve places.
     """
@@ -124,7 +162,12 @@ def train(sample: DataFrame, rank: int = 4, least_rows: int = 3, chi_square: flo
     chosen = (counts.filter((F.col("n") >= least_rows) & (F.col("n") < total))
               .withColumn("chi", chi).filter(F.col("chi") >= chi_square)
               .orderBy(F.desc("chi"), "bucket").limit(max_features).select("bucket").toArrow())
-    buckets = np.sort(chosen.column("bucket").to_numpy()).astype(np.int32)
+    strongest = chosen.column("bucket").to_numpy().astype(np.int32)
+    # Terms that are common enough to be screened in pairs, most even ones first.
+    common = (counts.filter(F.col("n").between(0.02 * total, 0.98 * total))
+              .orderBy(F.desc(F.col("n") * (total - F.col("n"))), "bucket").limit(SCREENED).select("bucket").toArrow())
+    screened = np.union1d(strongest[:SCREENED], common.column("bucket").to_numpy().astype(np.int32))
+    buckets = np.union1d(strongest, _in_pairs(_only(rows, screened), screened, pair_square, max_pairs))
     table = _only(rows, buckets).sort_by([("label", "ascending"), ("share", "ascending")])
     lists = table.column("places").combine_chunks()
     owners = np.repeat(np.arange(table.num_rows), np.diff(lists.offsets.to_numpy()))
@@ -167,7 +210,7 @@ def score(docs: DataFrame, machine: Machine, text: str = "text", name: str = "sc
 
     Only the text goes in. NULL and empty texts, and texts without a known term, get
     the constant's probability. ``keep`` names the columns that stay (all if not given).
-    The machine's size is bounded by ``max_features``.
+    The machine's size is bounded by ``max_features`` and ``max_pairs``.
     """
     columns = [c for c in (docs.columns if keep is None else keep) if c != name]
     schema = StructType([docs.schema[c] for c in columns] + [StructField(name, DoubleType())])

@@ -495,3 +495,109 @@ def test_balltree_repeated_ids(spark):
             scored = sorted((-int(np.dot(query, v)), i) for n, (i, v) in enumerate(rows) if n != at)[:4]
             wanted += [(own, rank, i, -score) for rank, (score, i) in enumerate(scored, 1)]
     assert got == sorted(wanted)
+
+
+def test_kept_trees(spark, vocabulary, tokenizer):
+    """Batches of edits on kept trees: counts as of the whole text, and only what is touched is encoded."""
+    dice = random.Random(12)
+    texts = {1: " ".join(dice.choices(WORDS, k=6000)), 2: "", 3: None, 4: "solid" * 500, 5: "short text"}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    trees = edits.token_trees(frame, vocabulary).cache()
+    kind = "doc_id long, edits array<struct<start:int,stop:int,text:string>>"
+    for turn in range(4):
+        changes = {}
+        for key, text in texts.items():
+            at = dice.randrange(len(text or "") + 1)
+            new = dice.choice(["", " new words ", "x", " ".join(dice.choices(WORDS, k=900)) if turn == 1 else "y z"])
+            changes[key] = [(at, at + dice.choice([0, 5, 60]), new), None]
+            start, stop = at, min(max(changes[key][0][1], at), len(text or ""))
+            texts[key] = (text or "")[:start] + new + (text or "")[stop:]
+        asked = trees.join(spark.createDataFrame(list(changes.items()), kind), "doc_id")
+        done = edits.edit_trees(asked, vocabulary).cache()
+        for row in done.collect():
+            assert "".join(leaf.text for leaf in row.tree) == texts[row.doc_id]
+            assert row.n_after == len(tokenizer.encode(texts[row.doc_id], add_special_tokens=False).ids)
+            assert sum(leaf.n_tokens for leaf in row.tree) == row.n_after
+            if row.doc_id == 1:
+                # A long insertion is encoded once and lies in short leaves from then on.
+                assert row.n_encoded <= 2000 + len(changes[1][0][2])
+                assert max(len(leaf.text) for leaf in row.tree) < 2000
+        trees = done.select("doc_id", "tree")
+
+
+@pytest.mark.parametrize("kind", ["both or neither", "one of two"])
+def test_factorization_learns_a_pair_neutral_alone(spark, kind):
+    """Neither term tells anything alone; the label is whether both or none stand in the text."""
+    dice = random.Random(15)
+    rows = []
+    for i in range(3000):
+        words = dice.choices(WORDS, k=20)
+        one, other = dice.random() < 0.5, dice.random() < 0.5
+        rows.append((int((one == other) == (kind == "both or neither")), " ".join(words + ["alpha"] * one + ["gamma"] * other)))
+    machine = toxicity.train(spark.createDataFrame(rows[:2400], "label int, text string"))
+    scored = toxicity.score(spark.createDataFrame(rows[2400:], "label int, text string"), machine).collect()
+    assert sum((r.score >= 0.5) == r.label for r in scored) >= 0.9 * len(scored)
+
+
+def test_score_by_the_plain_formula(spark):
+    """The constant, the weights of the terms there, and the products of all their pairs of factors."""
+    import math
+    import zlib
+    dice = random.Random(16)
+    rows = [(int(i % 3 == 0), " ".join(dice.choices(WORDS, k=15) + ["bad"] * (i % 3 == 0) + ["folk"] * (i % 2))) for i in range(400)]
+    machine = toxicity.train(spark.createDataFrame(rows, "label int, text string"))
+    texts = [text for _, text in rows[:30]] + ["", None, "BAD folk", "bad bad_folk bad"]
+    places = {int(b): i for i, b in enumerate(machine.buckets)}
+    frame = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    for row in toxicity.score(frame, machine).collect():
+        names = {n for t in toxicity.terms_of(row.text) for n in [t, *(t[:k] + "-" for k in range(3, min(8, len(t))))]}
+        known = sorted({places[b] for n in names if (b := zlib.crc32(n.encode()) % toxicity.BUCKETS) in places})
+        total = machine.constant + sum(machine.weights[i] for i in known)
+        total += sum(float(machine.factors[i] @ machine.factors[j]) for n, i in enumerate(known) for j in known[n + 1:])
+        assert row.score == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-9)
+
+
+def test_toxicity_without_both_labels(docs, spark):
+    for rows in ([], [(1, "bad words")] * 9, [(0, "good words")] * 9):
+        machine = toxicity.train(spark.createDataFrame(rows, "label int, text string"))
+        assert all(r.score < 1e-9 for r in toxicity.score(docs, machine).collect())
+
+
+STAGE_ROWS = [
+    (1, "Mr. John Smith wrote to a.b@mail.org", "en", "src0", 10, -7.0, 5, 6), (1, "Mr. John Smith wrote to a.b@mail.org", "en", "src0", 10, -7.0, 5, 6),
+    (None, "no id here", "en", "src1", 3, -7.0, 5, 6), (None, None, None, None, None, -7.0, 5, 6), (2, "", "de", "src2", 0, -7.0, 5, 6),
+    (2, "other text of a repeated id", "de", None, 0, -7.0, 5, 6), (3, LONG, "en", "src1", 9, -7.0, 5, 6)]
+STAGE_SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, _toxicity double, copy_no int, "
+                "mix_key long")
+
+
+@pytest.mark.parametrize("labels", [[], [(1, 0, 1), (2, 0, 1)], [(1, 0, 0)]])
+def test_stages_keep_rows_and_columns(spark, tmp_path, labels):
+    """NULL and repeated ids, empty texts, labels of one kind, and columns named like the stages' own."""
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    frame = spark.createDataFrame(STAGE_ROWS, STAGE_SCHEMA).repartition(3)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, frame, str(tmp_path))
+        kept[name] = docs.collect()
+        assert stage(spark, frame.limit(0), str(tmp_path)).count() == 0
+        if name != "encode_texts":
+            assert docs.columns == frame.columns
+            assert {(r["_toxicity"], r.copy_no, r.mix_key) for r in kept[name]} <= {(-7.0, 5, 6)}
+    assert len(kept["reject_toxic"]) == len(STAGE_ROWS)
+    assert len(kept["drop_near_duplicates"]) == len(STAGE_ROWS) - 1
+    assert len(kept["replace_personal_data"]) == len(kept["encode_texts"]) == len(STAGE_ROWS)
+    assert not any("Smith" in (r.text or "") or "a.b@" in (r.text or "") for r in kept["replace_personal_data"])
+    assert {r.text for r in kept["mix_sources"]} <= {r[1] for r in STAGE_ROWS}
+
+
+def test_documents_cross_one_exchange_in_mixing(spark):
+    docs = spark.createDataFrame([(i, f"s{i % 3}", "text " * 50) for i in range(300)], "doc_id long, source string, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100")
+    try:
+        rows = mixing.replicate(docs, mixing.repetition_rates(docs, {"s0": 2.0}))
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    above = plan[:plan.index("BroadcastHashJoin")]
+    assert above.count("Exchange") == 1 and "SortMergeJoin" not in plan
