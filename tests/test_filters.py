@@ -98,3 +98,22 @@ def test_counts(df):
         (dt.date(2024, 1, 1), 1), (dt.date(2024, 1, 3), 1), (dt.date(2024, 1, 7), 2)]
     assert [tuple(r) for r in stats.facet(df, "type").collect()] == [
         (0, filters.ALL), (1, "Blog"), (1, "News")]
+
+
+def test_newest_first_of_hot_days_and_moments(spark, tmp_path):
+    """A third of the rows share a moment, another third have none; texts cross one exchange."""
+    path = str(tmp_path / "content")
+    spark.range(6000).select(
+        (F.col("id") * 7919 % 6000).alias("id"), F.concat(F.lit("text "), "id").alias("content"),
+        F.when(F.col("id") % 3 == 0, F.lit("2024-01-05 10:00:00")).when(
+            F.col("id") % 3 == 1, F.concat(F.lit("2024-01-0"), F.col("id") % 9 + 1, F.lit(" 0"), F.col("id") % 7, F.lit(":00:00")))
+        .cast("timestamp_ntz").alias("date")).write.parquet(path)
+    rows = ordering.newest_first(spark.read.parquet(path), partitions=12)
+    got = [(r.date, r.id) for r in rows.collect()]
+    assert got == sorted(got, key=lambda r: (r[0] is None, -r[0].timestamp() if r[0] else 0, r[1])) and len(got) == 6000
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) >= 10 and max(sizes) < 1500
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+    assert plan.count("content#") and plan.count("FileScan parquet") == 1
+    assert plan.count("- Exchange ") + plan.count("REPARTITION") <= 2 and "SortMergeJoin" not in plan
+    assert ordering.newest_first(spark.read.parquet(path).limit(0)).count() == 0
