@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -21,6 +21,18 @@ def _levels(rules: SuffixRules) -> dict[int, dict[str, tuple[bool, bool, bool]]]
     return dict(sorted(levels.items()))
 
 
+@lru_cache(maxsize=4)
+def _tables(rules: SuffixRules) -> tuple[tuple[int, pa.Table], ...]:
+    """A table for each number of labels, made once for a set of rules."""
+    tables = []
+    for d, found in _levels(rules).items():
+        suffixes = sorted(found)
+        exact, wild, exception = zip(*(found[s] for s in suffixes))
+        tables.append((d, pa.table({
+            f"_suffix{d}": suffixes, f"_exact{d}": exact, f"_wild{d}": wild, f"_exempt{d}": exception})))
+    return tuple(tables)
+
+
 def _by_rules(hosts: DataFrame, rules: SuffixRules) -> DataFrame:
     """Adds ``domain`` to rows with a ``_host``.
 
@@ -33,11 +45,8 @@ def _by_rules(hosts: DataFrame, rules: SuffixRules) -> DataFrame:
     out = hosts
     lengths: list[Column] = [F.lit(0), F.lit(0)]
     exempt: list[Column] = []
-    for d, found in _levels(rules).items():
-        suffixes = sorted(found)
-        exact, wild, exception = zip(*(found[s] for s in suffixes))
-        level = hosts.sparkSession.createDataFrame(pa.table({
-            f"_suffix{d}": suffixes, f"_exact{d}": exact, f"_wild{d}": wild, f"_exempt{d}": exception}))
+    for d, table in _tables(rules):
+        level = hosts.sparkSession.createDataFrame(table)
         key = F.when(labels >= d, last_labels(name, d))
         out = out.join(F.broadcast(level), key == F.col(f"_suffix{d}"), "left")
         lengths.append(F.when(F.col(f"_exact{d}"), d))
