@@ -13,7 +13,7 @@ from pyarrow import fs
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import (
-    BinaryType, IntegerType, LongType, StringType, StructField, StructType)
+    ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType)
 
 from presswork.llm import bpe
 from presswork.llm.workers import map_batches
@@ -50,64 +50,92 @@ def permute(index: np.ndarray, size: int, key: int) -> np.ndarray:
     return values.astype(np.int64)
 
 
-#: Texts from which the compressor learns what token sequences look like, and the bytes it keeps of it.
-SAMPLE_TEXTS, DICTIONARY_BYTES = 500, 112_640
+#: Texts from which the compressor learns what token sequences look like, the characters it
+#: takes of each, and the bytes it keeps of it all.
+SAMPLE_TEXTS, SAMPLE_CHARACTERS, DICTIONARY_BYTES = 500, 20_000, 112_640
+#: Sequences handed on at once.
+BATCH_SEQUENCES = 2000
 
 
-def _cut(raw: bytes, length: int, end_id: int) -> np.ndarray:
-    """A text's ids and an end token in rows of ``length``, the last filled up with end tokens."""
-    n = len(raw) // 4 + 1
-    padded = np.full(-(-n // length) * length, end_id, "<u2")
-    padded[:n - 1] = np.frombuffer(raw, np.int32)
-    return padded.reshape(-1, length)
+def _ended(raw: bytes, end_id: int) -> np.ndarray:
+    """A text's ids and an end token, in 16 bits."""
+    ids = np.empty(len(raw) // 4 + 1, "<u2")
+    ids[:-1], ids[-1] = np.frombuffer(raw, np.int32), end_id
+    return ids
 
 
 def learn_dictionary(docs: DataFrame, vocabulary: Broadcast, length: int, end_id: int,
                      text: str = "text") -> bytes:
-    """A compression dictionary from the sequences of at most SAMPLE_TEXTS texts; b"" if they are too few.
+    """A compression dictionary from sequences of at most SAMPLE_TEXTS texts; b"" if they are too few.
 
     It only makes stored rows smaller: any dictionary gives the same rows back.
     """
     own = bpe.Encoder(vocabulary.value)
-    texts = docs.select(docs[text].cast("string").alias("text")).limit(SAMPLE_TEXTS)
-    rows = [row.tobytes() for t in texts.toLocalIterator()
-            if (raw := own.encode(t["text"])) for row in _cut(raw, length, end_id)]
-    if sum(map(len, rows)) < 4 * DICTIONARY_BYTES:
+    texts = docs.select(F.substring(docs[text].cast("string"), 1, SAMPLE_CHARACTERS).alias("text")).limit(SAMPLE_TEXTS)
+    parts = [_ended(raw, end_id) for t in texts.toLocalIterator() if (raw := own.encode(t["text"]))]
+    stream = np.concatenate([*parts, np.zeros(0, "<u2")])
+    if 2 * len(stream) < 4 * DICTIONARY_BYTES:
         return b""
+    rows = [stream[i:i + length].tobytes() for i in range(0, len(stream), length)]
     return zstandard.train_dictionary(DICTIONARY_BYTES, rows).as_bytes()
 
 
 def sequences(docs: DataFrame, vocabulary: Broadcast, length: int, end_id: int,
               text: str = "text", key: str = "doc_id", dictionary: bytes = b"") -> DataFrame:
-    """Rows of ``length`` token ids: ``doc_id``, ``seq_no`` (from 0), ``n_tokens``, ``payload``.
-
-    A text's ids and an end token are cut into pieces; the last is filled up with end
-    tokens. ``payload`` is their 16-bit little-endian form, compressed with the help of
-    ``dictionary``, which ``write_shards`` then needs too. NULL texts and those without
-    tokens have no sequence. A vocabulary with ids above 65,535 is refused.
+    """Rows of ``length`` token ids: ``docs``, ``n_tokens``, ``payload``.
+
+    The texts of a partition follow each other, an end token after each, and are cut into
+    sequences; only the partition's last one is filled up, with end tokens that ``n_tokens``
+    does not count. ``docs`` lists what a sequence is made of: ``doc_id``, ``doc_start`` (the
+    part's place in the document's tokens), ``start`` (its place in the sequence) and
+    ``n_tokens`` (the end token included). ``payload`` is the 16-bit little-endian form,
+    compressed with the help of ``dictionary``, which ``write_shards`` then needs too. NULL
+    texts and those without tokens are in no sequence. A vocabulary with ids above 65,535
+    is refused.
     """
     if max(end_id, bpe.highest_id(vocabulary)) > 0xFFFF:
         raise ValueError("sequences hold ids of 16 bits")
-    schema = StructType([
-        StructField("doc_id", docs.schema[key].dataType), StructField("seq_no", IntegerType()),
-        StructField("n_tokens", IntegerType()), StructField("payload", BinaryType())])
+    part = StructType([
+        StructField("doc_id", docs.schema[key].dataType), StructField("doc_start", IntegerType()),
+        StructField("start", IntegerType()), StructField("n_tokens", IntegerType())])
+    schema = StructType([StructField("docs", ArrayType(part)), StructField("n_tokens", IntegerType()),
+                         StructField("payload", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, packer = bpe.encoder(vocabulary), zstandard.ZstdCompressor(6, dict_data=_known(dictionary))
+        own, packer = bpe.encoder(vocabulary), zstandard.ZstdCompressor(3, dict_data=_known(dictionary))
+        kind = None
+        # The sequence that is being filled, and those that are full.
+        row, used, parts = np.full(length, end_id, "<u2"), 0, []
+        full: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            listed = pa.list_(pa.struct([("doc_id", kind), ("doc_start", pa.int32()), ("start", pa.int32()),
+                                         ("n_tokens", pa.int32())]))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*full), (listed, pa.int32(), pa.binary()))], names=schema.names)
         for batch in batches:
-            owners, numbers, counts, payloads = [], [], [], []
-            for row, item in enumerate(batch.column(1)):
+            kind = batch.column(0).type
+            for name, item in zip(batch.column(0).to_pylist(), batch.column(1)):
                 raw = own.encode(item.as_py())
                 if not raw:
                     continue
-                n, pieces = len(raw) // 4 + 1, _cut(raw, length, end_id)
-                owners += [row] * len(pieces)
-                numbers += range(len(pieces))
-                counts += [min(length, n - i * length) for i in range(len(pieces))]
-                payloads += [packer.compress(p.tobytes()) for p in pieces]
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0).take(pa.array(owners, pa.int64())), pa.array(numbers, pa.int32()),
-                pa.array(counts, pa.int32()), pa.array(payloads, pa.binary())], names=schema.names)
+                ids, at = _ended(raw, end_id), 0
+                while at < len(ids):
+                    n = min(length - used, len(ids) - at)
+                    row[used:used + n] = ids[at:at + n]
+                    parts.append({"doc_id": name, "doc_start": at, "start": used, "n_tokens": n})
+                    at, used = at + n, used + n
+                    if used == length:
+                        full.append((parts, used, packer.compress(row.tobytes())))
+                        used, parts = 0, []
+                        if len(full) == BATCH_SEQUENCES:
+                            yield out()
+                            full = []
+        if used:
+            row[used:] = end_id
+            full.append((parts, used, packer.compress(row.tobytes())))
+        if full:
+            yield out()
 
     return map_batches(docs.select(docs[key].alias("doc_id"), docs[text].cast("string").alias("text")),
                        run, schema)
@@ -164,8 +192,7 @@ def write_shards(slotted: DataFrame, size: int, folder: str, length: int, per_sh
         tasks, F.expr(f"cast((slot DIV {per_shard}) * {tasks} DIV {shards} AS int)")).sortWithinPartitions("slot")
     schema = StructType([
         StructField("slot", LongType()), StructField("shard", LongType()), StructField("offset", LongType()),
-        StructField("doc_id", slotted.schema["doc_id"].dataType), StructField("seq_no", IntegerType()),
-        StructField("n_tokens", IntegerType()), StructField("crc32", LongType()),
+        slotted.schema["docs"], StructField("n_tokens", IntegerType()), StructField("crc32", LongType()),
         StructField("path", StringType())])
     stride = 2 * length
 
@@ -180,7 +207,7 @@ def write_shards(slotted: DataFrame, size: int, folder: str, length: int, per_sh
                 stream.close()
                 files.move(f"{name}.{token}", name)
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("slot", "shard", "doc_id", "seq_no", "n_tokens", "payload")]
+            columns = [batch.column(c).to_pylist() for c in ("slot", "shard", "n_tokens", "payload")]
             sums, paths = [], []
             for slot, shard, *_, payload in zip(*columns):
                 path = f"{root}/shard-{shard:08d}.bin"
@@ -195,13 +222,12 @@ def write_shards(slotted: DataFrame, size: int, folder: str, length: int, per_sh
             slots = np.array(columns[0], np.int64)
             yield pa.RecordBatch.from_arrays([
                 pa.array(slots), pa.array(columns[1], pa.int64()), pa.array(slots % per_shard * stride),
-                batch.column(batch.schema.get_field_index("doc_id")), pa.array(columns[3], pa.int32()),
-                pa.array(columns[4], pa.int32()), pa.array(sums, pa.int64()), pa.array(paths, pa.string())],
+                batch.column(batch.schema.get_field_index("docs")), pa.array(columns[2], pa.int32()), pa.array(sums, pa.int64()), pa.array(paths, pa.string())],
                 names=schema.names)
         close()
 
     return durable_table(map_batches(
-        ordered.select("slot", "shard", "doc_id", "seq_no", "n_tokens", "payload"), run, schema))
+        ordered.select("slot", "shard", "docs", "n_tokens", "payload"), run, schema))
 
 
 def read_shards(spark, folder: str, length: int, per_shard: int, size: int, start: int = 0) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from sys import getsizeof
 
 #: Bytes that each of two generations of a map may take, about, in each Python worker.
-REMEMBERED = 24 << 20
+REMEMBERED = 40 << 20
 #: Bytes of a map's own for each word.
 _SLOT = 104
 

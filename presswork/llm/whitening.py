@@ -16,6 +16,8 @@ from presswork.session import durable_table
 
 #: Most components given back, and further directions that the refinement carries along.
 COMPONENTS, SPARE = 16, 16
+#: Vectors of a run, for each of their dimensions; an update costs the cube of the dimensions.
+BLOCK = 16
 #: Spectra that one task combines.
 FAN_IN = 16
 #: Most dimensions of a vector: a basis of so many squared doubles goes to every task.
@@ -122,6 +124,30 @@ class Spectrum:
         if self.n > 1:
             self.update(off * np.sqrt((self.n - 1) / self.n))
 
+    def add_rows(self, x: np.ndarray) -> None:
+        """The same for many vectors at once, by one update for each dimension.
+
+        The triangular factor of their deviations from their own mean has the same scatter
+        in as many rows as there are dimensions; those are the updates, and one for the means.
+        Fewer vectors than that are taken one by one.
+        """
+        m = len(x)
+        if m <= x.shape[1]:
+            for row in x:
+                self.add(row)
+            return
+        mean = x.mean(axis=0)
+        off, n = mean - self.mean, self.n + m
+        rows = np.linalg.qr(x - mean, mode="r")
+        # Rows that are rounding errors only, where vectors span fewer dimensions.
+        least = 8 * _EPS * np.sqrt((rows ** 2).sum()) * np.sqrt(len(rows))
+        for row in rows:
+            if np.sqrt(row @ row) > least:
+                self.update(row)
+        if self.n:
+            self.update(off * np.sqrt(self.n * (m / n)))
+        self.mean, self.n = self.mean + off * (m / n), n
+
     def update(self, v: np.ndarray) -> None:
         """Adds the square of ``v`` to the scatter: the eigenvalues are roots of a secular equation."""
         z = self.vectors.T @ v
@@ -133,11 +159,13 @@ class Spectrum:
         if length == 0:
             return
         values, vectors = self.values, self.vectors
-        if out > 16 * _EPS * length and vectors.shape[1] < len(v):
+        # What is below this, times the length of the update, changes the scatter by rounding errors only.
+        scale = max(values[-1] if len(values) else 0.0, length * length)
+        least = 8 * _EPS * scale / length
+        if out > max(least, 16 * _EPS * length) and vectors.shape[1] < len(v):
             # A direction that was not met before: an eigenvalue of 0 joins in.
             values, z = np.append(0.0, values), np.append(out, z)
             vectors = np.column_stack([rest / out, vectors])
-        scale = max(values[-1] if len(values) else 0.0, length * length)
         # Deflation: equal eigenvalues are turned so that one of them takes the whole of z,
         # and those that z does not touch stay as they are.
         for i in np.flatnonzero(np.diff(values) <= 8 * _EPS * scale):
@@ -146,7 +174,7 @@ class Spectrum:
                 c, s = z[i + 1] / r, z[i] / r
                 z[i], z[i + 1] = 0.0, r
                 vectors[:, [i, i + 1]] = vectors[:, [i, i + 1]] @ np.array([[c, s], [-s, c]])
-        moved = np.flatnonzero(np.abs(z) > 8 * _EPS * length)
+        moved = np.flatnonzero(np.abs(z) > least)
         if not len(moved):
             self.values, self.vectors = values, vectors
             return
@@ -217,15 +245,14 @@ def _means(offsets: np.ndarray, n: int) -> np.ndarray:
 def spectra_of(fit: DataFrame, d: int, near: np.ndarray) -> DataFrame:
     """One row per partition of ``fit`` (``x``, array of long): the spectrum of its vectors.
 
-    Vectors are taken one by one, each a centred rank-one update. They are measured from
-    ``near``, which only serves to keep doubles small.
+    Vectors are taken in runs of BLOCK for each dimension, each run a series of centred
+    rank-one updates. They are measured from ``near``, which only serves to keep doubles small.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spectrum = Spectrum.of_dimension(d)
         for batch in batches:
-            if batch.num_rows:
-                for x in (_matrix(batch.column(0), d) - near).astype(float):
-                    spectrum.add(x)
+            for start in range(0, batch.num_rows, BLOCK * d):
+                spectrum.add_rows((_matrix(batch.column(0).slice(start, BLOCK * d), d) - near).astype(float))
         if spectrum.n:
             yield from _as_row(0, spectrum).to_batches()
 

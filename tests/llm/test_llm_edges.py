@@ -193,25 +193,57 @@ def test_sharding(docs, none, spark):
     assert sharding.shard_by_bytes(none.select("doc_id", F.lit(1).alias("size")), 3, ["doc_id"]).count() == 0
 
 
+def plain_permutation(size, key):
+    """The keyed Feistel network with cycle walking, number by number."""
+    half = max(1, (max(size - 1, 1).bit_length() + 1) // 2)
+    mask, word = (1 << half) - 1, (1 << 64) - 1
+
+    def mix(h):
+        h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 & word
+        h = (h ^ (h >> 27)) * 0x94D049BB133111EB & word
+        return h ^ (h >> 31)
+    keys = [mix((n * 0x9E3779B97F4A7C15 + key % (1 << 64)) & word) for n in range(1, 7)]
+    out = []
+    for value in range(size):
+        while True:
+            left, right = value >> half, value & mask
+            for k in keys:
+                left, right = right, left ^ (mix((right + k) & word) & mask)
+            value = left << half | right
+            if value < size:
+                break
+        out.append(value)
+    return out
+
+
 def test_materialise(docs, none, vocabulary, tokenizer, spark, tmp_path):
     for size in (1, 2, 5, 64, 1000, 4097):
         for key in (0, 7, -3):
-            assert sorted(materialise.permute(np.arange(size), size, key)) == list(range(size))
-    rows = materialise.sequences(docs, vocabulary, 16, 49407)
+            slots = materialise.permute(np.arange(size), size, key).tolist()
+            assert sorted(slots) == list(range(size))
+            assert size > 1000 or slots == plain_permutation(size, key)
+    rows = materialise.sequences(docs.coalesce(1), vocabulary, 16, 49407)
     slotted, size = materialise.assign_slots(rows, 11, rows.columns)
     written = materialise.write_shards(slotted, size, f"file://{tmp_path}", 16, 100)
     assert written.count() == size
-    for start in (0, 150):
+    for start in (150, 0):
         stored = {r.slot: r.ids for r in
                   materialise.read_shards(spark, f"file://{tmp_path}", 16, 100, size, start).collect()}
         assert sorted(stored) == list(range(start, size))
-    pieces = {(r.doc_id, r.seq_no): stored.get(r.slot) for r in written.collect()}
-    ids = tokenizer.encode(LONG, add_special_tokens=False).ids
-    assert all(found is None or found[:len(ids[n * 16:n * 16 + 16])] == ids[n * 16:n * 16 + 16]
-               for (doc, n), found in pieces.items() if doc == 4)
+    # The whole stream of the one partition, cut, and put where the permutation says.
+    stream = []
+    for text in (r.text for r in docs.coalesce(1).collect()):
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids
+        stream += [*ids, 49407] if ids else []
+    stream += [49407] * (-len(stream) % 16)
+    assert size == len(stream) // 16
+    for n, slot in enumerate(plain_permutation(size, 11)):
+        assert stored[slot] == stream[16 * n:16 * n + 16]
     empty = materialise.sequences(none, vocabulary, 16, 49407)
     slotted, size = materialise.assign_slots(empty, 11, empty.columns)
     assert size == 0 and materialise.write_shards(slotted, size, f"file://{tmp_path}/none", 16, 100).count() == 0
+    with pytest.raises(ValueError, match="16 bits"):
+        materialise.sequences(docs, vocabulary, 16, 70_000)
 
 
 def test_edits(docs, none, vocabulary, tokenizer):

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import os
 import re
+import struct
 import zlib
 
 import public_tokenizers
@@ -81,15 +82,30 @@ def test_quality_statistics(spark, texts):
 
 
 def test_training_order(spark, texts, tokenizer):
+    """Every sequence by its list of documents: together they hold each text once, and the sums are of their bytes."""
     rows = sorted(queries.op5_training_order(spark, SF_DIR).collect(), key=lambda r: r.slot)
     assert [r.slot for r in rows] == list(range(len(rows)))
-    lengths = collections.Counter()
+    ids = {i: tokenizer.encode(t or "", add_special_tokens=False).ids for i, t in texts.items()}
+    ids = {i: [*own, queries.END_ID] for i, own in ids.items() if own}
+    found = collections.defaultdict(list)
     for row in rows:
-        lengths[row.doc_id] += row.n_tokens
         assert row.shard == row.slot // queries.SHARD_SEQUENCES
         assert row.offset == row.slot % queries.SHARD_SEQUENCES * 2 * queries.SEQUENCE
-    counts = {i: len(tokenizer.encode(t or "", add_special_tokens=False).ids) for i, t in texts.items()}
-    assert lengths == {i: n + 1 for i, n in counts.items() if n}
+        held = [queries.END_ID] * queries.SEQUENCE
+        for part in row.docs:
+            held[part.start:part.start + part.n_tokens] = ids[part.doc_id][part.doc_start:part.doc_start + part.n_tokens]
+            found[part.doc_id].append((part.doc_start, part.n_tokens))
+        assert sum(part.n_tokens for part in row.docs) == row.n_tokens
+        assert row.crc32 == zlib.crc32(struct.pack(f"<{queries.SEQUENCE}H", *held))
+    assert set(found) == set(ids)
+    for doc, parts in found.items():
+        at = 0
+        for start, n in sorted(parts):
+            assert start == at
+            at += n
+        assert at == len(ids[doc])
+    # Only the last sequence of a partition is not full.
+    assert sum(r.n_tokens < queries.SEQUENCE for r in rows) <= 8
 
 
 def test_edited_counts(spark, texts, tokenizer):

@@ -59,8 +59,9 @@ def test_secular_equation():
             assert np.all(np.diff(roots) >= 0) and np.all(roots >= poles)
 
 
+@pytest.mark.parametrize("run", [1, 7, 10_000])
 @pytest.mark.parametrize("d, n", [(6, 300), (30, 12), (1, 40), (10, 400)])
-def test_spectrum_of_partitions(d, n):
+def test_spectrum_of_partitions(d, n, run):
     dice = np.random.default_rng(d)
     x = np.floor(64 * dice.normal(size=(n, d)) * dice.uniform(0.01, 1, d))
     if d == 10:
@@ -69,8 +70,8 @@ def test_spectrum_of_partitions(d, n):
     parts = []
     for part in np.array_split(x, 3):
         parts.append(whitening.Spectrum.of_dimension(d))
-        for row in part:
-            parts[-1].add(row)
+        for start in range(0, len(part), run):
+            parts[-1].add_rows(part[start:start + run])
     total = whitening.Spectrum.of_dimension(d)
     for part in parts:
         total.combine(part)
