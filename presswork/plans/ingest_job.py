@@ -9,6 +9,7 @@ from presswork.operators.ingest import REASONS, ingest, stage_items
 from presswork.operators.tags import TAG_REASONS
 from presswork.operators.url_keys import read_url_keys, write_url_keys
 from presswork.schema import CONTENT, CONTENT_TAGS, TAGS, conform
+from presswork.session import scratch
 from presswork.sources.tables import read_table
 
 _TABLES = {"content": CONTENT, "tags": TAGS, "content_tags": CONTENT_TAGS}
@@ -116,22 +117,22 @@ def ingest_batch(items: DataFrame, root: str, batch: int) -> None:
 
     The records are parsed and written once; every table is made from that. Of earlier
     batches only URL keys, tags, links and the ledger are read. Batches go in one after
-    the other.
+    the other. Nothing of it stays in the checkpoint folder.
     """
     spark = items.sparkSession
-    staged = stage_items(items)
-    rows = ingest(
-        staged, stored_urls(spark, root, batch), corpus_table(spark, root, "tags", batch),
-        corpus_table(spark, root, "content_tags", batch),
-        after=highest_stored(spark, root, "content", batch),
-        after_tag=highest_stored(spark, root, "tags", batch))
-    writer = BatchWriter(spark, root, batch)
-    stored = writer.write("content", _by_day(rows.content), partition="day", ids="id")
-    writer.enter("content", "url_repeated", staged.accepted.count() - stored)
-    writer.write("tags", rows.tags, ids="id")
-    writer.write("content_tags", rows.content_tags)
-    writer.write("rejected", rows.rejected, reason="reject_reason", reasons=REASONS)
-    writer.write("rejected_tags", rows.rejected_tags, reason="reject_reason", reasons=TAG_REASONS)
-    _write_keys(writer)
-    writer.close()
-    staged.discard()
+    with scratch(spark):
+        staged = stage_items(items)
+        rows = ingest(
+            staged, stored_urls(spark, root, batch), corpus_table(spark, root, "tags", batch),
+            corpus_table(spark, root, "content_tags", batch),
+            after=highest_stored(spark, root, "content", batch),
+            after_tag=highest_stored(spark, root, "tags", batch))
+        writer = BatchWriter(spark, root, batch)
+        stored = writer.write("content", _by_day(rows.content), partition="day", ids="id")
+        writer.enter("content", "url_repeated", staged.accepted.count() - stored)
+        writer.write("tags", rows.tags, ids="id")
+        writer.write("content_tags", rows.content_tags)
+        writer.write("rejected", rows.rejected, reason="reject_reason", reasons=REASONS)
+        writer.write("rejected_tags", rows.rejected_tags, reason="reject_reason", reasons=TAG_REASONS)
+        _write_keys(writer)
+        writer.close()

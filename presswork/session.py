@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +16,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.session.timeZone": "UTC",
+    # Checkpoints go when nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Otherwise every column expression looks up its Python call site.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
@@ -51,9 +56,28 @@ def _checkpoint_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
 def shared_folder(spark: SparkSession, kind: str) -> str:
     """The path of a new folder that all executors share, in the checkpoint folder."""
-    return f"{_checkpoint_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    path = f"{_checkpoint_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    if (named := _SCRATCH.get()) is not None:
+        named.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """For a job that ends with its results written elsewhere: folders named in it are removed after it."""
+    named: list[str] = []
+    before = _SCRATCH.set(named)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(before)
+        for path in named:
+            discard(spark, path)
 
 
 def durable(df: DataFrame) -> DataFrame:

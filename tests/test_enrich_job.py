@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from presswork.operators.latest import latest
 from presswork.plans.enrich_job import (
     store_generated_tags, store_images, store_translations, stored_images)
-from presswork.plans.ingest_job import corpus_table, highest_stored, ledger, store_corpus
+from presswork.plans.ingest_job import (
+    corpus_table, highest_stored, ingest_batch, ledger, store_corpus)
 from presswork.schema import CONTENT
 from presswork.sources.images import images_of, with_bytes
 
@@ -91,3 +92,17 @@ def test_latest(spark):
     assert len(got) == 5 and {(1, 2, "b"), (2, None, "x"), (None, 4, "m"), (3, -5, "q")} < set(got)
     again = [tuple(r) for r in latest(rows.repartition(3), "k", "seq", "t").collect()]
     assert set(again) == set(got)
+
+
+def test_jobs_leave_nothing_in_the_checkpoint_folder(spark, root):
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+
+    def left():
+        return {p.name for p in folder.iterdir() if "-" in p.name and not p.name.startswith("rdd-")}
+    before = left()
+    store_translations(spark.createDataFrame([(1, 1, "x")], "content_id long, seq int, translation string"), root)
+    store_generated_tags(spark.createDataFrame([(3, 1, chat("n"))], "content_id long, seq int, response string"), root, 5)
+    raw = json.dumps({"date": "2024-01-05", "url": "http://new", "author": "a", "source": "s"})
+    ingest_batch(spark.createDataFrame([(0, raw)], "seq long, raw string"), root, 6)
+    assert corpus_table(spark, root, "content").where("url = 'http://new'").count() == 1
+    assert left() == before
