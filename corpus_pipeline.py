@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from presswork.llm import bpe, mixing, neardup, pii, queries, samples, toxicity
-from presswork.session import shared_folder
+from presswork.session import scratch, shared_folder
 
 
 def unused(name: str, docs: DataFrame) -> str:
@@ -70,11 +70,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each is written to the shared folder and read from there."""
+    """All stages over ``documents``; each is written to the shared folder and read from there.
+
+    What a stage itself wrote on the way is removed when its result is written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = shared_folder(spark, "pipeline")
     for number, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{number}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
