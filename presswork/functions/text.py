@@ -149,7 +149,9 @@ def html_text(html: Column) -> Column:
         rest = F.regexp_replace(F.substring(text, at, 1 << 30), _MARKUP, _CUT + "$1")
         return F.when(at > 0, F.concat(F.left(text, at - 1), rest)).otherwise(text)
 
-    bare = with_value(F.regexp_replace(html, _COMMENT_OR_MARKUP, _CUT + "$1$4"), rest_of)
+    unmarked = with_value(F.regexp_replace(html, _COMMENT_OR_MARKUP, _CUT + "$1$4"), rest_of)
+    # Texts without markup are not read as a pattern's input at all.
+    bare = F.when(F.contains(html, F.lit("<")), unmarked).otherwise(html)
     return F.replace(decode_entities(bare), F.lit(_CUT), F.lit(""))
 
 
