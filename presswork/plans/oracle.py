@@ -196,7 +196,27 @@ _TAG = r"(?is)<(/?[a-z][a-z0-9]*)(?:[\s/][^>]*)?>"
 _VOID = "area|base|br|col|embed|hr|img|input|link|meta|param|source|track|wbr"
 
 
-def blocks(body: str) -> str:
+#: The items of a list, where each has a closing tag.
+_CLOSED_ITEMS = """listed AS (
+  SELECT page_id, pos, regexp_extract_all(block, '(?is)<li(?:\\s[^>]*)?>(.*?)</li\\s*>', 1) AS parts
+  FROM whole WHERE tag = 'ul'),"""
+
+#: The same where none has one: an item ends at the next one, if no list begins before it, or with the block.
+_OPEN_ITEMS = """marks AS (
+  SELECT k.page_id, k.pos, e.i, e.name, k.ended,
+    lead(e.i) OVER w AS next, lead(e.name) OVER w AS next_name
+  FROM kinds k JOIN elements b ON b.page_id = k.page_id AND b.i = k.begun AND b.name = 'ul'
+  JOIN elements e ON e.page_id = k.page_id AND e.i > k.begun AND e.i <= k.ended AND e.name IN ('ul', 'li')
+  WINDOW w AS (PARTITION BY k.page_id, k.pos ORDER BY e.i)),
+runs AS (SELECT page_id, pos, i, ended, if(next_name = 'li', next - 1, ended) AS last FROM marks WHERE name = 'li'),
+texts AS (
+  SELECT r.page_id, r.pos, r.i, string_agg(
+    if(e.i = r.i, '', e.tag) || if(e.i = r.ended, '', e.gap), '' ORDER BY e.i) AS part
+  FROM runs r JOIN elements e ON e.page_id = r.page_id AND e.i BETWEEN r.i AND r.last GROUP BY ALL),
+listed AS (SELECT page_id, pos, list(part ORDER BY i) AS parts FROM texts GROUP BY ALL),"""
+
+
+def blocks(body: str, items: str = _CLOSED_ITEMS) -> str:
     """Rows of the outermost blocks, by a walk over the tags with the open elements as a stack."""
     return f"""
 WITH RECURSIVE bodies AS (SELECT page_id, {body} AS body FROM pages),
@@ -237,11 +257,10 @@ whole AS (
   SELECT k.page_id, pos, any_value(name) FILTER (i = begun) AS tag,
     string_agg(if(i < ended, e.tag || gap, e.tag), '' ORDER BY i) AS block
   FROM kinds k JOIN elements e ON e.page_id = k.page_id AND e.i BETWEEN begun AND ended GROUP BY ALL),
+{items}
 pieces AS (
-  SELECT page_id, pos, CASE WHEN tag = 'ul' THEN 'li' ELSE tag END AS kind,
-    CASE WHEN tag = 'ul' THEN regexp_extract_all(block, '(?is)<li(?:\\s[^>]*)?>(.*?)</li\\s*>', 1)
-      ELSE [block] END AS parts
-  FROM whole),
+  SELECT page_id, pos, tag AS kind, [block] AS parts FROM whole WHERE tag <> 'ul'
+  UNION ALL SELECT page_id, pos, 'li', parts FROM listed),
 items AS (
   SELECT page_id, pos, kind, unnest(range(len(parts))) AS item, unnest(parts) AS part FROM pieces)
 SELECT page_id, pos, item, kind,
@@ -387,7 +406,8 @@ SELECT id, array_to_string(keywords, ', ') AS keywords FROM {keyword_rows('id',
     "keyword_match_many": using("content", f"""
 SELECT id, array_to_string(keywords, ', ') AS keywords FROM {keyword_rows('id', MANY_PAIRS)}"""),
     "html_blocks": blocks(_SHOWN),
-    "html_blocks_unclosed": blocks(f"regexp_replace({_SHOWN}, '(?i)</(p|ul|blockquote)\\s*>', '', 'g')"),
+    "html_blocks_unclosed": blocks(
+        f"regexp_replace({_SHOWN}, '(?i)</(p|ul|blockquote|li)\\s*>', '', 'g')", _OPEN_ITEMS),
     "registered_domain": f"SELECT page_id, url, {domain()} AS domain FROM pages",
     "registered_domain_table": f"SELECT page_id, url, {domain()} AS domain FROM pages",
     "registered_domain_kinds": "WITH kinds AS (SELECT * FROM (VALUES "

@@ -177,8 +177,8 @@ def _html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _html_blocks_unclosed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The blocks of pages that leave their paragraphs, lists and quotations open."""
-    html = F.regexp_replace("html", r"(?i)</(p|ul|blockquote)\s*>", "")
+    """The blocks of pages that leave their paragraphs, lists, items and quotations open."""
+    html = F.regexp_replace("html", r"(?i)</(p|ul|blockquote|li)\s*>", "")
     pages = standin.table(spark, sf_dir, "pages").select("page_id", html.alias("html"))
     return html_blocks(pages, "page_id", "html")
 
