@@ -197,7 +197,7 @@ def _roots(forms: DataFrame, max_rounds: int = 64) -> DataFrame:
 def spelling_variants(words: DataFrame, ratio: int = 2) -> DataFrame:
     """Groups words with the words one edit away that are ``ratio`` times as frequent or more.
 
-    ``words`` has ``word`` and ``n``, each word once. Gives ``word``, ``form`` (its near word of
+    ``words`` has ``word`` and ``n``; counts of a repeated word are added up. Gives ``word``, ``form`` (its near word of
     the largest n, the first in code-point order of several, if that n is at least ``ratio``
     times its own; else NULL), ``root`` (the last form that is reached, or the word itself),
     ``n``, ``n_near`` (near words, 0 if none) and ``form_n``. Near are words that differ by
@@ -206,8 +206,8 @@ def spelling_variants(words: DataFrame, ratio: int = 2) -> DataFrame:
     """
     if ratio < 2:
         raise ValueError("a form must be more frequent than its word")
-    numbered = durable_table(assign_ids(
-        words.filter(F.col("word").isNotNull()).select("word", F.col("n").cast("long").alias("n")), ["word"]))
+    once = words.filter(F.col("word").isNotNull()).groupBy("word").agg(F.sum(F.col("n").cast("long")).alias("n"))
+    numbered = durable_table(assign_ids(once, ["word"]))
     near = durable_table(near_words(numbered))
     forms = durable_table(numbered.join(near, "id").filter(F.col("near_n") >= ratio * F.col("n")).select(
         "id", F.col("near_id").alias("form_id"), F.col("near_n").alias("form_n")))

@@ -72,6 +72,9 @@ def test_nothing(spark):
     assert [tuple(r) for r in spelling.spelling_variants(lone).collect()] == [("alone", None, "alone", 2, 0, None)]
     with pytest.raises(ValueError):
         spelling.spelling_variants(none, ratio=1)
+    twice = spark.createDataFrame([("colour", 2, "x"), ("colour", 3, "y"), ("color", 10, "z")], "word string, n int, root string")
+    assert {tuple(r) for r in spelling.spelling_variants(twice).collect()} == {
+        ("colour", "color", "color", 5, 1, 10), ("color", None, "color", 10, 1, None)}
 
 
 def test_counts(spark):
