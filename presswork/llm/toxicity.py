@@ -101,7 +101,7 @@ def _in_pairs(table: pa.Table, buckets: np.ndarray, least: float, most: int) ->
     """The buckets of the pairs whose joint presence tells more of the label than both alone.
 
     For each pair the share of label 1 is taken in the four cells of presence and absence;
-    what the cells differ by beyond the sum of both effects, squared over its variance, is
+    what the cells differ by beyond the sum of both effects, squared over its variance (a cell's own or that of all rows, whichever is larger), is
     at least ``least`` for the ``most`` strongest pairs that are chosen. Cells hold five rows or more.
     """
     m = len(buckets)
@@ -124,7 +124,8 @@ def _in_pairs(table: pa.Table, buckets: np.ndarray, least: float, most: int) ->
     with np.errstate(all="ignore"):
         effects = [p / r for p, r in zip(positive, rows)]
         contrast = effects[0] - effects[1] - effects[2] + effects[3]
-        square = contrast ** 2 / (mean * (1 - mean) * sum(1 / r for r in rows))
+        guessed = [(p + 0.5) / (r + 1) for p, r in zip(positive, rows)]
+        square = contrast ** 2 / sum(np.maximum(g * (1 - g), mean * (1 - mean)) / r for g, r in zip(guessed, rows))
     usable = np.logical_and.reduce([r >= 5 for r in rows]) & (square >= least)
     a, b = np.nonzero(np.triu(usable, 1))
     order = np.lexsort((b, a, -square[a, b]))[:most]
@@ -132,7 +133,7 @@ def _in_pairs(table: pa.Table, buckets: np.ndarray, least: float, most: int) ->
 
 
 def train(sample: DataFrame, rank: int = 4, least_rows: int = 3, chi_square: float = 10.83,
-          max_features: int = 4096, pair_square: float = 40.0, max_pairs: int = 256, decay: float = 5e-5, factor_decay: float = 3e-4,
+          max_features: int = 4096, pair_square: float = 40.0, max_pairs: int = 64, decay: float = 5e-5, factor_decay: float = 3e-4,
           steps: int = 300, rate: float = 0.05, seed: int = 7) -> Machine:
     """Fits the machine to a bounded sample with ``label`` (0 or 1) and ``text``.
 
