@@ -575,8 +575,9 @@ SELECT 500 + row_number() OVER (ORDER BY content_id, image_url) AS id, content_i
   octet_length(encode(image)) AS n_bytes
 FROM images WHERE image <> ''"""),
     "image_files": """
-SELECT page_id AS content_id, sha256(html || chr(10)) AS digest, octet_length(encode(html)) + 1 AS n_bytes
-FROM pages WHERE html IS NOT NULL""",
+SELECT page AS content_id, sha256(bytes) AS digest, octet_length(encode(bytes)) AS n_bytes FROM (
+  SELECT page_id // 50 AS page, string_agg(html, chr(10) ORDER BY page_id) || chr(10) AS bytes
+  FROM pages WHERE html IS NOT NULL GROUP BY ALL)""",
     "images_of_item": using("images", "SELECT image FROM images WHERE content_id = 7 AND image <> ''"),
     "images_by_item": using("content images", """
 SELECT id, image FROM content

@@ -149,9 +149,10 @@ def image_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_files(spark: SparkSession, sf_dir: str, folder: str) -> None:
-    """A file for each page, in a folder that names it; its bytes are the page and a line end."""
-    pages = table(spark, sf_dir, "pages").where("html IS NOT NULL")
-    pages.select(F.col("page_id").alias("page"), "html").write.partitionBy("page").text(folder)
+    """A file for every fifty pages, in a folder that names them; its bytes are the pages, a line end after each."""
+    pages = table(spark, sf_dir, "pages").where("html IS NOT NULL").groupBy(F.expr("page_id DIV 50").alias("page")).agg(
+        F.array_sort(F.collect_list(F.struct("page_id", "html"))).alias("pages"))
+    pages.select("page", F.array_join("pages.html", "\n")).write.partitionBy("page").text(folder)
 
 
 def image_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
