@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from __spark_entry__ import oracle_sql, queries as all_queries
 from oracle_compare import connect, spark_result, sql_result
-from presswork.llm import queries
+from presswork.llm import quality, queries, samples
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables are not here")
@@ -186,3 +186,27 @@ def test_pipeline(spark, sql, texts, tokenizer):
     assert collections.Counter(r.doc_id for r in encoded) == copies
     for row in encoded:
         assert row.ids == tokenizer.encode(after[row.doc_id], add_special_tokens=False).ids
+
+
+def features(text):
+    """What rules compare, counted here."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [line for line in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", line)]
+    n_words, word_chars, n_symbols, n_dup_lines, n_repeat = statistics(text)
+    per_word, per_line, per_char = max(n_words, 1), max(len(lines), 1), max(word_chars, 1)
+    return {
+        "word_length": word_chars / per_word, "symbol_share": n_symbols / per_word, "dup_line_share": n_dup_lines / per_line,
+        "repeat_share": n_repeat / per_word, "words_per_line": n_words / per_line, "distinct_share": len(set(words)) / per_word,
+        "capital_share": len(re.findall("[A-Z]", text)) / per_char, "digit_share": len(re.findall("[0-9]", text)) / per_char,
+        "mark_share": len(re.findall("[!?]", text)) / per_word, "words": n_words}
+
+
+def test_quality_verdict(spark, texts):
+    """``kept`` by the learned list, applied condition by condition to features counted here."""
+    docs, labels = (queries.table(spark, SF_DIR, name) for name in ("documents", "labels"))
+    rules = quality.learn_rules(quality.text_statistics(samples.labelled_sample(docs, labels, "quality")))
+    for row in queries.op2_quality_rules(spark, SF_DIR).collect():
+        values = features(texts[row.doc_id] or "")
+        marked = any(all((values[c.feature] > c.threshold) == c.above for c in rule) for rule in rules)
+        assert row.kept == (not row.base_failed and not marked), row.doc_id
+    assert rules
