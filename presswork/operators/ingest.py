@@ -14,7 +14,7 @@ from presswork.operators.tags import (
     create_missing_tags, explode_tags, new_links, rejected_tags, tag_ids)
 from presswork.operators.url_keys import among
 from presswork.schema import CONTENT, TEXT_LIMITS, conform
-from presswork.session import discard, durable, shared_folder
+from presswork.session import TEXT_CODEC, discard, durable, shared_folder
 
 # Record keys that must be there, and what others default to.
 REQUIRED = ("date", "url", "author", "source")
@@ -105,14 +105,18 @@ class Staged:
 def stage_items(items: DataFrame) -> Staged:
     """Parse (seq, raw) records, once, and write them to the checkpoint folder by outcome.
 
-    What is read later is one folder of it and the columns in use. ``discard`` removes it.
+    Rejected records keep their text and reason only, accepted ones all but these. What is
+    read later is one folder of it and the columns in use. ``discard`` removes it.
     """
     spark = items.sparkSession
     parsed = parse_items(items)
-    outcome = F.when(F.col("reject_reason").isNull(), "accepted").otherwise("rejected")
-    raw = F.when(F.col("reject_reason").isNotNull(), F.col("raw"))
+    good = F.col("reject_reason").isNull()
+    kept = [F.when(~good, F.col(c)).alias(c) if c == "raw" else F.when(good, F.col(c)).alias(c)
+            for c in parsed.columns if c not in ("seq", "reject_reason")]
+    outcome = F.when(good, "accepted").otherwise("rejected").alias("outcome")
     path = shared_folder(spark, "staged")
-    parsed.withColumn("raw", raw).withColumn("outcome", outcome).write.partitionBy("outcome").parquet(path)
+    parsed.select("seq", "reject_reason", *kept, outcome).write.option(
+        "compression", TEXT_CODEC).partitionBy("outcome").parquet(path)
     rows = spark.read.schema(parsed.schema.add("outcome", "string")).parquet(path)
     return Staged(path, rows.where("outcome = 'accepted'").drop("outcome", "reject_reason", "raw"),
                   rows.where("outcome = 'rejected'").select("seq", "reject_reason", "raw"))

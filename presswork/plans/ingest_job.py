@@ -9,7 +9,7 @@ from presswork.operators.ingest import REASONS, ingest, stage_items
 from presswork.operators.tags import TAG_REASONS
 from presswork.operators.url_keys import read_url_keys, write_url_keys
 from presswork.schema import CONTENT, CONTENT_TAGS, TAGS, conform
-from presswork.session import scratch
+from presswork.session import TEXT_CODEC, scratch
 from presswork.sources.tables import read_table
 
 _TABLES = {"content": CONTENT, "tags": TAGS, "content_tags": CONTENT_TAGS}
@@ -77,7 +77,7 @@ class BatchWriter:
             seen, F.count(F.lit(1)).alias("rows"),
             F.max(F.col(ids) if ids else F.lit(None).cast("long")).alias("highest"),
             *[number(F.col(reason) == r).alias(r) for r in reasons])
-        writer = counted.write.mode("overwrite")
+        writer = counted.write.mode("overwrite").option("compression", TEXT_CODEC)
         (writer.partitionBy(partition) if partition else writer).parquet(self.path(name))
         got = seen.get
         if reason:

@@ -35,7 +35,7 @@ from presswork.plans.listing import (
     ListRequest, article_cards, article_details, article_list,
 )
 from presswork.schema import CONTENT, conform, union_conformed
-from presswork.session import durable_table, shared_folder
+from presswork.session import TEXT_CODEC, durable_table, shared_folder
 from presswork.sources import standin
 from presswork.sources.images import (
     image_files, images_by_item, images_of, new_images, read_images, write_images)
@@ -355,7 +355,7 @@ def _ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records as a batch that lies in storage, as batches do."""
-    return durable_table(standin.items(spark, sf_dir))
+    return durable_table(standin.items(spark, sf_dir), TEXT_CODEC)
 
 
 def _url_new(spark: SparkSession, sf_dir: str) -> DataFrame:

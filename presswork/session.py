@@ -23,6 +23,10 @@ SESSION_CONF = {
 }
 
 
+#: How files with whole texts are compressed.
+TEXT_CODEC = "zstd"
+
+
 def build_session(app_name: str = "presswork", master: str | None = None,
                   **conf: str) -> SparkSession:
     """A session with adaptive execution and skew handling switched on.
@@ -90,10 +94,10 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def durable_table(df: DataFrame) -> DataFrame:
+def durable_table(df: DataFrame, codec: str | None = None) -> DataFrame:
     """The same for wide rows that later steps read only some columns of."""
     path = shared_folder(df.sparkSession, "table")
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -195,3 +195,15 @@ def test_urls_that_differ_in_case(spark):
     assert I.unseen_urls(incoming, stored).count() == 5
     one = spark.createDataFrame([(3, "http://X/a"), (2, "HTTP://x/A")], "id long, url string")
     assert by_url(one, "http://x/a", IGNORE_CASE).first().id == 2 and by_url(one, "http://x/a").count() == 0
+
+
+def test_staged_rejects_keep_their_text_and_no_parsed_values(spark):
+    staged = I.stage_items(frame(
+        spark, record(title="kept", content="body"), record(url=..., content="long text"), "no object"))
+    files = spark.read.parquet(staged.path)
+    rejects = files.where("outcome = 'rejected'").drop("outcome", "seq", "raw", "reject_reason").collect()
+    assert len(rejects) == 2 and all(value is None for row in rejects for value in row)
+    good = files.where("outcome = 'accepted'").collect()
+    assert [(r.raw, r.title, r.content) for r in good] == [(None, "kept", "body")]
+    assert {(r.seq, r.reject_reason) for r in staged.rejected.collect()} == {(1, "missing_url"), (2, "not_an_object")}
+    staged.discard()
