@@ -7,8 +7,9 @@ import re
 import sys
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from presswork.llm.memory import Memory
-from presswork.llm.workers import map_batches, with_text
+from presswork.llm.workers import HELD, let_go, map_batches, with_text
 
 #: Tokens after which a batch of results is handed on.
 BATCH_TOKENS = 2_000_000
+#: Characters of texts whose new words are merged at once, and the words of one merge; longer words,
+#: by bytes, go one by one.
+GROUP_CHARACTERS, BLOCK_WORDS, BLOCK_BYTES = 500_000, 4096, 32
 #: What the vocabulary's patterns take as white space; Python's own split takes U+001C to U+001F too.
 SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _LETTERS = regex.compile(r"[\p{L}\p{N}]")
@@ -36,7 +40,9 @@ _RECENT_LOWER = {
     0xA7DA: 0xA7DB, 0xA7DC: 0x19B, **{c: c + 32 for c in range(0x10D50, 0x10D66)},
     **{c: c + 27 for c in range(0x16EA0, 0x16EB9)}}
 _PLACE = (1 << 40) - 1
-_ODD_SPACES = re.compile("[\x1c-\x1f]")
+#: Stands for no merge, in a word's place and a merge's rank as one number.
+_NONE = np.int32((1 << 31) - 1)
+_CLASS = re.compile(r"\[[^\]]*\]")
 
 
 def load_vocabulary(path: str) -> dict:
@@ -72,6 +78,42 @@ def _byte_characters() -> list[str]:
     return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
 
 
+class _Ranks:
+    """The ranks of many pairs of symbols at once, from hashed tables of falling size.
+
+    A key that finds its slot taken goes on to the next table, until none is left over.
+    """
+
+    def __init__(self, merges: dict[int, int]):
+        keys = np.fromiter(merges.keys(), np.int64, len(merges))
+        ranks = np.fromiter(merges.values(), np.int32, len(merges))
+        self.tables = []
+        while len(keys):
+            shift = np.uint64(64 - max(6, (4 * len(keys)).bit_length()))
+            factor = np.uint64(0x9E3779B97F4A7C15 + 2 * len(self.tables))
+            slots = self._slots(keys, factor, shift)
+            taken, first = np.unique(slots, return_index=True)
+            # No pair of symbols, nor one with -1 for a missing symbol, gives -2.
+            table = np.full(1 << (64 - int(shift)), -2, np.int64), np.full(1 << (64 - int(shift)), _NONE, np.int32)
+            table[0][taken], table[1][taken] = keys[first], ranks[first]
+            self.tables.append((factor, shift, *table))
+            left = np.ones(len(keys), bool)
+            left[first] = False
+            keys, ranks = keys[left], ranks[left]
+
+    @staticmethod
+    def _slots(keys: np.ndarray, factor: np.uint64, shift: np.uint64) -> np.ndarray:
+        return ((keys.view(np.uint64) * factor) >> shift).view(np.int64)
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left.astype(np.int64) << 20 | right
+        found = np.full(keys.shape, _NONE, np.int32)
+        for factor, shift, known, ranks in self.tables:
+            slots = self._slots(keys, factor, shift)
+            found = np.where(known[slots] == keys, ranks[slots], found)
+        return found
+
+
 class Encoder:
     """Encodes and decodes single texts; one per Python worker."""
 
@@ -83,17 +125,24 @@ class Encoder:
         self.merges = {vocab[a] << 20 | vocab[b]: rank
                        for rank, (a, b) in enumerate(vocabulary["merges"])}
         self.merged = [vocab[a + b] for a, b in vocabulary["merges"]]
+        self.ranks = _Ranks(self.merges)
+        self.arrays = [np.array(x, np.int32) for x in (self.inner, self.final, self.merged)]
+        # A place within a block's word stands below the rank in 31 bits.
+        self.block_bytes = BLOCK_BYTES if len(self.merged) < _NONE // BLOCK_BYTES else 0
         self.pieces = [""] * (1 + max([*vocab.values(), *vocabulary["added"].values()]))
         for piece, i in [*vocab.items(), *vocabulary["added"].items()]:
             self.pieces[i] = piece
-        self.pretokens = regex.compile(vocabulary["pattern"])
+        self.pretokens = self.ascii_pretokens = regex.compile(vocabulary["pattern"])
+        if "\\p" not in _CLASS.sub("", vocabulary["pattern"]):
+            # In ASCII texts the classes name these alone.
+            plain = vocabulary["pattern"].replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9")
+            self.ascii_pretokens = self.ascii_pretokens if "\\p" in plain else re.compile(plain, re.ASCII)
         self.recent = frozenset(vocabulary["recent"])
         self.newest = {ord(c): "\ufffd" for c in vocabulary["newest"]}
         added = sorted(vocabulary["added"], key=len, reverse=True)
         self.added = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
         self.added_ids = {k: np.array([v], np.int32).tobytes() for k, v in vocabulary["added"].items()}
         self.words = Memory(self.merge)
-        self.chunks = Memory(self.chunk)
 
     def merge(self, word: str) -> bytes:
         """The ids of one pre-token, as 32-bit integers.
@@ -139,37 +188,99 @@ class Encoder:
                     heappush(queue, rank << 40 | preceding)
         return array("i", [s for s in symbols if s >= 0]).tobytes()
 
-    def chunk(self, chunk: str) -> bytes:
-        """The ids of a run without white space. No merge or normal form reaches over its ends."""
-        if chunk.isascii():
-            low = chunk.lower()
-            if low.isalpha():
-                return self.merge(low) if low == chunk else self.chunks(low)
-            if low[-1] in ",." and low[:-1].isalpha():
-                return self.chunks(low[:-1]) + self.words(low[-1])
-            chunk = low
-        else:
-            # Letter by letter, so that a sigma at the end of a word is like any other.
-            chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-            if not self.recent.isdisjoint(chunk):
-                chunk = chunk.translate(_RECENT_LOWER)
-                masked = chunk.translate(self.newest)
-                return b"".join([self.word(chunk[slice(*m.span())])
-                                 for m in self.pretokens.finditer(masked)])
-        return b"".join([self.word(w) for w in self.pretokens.findall(chunk)])
-
-    def word(self, word: str) -> bytes:
-        """A pre-token's ids. One of plain letters is a run as well, and is remembered as that."""
-        return self.chunks(word) if word.isascii() and word.isalpha() else self.words(word)
+    def merge_all(self, words: list[str]) -> list[bytes]:
+        """What ``merge`` gives for each of many pre-tokens."""
+        raws = [w.encode() for w in words]
+        found: list = [None] * len(raws)
+        order = sorted(range(len(raws)), key=lambda i: len(raws[i]))
+        short = [i for i in order if len(raws[i]) <= self.block_bytes]
+        for i in order[len(short):]:
+            found[i] = self.merge(words[i])
+        for start in range(0, len(short), BLOCK_WORDS):
+            places = short[start:start + BLOCK_WORDS]
+            for i, ids in zip(places, self._merge_block([raws[i] for i in places])):
+                found[i] = ids
+        return found
+
+    def _merge_block(self, raws: list[bytes]) -> list[bytes]:
+        """The ids of short pre-tokens, merged side by side: in a round each word's merge of least rank, then place.
+
+        Words are columns; the last row stands for no symbol before or after.
+        """
+        inner, final, merged = self.arrays
+        n, sizes = len(raws), np.fromiter(map(len, raws), np.int64, len(raws))
+        width, ends = int(sizes.max()), np.cumsum(sizes)
+        flat = np.frombuffer(b"".join(raws), np.uint8)
+        columns = np.repeat(np.arange(n), sizes)
+        rows = np.arange(len(flat)) - np.repeat(ends - sizes, sizes)
+        symbols = np.full((width + 1, n), -1, np.int32)
+        symbols[rows, columns] = inner[flat]
+        symbols[sizes - 1, np.arange(n)] = final[flat[ends - 1]]
+        after = np.repeat(np.arange(1, width + 2)[:, None], n, axis=1)
+        after[sizes - 1, np.arange(n)] = width
+        before = np.repeat(np.arange(-1, width)[:, None], n, axis=1)
+        before[0] = width
+        waiting = np.full((width + 1, n), _NONE, np.int32)
+
+        def wait(left: np.ndarray, right: np.ndarray, place: np.ndarray) -> np.ndarray:
+            rank = self.ranks(left, right)
+            return np.where(rank == _NONE, _NONE, rank * np.int32(BLOCK_BYTES) + place.astype(np.int32))
+        waiting[:-1] = wait(symbols[:-1], symbols[1:], np.arange(width)[:, None])
+        all_symbols, all_after, all_before, all_waiting = (x.reshape(-1) for x in (symbols, after, before, waiting))
+        while True:
+            least = waiting.min(axis=0)
+            word = np.flatnonzero(least != _NONE)
+            if not len(word):
+                break
+            rank, place = np.divmod(least[word].astype(np.int64), BLOCK_BYTES)
+            at = place * n + word
+            right = all_after[at] * n + word
+            new = merged[rank]
+            all_symbols[at], all_symbols[right], all_waiting[right] = new, -1, _NONE
+            following = all_after[right]
+            all_after[at] = following
+            all_before[following * n + word] = place
+            preceding = all_before[at]
+            all_waiting[at] = wait(new, all_symbols[following * n + word], place)
+            all_waiting[preceding * n + word] = wait(all_symbols[preceding * n + word], new, preceding)
+        alive = symbols.T >= 0
+        cuts = np.cumsum([0, *alive.sum(axis=1)]) * 4
+        ids = symbols.T[alive].tobytes()
+        return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+
+    def cut(self, text: str) -> list[str]:
+        """The pre-tokens of a text. None holds white space, and no normal form reaches over it."""
+        if text.isascii():
+            return self.ascii_pretokens.findall(text.lower())
+        # Letter by letter, so that a sigma at the end of a word is like any other.
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        if not self.recent.isdisjoint(text):
+            text = text.translate(_RECENT_LOWER)
+            return [text[slice(*m.span())] for m in self.pretokens.finditer(text.translate(self.newest))]
+        return self.pretokens.findall(text)
 
     def plain(self, text: str) -> bytes:
-        if text.isascii():
-            text = text.lower()
-        if _ODD_SPACES.search(text):
-            chunks = [c for c in SPACES.split(text) if c]
-        else:
-            chunks = text.split()
-        return b"".join(self.chunks.all(chunks))
+        return self.words.joined(self.cut(text))
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """What ``encode`` gives for each text, in their order; new words of a group are merged together."""
+        group: list[tuple[str | None, list[str]]] = []
+        size = 0
+
+        def done() -> Iterator[bytes]:
+            new = self.words.unknown(set().union(*[words for _, words in group]))
+            self.words.put_all(new, self.merge_all(new))
+            for text, words in group:
+                yield self.encode(text) if text else self.words.joined(words)
+        for text in texts:
+            # A text with special tokens is cut at them first.
+            special = text and "<" in text and self.added and self.added.search(text)
+            group.append((text, []) if special else (None, self.cut(text or "")))
+            size += len(text or "")
+            if size >= GROUP_CHARACTERS:
+                yield from done()
+                group, size = [], 0
+        yield from done()
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a whole text, as 32-bit integers; none for NULL."""
@@ -185,14 +296,12 @@ class Encoder:
         return " ".join(map(self.pieces.__getitem__, ids))
 
 
-_ENCODERS: list[tuple[dict, Encoder]] = []
-
-
 def encoder(vocabulary: Broadcast) -> Encoder:
-    """This worker's encoder, with the words it remembers from earlier tasks."""
-    if not _ENCODERS or _ENCODERS[0][0] is not vocabulary.value:
-        _ENCODERS[:] = [(vocabulary.value, Encoder(vocabulary.value))]
-    return _ENCODERS[0][1]
+    """This worker's encoder, with the words it remembers from earlier tasks; for functions that hold it."""
+    if not HELD or HELD[0][0] is not vocabulary.value:
+        let_go()
+        HELD.append((vocabulary.value, Encoder(vocabulary.value)))
+    return HELD[0][1]
 
 
 def highest_id(vocabulary: Broadcast) -> int:
@@ -225,16 +334,15 @@ def encode(docs: DataFrame, vocabulary: Broadcast, text: str = "text", ids: str
         for batch in batches:
             kept = batch.columns[:len(columns)]
             rows, start, waiting = [], 0, 0
-            texts = batch.column(at)
-            for row in range(batch.num_rows):
-                rows.append(own.encode(texts[row].as_py()))
+            for row, raw in enumerate(own.encode_all(t.as_py() for t in batch.column(at))):
+                rows.append(raw)
                 waiting += len(rows[-1]) // 4
                 if waiting >= BATCH_TOKENS or row == batch.num_rows - 1:
                     yield _batch(own, [c.slice(start, len(rows)) for c in kept], rows,
                                  [f.name for f in fields], bool(decoded))
                     rows, start, waiting = [], row + 1, 0
 
-    return map_batches(narrow, run, StructType(fields))
+    return map_batches(narrow, run, StructType(fields), holds=True)
 
 
 def _batch(own: Encoder, kept: list[pa.Array], rows: list[bytes], names: list[str],
@@ -244,8 +352,7 @@ def _batch(own: Encoder, kept: list[pa.Array], rows: list[bytes], names: list[st
     ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
     columns = [*kept, ids]
     if decoded:
-        values = flat.tolist()
-        columns.append(pa.array([own.decode(values[a:b]) for a, b in zip(ends[:-1], ends[1:])],
+        columns.append(pa.array([own.decode(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:])],
                                 pa.string()))
     return pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -271,4 +378,4 @@ def decode(tokens: DataFrame, vocabulary: Broadcast, ids: str = "ids",
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(texts, pa.string())], names=[f.name for f in fields])
 
-    return map_batches(tokens.select(*[tokens[c] for c in columns]), run, StructType(fields))
+    return map_batches(tokens.select(*[tokens[c] for c in columns]), run, StructType(fields), holds=True)

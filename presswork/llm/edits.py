@@ -168,7 +168,7 @@ def token_trees(docs: DataFrame, vocabulary: Broadcast, text: str = "text", key:
                 trees = [_as_leaves(TokenTree(body.as_py() or "", own)) for body in batch.column(1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(trees, _ARROW_TREE)], names=schema.names)
 
-    return map_batches(docs.select(docs[key].alias("doc_id"), docs[text].cast("string").alias("text")), run, schema)
+    return map_batches(docs.select(docs[key].alias("doc_id"), docs[text].cast("string").alias("text")), run, schema, holds=True)
 
 
 def edit_trees(trees: DataFrame, vocabulary: Broadcast, edits: str = "edits", tree: str = "tree",
@@ -200,7 +200,7 @@ def edit_trees(trees: DataFrame, vocabulary: Broadcast, edits: str = "edits", tr
                     [batch.column(0), *[pa.array(c, t) for c, t in zip(zip(*rows), types)]], names=schema.names)
 
     return map_batches(trees.select(
-        trees[key].alias("doc_id"), trees[tree].alias("tree"), trees[edits].alias("edits")), run, schema)
+        trees[key].alias("doc_id"), trees[tree].alias("tree"), trees[edits].alias("edits")), run, schema, holds=True)
 
 
 def count_edited(docs: DataFrame, vocabulary: Broadcast, edits: str = "edits", text: str = "text",
@@ -235,7 +235,7 @@ def count_edited(docs: DataFrame, vocabulary: Broadcast, edits: str = "edits", t
 
     return map_batches(docs.select(
         docs[key].alias("doc_id"), docs[text].cast("string").alias("text"), docs[edits].alias("edits")),
-        run, schema)
+        run, schema, holds=True)
 
 
 _ARROW = [pa.field("n_before", pa.int64()), pa.field("n_after", pa.int64()), pa.field("n_leaves", pa.int32()),

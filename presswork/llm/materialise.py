@@ -104,41 +104,43 @@ def sequences(docs: DataFrame, vocabulary: Broadcast, length: int, end_id: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, packer = bpe.encoder(vocabulary), zstandard.ZstdCompressor(6, dict_data=_known(dictionary))
         kind = None
-        # The sequence that is being filled, and those that are full.
-        row, used, parts = np.full(length, end_id, "<u2"), 0, []
+        # The sequence that is being filled, those that are full, the parts of all, and how many of them are in full ones.
+        row, used, parts, listed = np.full(length, end_id, "<u2"), 0, [], 0
         full: list[tuple] = []
 
         def out() -> pa.RecordBatch:
-            listed = pa.list_(pa.struct([("doc_id", kind), ("doc_start", pa.int32()), ("start", pa.int32()),
-                                         ("n_tokens", pa.int32())]))
+            counts, sizes, payloads = zip(*full)
+            columns = [pa.array(c, t) for c, t in zip(zip(*parts), (kind, *[pa.int32()] * 3))]
             return pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*full), (listed, pa.int32(), pa.binary()))], names=schema.names)
+                [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()),
+                                          pa.StructArray.from_arrays(columns, names=part.names)),
+                 pa.array(sizes, pa.int32()), pa.array(payloads, pa.binary())], names=schema.names)
         for batch in batches:
             kind = batch.column(0).type
-            for name, item in zip(batch.column(0).to_pylist(), batch.column(1)):
-                raw = own.encode(item.as_py())
+            texts = own.encode_all(item.as_py() for item in batch.column(1))
+            for name, raw in zip(batch.column(0).to_pylist(), texts):
                 if not raw:
                     continue
                 ids, at = _ended(raw, end_id), 0
                 while at < len(ids):
                     n = min(length - used, len(ids) - at)
                     row[used:used + n] = ids[at:at + n]
-                    parts.append({"doc_id": name, "doc_start": at, "start": used, "n_tokens": n})
+                    parts.append((name, at, used, n))
                     at, used = at + n, used + n
                     if used == length:
-                        full.append((parts, used, packer.compress(row.tobytes())))
-                        used, parts = 0, []
+                        full.append((len(parts) - listed, used, packer.compress(row)))
+                        used, listed = 0, len(parts)
                         if len(full) == BATCH_SEQUENCES:
                             yield out()
-                            full = []
+                            full, parts, listed = [], [], 0
         if used:
             row[used:] = end_id
-            full.append((parts, used, packer.compress(row.tobytes())))
+            full.append((len(parts) - listed, used, packer.compress(row)))
         if full:
             yield out()
 
     return map_batches(docs.select(docs[key].alias("doc_id"), docs[text].cast("string").alias("text")),
-                       run, schema)
+                       run, schema, holds=True)
 
 
 def _known(dictionary: bytes) -> zstandard.ZstdCompressionDict | None:

@@ -23,12 +23,33 @@ class Memory:
             found = self.old.get(word)
             if found is None:
                 found = self.make(word)
-            if self.size >= self.limit:
-                self.old, self.young, self.size = self.young, {}, 0
-            self.young[word] = found
-            self.size += getsizeof(word) + getsizeof(found) + _SLOT
+            self.put(word, found)
         return found
 
+    def put(self, word, found) -> None:
+        if self.size >= self.limit:
+            self.old, self.young, self.size = self.young, {}, 0
+        self.young[word] = found
+        self.size += getsizeof(word) + getsizeof(found) + _SLOT
+
+    def put_all(self, words: list, found: list) -> None:
+        """The same for many, which may go beyond the limit by their own size."""
+        if self.size >= self.limit:
+            self.old, self.young, self.size = self.young, {}, 0
+        self.young.update(zip(words, found))
+        self.size += sum(map(getsizeof, words)) + sum(map(getsizeof, found)) + _SLOT * len(words)
+
+    def unknown(self, words: set) -> list:
+        """Those of the words that are not remembered; the others count as used."""
+        left = []
+        for word in words.difference(self.young):
+            found = self.old.get(word)
+            if found is None:
+                left.append(word)
+            else:
+                self.put(word, found)
+        return left
+
     def all(self, words: list[str]) -> list:
         found = list(map(self.young.get, words))
         if None in found:
@@ -37,3 +58,11 @@ class Memory:
                 at = found.index(None, at + 1)
                 found[at] = self(words[at])
         return found
+
+    def joined(self, words: list[str]) -> bytes:
+        """The results, which are bytes, in a row."""
+        try:
+            return b"".join(map(self.young.get, words))
+        except TypeError:
+            # One of them is not among the young.
+            return b"".join(self.all(words))

@@ -12,6 +12,13 @@ from pyspark.sql.types import StringType, StructType
 
 _ROOT = str(Path(__file__).resolve().parents[2])
 
+#: What this worker holds for later tasks of the same kind, such as an encoder; see ``map_batches``.
+HELD: list = []
+
+
+def let_go() -> None:
+    HELD.clear()
+
 
 def find_package(df: DataFrame) -> None:
     """Lets workers on this machine import the package from where the driver did.
@@ -25,9 +32,15 @@ def find_package(df: DataFrame) -> None:
 
 
 def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-                schema: StructType | str) -> DataFrame:
-    """``function`` over the rows of each partition; what Arrow holds goes back when it ends."""
+                schema: StructType | str, holds: bool = False) -> DataFrame:
+    """``function`` over the rows of each partition; what Arrow holds goes back when it ends.
+
+    Workers outlive a job. A function that is not said to use what is in ``HELD`` has it freed
+    first, so that a later step does not run beside what an earlier one remembered.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not holds:
+            let_go()
         try:
             yield from function(batches)
         finally:

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -12,7 +13,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from presswork.llm import (
     balltree, bpe, components, edits, materialise, mixing, neardup, pii, quality, samples, sharding,
-    toxicity)
+    toxicity, workers)
 
 LONG = "lorem ipsum " * 20_000
 WORDS = [f"w{i}x" for i in range(300)]
@@ -70,6 +71,36 @@ def test_bpe_all_of_unicode(vocabulary, tokenizer):
         assert ids == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_bpe_many_texts_at_once(vocabulary, tokenizer, monkeypatch):
+    dice = random.Random(8)
+    parts = ["a", "b", "E", "é", "Σ", "İ", "中", "1", ".", ",", "'s", "'", "-", "\x1c", "\x85", " ", " ", "\n", "<",
+             "<|endoftext|>", "th", "ing", "\ua7db", "\u1c89", "e\u0301", "x" * 40, "longword" * 9]
+    texts = ["".join(dice.choices(parts, k=dice.randint(0, 40))) for _ in range(2000)] + [None, ""]
+    expected = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    one_by_one = []
+    merge = bpe.Encoder.merge
+    monkeypatch.setattr(bpe.Encoder, "merge", lambda self, word: one_by_one.append(word) or merge(self, word))
+    monkeypatch.setattr(bpe, "GROUP_CHARACTERS", 4000)
+    for limit in (1 << 20, 500):
+        own = bpe.Encoder(vocabulary.value)
+        own.words.limit = limit
+        found = [np.frombuffer(raw, np.int32).tolist() for raw in own.encode_all(iter(texts))]
+        assert found == expected
+    # Without special tokens only words beyond a block's bytes go one by one.
+    one_by_one.clear()
+    list(bpe.Encoder(vocabulary.value).encode_all(t for t in texts if "<|endoftext|>" not in (t or "")))
+    assert all(len(w.encode()) > bpe.BLOCK_BYTES for w in one_by_one)
+
+
+def test_encoders_do_not_outlive_their_step_in_the_workers(spark, docs, vocabulary):
+    def held(batches):
+        from presswork.llm import workers as here
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(here.HELD)])], names=["n"])
+    bpe.encode(docs, vocabulary).write.format("noop").mode("overwrite").save()
+    assert {r.n for r in workers.map_batches(spark.range(0, 8, 1, 4), held, "n long").collect()} == {0}
+
+
 def test_quality_edges(docs, none):
     clashing = docs.withColumnRenamed("shard", "n_words")
     rows = {(r.doc_id, r.n_words) for r in quality.text_statistics(clashing).collect()}
