@@ -43,6 +43,7 @@ _PLACE = (1 << 40) - 1
 #: Stands for no merge, in a word's place and a merge's rank as one number.
 _NONE = np.int32((1 << 31) - 1)
 _CLASS = re.compile(r"\[[^\]]*\]")
+_RUN = r"[\p{L}]+"
 
 
 def load_vocabulary(path: str) -> dict:
@@ -65,12 +66,36 @@ def load_vocabulary(path: str) -> dict:
     newest = [c for c in recent if not any(a <= ord(c) <= b for a, b in _UNICODE_16)]
     return {
         "recent": "".join(recent), "newest": "".join(newest),
+        "classes": {name: _ranges(name) for name in (r"\s", r"\p{L}", r"\p{N}")},
         "vocab": model["vocab"], "suffix": suffix, "pattern": pattern,
         "merges": [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]],
         "added": {t["content"]: t["id"] for t in spec["added_tokens"]},
     }
 
 
+def _ranges(name: str) -> str:
+    """What a class of the pattern holds of the first plane, as ranges that any engine reads alike."""
+    plane = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+    return "".join(f"\\u{ord(run[0]):04x}-\\u{ord(run[0]) + len(run) - 1:04x}"
+                   for run in regex.findall(f"[{name}]+", plane) for run in _unbroken(run))
+
+
+def _unbroken(characters: str) -> list[str]:
+    """Rising characters, cut where one is left out."""
+    cuts = [i for i in range(1, len(characters)) if ord(characters[i]) != ord(characters[i - 1]) + 1]
+    return [characters[a:b] for a, b in zip([0, *cuts], [*cuts, len(characters)])]
+
+
+def _letters_first(pattern: str) -> str:
+    """The same pattern, with its runs of letters tried first if all before them begins with an apostrophe."""
+    parts = pattern.split("|")
+    if _RUN in parts:
+        at = parts.index(_RUN)
+        if all(re.fullmatch(r"'\w+", part) for part in parts[:at]):
+            parts.insert(0, parts.pop(at))
+    return "|".join(parts)
+
+
 def _byte_characters() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -132,11 +157,18 @@ class Encoder:
         self.pieces = [""] * (1 + max([*vocab.values(), *vocabulary["added"].values()]))
         for piece, i in [*vocab.items(), *vocabulary["added"].items()]:
             self.pieces[i] = piece
-        self.pretokens = self.ascii_pretokens = regex.compile(vocabulary["pattern"])
-        if "\\p" not in _CLASS.sub("", vocabulary["pattern"]):
+        self.pretokens = self.ascii_pretokens = self.plane_pretokens = regex.compile(vocabulary["pattern"])
+        if not re.search(r"\\[ps]", _CLASS.sub("", vocabulary["pattern"])):
             # In ASCII texts the classes name these alone.
-            plain = vocabulary["pattern"].replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9")
-            self.ascii_pretokens = self.ascii_pretokens if "\\p" in plain else re.compile(plain, re.ASCII)
+            listed = _letters_first(vocabulary["pattern"])
+            plain = listed.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9")
+            for name, ranges in vocabulary["classes"].items():
+                listed = listed.replace(name, ranges)
+            if "\\p" not in plain:
+                self.ascii_pretokens, self.plane_pretokens = re.compile(plain, re.ASCII), re.compile(listed)
+        #: Letters that Python's own tables lack, and all characters beyond the first plane.
+        recent = "".join(c for c in vocabulary["recent"] if c < "\U00010000")
+        self.beyond = re.compile(f"[{re.escape(recent)}\U00010000-\U0010ffff]")
         self.recent = frozenset(vocabulary["recent"])
         self.newest = {ord(c): "\ufffd" for c in vocabulary["newest"]}
         added = sorted(vocabulary["added"], key=len, reverse=True)
@@ -254,6 +286,8 @@ class Encoder:
             return self.ascii_pretokens.findall(text.lower())
         # Letter by letter, so that a sigma at the end of a word is like any other.
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        if not self.beyond.search(text):
+            return self.plane_pretokens.findall(text)
         if not self.recent.isdisjoint(text):
             text = text.translate(_RECENT_LOWER)
             return [text[slice(*m.span())] for m in self.pretokens.finditer(text.translate(self.newest))]
@@ -268,10 +302,9 @@ class Encoder:
         size = 0
 
         def done() -> Iterator[bytes]:
-            new = self.words.unknown(set().union(*[words for _, words in group]))
-            self.words.put_all(new, self.merge_all(new))
-            for text, words in group:
-                yield self.encode(text) if text else self.words.joined(words)
+            found = self.words.lists([words for _, words in group], self.merge_all)
+            for (text, _), ids in zip(group, found):
+                yield self.encode(text) if text else b"".join(ids)
         for text in texts:
             # A text with special tokens is cut at them first.
             special = text and "<" in text and self.added and self.added.search(text)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from sys import getsizeof
 
 #: Bytes that each of two generations of a map may take, about, in each Python worker.
@@ -39,16 +39,18 @@ class Memory:
         self.young.update(zip(words, found))
         self.size += sum(map(getsizeof, words)) + sum(map(getsizeof, found)) + _SLOT * len(words)
 
-    def unknown(self, words: set) -> list:
-        """Those of the words that are not remembered; the others count as used."""
-        left = []
-        for word in words.difference(self.young):
-            found = self.old.get(word)
-            if found is None:
-                left.append(word)
-            else:
-                self.put(word, found)
-        return left
+    def lists(self, lists: list[list], make_all: Callable[[list], list]) -> Iterator[list]:
+        """The results for many lists of words; ``make_all`` gives those of the new words together."""
+        found = [list(map(self.young.get, words)) for words in lists]
+        missed = {word for words, results in zip(lists, found) if None in results
+                  for word, result in zip(words, results) if result is None}
+        kept = {word: result for word in missed if (result := self.old.get(word)) is not None}
+        new = list(missed.difference(kept))
+        kept.update(zip(new, make_all(new)))
+        self.put_all(list(kept), list(kept.values()))
+        for words, results in zip(lists, found):
+            yield results if None not in results else [
+                kept[word] if result is None else result for word, result in zip(words, results)]
 
     def all(self, words: list[str]) -> list:
         found = list(map(self.young.get, words))

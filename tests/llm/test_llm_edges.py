@@ -14,6 +14,7 @@ import corpus_pipeline
 from presswork.llm import (
     balltree, bpe, components, edits, materialise, mixing, neardup, pii, quality, samples, sharding,
     toxicity, workers)
+from presswork.llm.memory import Memory
 
 LONG = "lorem ipsum " * 20_000
 WORDS = [f"w{i}x" for i in range(300)]
@@ -92,6 +93,33 @@ def test_bpe_many_texts_at_once(vocabulary, tokenizer, monkeypatch):
     assert all(len(w.encode()) > bpe.BLOCK_BYTES for w in one_by_one)
 
 
+def test_texts_of_the_first_plane_are_cut_by_plain_classes(vocabulary, tokenizer):
+    own = bpe.Encoder(vocabulary.value)
+    text = "L'été Σς 中文١٢ ½Ⅷ _'s\x1c\x85a\u200b\u3000e\u0301'll"
+    expected = [tokenizer.encode(text + end, add_special_tokens=False).ids for end in ("", "\u1c89", "𝒜")]
+    assert [np.frombuffer(own.encode(text + end), np.int32).tolist() for end in ("", "\u1c89", "𝒜")] == expected
+    own = bpe.Encoder(vocabulary.value)
+    # The slower engine is for other texts only.
+    own.pretokens = None
+    assert np.frombuffer(own.encode(text), np.int32).tolist() == expected[0]
+    assert own.ascii_pretokens.pattern.startswith("[A-Za-z]+|'s")
+    assert bpe._letters_first(r"a|'s|[\p{L}]+") == r"a|'s|[\p{L}]+"
+
+
+def test_words_of_many_texts_are_looked_up_once():
+    made = []
+
+    def make_all(words):
+        made.append(sorted(words))
+        return [w.encode() for w in words]
+    words = Memory(str.encode, limit=1)
+    assert list(words.lists([["a", "b", "a"], [], ["b", "c"]], make_all)) == [[b"a", b"b", b"a"], [], [b"b", b"c"]]
+    assert list(words.lists([["d"]], make_all)) == [[b"d"]]
+    # Words of the older generation are kept, not made again.
+    assert list(words.lists([["d", "e"]], make_all)) == [[b"d", b"e"]]
+    assert made == [["a", "b", "c"], ["d"], ["e"]]
+
+
 def test_encoders_do_not_outlive_their_step_in_the_workers(spark, docs, vocabulary):
     def held(batches):
         from presswork.llm import workers as here
