@@ -21,8 +21,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from presswork.llm.memory import Memory
 from presswork.llm.workers import HELD, let_go, map_batches, with_text
 
-#: Tokens after which a batch of results is handed on.
-BATCH_TOKENS = 2_000_000
+#: Tokens after which a batch of results is handed on; worker and executor each hold a batch or two.
+BATCH_TOKENS = 250_000
 #: Characters of texts whose new words are merged at once, and the words of one merge; longer words,
 #: by bytes, go one by one.
 GROUP_CHARACTERS, BLOCK_WORDS, BLOCK_BYTES = 500_000, 4096, 32
@@ -42,6 +42,8 @@ _RECENT_LOWER = {
 _PLACE = (1 << 40) - 1
 #: Stands for no merge, in a word's place and a merge's rank as one number.
 _NONE = np.int32((1 << 31) - 1)
+#: Symbols have 20 bits, two of them and a rank one number.
+_RANK_BITS = 23
 _CLASS = re.compile(r"\[[^\]]*\]")
 _RUN = r"[\p{L}]+"
 
@@ -118,10 +120,10 @@ class _Ranks:
             factor = np.uint64(0x9E3779B97F4A7C15 + 2 * len(self.tables))
             slots = self._slots(keys, factor, shift)
             taken, first = np.unique(slots, return_index=True)
-            # No pair of symbols, nor one with -1 for a missing symbol, gives -2.
-            table = np.full(1 << (64 - int(shift)), -2, np.int64), np.full(1 << (64 - int(shift)), _NONE, np.int32)
-            table[0][taken], table[1][taken] = keys[first], ranks[first]
-            self.tables.append((factor, shift, *table))
+            # A key and its rank in one number. No pair of symbols, nor one with -1 for a missing symbol, gives -2.
+            table = np.full(1 << (64 - int(shift)), -2 << _RANK_BITS, np.int64)
+            table[taken] = keys[first] << _RANK_BITS | ranks[first]
+            self.tables.append((factor, shift, table))
             left = np.ones(len(keys), bool)
             left[first] = False
             keys, ranks = keys[left], ranks[left]
@@ -133,9 +135,9 @@ class _Ranks:
     def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         keys = left.astype(np.int64) << 20 | right
         found = np.full(keys.shape, _NONE, np.int32)
-        for factor, shift, known, ranks in self.tables:
-            slots = self._slots(keys, factor, shift)
-            found = np.where(known[slots] == keys, ranks[slots], found)
+        for factor, shift, table in self.tables:
+            entries = table[self._slots(keys, factor, shift)]
+            np.copyto(found, entries & ((1 << _RANK_BITS) - 1), where=entries >> _RANK_BITS == keys, casting="unsafe")
         return found
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -17,7 +18,10 @@ HELD: list = []
 
 
 def let_go() -> None:
-    HELD.clear()
+    """Frees what is held now; an encoder and its words refer to each other and would else wait for the collector."""
+    if HELD:
+        HELD.clear()
+        gc.collect()
 
 
 def find_package(df: DataFrame) -> None:

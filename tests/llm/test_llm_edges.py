@@ -1,7 +1,9 @@
 """NULLs, empty and long texts, ties, repeated rows, empty tables and clashing names."""
 
 import collections
+import gc
 import random
+import weakref
 
 import numpy as np
 import public_tokenizers
@@ -129,6 +131,17 @@ def test_encoders_do_not_outlive_their_step_in_the_workers(spark, docs, vocabula
     assert {r.n for r in workers.map_batches(spark.range(0, 8, 1, 4), held, "n long").collect()} == {0}
 
 
+def test_an_encoder_that_is_let_go_is_freed_at_once(vocabulary):
+    gc.disable()
+    try:
+        own = weakref.ref(bpe.encoder(vocabulary))
+        own().plain("some words")
+        workers.let_go()
+        assert own() is None
+    finally:
+        gc.enable()
+
+
 def test_quality_edges(docs, none):
     clashing = docs.withColumnRenamed("shard", "n_words")
     rows = {(r.doc_id, r.n_words) for r in quality.text_statistics(clashing).collect()}
