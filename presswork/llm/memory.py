@@ -9,6 +9,8 @@ from sys import getsizeof
 REMEMBERED = 24 << 20
 #: Bytes of a map's own for each word.
 _SLOT = 104
+#: The same with what a string and bytes take besides their characters, at two bytes each.
+_PAIR = _SLOT + getsizeof("") + getsizeof(b"")
 
 
 class Memory:
@@ -33,11 +35,11 @@ class Memory:
         self.size += getsizeof(word) + getsizeof(found) + _SLOT
 
     def put_all(self, words: list, found: list) -> None:
-        """The same for many, which may go beyond the limit by their own size."""
+        """The same for many strings with bytes, which may go beyond the limit by their own size."""
         if self.size >= self.limit:
             self.old, self.young, self.size = self.young, {}, 0
         self.young.update(zip(words, found))
-        self.size += sum(map(getsizeof, words)) + sum(map(getsizeof, found)) + _SLOT * len(words)
+        self.size += 2 * sum(map(len, words)) + sum(map(len, found)) + _PAIR * len(words)
 
     def lists(self, lists: list[list], make_all: Callable[[list], list]) -> Iterator[list]:
         """The results for many lists of words; ``make_all`` gives those of the new words together."""
